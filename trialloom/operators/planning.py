@@ -209,8 +209,9 @@ def decide(individual: DataFrame, paired: DataFrame, cell: Sequence[str] = CELL,
         "precision_warning": (F.col("individual_exceed_2000") + F.col("paired_exceed_2000")) > 0})
 
 
-def warnings(individual: DataFrame, paired: DataFrame, cell: Sequence[str] = CELL) -> DataFrame:
-    return _cells(individual, paired, cell).filter("exceeds_2000").select(
+def warnings(individual: DataFrame, paired: DataFrame, cell: Sequence[str] = CELL, large: int = 2000) -> DataFrame:
+    """Cells that need more than the large number of units."""
+    return _cells(individual, paired, cell).filter(F.col("required_r") > large).select(
         "kind", cell[0], "scope", "metric", "required_r", "half_width_2000")
 
 

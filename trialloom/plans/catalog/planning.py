@@ -73,8 +73,14 @@ def a17(spark, sf):
 
 
 @query("A18_warnings", sql("SELECT kind, cond, scope, metric, required_r, round(half_width_2000, 9) AS half_width_2000 "
-                           "FROM scells WHERE exceeds_2000", "scells"))
+                           "FROM cells WHERE required_r > 200", "cells"))
 def a18(spark, sf):
+    return rounded(planning.warnings(*_both(spark, sf), large=200), ["half_width_2000"])
+
+
+@query("A18_warnings_of_study", sql("SELECT kind, cond, scope, metric, required_r, round(half_width_2000, 9) AS half_width_2000 "
+                                    "FROM scells WHERE exceeds_2000", "scells"))
+def a18_study(spark, sf):
     rm = fx.study_metrics(spark, sf).filter("cond > 0").persist()
     rows = planning.warnings(planning.precision_individual(planning.decision_input(rm)), planning.precision_paired(rm))
     return rounded(rows, ["half_width_2000"])
