@@ -256,24 +256,28 @@ def chunk_reason(plan: DataFrame, manifests: DataFrame, files: DataFrame, fields
         *[F.get_json_object("body", f"$.{f}").alias(f"_m_{f}") for f in fields],
         F.from_json(F.get_json_object("body", "$.Files"), wanted).alias("_want"),
         F.get_json_object("body", "$.DataSHA256").alias("_total"))
-    have = files.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("name", "sha256"))).alias("_have"))
-    rows = plan.join(read, "chunk", "left").join(have, "chunk", "left")
-    names = lambda c: F.array_sort(F.transform(F.coalesce(c, F.array().cast(wanted)), lambda x: x["name"]))
-    want, got = F.array_sort("_want"), F.col("_have")
-    wrong = F.filter(want, lambda w: ~F.array_contains(got, w))
-    combined = F.sha2(F.concat_ws("\n", F.transform(got, lambda x: F.concat_ws(" ", x["name"], x["sha256"]))), 256)
+    # Only files a manifest lists are gathered per chunk; what else lies on disk is just counted.
+    listed = read.select("chunk", F.inline("_want")).withColumnRenamed("sha256", "_sha")
+    both = listed.join(files, ["chunk", "name"], "full_outer")
+    is_listed, on_disk = F.col("_sha").isNotNull(), F.col("sha256").isNotNull()
+    have = both.groupBy("chunk").agg(
+        F.bool_or(on_disk).alias("_seen"), F.bool_or(is_listed != on_disk).alias("_other"),
+        F.min(F.when(is_listed & on_disk & (F.col("_sha") != F.col("sha256")), F.col("name"))).alias("_wrong"),
+        F.array_sort(F.collect_list(F.when(is_listed & on_disk, F.struct("name", "sha256")))).alias("_have"))
+    rows = plan.join(read.drop("_want"), "chunk", "left").join(have, "chunk", "left")
+    combined = F.sha2(F.concat_ws("\n", F.transform("_have", lambda x: F.concat_ws(" ", x["name"], x["sha256"]))), 256)
     reason = F.when(~F.coalesce("_ok", F.lit(False)), "manifest_unreadable")
     reason = reason.when(F.col("_bad").isNotNull(), F.concat(F.lit("forbidden_manifest_field:"), "_bad"))
     for f in fields:
         reason = reason.when(~F.col(f"_m_{f}").eqNullSafe(F.col(f)), F.lit(f"manifest_mismatch:{f}"))
-    reason = (reason.when(names(F.col("_want")) != names(got), "unexpected_or_missing_file")
-              .when(F.size(wrong) > 0, F.concat(F.lit("hash_mismatch:"), F.array_min(wrong)["name"]))
+    reason = (reason.when(F.coalesce("_other", F.lit(True)), "unexpected_or_missing_file")
+              .when(F.col("_wrong").isNotNull(), F.concat(F.lit("hash_mismatch:"), "_wrong"))
               .when(~F.col("_total").eqNullSafe(combined), "hash_mismatch:data"))
     if gates is not None:
         first = gates.groupBy("chunk").agg(F.min("reason").alias("_gate"))
         rows = rows.join(first, "chunk", "left")
         reason = reason.when(F.col("_gate").isNotNull(), F.col("_gate"))
-    seen = F.col("_ok").isNotNull() | F.col("_have").isNotNull()
+    seen = F.col("_ok").isNotNull() | F.coalesce("_seen", F.lit(False))
     return rows.select("chunk", reason.otherwise("valid").alias("reason"), seen.alias("had_artifact"))
 
 
@@ -281,3 +285,11 @@ def first_reason(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Lowest law per key, for reports."""
     w = Window.partitionBy(*keys).orderBy("law")
     return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
+def chunk_problems(chunks: DataFrame, keys: Sequence[str], group: Sequence[str], unit: str = "unit") -> DataFrame:
+    """Overlaps (a key in two chunks) and gaps (missing ids) of chunks read together."""
+    dup = duplicates(chunks, keys).select(F.lit("chunk_overlap").alias("law"), *group, unit,
+                                          F.col("copies").cast("string").alias("detail"))
+    gaps = contiguous_ids(chunks.select(*group, unit).distinct(), group, unit).filter("law = 'gap_after'")
+    return dup.unionByName(gaps)

@@ -244,16 +244,18 @@ def a22(spark, sf):
     return compare.fingerprint(_rm(spark, sf), [*UNIT, "N_C", "N_run_NC", "EndState"], by=["cond"])
 
 
-FILES = """SELECT source || '/' || doc_id AS path, sha256(text) AS sha256 FROM documents"""
-LISTED = """SELECT source || '/' || (doc_id + 10) AS path, sha256(CASE WHEN doc_id % 4 = 1 THEN text || '!' ELSE text END) AS sha256 FROM documents"""
+FILES = """SELECT 'doc/' || doc_id AS path, sha256(text) AS sha256 FROM documents"""
+LISTED = """SELECT CASE WHEN doc_id % 10 = 3 THEN 'new/' ELSE 'doc/' END || doc_id AS path,
+    sha256(CASE WHEN doc_id % 4 = 1 THEN text || '!' ELSE text END) AS sha256 FROM documents"""
 
 
 def _listings(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
-    path = lambda i: F.concat_ws("/", "source", i.cast("string"))
-    a = d.select(path(F.col("doc_id")).alias("path"), F.sha2("text", 256).alias("sha256"))
+    number = F.col("doc_id").cast("string")
+    a = d.select(F.concat(F.lit("doc/"), number).alias("path"), F.sha2("text", 256).alias("sha256"))
     edited = F.when(F.col("doc_id") % 4 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    b = d.select(path(F.col("doc_id") + 10).alias("path"), F.sha2(edited, 256).alias("sha256"))
+    b = d.select(F.concat(F.when(F.col("doc_id") % 10 == 3, "new/").otherwise("doc/"), number).alias("path"),
+                 F.sha2(edited, 256).alias("sha256"))
     return a, b
 
 

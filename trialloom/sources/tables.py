@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK_PATTERN = r"condition_(\d+)_([^/]+)/repeats_(\d+)_(\d+)/"
+CHUNK_PATTERN = r"condition[_=](\d+)_([^/]+)/repeats[_=](\d+)_(\d+)/"
 
 
 def read_table_exact(spark: SparkSession, path: str, schema: T.StructType | str, rows: int | None = None) -> DataFrame:
@@ -68,5 +68,4 @@ def explode_trajectory(df: DataFrame, keys: Sequence[str], arrays: Sequence[str]
 def nest_trajectory(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], order: str = "cycle") -> DataFrame:
     """The inverse for fixed-length units: arrays in cycle order."""
     packed = F.array_sort(F.collect_list(F.struct(order, *columns)))
-    return rows.groupBy(*keys).agg(packed.alias("_a")).select(
-        *keys, *[F.transform("_a", lambda x, c=c: x[c]).alias(c) for c in columns])
+    return rows.groupBy(*keys).agg(packed.alias("_a")).select(*keys, *[F.col("_a")[c].alias(c) for c in columns])

@@ -27,26 +27,32 @@ class RepeatAccumulator(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         counters = ", ".join(f"{c} bigint" for c in LIVE)
-        self.live = handle.getValueState("live", f"seen bigint, previous int, done boolean, {counters}", self.ttl_ms)
+        self.live = handle.getValueState(
+            "live", f"seen bigint, waiting bigint, previous int, done boolean, {counters}", self.ttl_ms)
         self.early = handle.getMapState("early", "cycle bigint", "code int", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        state = dict(zip(("seen", "previous", "done", *LIVE), self.live.get())) if self.live.exists() else dict.fromkeys(
-            ("seen", *LIVE), 0) | {"previous": None, "done": False}
-        report = None
+        fields = ("seen", "waiting", "previous", "done", *LIVE)
+        state = dict(zip(fields, self.live.get())) if self.live.exists() else dict.fromkeys(fields, 0) | {
+            "previous": None, "done": False}
+        stored = {c[0]: v[0] for c, v in self.early.iterator()} if state["waiting"] else {}
+        waiting, report = dict(stored), None
         for frame in rows:
-            for cycle, code, k in zip(frame["cycle"], frame["code"], frame["k"]):
-                if state["done"] or cycle > k or cycle <= state["seen"] or self.early.containsKey((int(cycle),)):
+            for cycle, code, k in zip(frame["cycle"].tolist(), frame["code"].tolist(), frame["k"].tolist()):
+                if state["done"] or cycle > k or cycle <= state["seen"] or cycle in waiting:
                     raise ValueError(f"unit {key}: cycle {cycle} does not belong to {k} open cycles")
-                self.early.updateValue((int(cycle),), (int(code),))
-                while self.early.containsKey((state["seen"] + 1,)):
-                    nxt = state["seen"] + 1
-                    self._take(state, int(self.early.getValue((nxt,))[0]))
-                    self.early.removeKey((nxt,))
+                waiting[cycle] = code
+                while state["seen"] + 1 in waiting:
+                    self._take(state, waiting.pop(state["seen"] + 1))
                 if state["seen"] == k:
                     state["done"] = True
                     report = self._row(key, state)
-        self.live.update(tuple(state[c] for c in ("seen", "previous", "done", *LIVE)))
+        for cycle in stored.keys() - waiting.keys():
+            self.early.removeKey((cycle,))
+        for cycle in waiting.keys() - stored.keys():
+            self.early.updateValue((cycle,), (waiting[cycle],))
+        state["waiting"] = len(waiting)
+        self.live.update(tuple(state[c] for c in fields))
         if report is not None:
             yield report
 

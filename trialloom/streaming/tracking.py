@@ -23,35 +23,43 @@ class Tracker(StatefulProcessor):
         self.names, self.rules, self.half, self.ttl_ms = names, dict(rules), half, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ref = handle.getValueState("ref", "next bigint, refs array<double>", self.ttl_ms)
+        self.ref = handle.getValueState("ref", "next bigint, waiting bigint, refs array<double>", self.ttl_ms)
         body = "dt double, ref_width double, " + ", ".join(
             f"{c} array<double>" for c in ("true_time", "time", "width")) + ", " + ", ".join(
             f"{c} array<bigint>" for c in ("rank_hi", "rank_lo", "source_code"))
         self.early = handle.getMapState("early", "cycle bigint", body, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        nxt, refs = (self.ref.get() if self.ref.exists() else (None, None))
-        out = []
+        nxt, held, refs = self.ref.get() if self.ref.exists() else (None, 0, None)
+        stored = {c[0]: v for c, v in self.early.iterator()} if held else {}
+        waiting, out = dict(stored), []
         for frame in rows:
             for r in frame.itertuples(index=False):
+                cycle = int(r.cycle)
                 if nxt is None:
                     nxt, refs = int(r.first_cycle), [float(r.start)] * len(self.rules)
-                if int(r.cycle) < nxt or self.early.containsKey((int(r.cycle),)):
-                    raise ValueError(f"unit {key}: cycle {r.cycle} arrived twice")
-                items = [c.asDict() if hasattr(c, "asDict") else dict(c) for c in r.candidates]
-                floats = [[float(c[f]) for c in items] for f in ("true_time", "time", "width")]
-                ints = [[int(c[f]) for c in items] for f in ("rank_hi", "rank_lo", "source_code")]
-                dt = None if pd.isna(r.dt) else float(r.dt)
-                self.early.updateValue((int(r.cycle),), (dt, float(r.ref_width), *floats, *ints))
-            while nxt is not None and self.early.containsKey((nxt,)):
-                refs = self._advance(key, nxt, refs, self.early.getValue((nxt,)), out)
-                self.early.removeKey((nxt,))
-                nxt += 1
+                if cycle < nxt or cycle in waiting:
+                    raise ValueError(f"unit {key}: cycle {cycle} arrived twice")
+                waiting[cycle] = self._body(r)
+                while nxt in waiting:
+                    refs = self._advance(key, nxt, refs, waiting.pop(nxt), out)
+                    nxt += 1
+        for cycle in stored.keys() - waiting.keys():
+            self.early.removeKey((cycle,))
+        for cycle in waiting.keys() - stored.keys():
+            self.early.updateValue((cycle,), waiting[cycle])
         if nxt is not None:
-            self.ref.update((nxt, list(refs)))
+            self.ref.update((nxt, len(waiting), list(refs)))
         if out:
             yield pd.DataFrame(out)
 
+    @staticmethod
+    def _body(r) -> tuple:
+        items = [c.asDict() if hasattr(c, "asDict") else dict(c) for c in r.candidates]
+        floats = [[float(c[f]) for c in items] for f in ("true_time", "time", "width")]
+        ints = [[int(c[f]) for c in items] for f in ("rank_hi", "rank_lo", "source_code")]
+        return (None if pd.isna(r.dt) else float(r.dt), float(r.ref_width), *floats, *ints)
+
     def _advance(self, key, cycle: int, refs, body, out: list) -> list[float]:
         dt, ref_width = body[0], body[1]
         true, time, width = (np.array(x, float) for x in body[2:5])
