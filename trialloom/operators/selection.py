@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trialloom.functions.rules import standard_rules
 from trialloom.functions.scores import grid_range, grid_time, in_gate, q_t
-from trialloom.skew import block_of, blocked_scan, salted_join
+from trialloom.skew import HOT_ROWS, block_of, blocked_scan, salted_join
 
 CYCLE = ("unit", "cycle")
 
@@ -28,17 +28,18 @@ def union_sources(*sources: DataFrame) -> DataFrame:
 
 
 def gate_join(candidates: DataFrame, gates: DataFrame, on: Sequence[str] = CYCLE, true_time: str = "t_us",
-              ref: str = "ref_us", half: str = "half_us", rank: Sequence[str] = ("rank",)) -> DataFrame:
+              ref: str = "ref_us", half: str = "half_us", rank: Sequence[str] = ("rank",),
+              hot_rows: int = HOT_ROWS) -> DataFrame:
     """Candidates whose true time lies in [ref - half, ref + half) of their own cycle.
 
     Heavy cycles are spread over salts; ``_salt`` stays for the next reduction.
     """
-    joined = salted_join(candidates, gates, on, rank)
+    joined = salted_join(candidates, gates, on, rank, hot_rows=hot_rows)
     return joined.filter(in_gate(true_time, F.col(ref) - F.col(half), F.col(ref) + F.col(half)))
 
 
 def range_join(candidates: DataFrame, gates: DataFrame, unit: Sequence[str] = ("unit",), true_time: str = "t_us",
-               ref: str = "ref_us", half: str = "half_us", bucket: int = 43_200_000_000,
+               ref: str = "ref_us", half: str = "half_us", bucket: float = 43_200_000_000,
                rank: Sequence[str] = ("rank",)) -> DataFrame:
     """The same for candidates without a cycle: both sides meet in time buckets.
 
@@ -48,9 +49,11 @@ def range_join(candidates: DataFrame, gates: DataFrame, unit: Sequence[str] = ("
     left, right = F.col(ref) - F.col(half), F.col(ref) + F.col(half)
 
     def bucket_of(x: Column) -> Column:
+        if isinstance(bucket, float):
+            return F.floor(x / F.lit(bucket))
         return F.call_function("div", x - F.pmod(x, F.lit(bucket)), F.lit(bucket))
 
-    touched = gates.withColumn("_bucket", F.explode(F.sequence(bucket_of(left), bucket_of(right - 1))))
+    touched = gates.withColumn("_bucket", F.explode(F.sequence(bucket_of(left), bucket_of(right))))
     placed = candidates.withColumn("_bucket", bucket_of(F.col(true_time)))
     joined = salted_join(placed, touched, [*unit, "_bucket"], rank)
     return joined.filter(in_gate(true_time, left, right)).drop("_bucket")

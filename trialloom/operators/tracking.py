@@ -8,7 +8,9 @@ all segments of a partition at once. State is a few numbers per segment, so
 neither a long unit nor a crowded cycle has to fit in memory. A unit of several
 segments starts each one from a guessed reference; segments whose guess turns
 out wrong are folded again until nothing changes, which is exact because every
-round settles at least one more segment of each unit.
+round settles at least one more segment of each unit. A cycle with too many
+candidates for one task is a segment of its own and is picked by a distributed
+reduction instead.
 """
 
 from __future__ import annotations
@@ -17,14 +19,15 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialloom.functions.rules import standard_rules
+from trialloom.operators.selection import range_join
 from trialloom.operators.sequence import running_time
 from trialloom.session import settle
-from trialloom.skew import BLOCK, block_of
+from trialloom.skew import BLOCK, SALTS, block_of, hot_hashes, lookup_join
 
 ENTRY, CYCLE, CANDIDATE = 0, 1, 2
 TRACE = ("cycle", "method", "gate_left", "gate_right", "candidates", "position", "picked_time",
@@ -193,8 +196,55 @@ def _signed(df: DataFrame, c: str):
     return F.col(c).cast("bigint")
 
 
-def _fold(cycles, candidates, entries, keys, rules, half, segment):
-    """Fold every segment that has an entry row."""
+class Placement:
+    """Where a cycle belongs: its segment and the step inside the block of cycles.
+
+    A block is one segment unless it holds crowded cycles (too many candidates for
+    one task); each of those is a segment of its own, numbered odd, and the
+    stretches around it are numbered even.
+    """
+
+    def __init__(self, keys: Sequence[str], segment: int, crowded: DataFrame | None = None):
+        self.keys, self.segment, self.cuts = list(keys), segment, None
+        if crowded is not None:
+            self.cuts = crowded.withColumn("_block", block_of("cycle", segment)).groupBy(*keys, "_block").agg(
+                F.array_sort(F.collect_set("cycle")).alias("_cuts"))
+
+    def place(self, df: DataFrame) -> DataFrame:
+        out = df.withColumn("_block", block_of("cycle", self.segment))
+        step = F.col("cycle") - F.col("_block") * self.segment
+        if self.cuts is None:
+            return out.withColumns({"_step": step, "_seg": F.col("_block"), "_crowded": F.lit(False)}).drop("_block")
+        out = lookup_join(out, self.cuts, [*self.keys, "_block"], "left")
+        cuts = F.coalesce("_cuts", F.array().cast("array<bigint>"))
+        before = F.size(F.filter(cuts, lambda c: c < F.col("cycle")))
+        hit = F.array_contains(cuts, F.col("cycle").cast("bigint"))
+        return out.withColumns({"_step": step, "_crowded": hit}).withColumn(
+            "_seg", F.col("_block") * (2 * self.segment + 2) + 2 * before + F.col("_crowded").cast("int")
+        ).drop("_block", "_cuts")
+
+
+def crowded_cycles(candidates: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
+    """Cycles with more than ``limit`` candidates, or None.
+
+    Only keys that can be that heavy are counted, so ordinary data is read once and not shuffled.
+    """
+    on = [*keys, "cycle"]
+    hot = hot_hashes(candidates, on, limit // 2)
+    if not hot:
+        return None
+    counts = candidates.filter(F.xxhash64(*on).isin(hot)).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    found = settle(counts.filter(F.col("_n") > limit).select(*keys, F.col("cycle").cast("bigint").alias("cycle")), "crowded")
+    return None if found.isEmpty() else found
+
+
+def _windowed(cycles: DataFrame) -> DataFrame:
+    missing = {c: F.lit(v) for c, v in (("win_left", float("-inf")), ("win_right", float("inf"))) if c not in cycles.columns}
+    return cycles.withColumns({**missing, "dt": F.col("dt").cast("double"), "ref_width": F.col("ref_width").cast("double")})
+
+
+def _fold(cycles, candidates, entries, keys, rules, half):
+    """Fold the placed rows of every segment that has an entry row."""
     blank = {"refs": F.lit(None).cast("array<double>"), **{c: F.lit(None).cast("double") for c in (
         "dt", "ref_width", "win_left", "win_right", "true_time", "time", "width")},
         **{c: F.lit(0).cast("bigint") for c in ("rank_hi", "rank_lo", "source_code", "index", "cycle")}}
@@ -203,16 +253,10 @@ def _fold(cycles, candidates, entries, keys, rules, half, segment):
         cols = {**blank, **given}
         return df.select(*keys, "_seg", "_step", F.lit(kind).alias("kind"), *[c.alias(n) for n, c in cols.items()])
 
-    def placed(df):
-        return df.withColumn("_seg", block_of("cycle", segment)).withColumn(
-            "_step", F.col("cycle") - F.col("_seg") * segment)
-
-    win = {c: (F.col(c).cast("double") if c in cycles.columns else F.lit(v))
-           for c, v in (("win_left", float("-inf")), ("win_right", float("inf")))}
     a = rows(entries.withColumn("_step", F.lit(-1).cast("bigint")), ENTRY, refs=F.col("refs"))
-    b = rows(placed(cycles), CYCLE, cycle=F.col("cycle").cast("bigint"), dt=F.col("dt").cast("double"),
-             ref_width=F.col("ref_width").cast("double"), **win)
-    c = rows(placed(candidates), CANDIDATE, cycle=F.col("cycle").cast("bigint"),
+    b = rows(cycles, CYCLE, cycle=F.col("cycle").cast("bigint"), **{
+        c: F.col(c).cast("double") for c in ("dt", "ref_width", "win_left", "win_right")})
+    c = rows(candidates, CANDIDATE, cycle=F.col("cycle").cast("bigint"),
              true_time=F.col("true_time").cast("double"), time=F.col("time").cast("double"),
              width=F.col("width").cast("double"), rank_hi=_signed(candidates, "rank_hi"),
              rank_lo=_signed(candidates, "rank_lo"), source_code=F.col("source_code").cast("bigint"),
@@ -220,18 +264,56 @@ def _fold(cycles, candidates, entries, keys, rules, half, segment):
     stream = (a.unionByName(b).unionByName(c).repartition(*keys, "_seg")
               .sortWithinPartitions("_step", *keys, "_seg", "kind", "source_code", "index"))
     schema = T.StructType([stream.schema[k] for k in (*keys, "_seg")] + [
-        T.StructField("cycle", T.LongType()), T.StructField("method", T.StringType()),
-        T.StructField("gate_left", T.DoubleType()), T.StructField("gate_right", T.DoubleType()),
-        T.StructField("candidates", T.LongType()), T.StructField("position", T.LongType()),
-        T.StructField("picked_time", T.DoubleType()), T.StructField("source_code", T.LongType()),
-        T.StructField("ref_before", T.DoubleType()), T.StructField("ref_after", T.DoubleType()),
-        T.StructField("window_ok", T.BooleanType())])
+        T.StructField(n, t()) for n, t in zip(TRACE, (
+            T.LongType, T.StringType, T.DoubleType, T.DoubleType, T.LongType, T.LongType, T.DoubleType, T.LongType,
+            T.DoubleType, T.DoubleType, T.BooleanType))])
     return stream.mapInPandas(_folder([*keys, "_seg"], rules, half), schema)
 
 
+def _select_crowded(cycles, candidates, entries, keys, rules, half):
+    """Picks of crowded cycles for known references: reduced where the candidates lie, never gathered."""
+    on = [*keys, "_seg"]
+    gates = cycles.join(entries, on)
+    spread = F.pmod(F.xxhash64("index", "source_code"), F.lit(SALTS)).cast("int")
+    copies = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
+    inside = candidates.withColumn("_salt", spread).join(
+        gates.select(*on, "refs", "ref_width", copies.alias("_salt")), [*on, "_salt"])
+    true, time, width = (F.col(c).cast("double") for c in ("true_time", "time", "width"))
+    place = F.struct(F.col("source_code").cast("bigint").alias("source_code"), F.col("index").cast("bigint").alias("index"))
+
+    def member(m):
+        ref = F.col("refs")[m]
+        return (true >= ref - half) & (true < ref + half)
+
+    best, count = [], []
+    for m, rule in enumerate(rules.values()):
+        score = rule(time, width, F.col("refs")[m], F.col("ref_width"))
+        row = F.struct(score.cast("double").alias("score"), "rank_hi", "rank_lo", time.alias("time"), place.alias("place"))
+        best.append(F.min(F.when(member(m), row)).alias(f"_b{m}"))
+        count.append(F.count_if(member(m)).alias(f"_n{m}"))
+    n = len(rules)
+    picks = inside.groupBy(*on, "_salt").agg(*best, *count).groupBy(*on).agg(
+        *[F.min(f"_b{m}").alias(f"_b{m}") for m in range(n)], *[F.sum(f"_n{m}").alias(f"_n{m}") for m in range(n)])
+    chosen = picks.select(*on, *[F.col(f"_b{m}")["place"].alias(f"_p{m}") for m in range(n)], copies.alias("_salt"))
+    ahead = inside.join(chosen, [*on, "_salt"]).groupBy(*on).agg(*[
+        F.count_if(member(m) & (place < F.col(f"_p{m}"))).alias(f"_a{m}") for m in range(n)])
+    rows = gates.join(picks, on, "left").join(ahead, on, "left")
+    items = []
+    for m, name in enumerate(rules):
+        ref, pick = F.col("refs")[m], F.col(f"_b{m}")
+        base = F.coalesce(pick["time"], ref)
+        items.append(F.struct(
+            F.lit(name).alias("method"), (ref - half).alias("gate_left"), (ref + half).alias("gate_right"),
+            F.coalesce(f"_n{m}", F.lit(0)).alias("candidates"), F.when(pick.isNotNull(), F.col(f"_a{m}")).alias("position"),
+            pick["time"].alias("picked_time"), F.coalesce(pick["place"]["source_code"], F.lit(0)).alias("source_code"),
+            ref.alias("ref_before"), F.coalesce(base + F.col("dt"), ref).alias("ref_after"),
+            ((ref - half >= F.col("win_left")) & (ref + half <= F.col("win_right"))).alias("window_ok")))
+    return rows.select(*on, F.col("cycle").cast("bigint").alias("cycle"), F.inline(F.array(*items))).select(*on, *TRACE)
+
+
 def track(cycles: DataFrame, candidates: DataFrame, start: DataFrame, half: float,
           rules: Mapping[str, Callable] | None = None, *, t_scale: float = 1.0, w_scale: float = 1.0,
-          keys: Sequence[str] = ("unit",), segment: int = BLOCK) -> DataFrame:
+          keys: Sequence[str] = ("unit",), segment: int = BLOCK, crowd: int = 1_000_000) -> DataFrame:
     """Trace of the closed loop, one row per unit, cycle and rule.
 
     cycles: keys, cycle, dt (null in the last cycle), ref_width [, win_left, win_right]
@@ -240,55 +322,68 @@ def track(cycles: DataFrame, candidates: DataFrame, start: DataFrame, half: floa
     """
     rules = rules or standard_rules(t_scale, w_scale)
     keys = list(keys)
-    first = F.transform(F.array(*[F.lit(n) for n in rules]), lambda _: F.col("ref").cast("double"))
-    spans = cycles.groupBy(*keys).agg(F.min("cycle").alias("_lo"), F.max("cycle").alias("_hi"))
-    spans = spans.select(*keys, block_of("_lo", segment).alias("_seg"), block_of("_hi", segment).alias("_end"))
-    entries = spans.join(start, keys).select(*keys, "_seg", first.alias("refs"))
-    if spans.filter(F.col("_end") > F.col("_seg")).isEmpty():
-        return _fold(cycles, candidates, entries, keys, rules, half, segment).select(*keys, *TRACE)
+    on = [*keys, "_seg"]
+    crowded = crowded_cycles(candidates, keys, crowd)
+    where = Placement(keys, segment, crowded)
+    placed, rows = where.place(_windowed(cycles)), where.place(candidates)
+    names = F.array(*[F.lit(n) for n in rules])
+    spans = placed.groupBy(*keys).agg(F.min("_seg").alias("_seg"), F.max("_seg").alias("_end"))
+    first = F.transform(names, lambda _: F.col("ref").cast("double"))
+    if crowded is None and spans.filter(F.col("_end") > F.col("_seg")).isEmpty():
+        entries = spans.join(start, keys).select(*on, first.alias("refs"))
+        return _fold(placed, rows, entries, keys, rules, half).select(*keys, *TRACE)
+
+    def run(entries: DataFrame) -> DataFrame:
+        mine, theirs = placed.join(entries.select(*on), on, "left_semi"), rows.join(entries.select(*on), on, "left_semi")
+        if crowded is None:
+            return _fold(mine, theirs, entries, keys, rules, half)
+        apart = mine.filter("_crowded").select(*on)
+        folded = _fold(mine.filter("NOT _crowded"), theirs.filter("NOT _crowded"),
+                       entries.join(apart, on, "left_anti"), keys, rules, half)
+        picked = _select_crowded(mine.filter("_crowded"), theirs.filter("_crowded"), entries, keys, rules, half)
+        return folded.unionByName(picked)
 
     # Several segments: guess each entry from the nominal time line, then correct.
-    cuts = cycles.withColumn("_seg", block_of("cycle", segment))
-    timeline = running_time(cuts, keys, "dt", name="_nominal")
-    nominal = timeline.groupBy(*keys, "_seg").agg(F.min_by("_nominal", "cycle").alias("_nominal"))
-    guess = F.transform(F.array(*[F.lit(n) for n in rules]),
-                        lambda _: (F.col("ref") + F.col("_nominal")).cast("double"))
-    used = settle(nominal.join(start, keys).select(*keys, "_seg", guess.alias("refs")), "entries")
-    result = settle(_fold(cycles, candidates, used, keys, rules, half, segment), "trace")
-    firsts = entries.select(*keys, "_seg").withColumn("_is_first", F.lit(True))
+    segments = running_time(placed, keys, "dt", name="_nominal").groupBy(*on).agg(
+        F.min_by("_nominal", "cycle").alias("_nominal"))
+    guess = F.transform(names, lambda _: (F.col("ref") + F.col("_nominal")).cast("double"))
+    used = settle(segments.join(start, keys).select(*on, guess.alias("refs")), "entries")
+    follow = settle(_previous(used.select(*on), keys), "follow")
+    result = settle(run(used), "trace")
     while True:
-        ends = result.groupBy(*keys, "_seg", "method").agg(F.max_by("ref_after", "cycle").alias("exit"))
-        wide = ends.groupBy(*keys, "_seg").agg(F.map_from_entries(
-            F.collect_list(F.struct("method", "exit"))).alias("_exit"))
-        order = F.array(*[F.lit(n) for n in rules])
-        exits = wide.select(*keys, (F.col("_seg")).alias("_from"),
-                            F.transform(order, lambda n: F.col("_exit")[n]).alias("refs"))
-        # a segment starts where the nearest earlier segment of its unit ended
-        follow = (used.select(*keys, "_seg").unionByName(firsts.select(*keys, "_seg")).distinct())
-        nxt = _previous(follow, keys)
-        right = (nxt.join(exits, [*keys, "_from"]).select(*keys, "_seg", "refs"))
-        changed = right.join(used.withColumnRenamed("refs", "_used"), [*keys, "_seg"]).filter(
-            F.col("refs") != F.col("_used")).select(*keys, "_seg", "refs")
-        changed = settle(changed, "entries")
+        ends = result.groupBy(*on, "method").agg(F.max_by("ref_after", "cycle").alias("exit"))
+        exits = ends.groupBy(*on).agg(F.map_from_entries(F.collect_list(F.struct("method", "exit"))).alias("_exit"))
+        exits = exits.select(*keys, F.col("_seg").alias("_from"), F.transform(names, lambda n: F.col("_exit")[n]).alias("refs"))
+        right = follow.join(exits, [*keys, "_from"]).select(*on, "refs")
+        changed = settle(right.join(used.withColumnRenamed("refs", "_used"), on).filter(
+            F.col("refs") != F.col("_used")).select(*on, "refs"), "entries")
         if changed.isEmpty():
             return result.select(*keys, *TRACE)
-        again = [*keys, "_seg"]
-        part_cycles = cuts.join(changed.select(*again), again, "left_semi").drop("_seg")
-        part_cands = candidates.withColumn("_seg", block_of("cycle", segment)).join(
-            changed.select(*again), again, "left_semi").drop("_seg")
-        redone = _fold(part_cycles, part_cands, changed, keys, rules, half, segment)
-        result = settle(result.join(changed.select(*again), again, "left_anti").unionByName(redone), "trace")
-        used = settle(used.join(changed.select(*again), again, "left_anti").unionByName(changed), "entries")
+        result = settle(result.join(changed.select(*on), on, "left_anti").unionByName(run(changed)), "trace")
+        used = settle(used.join(changed.select(*on), on, "left_anti").unionByName(changed), "entries")
 
 
 def _previous(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Each segment with its predecessor; one row per segment, so windows stay small."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys).orderBy("_seg")
     return segments.withColumn("_from", F.lag("_seg").over(w)).filter(F.col("_from").isNotNull())
 
 
+def preassign(candidates: DataFrame, cycles: DataFrame, start: DataFrame, slack: float, keys: Sequence[str] = ("unit",),
+              true_time: str = "true_time", index: str = "index") -> tuple[DataFrame, DataFrame]:
+    """Give free-running candidates the cycles they could be needed in: nominal time +- slack.
+
+    Returns the candidates with a cycle (a candidate may serve two) and the cycles
+    with their window, so that ``track`` reports any gate that leaves it.
+    """
+    timeline = running_time(cycles, keys, "dt", name="_t").join(start, list(keys))
+    nominal = timeline.withColumns({"_ref": F.col("ref") + F.col("_t"), "_half": F.lit(float(slack))})
+    near = range_join(candidates, nominal.select(*keys, "cycle", "_ref", "_half"), keys, true_time, "_ref", "_half",
+                      bucket=2 * float(slack), rank=(index,))
+    windows = nominal.withColumns({"win_left": F.col("_ref") - slack, "win_right": F.col("_ref") + slack})
+    return near.drop("_ref", "_half", "_salt"), windows.drop("_t", "_ref", "_half", "ref")
+
+
 def window_violations(trace: DataFrame) -> DataFrame:
     """Cycles whose moving gate left the window its candidates were gathered from."""
     return trace.filter(~F.col("window_ok"))

@@ -88,17 +88,20 @@ def u3_problems(spark, sf):
     return quality.chunk_problems(rm.unionByName(rm.filter("unit % 10 = 4")), UNIT, ["cond"])
 
 
-CHUNKS = """SELECT cond, unit // 20 AS chunk, min(unit) AS RepeatStart, max(unit) AS RepeatEnd, count(*) AS RowCount, true AS Completed
-  FROM rm GROUP BY cond, unit // 20"""
+CHUNKS = """SELECT cond, unit // 100 AS chunk, min(unit) AS RepeatStart, max(unit) AS RepeatEnd, count(*) AS RowCount, true AS Completed
+  FROM rm GROUP BY cond, unit // 100"""
 
 
 def _chunked(spark, sf):
     path = scratch(spark, "chunks")
-    sinks.write_chunks(_slim(spark, sf).withColumn("unit", F.col("unit") + 1), path, 20, ["unit", "method"])
+    shifted = F.col("unit") + 1
+    units = fx.seq_units(spark, sf)
+    sinks.write_chunks(_slim(spark, sf).withColumn("unit", shifted), path, 100, ["unit", "method"],
+                       chunks=units.select("cond", sinks.chunk_of(shifted, 100).alias("chunk")).distinct())
     return path
 
 
-@query("K2_chunk_sink", sql(f"SELECT {SLIM_SQL.replace('unit,', 'unit + 1 AS unit,')}, unit // 20 AS chunk FROM rm", "rm"))
+@query("K2_chunk_sink", sql(f"SELECT {SLIM_SQL.replace('unit,', 'unit + 1 AS unit,')}, unit // 100 AS chunk FROM rm", "rm"))
 def k2(spark, sf):
     out = spark.read.parquet(_chunked(spark, sf) + "/data")
     return out.select(F.col("cond").cast("int").alias("cond"), "unit", "method", *SLIM, F.col("chunk").cast("bigint").alias("chunk"))

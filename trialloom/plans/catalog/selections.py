@@ -219,6 +219,15 @@ def j1(spark, sf):
     return _inside(spark, sf).select("unit", "cycle", "rank", "t_us", "w", "source_code", "ref_us")
 
 
+@query("L6_all_rules_with_salted_gates", sql("SELECT unit, cycle, method, t_us, rank, source_code FROM picked", "picked"))
+def l6_salted(spark, sf):
+    """Gates with more than two candidates count as heavy and are spread."""
+    inside = selection.gate_join(fx.cand(spark, sf), fx.gates(spark, sf), hot_rows=2)
+    best = selection.pick_all(inside, _rules())
+    return best.select("unit", "cycle", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("method"), *[F.col(m)[c].alias(c) for c in ("t_us", "rank", "source_code")]) for m in _rules()])))
+
+
 @query("J1_range_join_by_time", sql("SELECT unit, cycle, rank, t_us, w, source_code, ref_us FROM inside", "inside"))
 def j1_range(spark, sf):
     free = fx.cand(spark, sf).drop("cycle")
@@ -310,8 +319,7 @@ def loop_inputs(spark, sf):
     return cycles, rows, start
 
 
-def closed_loop(spark, sf, segment=None):
-    extra = {"segment": segment} if segment else {}
+def closed_loop(spark, sf, **extra):
     return tracking.track(*loop_inputs(spark, sf), half=float(HALF), t_scale=fx.T_SCALE, w_scale=fx.W_SCALE, **extra)
 
 
@@ -329,6 +337,13 @@ def l8_segments(spark, sf):
         "unit", "cycle", "method", "candidates", "picked_time", "source_code", "ref_before")
 
 
+@query("L8_closed_loop_with_crowded_cycles", sql(TRACE_SQL, "trace", recursive=True))
+def l8_crowded(spark, sf):
+    """Cycles with more than three candidates are picked by the distributed reduction."""
+    return closed_loop(spark, sf, crowd=3).select(
+        "unit", "cycle", "method", "candidates", "picked_time", "source_code", "ref_before")
+
+
 @query("L9_trace", sql(f"""SELECT t.unit, t.cycle, t.method, t.gate_left, t.gate_right, t.candidates, t.ref_before,
     CASE WHEN t.cycle < 29 THEN coalesce(t.picked_time, t.ref_before) + {DAY} ELSE t.ref_before END AS ref_after,
     CASE WHEN t.picked_rank IS NOT NULL THEN (SELECT count(*) FROM cand c WHERE c.unit = t.unit AND c.cycle = t.cycle

@@ -48,6 +48,11 @@ def seq(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("cond", "unit", "cycle", "hour", F.inline(both))
 
 
+def seq_units(spark: SparkSession, sf: str) -> DataFrame:
+    return events(spark, sf).select((F.get_json_object("props", "$.k").cast("int") % 4).alias("cond"),
+                                    F.col("user_id").alias("unit")).distinct()
+
+
 def seq_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return repeat_metrics(seq(spark, sf), block="hour")
 

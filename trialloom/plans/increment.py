@@ -65,7 +65,7 @@ def run_incremental(units: DataFrame, compute: Callable[[DataFrame], DataFrame],
     todo = pending_chunks(status).select(cond, "chunk")
     if not todo.isEmpty():
         due = units.withColumn("chunk", chunk_of(unit, size)).join(todo, [cond, "chunk"], "left_semi").drop("chunk")
-        write_chunks(compute(due), root, size, keys, cond, unit)
+        write_chunks(compute(due), root, size, keys, cond, unit, chunks=todo)
         again = chunk_status(plan, root, data_schema, keys, cond, unit)
         bad = pending_chunks(again).limit(1).collect()
         if bad:

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 4096
-HOT_SHARE = 0.005
-SALTS = 32
+HOT_ROWS = 1_000_000
+SALTS = 64
 
 
 def block_of(order: str, size: int = BLOCK) -> Column:
@@ -91,24 +91,26 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return blocked_scan(df, keys, order, blocks, running={name: F.lit(1).cast("bigint")})
 
 
-def hot_hashes(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> list[int]:
-    """Hashes of every key that can hold more than ``share`` of the rows.
+def hot_hashes(df: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS) -> list[int]:
+    """Hashes of the keys that hold more than about ``rows`` rows, at most 10,000 of them.
 
-    One pass without a shuffle; the answer has at most 1/share entries, and a
-    surplus entry costs a little replication but never changes a result.
+    One pass over the key columns with a bounded frequent-items sketch, no
+    shuffle. A key that holds more than a 1/50,000 share cannot be missed; a
+    surplus or missed smaller key changes the work per task, never a result.
     """
-    found = df.select(F.xxhash64(*keys).alias("h")).freqItems(["h"], share).first()
-    return sorted(found[0] or [])
+    sketch = F.expr(f"filter(approx_top_k(h, 10000, 100000), x -> x.count > {int(rows)})")
+    found = df.select(F.xxhash64(*keys).alias("h")).agg(sketch.alias("top")).first()["top"]
+    return sorted(x["item"] for x in found or [])
 
 
 def salted_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], spread: Sequence[str],
-                *, salts: int = SALTS, share: float = HOT_SHARE) -> DataFrame:
+                *, salts: int = SALTS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Inner join in which heavy keys of ``rows`` are spread over ``salts`` tasks.
 
     Adds the column ``_salt`` (0 for ordinary keys) so a following aggregation
     can first reduce inside (keys, _salt) without another shuffle.
     """
-    hot = hot_hashes(rows, keys, share)
+    hot = hot_hashes(rows, keys, hot_rows)
     if not hot:
         return rows.withColumn("_salt", F.lit(0)).join(lookup, list(keys), "inner")
     heavy = F.xxhash64(*keys).isin(hot)

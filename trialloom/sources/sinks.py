@@ -42,18 +42,19 @@ def chunk_of(unit: Column | str, size: int, first: Column | int = 1) -> Column:
 
 
 def write_chunks(df: DataFrame, root: str, size: int, keys: Sequence[str], cond: str = "cond", unit: str = "unit",
-                 mode: str = "overwrite") -> None:
+                 mode: str = "overwrite", chunks: DataFrame | None = None) -> None:
     """Data first, manifest after: a chunk without a manifest row was not committed.
 
-    Rewrites only the partitions present in ``df``. Chunks bound the files by
-    construction; records per file are limited for chunks of very long units.
+    Rewrites only the partitions present in ``df``. ``chunks`` (cond, chunk) names
+    them when the caller knows, which saves computing ``df`` a second time.
     """
     rows = df.withColumn("chunk", chunk_of(unit, size))
-    (rows.repartition(cond, "chunk", F.pmod(F.xxhash64(*keys), F.lit(8))).sortWithinPartitions(cond, "chunk", *keys)
+    # Rebalancing keeps a chunk together but splits one that is too large for a task.
+    (rows.hint("rebalance", cond, "chunk").sortWithinPartitions(cond, "chunk", *keys)
      .write.mode(mode).option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 5_000_000)
      .partitionBy(cond, "chunk").parquet(f"{root}/data"))
-    written = df.sparkSession.read.parquet(f"{root}/data")
-    mine = rows.select(cond, "chunk").distinct()
+    written = df.sparkSession.read.schema(rows.schema).parquet(f"{root}/data")
+    mine = rows.select(cond, "chunk").distinct() if chunks is None else chunks.select(cond, "chunk")
     manifest = chunk_manifest(written.join(mine, [cond, "chunk"], "left_semi"), keys, cond, unit)
     (manifest.write.mode(mode).option("partitionOverwriteMode", "dynamic")
      .partitionBy(cond, "chunk").json(f"{root}/manifest"))
@@ -72,7 +73,7 @@ def chunk_manifest(rows: DataFrame, keys: Sequence[str], cond: str = "cond", uni
 
 def write_distribution(dist: DataFrame, path: str, cond: str = "cond", mode: str = "overwrite") -> None:
     """Bootstrap values or audit draws, one directory per condition."""
-    (dist.repartition(cond, F.pmod("boot", F.lit(16))).write.mode(mode)
+    (dist.hint("rebalance", cond).write.mode(mode)
      .option("partitionOverwriteMode", "dynamic").partitionBy(cond).parquet(path))
 
 

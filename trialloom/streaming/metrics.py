@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -29,28 +28,28 @@ class RepeatAccumulator(StatefulProcessor):
         counters = ", ".join(f"{c} bigint" for c in LIVE)
         self.live = handle.getValueState(
             "live", f"seen bigint, waiting bigint, previous int, done boolean, {counters}", self.ttl_ms)
-        self.early = handle.getMapState("early", "cycle bigint", "code int", self.ttl_ms)
+        self.early = handle.getListState("early", "cycle bigint, code int", self.ttl_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
         fields = ("seen", "waiting", "previous", "done", *LIVE)
         state = dict(zip(fields, self.live.get())) if self.live.exists() else dict.fromkeys(fields, 0) | {
             "previous": None, "done": False}
-        stored = {c[0]: v[0] for c, v in self.early.iterator()} if state["waiting"] else {}
-        waiting, report = dict(stored), None
-        for frame in rows:
-            for cycle, code, k in zip(frame["cycle"].tolist(), frame["code"].tolist(), frame["k"].tolist()):
-                if state["done"] or cycle > k or cycle <= state["seen"] or cycle in waiting:
-                    raise ValueError(f"unit {key}: cycle {cycle} does not belong to {k} open cycles")
-                waiting[cycle] = code
-                while state["seen"] + 1 in waiting:
-                    self._take(state, waiting.pop(state["seen"] + 1))
-                if state["seen"] == k:
-                    state["done"] = True
-                    report = self._row(key, state)
-        for cycle in stored.keys() - waiting.keys():
-            self.early.removeKey((cycle,))
-        for cycle in waiting.keys() - stored.keys():
-            self.early.updateValue((cycle,), (waiting[cycle],))
+        waiting = dict(self.early.get()) if state["waiting"] else {}
+        report = None
+        for row in rows:
+            cycle, k = row["cycle"], row["k"]
+            if state["done"] or cycle > k or cycle <= state["seen"] or cycle in waiting:
+                raise ValueError(f"unit {key}: cycle {cycle} does not belong to {k} open cycles")
+            waiting[cycle] = row["code"]
+            while state["seen"] + 1 in waiting:
+                self._take(state, waiting.pop(state["seen"] + 1))
+            if state["seen"] == k:
+                state["done"] = True
+                report = self._row(key, state)
+        if waiting:
+            self.early.put(list(waiting.items()))
+        elif state["waiting"]:
+            self.early.clear()
         state["waiting"] = len(waiting)
         self.live.update(tuple(state[c] for c in fields))
         if report is not None:
@@ -69,13 +68,12 @@ class RepeatAccumulator(StatefulProcessor):
         state["previous"] = code
         state["seen"] += 1
 
-    def _row(self, key, state: dict) -> pd.DataFrame:
+    def _row(self, key, state: dict) -> Row:
         end = STATE_OF[state["previous"]]
         full = {c: state[c] for c in LIVE}
         full.update({f"N_{a}dot": sum(state[f"N_{a}{b}"] for b in STATES) for a in STATES})
         full.update({"Sum_L_NC_obs": state["N_E"] + state["N_N"], "N_open_NC": int(end != "C")})
-        row = dict(zip(self.names, key)) | {c: full[c] for c in COUNTS} | {"EndState": end}
-        return pd.DataFrame([row])
+        return Row(*self.names, *COUNTS, "EndState")(*key, *[full[c] for c in COUNTS], end)
 
     def close(self) -> None:
         pass
@@ -94,5 +92,5 @@ def stream_repeat_metrics(stream: DataFrame, k: int | None = None,
     fields = [f"{n} {stream.schema[n].dataType.simpleString()}" for n in keys]
     schema = ", ".join([*fields, *[f"{c} bigint" for c in COUNTS], "EndState string"])
     mode = "ProcessingTime" if ttl_ms else "None"
-    return rows.groupBy(*keys).transformWithStateInPandas(
+    return rows.groupBy(*keys).transformWithState(
         RepeatAccumulator(list(keys), ttl_ms), schema, "append", mode)

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from trialloom.functions.rules import standard_rules
 from trialloom.streaming.metrics import ROCKSDB
 
+TRACE = ("cycle", "method", "candidates", "picked_time", "source_code", "ref_before", "ref_after")
 CANDIDATE = "struct<true_time:double,time:double,width:double,rank_hi:bigint,rank_lo:bigint,source_code:bigint>"
 
 
@@ -24,41 +24,35 @@ class Tracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.ref = handle.getValueState("ref", "next bigint, waiting bigint, refs array<double>", self.ttl_ms)
-        body = "dt double, ref_width double, " + ", ".join(
+        body = "cycle bigint, dt double, ref_width double, " + ", ".join(
             f"{c} array<double>" for c in ("true_time", "time", "width")) + ", " + ", ".join(
             f"{c} array<bigint>" for c in ("rank_hi", "rank_lo", "source_code"))
-        self.early = handle.getMapState("early", "cycle bigint", body, self.ttl_ms)
+        self.early = handle.getListState("early", body, self.ttl_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
         nxt, held, refs = self.ref.get() if self.ref.exists() else (None, 0, None)
-        stored = {c[0]: v for c, v in self.early.iterator()} if held else {}
-        waiting, out = dict(stored), []
-        for frame in rows:
-            for r in frame.itertuples(index=False):
-                cycle = int(r.cycle)
-                if nxt is None:
-                    nxt, refs = int(r.first_cycle), [float(r.start)] * len(self.rules)
-                if cycle < nxt or cycle in waiting:
-                    raise ValueError(f"unit {key}: cycle {cycle} arrived twice")
-                waiting[cycle] = self._body(r)
-                while nxt in waiting:
-                    refs = self._advance(key, nxt, refs, waiting.pop(nxt), out)
-                    nxt += 1
-        for cycle in stored.keys() - waiting.keys():
-            self.early.removeKey((cycle,))
-        for cycle in waiting.keys() - stored.keys():
-            self.early.updateValue((cycle,), waiting[cycle])
+        waiting, out = ({v[0]: v[1:] for v in self.early.get()} if held else {}), []
+        for r in rows:
+            if nxt is None:
+                nxt, refs = r["first_cycle"], [r["start"]] * len(self.rules)
+            if r["cycle"] < nxt or r["cycle"] in waiting:
+                raise ValueError(f"unit {key}: cycle {r['cycle']} arrived twice")
+            waiting[r["cycle"]] = self._body(r)
+            while nxt in waiting:
+                refs = self._advance(key, nxt, refs, waiting.pop(nxt), out)
+                nxt += 1
+        if waiting:
+            self.early.put([(c, *body) for c, body in waiting.items()])
+        elif held:
+            self.early.clear()
         if nxt is not None:
             self.ref.update((nxt, len(waiting), list(refs)))
-        if out:
-            yield pd.DataFrame(out)
+        yield from out
 
     @staticmethod
     def _body(r) -> tuple:
-        items = [c.asDict() if hasattr(c, "asDict") else dict(c) for c in r.candidates]
-        floats = [[float(c[f]) for c in items] for f in ("true_time", "time", "width")]
-        ints = [[int(c[f]) for c in items] for f in ("rank_hi", "rank_lo", "source_code")]
-        return (None if pd.isna(r.dt) else float(r.dt), float(r.ref_width), *floats, *ints)
+        fields = ("true_time", "time", "width", "rank_hi", "rank_lo", "source_code")
+        return (r["dt"], r["ref_width"], *[[c[f] for c in r["candidates"]] for f in fields])
 
     def _advance(self, key, cycle: int, refs, body, out: list) -> list[float]:
         dt, ref_width = body[0], body[1]
@@ -73,9 +67,7 @@ class Tracker(StatefulProcessor):
                 best = inside[np.lexsort((lo[inside], hi[inside], score))[0]]
                 picked, code = float(time[best]), int(source[best])
             new = ref if dt is None else (ref if picked is None else picked) + dt
-            out.append(dict(zip(self.names, key)) | {
-                "cycle": cycle, "method": name, "candidates": len(inside), "picked_time": picked,
-                "source_code": code, "ref_before": ref, "ref_after": new})
+            out.append(Row(*self.names, *TRACE)(*key, cycle, name, len(inside), picked, code, ref, float(new)))
             after.append(new)
         return after
 
@@ -95,5 +87,5 @@ def stream_track(stream: DataFrame, half: float, rules: Mapping[str, Callable] |
     schema = ", ".join([*fields, "cycle bigint", "method string", "candidates bigint", "picked_time double",
                         "source_code bigint", "ref_before double", "ref_after double"])
     mode = "ProcessingTime" if ttl_ms else "None"
-    return rows.groupBy(*keys).transformWithStateInPandas(
+    return rows.groupBy(*keys).transformWithState(
         Tracker(list(keys), rules, half, ttl_ms), schema, "append", mode)
