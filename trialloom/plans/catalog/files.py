@@ -183,7 +183,7 @@ def k5(spark, sf):
 
 
 @query("K6_run_manifest", sql(f"""SELECT 'metrics' AS table_name, row_count, (SELECT min(unit) FROM rm) AS min_id, (SELECT max(unit) FROM rm) AS max_id, sha256
-    FROM ({digest_sql('rm', SLIM_SQL)}) UNION ALL SELECT 'picks', row_count, (SELECT min(rank) FROM picked), (SELECT max(rank) FROM picked), sha256
+    FROM ({digest_sql('rm', SLIM_SQL)}) UNION ALL SELECT 'picks', row_count, (SELECT min(rank) FROM picked WHERE method = 'T'), (SELECT max(rank) FROM picked WHERE method = 'T'), sha256
     FROM ({digest_sql("(SELECT * FROM picked WHERE method = 'T')", 'unit, cycle, rank')})""", "rm", "picked"))
 def k6(spark, sf):
     inside = selection.gate_join(fx.cand(spark, sf), fx.gates(spark, sf))

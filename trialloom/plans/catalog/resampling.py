@@ -113,10 +113,12 @@ def u2(spark, sf):
     return rounded(_audit(spark, sf), AUDIT)
 
 
-@query("W5_audit_ordinal", sql("""SELECT CAST(row_number() OVER (ORDER BY InferenceType, ConditionOrdinal, length(MethodOrContrast),
-    CASE Metric WHEN 'P_cor' THEN 0 WHEN 'P_C_given_C' THEN 1 WHEN 'P_C_given_E' THEN 2 ELSE 3 END) AS INT)
-    + (SELECT 216 - count(*) FROM audit) * CASE WHEN (SELECT count(*) FROM audit) = 216 THEN 0 ELSE NULL END AS AuditOrdinal,
-    InferenceType, ConditionOrdinal, MethodOrContrast, Metric FROM audit""", "audit"))
+@query("W5_audit_ordinal", sql("""SELECT u.n AS AuditOrdinal, a.InferenceType, a.ConditionOrdinal, a.MethodOrContrast, a.Metric FROM audit a JOIN (
+    SELECT *, row_number() OVER (ORDER BY kind, cond, scope_ord, metric_ord) AS n FROM (
+      SELECT c.ConditionOrdinal AS cond, s.kind, s.scope, s.scope_ord, m.metric, m.metric_ord FROM conditions c CROSS JOIN metric_list m
+      CROSS JOIN (VALUES ('INDIVIDUAL', 'T', 0), ('INDIVIDUAL', 'TW', 1), ('PAIRED', 'TW-T', 2)) s(kind, scope, scope_ord) WHERE c.ConditionOrdinal > 0)) u
+  ON u.kind = a.InferenceType AND u.cond = a.ConditionOrdinal AND u.scope = a.MethodOrContrast AND u.metric = a.Metric""",
+                              "audit", "conditions", "metric_list"))
 def w5(spark, sf):
     return _audit(spark, sf).select(F.col("AuditOrdinal").cast("bigint").alias("AuditOrdinal"),
                                     "InferenceType", "ConditionOrdinal", "MethodOrContrast", "Metric")
