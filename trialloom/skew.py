@@ -43,7 +43,9 @@ def blocked_scan(
 
     ``blocks`` are columns that cut each key in order (every row of an earlier
     block sorts before every row of a later one). Pass None only when a key's
-    size is bounded by contract; then a single window suffices.
+    size is bounded by contract; then a single window suffices. The input is
+    evaluated twice, the second time reduced to one row per block before any
+    shuffle; ``session.settle`` an input that is expensive to compute.
     """
     running, following, preceding = running or {}, following or {}, preceding or {}
     cut = list(blocks or [])
@@ -107,12 +109,12 @@ def salted_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], spread:
                 *, salts: int = SALTS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Inner join in which heavy keys of ``rows`` are spread over ``salts`` tasks.
 
-    Adds the column ``_salt`` (0 for ordinary keys) so a following aggregation
-    can first reduce inside (keys, _salt) without another shuffle.
+    If there are heavy keys, adds the column ``_salt`` (0 for ordinary keys) so a
+    following aggregation can first reduce inside (keys, _salt) without another shuffle.
     """
     hot = hot_hashes(rows, keys, hot_rows)
     if not hot:
-        return rows.withColumn("_salt", F.lit(0)).join(lookup, list(keys), "inner")
+        return rows.join(lookup, list(keys), "inner")
     heavy = F.xxhash64(*keys).isin(hot)
     left = rows.withColumn(
         "_salt", F.when(heavy, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
