@@ -2,16 +2,19 @@
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from trialloom.operators import compare
 from trialloom.operators.sequence import repeat_metrics
+from trialloom.operators.tracking import track
 from trialloom.plans.increment import run_incremental
 from trialloom.sources import sinks, tables
 from trialloom.streaming.metrics import stream_repeat_metrics
 from trialloom.streaming.run import run_available
+from trialloom.streaming.tracking import stream_rows, stream_track
 
 SCHEMA = "cond int, unit bigint, value bigint"
 
@@ -124,3 +127,24 @@ def test_stream_waits_for_the_last_cycle_and_refuses_more(spark, tmp_path):
     assert run_available(stream_repeat_metrics(stream, k=10), str(tmp_path / "open")).count() == 0
     with pytest.raises(Exception, match="open cycles"):
         run_available(stream_repeat_metrics(stream, k=8), str(tmp_path / "bad"))
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_stream_tracking_equals_batch(spark, tmp_path, files):
+    rnd = random.Random(8)
+    n = 8
+    cycles = spark.createDataFrame([(u, k, 10.0 if k < n - 1 else None, 3.0) for u in range(4) for k in range(n)],
+                                   "unit bigint, cycle bigint, dt double, ref_width double")
+    cands = [(u, k, t, t, float(rnd.randint(1, 5)), i, 0, rnd.choice([1, 2, 3]), i) for i, (u, k, t) in enumerate(
+        (u, k, 5.0 + 10 * k + rnd.randint(-6, 6)) for u in range(4) for k in range(n) for _ in range(rnd.choice([0, 1, 4])))]
+    cands = spark.createDataFrame(cands, "unit bigint, cycle bigint, true_time double, time double, width double, "
+                                         "rank_hi bigint, rank_lo bigint, source_code int, index bigint")
+    start = spark.createDataFrame([(u, 5.0) for u in range(4)], "unit bigint, ref double")
+    rows, path = stream_rows(cycles, cands, start), str(tmp_path / "in")
+    part = F.when(F.col("cycle") == 0, F.lit(0)).otherwise(F.pmod(F.xxhash64("cycle", "rank_hi"), F.lit(files)))
+    for i in range(files):
+        rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = run_available(stream_track(stream, 6.0, t_scale=3.0, w_scale=2.0), str(tmp_path / "out"))
+    want = track(cycles, cands, start, 6.0, t_scale=3.0, w_scale=2.0).select(got.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))

@@ -19,7 +19,7 @@ from trialloom.session import scratch
 from trialloom.sources import sinks, tables
 from trialloom.streaming.metrics import stream_repeat_metrics
 from trialloom.streaming.run import run_available
-from trialloom.streaming.tracking import stream_track
+from trialloom.streaming.tracking import stream_rows, stream_track
 
 UNIT = ["cond", "unit", "method"]
 SLIM = ["N_C", "N_E", "N_N", "N_run_NC", "EndState"]
@@ -239,13 +239,7 @@ def t1(spark, sf):
 
 @query("T2_stream_track", sql(TRACE_SQL, "trace", recursive=True))
 def t2(spark, sf):
-    cycles, cands, start = loop_inputs(spark, sf)
-    fields = ["true_time", "time", "width", "rank_hi", "rank_lo", "source_code"]
-    per = cands.groupBy("unit", "cycle").agg(F.collect_list(F.struct(*fields)).alias("candidates"))
-    rows = (cycles.join(per, ["unit", "cycle"], "left").join(start, "unit")
-            .select("unit", "cycle", F.lit(0).cast("bigint").alias("first_cycle"), F.col("ref").alias("start"), "dt", "ref_width",
-                    F.coalesce("candidates", F.array().cast(per.schema["candidates"].dataType)).alias("candidates")))
-    path = scratch(spark, "stream-in")
+    rows, path = stream_rows(*loop_inputs(spark, sf)), scratch(spark, "stream-in")
     rows.repartition(4, "cycle").write.parquet(path)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
     return run_available(stream_track(stream, float(HALF), t_scale=fx.T_SCALE, w_scale=fx.W_SCALE)).drop("ref_after")

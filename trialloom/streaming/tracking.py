@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 
-import numpy as np
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -13,76 +12,138 @@ from trialloom.functions.rules import standard_rules
 from trialloom.streaming.metrics import ROCKSDB
 
 TRACE = ("cycle", "method", "candidates", "picked_time", "source_code", "ref_before", "ref_after")
-CANDIDATE = "struct<true_time:double,time:double,width:double,rank_hi:bigint,rank_lo:bigint,source_code:bigint>"
+OPENING = {"expected": "bigint", "first_cycle": "bigint", "start": "double", "dt": "double", "ref_width": "double"}
+CANDIDATE = {"true_time": "double", "time": "double", "width": "double", "rank_hi": "bigint", "rank_lo": "bigint",
+             "source_code": "bigint"}
+FIELDS = ("cycle", *OPENING, *CANDIDATE)
 
 
 class Tracker(StatefulProcessor):
-    """Current reference per rule; whole cycles that arrive early wait for their turn."""
+    """Follows one unit: current references, and the best candidate so far of the open cycle.
+
+    A candidate of the open cycle is folded in and forgotten, so a crowded cycle
+    needs no memory. Rows of later cycles wait for their turn.
+    """
 
     def __init__(self, names: list[str], rules: Mapping[str, Callable], half: float, ttl_ms: int | None):
         self.names, self.rules, self.half, self.ttl_ms = names, dict(rules), half, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ref = handle.getValueState("ref", "next bigint, waiting bigint, refs array<double>", self.ttl_ms)
-        body = "cycle bigint, dt double, ref_width double, " + ", ".join(
-            f"{c} array<double>" for c in ("true_time", "time", "width")) + ", " + ", ".join(
-            f"{c} array<bigint>" for c in ("rank_hi", "rank_lo", "source_code"))
-        self.early = handle.getListState("early", body, self.ttl_ms)
+        best = ", ".join(f"{c} array<double>" for c in ("refs", "score", "picked")) + ", " + ", ".join(
+            f"{c} array<bigint>" for c in ("hi", "lo", "source", "count"))
+        self.now = handle.getValueState(
+            "now", f"cycle bigint, waiting bigint, expected bigint, seen bigint, dt double, ref_width double, {best}", self.ttl_ms)
+        row = ", ".join(f"{n} {t}" for n, t in {"cycle": "bigint", **OPENING, **CANDIDATE}.items())
+        self.early = handle.getListState("early", row, self.ttl_ms)
+
+    NOW = ("cycle", "waiting", "expected", "seen", "dt", "ref_width", "refs", "score", "picked", "hi", "lo", "source", "count")
 
     def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
-        nxt, held, refs = self.ref.get() if self.ref.exists() else (None, 0, None)
-        waiting, out = ({v[0]: v[1:] for v in self.early.get()} if held else {}), []
-        for r in rows:
-            if nxt is None:
-                nxt, refs = r["first_cycle"], [r["start"]] * len(self.rules)
-            if r["cycle"] < nxt or r["cycle"] in waiting:
-                raise ValueError(f"unit {key}: cycle {r['cycle']} arrived twice")
-            waiting[r["cycle"]] = self._body(r)
-            while nxt in waiting:
-                refs = self._advance(key, nxt, refs, waiting.pop(nxt), out)
-                nxt += 1
-        if waiting:
-            self.early.put([(c, *body) for c, body in waiting.items()])
+        s = dict(zip(self.NOW, self.now.get())) if self.now.exists() else None
+        if s:
+            s.update({c: list(s[c]) for c in self.NOW[6:]})
+        held = s["waiting"] if s else 0
+        early: dict[int, list] = {}
+        for r in self.early.get() if held else ():
+            early.setdefault(r[0], []).append(r)
+        for row in rows:
+            r = tuple(row[c] for c in FIELDS)
+            if s is None and r[2] is not None:
+                s = self._fresh(r[2], [r[3]] * len(self.rules))
+            if s and r[0] < s["cycle"]:
+                raise ValueError(f"unit {key}: cycle {r[0]} is closed")
+            early.setdefault(r[0], []).append(r)
+            while s and s["cycle"] in early:
+                self._take(key, s, early)
+                if s["expected"] is None or s["seen"] < s["expected"]:
+                    break
+                yield from self._close(key, s)
+        left = [r for rs in early.values() for r in rs]
+        if left:
+            self.early.put(left)
         elif held:
             self.early.clear()
-        if nxt is not None:
-            self.ref.update((nxt, len(waiting), list(refs)))
-        yield from out
-
-    @staticmethod
-    def _body(r) -> tuple:
-        fields = ("true_time", "time", "width", "rank_hi", "rank_lo", "source_code")
-        return (r["dt"], r["ref_width"], *[[c[f] for c in r["candidates"]] for f in fields])
-
-    def _advance(self, key, cycle: int, refs, body, out: list) -> list[float]:
-        dt, ref_width = body[0], body[1]
-        true, time, width = (np.array(x, float) for x in body[2:5])
-        hi, lo, source = (np.array(x, np.int64) for x in body[5:8])
+        if s:
+            s["waiting"] = len(left)
+            self.now.update(tuple(s[c] for c in self.NOW))
+        elif left:
+            raise ValueError(f"unit {key}: rows without any cycle row in one batch")
+
+    def _fresh(self, cycle: int, refs: list[float]) -> dict:
+        n = len(self.rules)
+        return {"cycle": cycle, "waiting": 0, "expected": None, "seen": 0, "dt": None, "ref_width": None, "refs": refs,
+                "score": [0.0] * n, "picked": [0.0] * n, "hi": [0] * n, "lo": [0] * n, "source": [0] * n, "count": [0] * n}
+
+    def _take(self, key, s: dict, early: dict[int, list]) -> None:
+        """Open the cycle when its row is there, then fold its candidates."""
+        mine = early[s["cycle"]]
+        opening = [r for r in mine if r[1] is not None]
+        if len(opening) + (s["expected"] is not None) > 1:
+            raise ValueError(f"unit {key}: cycle {s['cycle']} arrived twice")
+        if opening:
+            s["expected"], s["dt"], s["ref_width"] = opening[0][1], opening[0][4], opening[0][5]
+        if s["expected"] is None:
+            return
+        del early[s["cycle"]]
+        for r in mine:
+            if r[1] is None:
+                self._fold(s, *r[6:])
+
+    def _fold(self, s: dict, true, time, width, hi, lo, source) -> None:
+        s["seen"] += 1
+        for m, rule in enumerate(self.rules.values()):
+            ref = s["refs"][m]
+            if not ref - self.half <= true < ref + self.half:
+                continue
+            score = rule(time, width, ref, s["ref_width"])
+            if not s["count"][m] or (score, hi, lo) < (s["score"][m], s["hi"][m], s["lo"][m]):
+                s["score"][m], s["hi"][m], s["lo"][m] = float(score), hi, lo
+                s["picked"][m], s["source"][m] = time, source
+            s["count"][m] += 1
+
+    def _close(self, key, s: dict) -> Iterator[Row]:
+        if s["seen"] > s["expected"]:
+            raise ValueError(f"unit {key}: cycle {s['cycle']} has more candidates than announced")
         after = []
-        for (name, rule), ref in zip(self.rules.items(), refs):
-            inside = np.flatnonzero((true >= ref - self.half) & (true < ref + self.half))
-            picked, code = None, 0
-            if len(inside):
-                score = rule(time[inside], width[inside], ref, ref_width) + np.zeros(len(inside))
-                best = inside[np.lexsort((lo[inside], hi[inside], score))[0]]
-                picked, code = float(time[best]), int(source[best])
-            new = ref if dt is None else (ref if picked is None else picked) + dt
-            out.append(Row(*self.names, *TRACE)(*key, cycle, name, len(inside), picked, code, ref, float(new)))
-            after.append(new)
-        return after
+        for m, name in enumerate(self.rules):
+            ref, hit = s["refs"][m], s["count"][m] > 0
+            new = ref if s["dt"] is None else (s["picked"][m] if hit else ref) + s["dt"]
+            yield Row(*self.names, *TRACE)(*key, s["cycle"], name, s["count"][m], s["picked"][m] if hit else None,
+                                           s["source"][m] if hit else 0, ref, float(new))
+            after.append(float(new))
+        s.update(self._fresh(s["cycle"] + 1, after))
 
     def close(self) -> None:
         pass
 
 
+def stream_rows(cycles: DataFrame, candidates: DataFrame, start: DataFrame, keys: tuple[str, ...] = ("unit",)) -> DataFrame:
+    """Rows for ``stream_track`` from the tables of the batch form.
+
+    A cycle row announces its number of candidates; every candidate is a row of its own.
+    """
+    n = candidates.groupBy(*keys, "cycle").agg(F.count(F.lit(1)).alias("expected"))
+    first = cycles.groupBy(*keys).agg(F.min("cycle").alias("first_cycle")).join(
+        start.select(*keys, F.col("ref").alias("start")), list(keys))
+    opening = cycles.join(n, [*keys, "cycle"], "left").join(first, list(keys)).withColumn("expected", F.coalesce("expected", F.lit(0)))
+    none = lambda spec: [F.lit(None).cast(t).alias(c) for c, t in spec.items()]
+    cast = lambda spec: [F.col(c).cast(t).alias(c) for c, t in spec.items()]
+    return opening.select(*keys, "cycle", *cast(OPENING), *none(CANDIDATE)).unionByName(
+        candidates.select(*keys, "cycle", *none(OPENING), *cast(CANDIDATE)))
+
+
 def stream_track(stream: DataFrame, half: float, rules: Mapping[str, Callable] | None = None, *, t_scale: float = 1.0,
                  w_scale: float = 1.0, keys: tuple[str, ...] = ("unit",), ttl_ms: int | None = None) -> DataFrame:
-    """Trace of a stream of cycles (keys, cycle, first_cycle, start, dt, ref_width, candidates array)."""
+    """Trace of a stream of cycle rows and candidate rows (see ``stream_rows``), in any order.
+
+    A cycle is reported when its row and all announced candidates are in. The
+    first batch of a unit must hold one of its cycle rows. Abandoned units leave
+    the state after ``ttl_ms``.
+    """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rules = rules or standard_rules(t_scale, w_scale)
-    rows = stream.select(*keys, "cycle", "first_cycle", F.col("start").cast("double").alias("start"),
-                         F.col("dt").cast("double").alias("dt"), F.col("ref_width").cast("double").alias("ref_width"),
-                         F.col("candidates").cast(f"array<{CANDIDATE}>").alias("candidates"))
+    spec = {"cycle": "bigint", **OPENING, **CANDIDATE}
+    rows = stream.select(*keys, *[F.col(c).cast(t).alias(c) for c, t in spec.items()])
     fields = [f"{n} {stream.schema[n].dataType.simpleString()}" for n in keys]
     schema = ", ".join([*fields, "cycle bigint", "method string", "candidates bigint", "picked_time double",
                         "source_code bigint", "ref_before double", "ref_after double"])
