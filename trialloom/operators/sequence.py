@@ -159,5 +159,5 @@ def running_time(df: DataFrame, keys: Sequence[str], step: str, order: str = "cy
                  block: str | None = None, name: str = "time") -> DataFrame:
     """Reference time line: sum of the steps of all earlier cycles, first value 0."""
     rows = df.withColumn("_block", F.col(block) if block else block_of(order))
-    rows = blocked_scan(rows, keys, [order], ["_block"], running={"_upto": F.coalesce(F.col(step), F.lit(0))})
-    return rows.withColumn(name, F.col("_upto") - F.coalesce(F.col(step), F.lit(0))).drop("_upto", "_block")
+    rows = blocked_scan(rows, keys, [order], ["_block"], running={name: F.coalesce(F.col(step), F.lit(0))}, exclusive=True)
+    return rows.drop("_block")

@@ -192,7 +192,7 @@ def _folder(keys, rules, half):
 def _signed(df: DataFrame, c: str):
     """Unsigned 64-bit ranks become bigints of the same order."""
     if isinstance(df.schema[c].dataType, T.DecimalType):
-        return (F.col(c) - F.lit(2 ** 63).cast("decimal(20,0)")).cast("bigint")
+        return (F.col(c) - F.lit(str(2 ** 63)).cast("decimal(20,0)")).cast("bigint")
     return F.col(c).cast("bigint")
 
 

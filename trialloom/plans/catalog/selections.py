@@ -339,8 +339,8 @@ def l8_segments(spark, sf):
 
 @query("L8_closed_loop_with_crowded_cycles", sql(TRACE_SQL, "trace", recursive=True))
 def l8_crowded(spark, sf):
-    """Cycles with more than five candidates are picked by the distributed reduction."""
-    return closed_loop(spark, sf, crowd=5).select(
+    """Cycles with more than six candidates are picked by the distributed reduction."""
+    return closed_loop(spark, sf, crowd=6).select(
         "unit", "cycle", "method", "candidates", "picked_time", "source_code", "ref_before")
 
 

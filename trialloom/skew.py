@@ -38,8 +38,9 @@ def blocked_scan(
     running: Mapping[str, Column] | None = None,
     following: Mapping[str, str] | None = None,
     preceding: Mapping[str, str] | None = None,
+    exclusive: bool = False,
 ) -> DataFrame:
-    """Add inclusive running sums and next/previous values along ``order``.
+    """Add running sums (of earlier rows only if ``exclusive``) and next/previous values along ``order``.
 
     ``blocks`` are columns that cut each key in order (every row of an earlier
     block sorts before every row of a later one). Pass None only when a key's
@@ -50,9 +51,9 @@ def blocked_scan(
     running, following, preceding = running or {}, following or {}, preceding or {}
     cut = list(blocks or [])
     inner = Window.partitionBy(*keys, *cut).orderBy(*order)
-    upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = inner.rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
     out = df.withColumns({
-        **{name: F.sum(expr).over(upto) for name, expr in running.items()},
+        **{name: F.coalesce(F.sum(expr).over(upto), F.lit(0)) for name, expr in running.items()},
         **{name: F.lead(src).over(inner) for name, src in following.items()},
         **{name: F.lag(src).over(inner) for name, src in preceding.items()},
     })
