@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -116,16 +116,19 @@ def row_text(columns: Sequence[str]) -> Column:
     return F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
 
 
-def fingerprint(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def fingerprint(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
+                extra: Mapping[str, Column] | None = None) -> DataFrame:
     """Digest that depends on the rows and their multiplicity but not on their order or place.
 
     Each row's SHA-256 is split into four 60-bit numbers; their exact sums are
-    combined map-side, so a group of any size is never gathered.
+    combined map-side, so a group of any size is never gathered. ``extra``
+    aggregates ride along in the same pass.
     """
-    hashed = df.select(*by, F.sha2(row_text(columns), 256).alias("_h"))
-    parts = [F.conv(F.substring("_h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)") for i in range(4)]
-    sums = hashed.groupBy(*by).agg(F.count(F.lit(1)).alias("row_count"),
-                                   *[F.sum(p.cast("decimal(28,0)")).alias(f"_p{i}") for i, p in enumerate(parts)])
+    extra = extra or {}
+    parts = [F.conv(F.substring("_h", 1 + 15 * i, 15), 16, 10).cast("decimal(28,0)") for i in range(4)]
+    sums = df.withColumn("_h", F.sha2(row_text(columns), 256)).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("row_count"), *[F.sum(p).alias(f"_p{i}") for i, p in enumerate(parts)],
+        *[c.alias(n) for n, c in extra.items()])
     text = F.concat_ws(":", F.col("row_count").cast("string"),
                        *[F.coalesce(F.col(f"_p{i}"), F.lit(0)).cast("string") for i in range(4)])
-    return sums.select(*by, "row_count", F.sha2(text, 256).alias("sha256"))
+    return sums.select(*by, "row_count", F.sha2(text, 256).alias("sha256"), *extra)

@@ -63,12 +63,9 @@ def write_chunks(df: DataFrame, root: str, size: int, keys: Sequence[str], cond:
 def chunk_manifest(rows: DataFrame, keys: Sequence[str], cond: str = "cond", unit: str = "unit") -> DataFrame:
     """Range, counts and digest of every chunk."""
     cols = sorted(c for c in rows.columns if c not in (cond, "chunk"))
-    digest = fingerprint(rows, cols, by=[cond, "chunk"])
-    span = rows.groupBy(cond, "chunk").agg(
-        F.min(unit).alias("RepeatStart"), F.max(unit).alias("RepeatEnd"))
-    return span.join(digest, [cond, "chunk"]).select(
-        cond, "chunk", "RepeatStart", "RepeatEnd", F.col("row_count").alias("RowCount"),
-        F.col("sha256").alias("DataSHA256"), F.lit(True).alias("Completed"))
+    digest = fingerprint(rows, cols, by=[cond, "chunk"], extra={"RepeatStart": F.min(unit), "RepeatEnd": F.max(unit)})
+    return digest.select(cond, "chunk", "RepeatStart", "RepeatEnd", F.col("row_count").alias("RowCount"),
+                         F.col("sha256").alias("DataSHA256"), F.lit(True).alias("Completed"))
 
 
 def write_distribution(dist: DataFrame, path: str, cond: str = "cond", mode: str = "overwrite") -> None:
@@ -102,12 +99,9 @@ def export_tables(spark: SparkSession, tables: Mapping[str, tuple[DataFrame, Seq
 
 def run_manifest(tables: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     """Counts, key range and digest of every table of a finished run; ``tables`` maps name to (table, id column)."""
-    parts = []
-    for name, (df, unit) in sorted(tables.items()):
-        span = df.agg(F.min(unit).cast("bigint").alias("min_id"), F.max(unit).cast("bigint").alias("max_id"),
-                      F.lit(name).alias("table_name"))
-        body = fingerprint(df, df.columns).withColumn("table_name", F.lit(name))
-        parts.append(span.join(body, "table_name").select("table_name", "row_count", "min_id", "max_id", "sha256"))
+    parts = [fingerprint(df, df.columns, extra={"min_id": F.min(unit).cast("bigint"), "max_id": F.max(unit).cast("bigint")})
+             .select(F.lit(name).alias("table_name"), "row_count", "min_id", "max_id", "sha256")
+             for name, (df, unit) in sorted(tables.items())]
     return reduce(DataFrame.unionByName, parts)
 
 
