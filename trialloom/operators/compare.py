@@ -96,6 +96,16 @@ def tables_equal(a: DataFrame, b: DataFrame) -> DataFrame:
                  F.count_if(F.col("side") == "only_b").alias("only_b")))
 
 
+def audit_subset(df: DataFrame, ids: Sequence[int], unit: str = "unit") -> DataFrame:
+    """Rows of the preregistered audit units; the filter reaches the scan."""
+    return df.filter(F.col(unit).isin(list(ids)))
+
+
+def subset_units(df: DataFrame, ids: DataFrame, unit: str = "unit") -> DataFrame:
+    """Rows of the units named by a table of ids; duplicates in it do not matter."""
+    return df.join(ids.select(unit), unit, "left_semi")
+
+
 def forbidden_rows(df: DataFrame, columns: Sequence[str], labels: Sequence[str]) -> DataFrame:
     """Rows in which any of the columns holds a forbidden label."""
     return df.filter(F.exists(F.array(*[F.col(c).cast("string") for c in columns]), lambda x: x.isin(list(labels))))

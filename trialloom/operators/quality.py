@@ -43,6 +43,11 @@ def unique_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return d.select(F.lit("unique_keys").alias("law"), *keys, F.col("copies").cast("string").alias("detail"))
 
 
+def present_laws(keys: Sequence[str]) -> dict[str, Column]:
+    """Keys must not be null; the ordered and joined operators rely on it."""
+    return {f"null_{k}": F.col(k).isNull() for k in keys}
+
+
 def complete_universe(df: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:
     return key_gaps(df, expected, keys).select(F.lit("key_universe").alias("law"), *keys, F.col("side").alias("detail"))
 

@@ -19,15 +19,33 @@ from trialloom.skew import BLOCK, block_of, blocked_scan
 UNIT = ("cond", "unit", "method")
 
 
+# States as numbers inside the jobs: primitive values keep the aggregations hashed and compiled.
+NUMBER = {"N": 0, "C": 1, "E": 2}
+
+
 def _n(flag):
     return F.count_if(flag)
 
 
+def _is(c: str, state: str):
+    return F.col(c) == NUMBER[state]
+
+
+def _number_of(code: str):
+    c = F.col(code)
+    wrong = F.raise_error(F.concat(F.lit("unknown source code "), c.cast("string"))).cast("int")
+    return F.when(c == 0, NUMBER["N"]).when(c == 1, NUMBER["C"]).when(c.isin(2, 3), NUMBER["E"]).otherwise(wrong)
+
+
+def _name_of(c: str):
+    return F.when(_is(c, "C"), "C").when(_is(c, "E"), "E").when(_is(c, "N"), "N")
+
+
 def _states(seq: DataFrame, keys: Sequence[str], block: str | None, order: str,
             carry: Sequence[str] = ()) -> DataFrame:
     cut = F.col(block) if block else block_of(order)
     return seq.select(*keys, F.col(order).alias("cycle"), cut.alias("_block"), "code",
-                      state_of("code").alias("_s"), *carry)
+                      _number_of("code").alias("_s"), *carry)
 
 
 def state_counts(seq: DataFrame, keys: Sequence[str] = UNIT) -> DataFrame:
@@ -58,11 +76,13 @@ def block_tallies(seq: DataFrame, keys: Sequence[str] = UNIT, block: str | None
     inner = Window.partitionBy(*keys, "_block").orderBy("cycle")
     rows = _states(seq, keys, block, order).withColumns({
         "_next": F.lead("_s").over(inner), "_prev": F.lag("_s").over(inner)})
-    nc = F.col("_s") != "C"
+    move = F.col("_s") * 3 + F.col("_next")
+    start = ~_is("_s", "C") & F.coalesce(_is("_prev", "C"), F.lit(True))
+    rows = rows.withColumns({"_move": move, "_start": start})
     return rows.groupBy(*keys, "_block").agg(
-        *[_n(F.col("_s") == x).alias(f"N_{x}") for x in STATES],
-        *[_n((F.col("_s") == a) & (F.col("_next") == b)).alias(f"N_{a}{b}") for a in STATES for b in STATES],
-        _n(nc & F.coalesce(F.col("_prev") == "C", F.lit(True))).alias("_starts"),
+        *[_n(_is("_s", x)).alias(f"N_{x}") for x in STATES],
+        *[_n(F.col("_move") == NUMBER[a] * 3 + NUMBER[b]).alias(f"N_{a}{b}") for a in STATES for b in STATES],
+        _n(F.col("_start")).alias("_starts"),
         _n(F.col("code") == 2).alias("N_E_H"), _n(F.col("code") == 3).alias("N_E_F"),
         F.min_by("_s", "cycle").alias("_first"), F.max_by("_s", "cycle").alias("_last"),
     )
@@ -80,20 +100,20 @@ def repeat_metrics(seq: DataFrame, keys: Sequence[str] = UNIT, block: str | None
     if one_block:
         seq = seq.withColumn("_one", F.lit(0))
         tall = block_tallies(seq, keys, "_one")
-        stitched = tall.withColumn("_before", F.lit(None).cast("string"))
+        stitched = tall.withColumn("_before", F.lit(None).cast("int"))
     else:
         tall = block_tallies(seq, keys, block)
         over = Window.partitionBy(*keys).orderBy("_block")
         stitched = tall.withColumn("_before", F.lag("_last").over(over))
     crossing = F.col("_before").isNotNull()
-    joined = (F.col("_before") != "C") & (F.col("_first") != "C")
+    joined = ~_is("_before", "C") & ~_is("_first", "C")
     sums = [F.sum(c).alias(c) for c in (*STATE_COUNTS, *ERROR_SOURCES)]
     sums += [F.sum(F.col(f"N_{a}{b}") + F.coalesce(
-        (crossing & (F.col("_before") == a) & (F.col("_first") == b)).cast("bigint"), F.lit(0))).alias(f"N_{a}{b}")
+        (crossing & _is("_before", a) & _is("_first", b)).cast("bigint"), F.lit(0))).alias(f"N_{a}{b}")
         for a in STATES for b in STATES]
     sums += [F.sum(F.col("_starts") - F.coalesce(joined.cast("bigint"), F.lit(0))).alias("N_run_NC"),
-             F.max_by("_last", "_block").alias("EndState")]
-    total = stitched.groupBy(*keys).agg(*sums)
+             F.max_by("_last", "_block").alias("_end")]
+    total = stitched.groupBy(*keys).agg(*sums).withColumn("EndState", _name_of("_end"))
     total = total.withColumns({
         **{f"N_{a}dot": F.col(f"N_{a}") - (F.col("EndState") == a).cast("bigint") for a in STATES},
         "Sum_L_NC_obs": F.col("N_E") + F.col("N_N"),
@@ -116,7 +136,8 @@ def with_neighbours(seq: DataFrame, keys: Sequence[str] = UNIT, block: str | Non
     rows = _states(seq, keys, block, "cycle", carry)
     out = blocked_scan(rows, keys, ["cycle"], ["_block"],
                        following={"next_state": "_s"}, preceding={"prev_state": "_s"})
-    return out.select(*keys, "cycle", "code", F.col("_s").alias("state"), "next_state", "prev_state", *carry)
+    return out.select(*keys, "cycle", "code", _name_of("_s").alias("state"), _name_of("next_state").alias("next_state"),
+                      _name_of("prev_state").alias("prev_state"), *carry)
 
 
 def island_id(seq: DataFrame, keys: Sequence[str] = UNIT, block: str | None = None) -> DataFrame:
@@ -126,9 +147,9 @@ def island_id(seq: DataFrame, keys: Sequence[str] = UNIT, block: str | None = No
     earlier blocks, less one for every run that crosses into a block.
     """
     inner = Window.partitionBy(*keys, "_block").orderBy("cycle")
-    nc = F.col("_s") != "C"
+    nc = ~_is("_s", "C")
     rows = _states(seq, keys, block, "cycle").drop("code").withColumn("_prev", F.lag("_s").over(inner))
-    start = nc & F.coalesce(F.col("_prev") == "C", F.lit(True))
+    start = nc & F.coalesce(_is("_prev", "C"), F.lit(True))
     rows = rows.withColumn("_local", F.sum(start.cast("bigint")).over(
         inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     edges = rows.groupBy(*keys, "_block").agg(
@@ -136,13 +157,13 @@ def island_id(seq: DataFrame, keys: Sequence[str] = UNIT, block: str | None = No
         F.max("cycle").alias("_hi"))
     over = Window.partitionBy(*keys).orderBy("_block")
     edges = edges.withColumns({
-        "_joined": F.coalesce((F.col("_first") != "C") & (F.lag("_last").over(over) != "C"), F.lit(False)).cast("bigint"),
+        "_joined": F.coalesce(~_is("_first", "C") & (F.lag("_last").over(over) != NUMBER["C"]), F.lit(False)).cast("bigint"),
         "_final": F.lead("_block").over(over).isNull()})
     total = F.sum(F.col("_n") - F.col("_joined")).over(over.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     edges = edges.select(*keys, "_block", (total - F.col("_n")).alias("_shift"),
                          F.when(F.col("_final"), F.col("_hi")).alias("_end"))
     rows = rows.join(edges, [*keys, "_block"])
-    return rows.select(*keys, "cycle", F.col("_s").alias("state"),
+    return rows.select(*keys, "cycle", _name_of("_s").alias("state"),
                        F.when(nc, F.col("_local") + F.col("_shift")).alias("island"),
                        F.coalesce(F.col("cycle") == F.col("_end"), F.lit(False)).alias("_last_cycle"))
 

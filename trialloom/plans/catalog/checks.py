@@ -64,6 +64,13 @@ def j7(spark, sf):
     return compare.key_gaps(*_gaps_input(spark, sf), UNIT)
 
 
+@query("Q1_missing_keys", """SELECT 'null_unit' AS law, count(*) AS checked, 0 AS broken FROM events
+  UNION ALL SELECT 'null_code', count(*), count(*) FILTER (event_type = 'signup') FROM events""")
+def q1_missing(spark, sf):
+    rows = fx.events(spark, sf).select(F.col("user_id").alias("unit"), F.nullif("event_type", F.lit("signup")).alias("code"))
+    return quality.law_counts(rows, quality.present_laws(["unit", "code"]))
+
+
 @query("Q2_key_universe", sql(f"SELECT 'key_universe' AS law, cond, unit, method, side AS detail FROM ({GAPS})", "worn"))
 def q2(spark, sf):
     return quality.complete_universe(*_gaps_input(spark, sf), UNIT)
@@ -171,13 +178,13 @@ def p12(spark, sf):
 
 @query("P4_audit_subset", sql("SELECT cond, unit, method, N_C FROM rm WHERE unit IN (1, 10, 14)", "rm"))
 def p4(spark, sf):
-    return _rm(spark, sf).filter(F.col("unit").isin(1, 10, 14)).select(*UNIT, "N_C")
+    return compare.audit_subset(_rm(spark, sf), (1, 10, 14)).select(*UNIT, "N_C")
 
 
 @query("P5_subset_units", sql("SELECT cond, unit, method, N_C FROM rm WHERE unit IN (SELECT user_id FROM events WHERE value > 400)", "rm"))
 def p5(spark, sf):
     ids = fx.events(spark, sf).filter("value > 400").select(F.col("user_id").alias("unit"))
-    return _rm(spark, sf).join(ids, "unit", "left_semi").select(*UNIT, "N_C")
+    return compare.subset_units(_rm(spark, sf), ids).select(*UNIT, "N_C")
 
 
 def _cell_diffs() -> str:

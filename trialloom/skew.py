@@ -64,18 +64,18 @@ def blocked_scan(
     aggs = [F.sum(expr).alias(f"_s_{name}") for name, expr in running.items()]
     if following:
         aggs += [F.min(rank).alias("_lo")]
-        aggs += [F.min_by(F.struct(src), rank).alias(f"_f_{name}") for name, src in following.items()]
+        aggs += [F.min_by(src, rank).alias(f"_f_{name}") for name, src in following.items()]
         aggs += [F.max(rank).alias("_hi")]
     if preceding:
-        aggs += [F.max_by(F.struct(src), rank).alias(f"_p_{name}") for name, src in preceding.items()]
+        aggs += [F.max_by(src, rank).alias(f"_p_{name}") for name, src in preceding.items()]
         if not following:
             aggs += [F.min(rank).alias("_lo")]
     edges = df.groupBy(*keys, *cut).agg(*aggs)
     over = Window.partitionBy(*keys).orderBy(*cut)
     before = over.rowsBetween(Window.unboundedPreceding, -1)
     picks = [F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in running]
-    picks += [F.lead(f"_f_{n}").over(over)[following[n]].alias(f"_f_{n}") for n in following]
-    picks += [F.lag(f"_p_{n}").over(over)[preceding[n]].alias(f"_p_{n}") for n in preceding]
+    picks += [F.lead(f"_f_{n}").over(over).alias(f"_f_{n}") for n in following]
+    picks += [F.lag(f"_p_{n}").over(over).alias(f"_p_{n}") for n in preceding]
     picks += [F.col("_hi")] if following else []
     picks += [F.col("_lo")] if preceding else []
     edges = edges.select(*keys, *cut, *picks)
