@@ -56,7 +56,9 @@ def test_word_to_unit_rejects(spark):
     rows = spark.createDataFrame([(4294965999,), (4294966000,), (0,), (4294967295,)], "w bigint")
     got = {r["w"]: r["u"] for r in rows.select("w", keyed.word_to_unit("w", 2000).alias("u")).collect()}
     assert got == {4294965999: 2000, 4294966000: None, 0: 1, 4294967295: None}
-    assert retries_needed([2000], 2000) >= 2 and retries_needed([3_000_000_000], 10) > 30 and retries_needed([4], 5) == 1
+    big = 3_000_000_000
+    assert retries_needed(2 ** 32 % 2000, 4_000_000) >= 2 and retries_needed(2 ** 32 % 4, 20) == 1
+    assert retries_needed(2 ** 32 % big, 10 * big) > 30
 
 
 def test_split64_twos_complement(spark):

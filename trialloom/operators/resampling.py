@@ -29,13 +29,14 @@ def unit_counts(stats: DataFrame, cond: str = "cond") -> DataFrame:
     return stats.groupBy(cond).agg(F.count(F.lit(1)).alias("_units"))
 
 
-def retries_needed(units: Sequence[int], boots: int, unlikely: float = 1e-9) -> int:
-    """Redraws after which a word is still unmapped with negligible probability in the whole run."""
-    worst = max(((2 ** 32) % r) / 2 ** 32 for r in units)
-    total = boots * sum(units)
-    if worst == 0:
+def retries_needed(remainder: int, total_draws: int, unlikely: float = 1e-9) -> int:
+    """Tries per draw after which any draw of the whole run is left unmapped with negligible probability.
+
+    ``remainder`` is the largest 2^32 mod R over the conditions: the words that must be redrawn.
+    """
+    if not remainder:
         return 1
-    return max(2, math.ceil(math.log(unlikely / total) / math.log(worst)))
+    return max(2, math.ceil(math.log(unlikely / total_draws) / math.log(remainder / 2 ** 32)))
 
 
 def draws(stats: DataFrame, boots: int, cond: str = "cond", unit: str = "unit",
@@ -47,8 +48,8 @@ def draws(stats: DataFrame, boots: int, cond: str = "cond", unit: str = "unit",
     """
     key = key or keyed_seed("BOOTSTRAP", "BOOTSTRAP_INDEX")
     sizes = unit_counts(stats, cond) if sizes is None else sizes
-    known = [r["_units"] for r in sizes.select("_units").distinct().limit(100_000).collect()]
-    tries = retries_needed(known, boots) if known else 1
+    rest, total = sizes.agg(F.max(F.lit(2 ** 32) % F.col("_units")), F.sum("_units")).first()
+    tries = retries_needed(rest or 0, boots * (total or 0))
     rows = lookup_join(stats.select(cond, unit), sizes, [cond])
     rows = rows.select(cond, "_units", F.col(unit).alias("draw"),
                        F.explode(F.sequence(F.lit(1), F.lit(boots))).alias("boot"))
