@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trialloom.functions import codes, keyed, scores
 from trialloom.functions.estimates import ci_position, one_sided, ratio, slug, strict_bool, strict_int
+from trialloom.operators import resampling
 from trialloom.operators.resampling import draws, retries_needed
 
 # Published known answers of the generator: counter, key, words.
@@ -44,11 +45,14 @@ def test_key_and_golden_draws(spark):
     assert {k: got[k] for k in GOLDEN} == GOLDEN
 
 
-def test_draws_do_not_depend_on_partitions(spark):
+def test_draws_do_not_depend_on_partitions(spark, monkeypatch):
     stats = spark.range(1, 51).select(F.lit(2).alias("cond"), F.col("id").alias("unit"))
     one = draws(stats.coalesce(1), 20).collect()
     many = draws(stats.repartition(7), 20).collect()
-    assert sorted(one) == sorted(many)
+    monkeypatch.setattr(resampling, "DRAWS_PER_TASK", 100)
+    monkeypatch.setattr(resampling, "BOOT_BLOCK", 3)
+    spread = draws(stats, 20).collect()
+    assert sorted(one) == sorted(many) == sorted(spread) and len(one) == 1000
     assert {r["unit"] for r in one} <= set(range(1, 51))
 
 

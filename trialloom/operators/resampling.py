@@ -15,6 +15,9 @@ from trialloom.skew import lookup_join
 
 FEW_DEFINED = "INSUFFICIENT_DEFINED_BOOTSTRAP_REPLICATES"
 BROADCAST_ROWS = 200_000
+DRAWS_PER_TASK = 2_000_000
+BOOT_BLOCK = 50
+MAX_TASKS = 20_000
 
 
 def wide_statistics(rm: DataFrame, methods: Sequence[str], cond: str = "cond", unit: str = "unit",
@@ -50,9 +53,16 @@ def draws(stats: DataFrame, boots: int, cond: str = "cond", unit: str = "unit",
     sizes = unit_counts(stats, cond) if sizes is None else sizes
     rest, total = sizes.agg(F.max(F.lit(2 ** 32) % F.col("_units")), F.sum("_units")).first()
     tries = retries_needed(rest or 0, boots * (total or 0))
-    rows = lookup_join(stats.select(cond, unit), sizes, [cond])
-    rows = rows.select(cond, "_units", F.col(unit).alias("draw"),
-                       F.explode(F.sequence(F.lit(1), F.lit(boots))).alias("boot"))
+    rows = lookup_join(stats.select(cond, unit), sizes, [cond]).select(cond, "_units", F.col(unit).alias("draw"))
+    tasks = min(MAX_TASKS, boots * (total or 0) // DRAWS_PER_TASK)
+    if tasks > 1:
+        # A small table makes many draws: spread blocks of replicates before they are drawn.
+        starts = F.sequence(F.lit(1), F.lit(boots), F.lit(BOOT_BLOCK))
+        rows = rows.select("*", F.explode(starts).alias("_b")).repartition(tasks, cond, "draw", "_b")
+        boot = F.sequence(F.col("_b"), F.least(F.col("_b") + (BOOT_BLOCK - 1), F.lit(boots)))
+    else:
+        boot = F.sequence(F.lit(1), F.lit(boots))
+    rows = rows.select(cond, "_units", "draw", F.explode(boot).alias("boot"))
     for t in range(tries):
         rows = with_words(rows, [cond, "boot", F.lit(t), F.col("draw") - 1], key, (f"_w{t}", "_x1", "_x2", "_x3"))
         rows = rows.drop("_x1", "_x2", "_x3")

@@ -133,18 +133,22 @@ def expand_grid(gates: DataFrame, keys: Sequence[str], left: str, right: str, ph
     """All grid points phase + n * period inside each gate [left, right).
 
     Ordinary gates expand in place. A gate with more than ``piece`` points is cut
-    into pieces that are spread over tasks before they expand.
+    into pieces that are spread over as many tasks as their points need.
     """
     lo, hi = grid_range(left, right, phase, period)
     ranged = gates.withColumns({"n_min": lo, "n_max": hi}).filter(F.col("n_max") >= F.col("n_min"))
     size = F.col("n_max") - F.col("n_min") + 1
-    small = ranged.filter(size <= piece).select(
-        "*", F.explode(F.sequence("n_min", "n_max")).alias("n"))
-    cuts = F.explode(F.sequence("n_min", "n_max", F.lit(piece).cast("bigint")))
-    big = (ranged.filter(size > piece).select("*", cuts.alias("_from")).repartition(*keys, "_from")
-           .select("*", F.explode(F.sequence("_from", F.least(F.col("_from") + (piece - 1), F.col("n_max")))).alias("n"))
-           .drop("_from"))
-    return small.unionByName(big).withColumn("true_toa", grid_time("n", phase, period))
+    excess = ranged.agg(F.sum(F.when(size > piece, size))).first()[0]
+    small = ranged.filter(size <= piece) if excess else ranged
+    out = small.select("*", F.explode(F.sequence("n_min", "n_max")).alias("n"))
+    if excess:
+        cuts = F.explode(F.sequence("n_min", "n_max", F.lit(piece).cast("bigint")))
+        ends = F.least(F.col("_from") + (piece - 1), F.col("n_max"))
+        tasks = int(min(20_000, max(8, excess // 5_000_000)))
+        out = out.unionByName(
+            ranged.filter(size > piece).select("*", cuts.alias("_from")).repartition(tasks, *keys, "_from")
+            .select("*", F.explode(F.sequence("_from", ends)).alias("n")).drop("_from"))
+    return out.withColumn("true_toa", grid_time("n", phase, period))
 
 
 def delayed(events: DataFrame, delay: Column, time: str = "t_us") -> DataFrame:
