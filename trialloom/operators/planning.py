@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from trialloom.functions.estimates import half_width, reasons, required_r, support, target_of
 from trialloom.operators.ratios import CELL, statistic_pairs
-from trialloom.registry import CORE_RATIOS, MIN_DENOMINATOR, MIN_POSITIVE_UNITS, STATISTICS, TARGETS, VARIANCE_UCB
+from trialloom.registry import CORE_RATIOS, MIN_DENOMINATOR, MIN_POSITIVE_UNITS, STATISTICS, VARIANCE_UCB
 from trialloom.skew import lookup_join
 
 METRICS = tuple(CORE_RATIOS)
@@ -226,6 +226,3 @@ def worst_cells(individual: DataFrame, paired: DataFrame, k: int, cell: Sequence
     """The k cells that need most units; ties in key order."""
     return _cells(individual, paired, cell).select("kind", cell[0], "scope", "metric", "required_r").orderBy(
         F.col("required_r").desc_nulls_last(), "kind", cell[0], "scope", "metric").limit(k)
-
-
-TARGET_ROWS = tuple(TARGETS.items())

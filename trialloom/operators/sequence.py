@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialloom.functions.estimates import state_of
-from trialloom.registry import COUNTS, ERROR_SOURCES, ORIGINS, STATE_COUNTS, STATES, TRANSITIONS
+from trialloom.registry import COUNTS, ERROR_SOURCES, STATE_COUNTS, STATES, TRANSITIONS
 from trialloom.skew import BLOCK, block_of, blocked_scan
 
 UNIT = ("cond", "unit", "method")

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from trialloom import registry as reg
 from trialloom.functions.estimates import slug, strict_bool, strict_int
-from trialloom.operators import compare, quality, ratios, selection, strata
+from trialloom.operators import quality, ratios, selection, strata
 from trialloom.operators.sequence import repeat_metrics
 from trialloom.plans import fixtures as fx
 from trialloom.plans import summaries as S
 from trialloom.plans.catalog.base import query
-from trialloom.plans.catalog.oracle import DAY, HALF, sql, view
-from trialloom.plans.catalog.resampling import _seq_dist, _seq_stats
+from trialloom.plans.catalog.oracle import HALF, sql
+from trialloom.plans.catalog.resampling import _seq_dist
 from trialloom.plans.catalog.selections import TRACE_SQL, loop_inputs
 from trialloom.plans.increment import run_incremental
 from trialloom.session import scratch
@@ -191,11 +191,6 @@ def k6(spark, sf):
     return sinks.run_manifest({"metrics": (_slim(spark, sf), "unit"), "picks": (best, "rank")})
 
 
-def _recompute(spark, sf):
-    slim = _slim(spark, sf).withColumn("unit", F.col("unit") + 1)
-    return lambda due: slim.join(due, ["cond", "unit"], "left_semi")
-
-
 @query("T3_incremental_run", sql("""SELECT cond, chunk, CASE WHEN cond = 1 AND chunk = 0 THEN 'recomputed-invalid:hash_mismatch:data'
     WHEN cond = 2 AND chunk = 0 THEN 'computed' ELSE 'skipped-valid' END AS outcome FROM (SELECT DISTINCT cond, unit // 20 AS chunk FROM rm)""", "rm"))
 def t3(spark, sf):

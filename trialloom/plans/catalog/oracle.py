@@ -351,7 +351,6 @@ LOOP = {"FIRST": "c.t_us", "LAST": "-c.t_us",
 LOOP["TW"] = f"{LOOP['T']} + {LOOP['W']}"
 LOOP_SCORE = "CASE t.method " + " ".join(f"WHEN '{m}' THEN CAST({e} AS DOUBLE)" for m, e in LOOP.items()) + " END"
 LOOP_ON = f"c.unit = t.unit AND c.cycle = t.cycle AND c.t_us >= t.ref - {HALF} AND c.t_us < t.ref + {HALF}"
-view("candm", "SELECT * FROM cand", "cand")
 view("walk", f"""SELECT unit, method, 0::BIGINT AS cycle, {DAY // 2}::DOUBLE AS ref
     FROM (SELECT DISTINCT unit FROM cand) CROSS JOIN method_list
   UNION ALL

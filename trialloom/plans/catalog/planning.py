@@ -9,7 +9,7 @@ from trialloom.functions.estimates import half_width, reasons, required_r
 from trialloom.operators import planning
 from trialloom.plans import fixtures as fx
 from trialloom.plans.catalog.base import query, rounded, rsql
-from trialloom.plans.catalog.oracle import UCB, Z, sql
+from trialloom.plans.catalog.oracle import Z, sql
 
 INEXACT = ("theta", "mean_b", "variance", "upper_variance", "half_width_1000", "half_width_2000")
 INEXACT_PAIR = ("theta_1", "theta_2", "delta", "variance", "upper_variance", "half_width_1000", "half_width_2000")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trialloom import registry as reg
 from trialloom.functions.estimates import ci_position, one_sided
-from trialloom.operators import planning, quality, ratios, resampling, strata
+from trialloom.operators import quality, ratios, resampling, strata
 from trialloom.plans import fixtures as fx
 from trialloom.plans import summaries as S
 from trialloom.plans.catalog.base import query, rounded, rsql

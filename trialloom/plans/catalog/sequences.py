@@ -9,8 +9,8 @@ from trialloom.functions.estimates import ratio, state_of
 from trialloom.operators import ratios, sequence, strata
 from trialloom.operators.ratios import METRICS_13
 from trialloom.plans import fixtures as fx
-from trialloom.plans.catalog.base import query, rounded, rsql
-from trialloom.plans.catalog.oracle import DAY, ratio_columns, sql
+from trialloom.plans.catalog.base import query
+from trialloom.plans.catalog.oracle import ratio_columns, sql
 from trialloom.plans.summaries import canonical_order
 from trialloom.sources.sinks import row_gates
 

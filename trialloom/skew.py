@@ -22,13 +22,6 @@ def block_of(order: str, size: int = BLOCK) -> Column:
     return F.expr(f"(`{order}` - pmod(`{order}`, {size}L)) div {size}L")
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def blocked_scan(
     df: DataFrame,
     keys: Sequence[str],
