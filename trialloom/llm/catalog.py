@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialloom.llm import dedup, quality
-from trialloom.llm.common import table
+from trialloom.llm import arc, chat, decontam, dedup, langid, minhash, pieces, quality, secrets
+from trialloom.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +36,99 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         F.col("id").alias("doc_id"), "held_out", "score", "predicted")
+
+
+@query("op3_near_duplicates")
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "class_id", "class_size", "n_links", "kept")
+
+
+@query("op4_benchmark_tiling")
+def op4_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), "contaminated", F.round("coverage", 6).alias("coverage"), "item_id", "n_items",
+        F.concat_ws(",", F.transform("items", lambda x: F.concat_ws(
+            ":", x.item.cast("string"), x.covered.cast("string"), x.words.cast("string"), x.tiles.cast("string")))
+        ).alias("matches"))
+
+
+@query("op9_piece_round_trip")
+def op9_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return pieces.decode_documents(ids).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def _listed(spans, kinds=None):
+    """kind:start:end, comma-joined, in the order of the array."""
+    kept = spans if kinds is None else F.filter(spans, lambda s: s["kind"].isin(*kinds))
+    return F.array_join(F.transform(kept, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _count(spans, kind: str):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+@query("op1_secret_grammar")
+def op1_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, spans = secrets.find_secrets(table(spark, sf_dir, "documents")), F.col("spans")
+    return found.select(
+        F.col("id").alias("doc_id"), *[_count(spans, k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(_listed(spans, ("assign", "access", "hex")), 256).alias("base_sha256"), _listed(spans).alias("spans"),
+        _count(spans, "grammar").alias("n_grammar"))
+
+
+@query("op2_piece_language")
+def op2_piece_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs)
+    return langid.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"),
+        F.col("language.score").alias("score"))
+
+
+_TURNS = """
+    WITH last AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY 1),
+    old AS (SELECT c.conv_id, max_by(c.text, c.turn) AS old FROM conversations c JOIN last USING (conv_id)
+            WHERE c.role = 'assistant' AND c.turn < last.last GROUP BY 1),
+    t AS (SELECT c.*, coalesce(c.role = 'assistant' AND c.turn = last.last, false) AS is_last, old.old
+          FROM conversations c LEFT JOIN last USING (conv_id) LEFT JOIN old USING (conv_id)),
+    sides AS (SELECT conv_id AS pair_id, 'chosen' AS side, turn, role, text FROM t UNION ALL
+              SELECT conv_id, 'rejected', turn, role, CASE WHEN is_last THEN old ELSE text END FROM t
+              WHERE NOT (is_last AND old IS NULL)),
+    m AS (SELECT pair_id, turn, list(role || chr(1) || text ORDER BY role, text) FILTER (side = 'chosen') AS a,
+          list(role || chr(1) || text ORDER BY role, text) FILTER (side = 'rejected') AS b FROM sides GROUP BY 1, 2),
+    s AS (SELECT pair_id, min(turn) AS split FROM m WHERE a IS DISTINCT FROM b GROUP BY 1),
+    p AS (SELECT x.*, CASE WHEN split IS NULL OR turn < split THEN 'prompt' ELSE side END AS part
+          FROM sides x LEFT JOIN s USING (pair_id)),
+    r AS (SELECT pair_id, part, turn, role, text, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered
+          FROM p WHERE part <> 'prompt' OR side = 'chosen'),
+    e AS (SELECT *, sum(length(rendered)) OVER (PARTITION BY pair_id, part ORDER BY turn, role, text
+                                               ROWS UNBOUNDED PRECEDING) AS e FROM r)
+    SELECT pair_id, part, turn, role, rendered, CAST(e - length(rendered) AS BIGINT) AS "start", CAST(e AS BIGINT) AS "end",
+           CAST(part <> 'prompt' AND role = 'assistant' AS INT) AS mask FROM e"""
+
+
+@query("op5_preference_pairs", _TURNS)
+def op5_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_pairs(chat.stale_replies(table(spark, sf_dir, "conversations")))
+
+
+@query("op6_arc_to_warc", """
+    WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
+                      upper(sha1(coalesce(html, ''))) AS hex FROM pages),
+    d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), i ->
+            substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + CAST((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31 AS INT), 1)),
+            '') AS payload_digest FROM p),
+    g AS (SELECT payload_digest, payload_bytes, min(page_id) AS first FROM d GROUP BY 1, 2)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to FROM d JOIN g USING (payload_digest, payload_bytes)""")
+def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc.archive_pages(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
