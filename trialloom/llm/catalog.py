@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialloom.llm import arc, chat, decontam, dedup, langid, minhash, pieces, quality, secrets
+from trialloom.llm import arc, chat, decontam, dedup, langid, minhash, pieces, pii, quality, secrets
 from trialloom.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,13 @@ def op5_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arc.archive_pages(table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op10_personal_data")
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, spans = table(spark, sf_dir, "documents"), F.col("spans")
+    found = pii.find_personal_data(docs, pii.learn_field(docs))
+    base = pii.LABELS[1:]
+    return found.select(
+        F.col("id").alias("doc_id"), *[_count(spans, k).alias(f"n_{k}") for k in base],
+        F.sha2(_listed(spans, base), 256).alias("base_sha256"), _listed(spans).alias("spans"))
