@@ -53,7 +53,7 @@ def _locally_frequent(share: float, size: int):
 
         def flush():
             kinds, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_pydict({"shingle": pa.array(kinds[counts >= share * texts].view(np.int64))})
+            return pa.RecordBatch.from_pydict({"shingle": pa.array(kinds[counts > share * texts].view(np.int64))})
 
         for batch in batches:
             for kinds, _ in text_shingles(batch.column(0), size):
@@ -68,7 +68,7 @@ def _locally_frequent(share: float, size: int):
 
 
 def frequent_shingles(docs: DataFrame, text: str = "text", share: float = RARE, size: int = SIZE) -> DataFrame:
-    """(shingle, df) of all shingles in at least ``share`` of the texts, counted exactly.
+    """(shingle, df) of all shingles in more than ``share`` of the texts, counted exactly.
 
     Such a shingle is as frequent in at least one group of texts of any division,
     so groups name candidates and a second pass counts only those.
@@ -103,7 +103,7 @@ def frequent_shingles(docs: DataFrame, text: str = "text", share: float = RARE,
                                                       "n": pa.array(np.ones(len(kinds), np.int64))})
 
         counts = low.mapInArrow(spread, "shingle long, n long")
-    return counts.groupBy("shingle").agg(F.sum("n").alias("df")).where(F.col("df") >= floor)
+    return counts.groupBy("shingle").agg(F.sum("n").alias("df")).where(F.col("df") > floor)
 
 
 class Weights:
@@ -184,12 +184,13 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 def signatures(docs: DataFrame, weights: Weights, key: str = "doc_id", text: str = "text", size: int = SIZE,
                bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(uid, id, mark, first, second, bands), written once: the content hashes and band keys of each document."""
+    """(uid, id, mark, first, second, weight, bands), written once: content hashes, total weight and band keys."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-    kind = pa.struct([("first", pa.int64()), ("second", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    kind = pa.struct([("first", pa.int64()), ("second", pa.int64()), ("weight", pa.float64()),
+                      ("bands", pa.list_(pa.int64()))])
 
-    @F.arrow_udf("struct<first: long, second: long, bands: array<long>>")
+    @F.arrow_udf("struct<first: long, second: long, weight: double, bands: array<long>>")
     def sign(texts: pa.Array) -> pa.Array:
         out = []
         for part in batches_of(texts):
@@ -197,15 +198,16 @@ def signatures(docs: DataFrame, weights: Weights, key: str = "doc_id", text: str
             hashes, start = words(data, cuts)
             for (kinds, counts), a, b in zip(text_shingles(part, size), start[:-1], start[1:], strict=True):
                 if not len(kinds):
-                    out.append({"first": None, "second": None, "bands": None})
+                    out.append(None)
                     continue
                 own = hashes[a:b]
                 place = np.arange(1, len(own) + 1, dtype=np.uint64)
                 content = [mix(own * np.uint64(c) + place).sum(dtype=np.uint64) for c in (3, 0x9E3779B97F4A7C15)]
-                drawn = consistent_samples(kinds, shared.value(kinds, counts), seeds).reshape(bands, rows)
+                own_weights = shared.value(kinds, counts)
+                drawn = consistent_samples(kinds, own_weights, seeds).reshape(bands, rows)
                 keys = windows(drawn.ravel(), rows)[::rows]
                 out.append({"first": content[0].view(np.int64), "second": content[1].view(np.int64),
-                            "bands": keys.view(np.int64)})
+                            "weight": float(own_weights.sum()), "bands": keys.view(np.int64)})
         return pa.array(out, kind)
 
     low = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("id"),
@@ -234,15 +236,22 @@ def links(contents: DataFrame, docs: DataFrame, weights: Weights, key: str, text
           similar: float) -> DataFrame:
     """(a, b): verified links between different contents that share a bucket.
 
-    Round one compares every member of a bucket with its smallest number, the
-    hub. While a bucket has members that no hub was like, some of these become
-    hubs for all of its members (1, 4, 16, ... in a round). It ends when every
-    member has been a hub or is linked to one.
+    Similar contents have total weights within the ratio ``similar``; a bucket is
+    cut by weight on a grid of that ratio, each member in two neighbouring cells. In
+    round one every member is compared with the smallest number, the hub. While a
+    bucket has members that no hub was like, some of these become hubs for all its
+    members (1, 8, 64, ... in a round). It ends when every member has been a
+    hub or is linked to one.
     """
     spark = docs.sparkSession
-    placed = contents.select("uid", F.posexplode("bands").alias("band", "value"))
+    place = ["band", "value", "cell"]
+    placed = contents.select("uid", "weight", F.posexplode("bands").alias("band", "value"))
     several = placed.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value")
-    open_ = settle(placed.join(several, ["band", "value"]).withColumn("open", F.lit(True)), "buckets")
+    cell = F.floor(F.log("weight") / float(-1.0001 * np.log(similar)))
+    split = settle(placed.join(several, ["band", "value"]).select(
+        "band", "value", "uid", F.explode(F.array(cell, cell + 1)).alias("cell")), "cells")
+    meet = split.groupBy(*place).agg(F.count("*").alias("n")).where("n > 1").select(*place)
+    open_ = settle(split.join(meet, place).select(*place, "uid", F.lit(True).alias("open")), "buckets")
     wanted = open_.select("uid").distinct().join(contents.select("uid", "id", "mark"), "uid")
     body = docs.select(F.col(key).alias("id"), row_mark(F.col(text)).alias("mark"), F.lower(text_of(text)).alias("text"))
     texts = settle(wanted.alias("w").join(
@@ -250,27 +259,26 @@ def links(contents: DataFrame, docs: DataFrame, weights: Weights, key: str, text
     ).select("w.uid", "b.text"), "bodies")
     done, width = None, 1
     while True:
-        hubs = open_.where("open").groupBy("band", "value", F.pmod(F.xxhash64("uid"), F.lit(width)).alias("part")).agg(
+        hubs = open_.where("open").groupBy(*place, F.pmod(F.xxhash64("uid"), F.lit(width)).alias("part")).agg(
             F.min("uid").alias("hub"))
-        pairs = settle(open_.join(hubs, ["band", "value"]).where("uid <> hub").select(
-            F.least("uid", "hub").alias("a"), F.greatest("uid", "hub").alias("b")).distinct(), "pairs")
-        fresh = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
+        met = open_.join(hubs, place).where("uid <> hub").withColumns(
+            {"a": F.least("uid", "hub"), "b": F.greatest("uid", "hub")})
+        fresh = met.select("a", "b").distinct()
+        fresh = fresh if done is None else fresh.join(done, ["a", "b"], "left_anti")
         read = fresh.join(texts.select(F.col("uid").alias("b"), F.col("text").alias("_y")), "b").join(
             texts.select(F.col("uid").alias("a"), F.col("text").alias("_x")), "a")
         checked = settle(read.select("a", "b", (_similar(weights, spark, size, F.col("_x"), F.col("_y")) >= similar
                                                 ).alias("alike")).distinct(), "checked")
         done = checked if done is None else done.unionByName(checked)
-        met = open_.join(hubs, ["band", "value"]).select("band", "value", "uid", "hub").where("open")
-        tied = met.withColumn("a", F.least("uid", "hub")).withColumn("b", F.greatest("uid", "hub")).join(
-            done.where("alike"), ["a", "b"]).select("band", "value", "uid").unionByName(
-                hubs.select("band", "value", F.col("hub").alias("uid"))).distinct().withColumn("gone", F.lit(True))
-        open_ = settle(open_.join(tied, ["band", "value", "uid"], "left").withColumn(
-            "open", F.col("open") & F.col("gone").isNull()).drop("gone"), "buckets")
-        live = open_.where("open").select("band", "value").distinct()
-        open_ = open_.join(live, ["band", "value"], "left_semi")
+        gone = met.where("open").join(done.where("alike"), ["a", "b"]).select(*place, "uid").unionByName(
+            hubs.select(*place, F.col("hub").alias("uid"))).distinct().withColumn("gone", F.lit(True))
+        after = open_.join(gone, [*place, "uid"], "left").withColumn(
+            "open", F.col("open") & F.col("gone").isNull()).drop("gone")
+        open_ = settle(after, "buckets")
+        live = open_.where("open").select(*place).distinct()
         if live.isEmpty():
             return done.where("alike").select("a", "b")
-        open_, width = settle(open_, "live"), width * 4
+        open_, width = open_.join(live, place, "left_semi"), width * 8
 
 
 def classes(edges: DataFrame) -> DataFrame:
@@ -310,9 +318,10 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     weights = corpus_weights(docs, text, rare, size)
     signed = signatures(docs, weights, key, text, size, bands, rows)
     contents = settle(signed.where("first is not null").groupBy("first", "second").agg(
-        F.min(_rank()).alias("top"), F.first("bands").alias("bands"), F.min_by("mark", _rank()).alias("mark"),
+        F.min(_rank()).alias("top"), F.first("bands").alias("bands"), F.first("weight").alias("weight"),
+        F.min_by("mark", _rank()).alias("mark"),
         F.count("*").alias("n")
-    ).select("first", "second", F.col("top.uid").alias("uid"), F.col("top.id").alias("id"), "mark", "bands", "n"),
+    ).select("first", "second", F.col("top.uid").alias("uid"), F.col("top.id").alias("id"), "mark", "weight", "bands", "n"),
         "contents")
     edges = settle(links(contents, docs, weights, key, text, size, similar), "edges")
     roots = settle(classes(edges), "roots")
