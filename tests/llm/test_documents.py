@@ -145,7 +145,7 @@ def test_later_rounds_find_links_between_others_than_the_first_hub(spark):
     docs = make(spark, rows)
     weights = minhash.Weights(np.zeros(0, np.uint64), np.zeros(0), len(rows))
     signed = minhash.signatures(docs, weights).withColumn("bands", F.array(F.lit(1).cast("long"))).withColumn(
-        "weight", F.lit(1.0))
+        "weight", F.lit(1.0)).withColumn("n", F.lit(1))
     edges = minhash.links(signed, docs, weights, "doc_id", "text", 5, 0.8)
     ids = {r.uid: r.id for r in signed.collect()}
     root = {ids[r.uid]: r.root for r in minhash.classes(edges).collect()}

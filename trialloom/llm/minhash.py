@@ -24,7 +24,7 @@ from trialloom.session import settle
 
 SIZE, BANDS, ROWS, SIMILAR = 5, 14, 4, 0.8
 #: Share of all texts from which on a shingle counts as frequent.
-RARE = 0.001
+RARE = 0.02
 #: Shingles that pass as locally frequent and may be broadcast for the exact count (16 MB); beyond it they are counted by a shuffle.
 MAX_CANDIDATES = 2_000_000
 
@@ -238,20 +238,20 @@ def links(contents: DataFrame, docs: DataFrame, weights: Weights, key: str, text
 
     Similar contents have total weights within the ratio ``similar``; a bucket is
     cut by weight on a grid of that ratio, each member in two neighbouring cells. In
-    round one every member is compared with the smallest number, the hub. While a
+    round one every member is compared with the hub, the content of most copies. While a
     bucket has members that no hub was like, some of these become hubs for all its
     members (1, 8, 64, ... in a round). It ends when every member has been a
     hub or is linked to one.
     """
     spark = docs.sparkSession
     place = ["band", "value", "cell"]
-    placed = contents.select("uid", "weight", F.posexplode("bands").alias("band", "value"))
+    placed = contents.select("uid", "weight", "n", F.posexplode("bands").alias("band", "value")).withColumnRenamed("n", "copies")
     several = placed.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value")
     cell = F.floor(F.log("weight") / float(-1.0001 * np.log(similar)))
     split = settle(placed.join(several, ["band", "value"]).select(
-        "band", "value", "uid", F.explode(F.array(cell, cell + 1)).alias("cell")), "cells")
+        "band", "value", "uid", "copies", F.explode(F.array(cell, cell + 1)).alias("cell")), "cells")
     meet = split.groupBy(*place).agg(F.count("*").alias("n")).where("n > 1").select(*place)
-    open_ = settle(split.join(meet, place).select(*place, "uid", F.lit(True).alias("open")), "buckets")
+    open_ = settle(split.join(meet, place).select(*place, "uid", "copies", F.lit(True).alias("open")), "buckets")
     wanted = open_.select("uid").distinct().join(contents.select("uid", "id", "mark"), "uid")
     body = docs.select(F.col(key).alias("id"), row_mark(F.col(text)).alias("mark"), F.lower(text_of(text)).alias("text"))
     texts = settle(wanted.alias("w").join(
@@ -260,7 +260,7 @@ def links(contents: DataFrame, docs: DataFrame, weights: Weights, key: str, text
     done, width = None, 1
     while True:
         hubs = open_.where("open").groupBy(*place, F.pmod(F.xxhash64("uid"), F.lit(width)).alias("part")).agg(
-            F.min("uid").alias("hub"))
+            F.min(F.struct((-F.col("copies")).alias("few"), "uid"))["uid"].alias("hub"))
         met = open_.join(hubs, place).where("uid <> hub").withColumns(
             {"a": F.least("uid", "hub"), "b": F.greatest("uid", "hub")})
         fresh = met.select("a", "b").distinct()
