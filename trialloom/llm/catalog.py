@@ -121,7 +121,7 @@ def op5_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_arc_to_warc", """
     WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
                       upper(sha1(coalesce(html, ''))) AS hex FROM pages),
-    d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), i ->
+    d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i:
             substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                    1 + CAST((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31 AS INT), 1)),
             '') AS payload_digest FROM p),

@@ -25,8 +25,8 @@ from sentencepiece import SentencePieceProcessor
 from trialloom.llm.common import bounded_batches, text_of
 
 MARK = "▁"
-#: Words held by a worker's table before it starts anew; bounds memory only.
-WORDS = 400_000
+#: Words in a worker's table before it begins another and keeps this one to look up; bounds memory only.
+WORDS = 300_000
 
 
 class Pieces:
@@ -55,11 +55,28 @@ class Pieces:
         for piece, i in self.ids.items():
             self.automaton.add_word(piece, i)
         self.automaton.make_automaton()
-        # a line end that no piece has cuts words too
-        line = "" if any("\n" in p for p in self.ids) else "\n"
-        self.word = re.compile(f"{MARK}+[^{MARK}{line}]*|[^{MARK}{line}]+" + ("|\n" if line else ""))
+        self.word = re.compile(self._cuts())
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        sizes = np.array([len(c) for c in self.content])
+        self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
+        self.blob = np.frombuffer(b"".join(self.content), np.uint8)
+
+    def _cuts(self) -> str:
+        """Pattern of words: runs that end where no piece has the two characters that meet there.
+
+        A word begins with a mark; letters end before a sign that follows no letter in
+        any piece; a line end that no piece has stands alone.
+        """
+        inside = {(a, b) for p in self.ids for a, b in zip(p, p[1:], strict=False)}
+        line = "" if any("\n" in p for p in self.ids) else "\n"
+        letters = [chr(c) for c in range(65, 383) if chr(c).isalpha()]
+        signs = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+        signs = [c for c in signs if not any((a, c) in inside for a in letters)]
+        signs = "".join(map(re.escape, signs)) + MARK + line
+        return (f"{MARK}*[{''.join(letters)}]+(?=[{signs}]|\\Z)|{MARK}+[^{MARK}{line}]*|[^{MARK}{line}]+"
+                + ("|\n" if line else ""))
 
     def merge(self, text: str) -> list[str]:
         """Plain BPE of a short text: the best pair of neighbours is merged, of equals the first."""
@@ -123,27 +140,35 @@ class Pieces:
                 out.append(self.unknown)
         return tuple(reversed(out))
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a text with begin and end ids, as the library gives them (an empty text: only these)."""
+    def _learn(self, words: list[str]) -> None:
+        """Have all of ``words`` in the table; of the words before, those not met lately are given up."""
+        known = self.words
+        for word in set(words):
+            if word not in known:
+                own = self.older.get(word)
+                known[word] = np.array(self.encode_word(word), "<u4").tobytes() if own is None else own
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text with begin and end ids, as the library gives them, as little-endian 32-bit integers."""
+        begin, end = (np.array([i], "<u4").tobytes() for i in (self.begin, self.end))
         if not text:
-            return np.array([self.begin, self.end], "<u4")
-        known, ids = self.words, [self.begin]
-        for word in self.word.findall(MARK + text.replace(" ", MARK)):
-            own = known.get(word)
-            if own is None:
-                if len(known) >= WORDS:
-                    known.clear()
-                own = self.encode_word(word)
-                if len(word) <= 64:
-                    known[word] = own
-            ids.extend(own)
-        ids.append(self.end)
-        return np.array(ids, "<u4")
+            return begin + end
+        words = self.word.findall(MARK + text.replace(" ", MARK))
+        try:
+            return begin + b"".join([self.words[w] for w in words]) + end
+        except KeyError:
+            self._learn(words)
+        out = begin + b"".join([self.words[w] for w in words]) + end
+        if len(self.words) > WORDS or max(map(len, words)) > 1000:
+            self.words, self.older = {}, {w: ids for w, ids in self.words.items() if len(w) <= 64}
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids; control ids give nothing, the space put before the first piece goes."""
-        content = self.content
-        text = b"".join([content[i] for i in ids.tolist()]).decode("utf-8", "replace")
+        size = self.sizes[ids]
+        end = np.cumsum(size)
+        at = np.repeat(self.starts[ids] - end + size, size) + np.arange(end[-1] if len(end) else 0)
+        text = self.blob[at].tobytes().decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -174,7 +199,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, text: str = "tex
     @F.arrow_udf("binary")
     def encode(batch: pa.Array) -> pa.Array:
         pieces = load(path)
-        return pa.array([pieces.encode(t).tobytes() for t in batch.to_pylist()], pa.binary())
+        return pa.array([pieces.encode(t) for t in batch.to_pylist()], pa.binary())
 
     return docs.withColumn(out, encode(text_of(text)))
 
