@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialloom.llm.common import bounded_batches, held_out
+from trialloom.llm.lattice import Lattice, by_length
 from trialloom.llm.pieces import MARK, model_path
 
 #: A longer word is cut into parts of so many characters before the forward pass.
@@ -38,57 +39,6 @@ def vocabulary(path: str | None = None) -> list[str]:
     return list(dict.fromkeys(model.id_to_piece(i).lower() for i in plain))
 
 
-class Lattice:
-    """All piece matches of many words at once."""
-
-    def __init__(self, pieces: list[str]):
-        self.longest = max(map(len, pieces))
-        keys = np.array([self._key(np.array([[ord(c) for c in p]]))[0] for p in pieces], np.uint64)
-        order = np.argsort(keys)
-        self.keys, self.ids = keys[order], order
-        self.near = np.zeros(1 << 20, bool)
-        self.near[self.keys >> np.uint64(44)] = True
-
-    @staticmethod
-    def _key(codes: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(codes), np.uint64)
-        for k in range(codes.shape[1]):
-            h = Lattice._step(h, codes[:, k])
-        return h
-
-    @staticmethod
-    def _step(h: np.ndarray, code: np.ndarray) -> np.ndarray:
-        h = (h ^ (code.astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
-        return h ^ (h >> np.uint64(29))
-
-    def matches(self, codes: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-        """For (start, length): the rows of ``codes`` (words of one length) that have a piece there, and the pieces."""
-        n, out = codes.shape[1], {}
-        for start in range(n):
-            h = np.zeros(len(codes), np.uint64)
-            for size in range(1, min(self.longest, n - start) + 1):
-                h = self._step(h, codes[:, start + size - 1])
-                rows = np.flatnonzero(self.near[h >> np.uint64(44)])
-                if len(rows):
-                    at = np.minimum(np.searchsorted(self.keys, h[rows]), len(self.keys) - 1)
-                    hit = self.keys[at] == h[rows]
-                    if hit.any():
-                        out[start, size] = rows[hit], self.ids[at[hit]]
-        return out
-
-
-def _by_length(words: list[str]):
-    """(indices, code points) of the words of each length; longer words are cut before."""
-    groups: dict[int, list[int]] = {}
-    for k, w in enumerate(words):
-        groups.setdefault(len(w), []).append(k)
-    for n, own in groups.items():
-        for at in range(0, len(own), 20_000):
-            part = own[at:at + 20_000]
-            yield np.array(part), np.frombuffer("".join(words[k] for k in part).encode("utf-32-le", "surrogatepass"),
-                                                np.uint32).reshape(len(part), n)
-
-
 def _cut(word: str) -> list[str]:
     return [word[k:k + LONGEST] for k in range(0, len(word), LONGEST)]
 
@@ -115,7 +65,7 @@ def word_scores(lattice: Lattice, words: list[str], probs: np.ndarray) -> np.nda
             parts.append(p)
             owner.append(k)
     out = np.zeros((len(words), probs.shape[1]))
-    for rows, codes in _by_length(parts):
+    for rows, codes in by_length(parts):
         np.add.at(out, np.array(owner)[rows], np.log(forward(lattice, codes, probs)[-1] + 1e-300))
     return out
 
@@ -129,7 +79,7 @@ def expected_counts(lattice: Lattice, words: list[str], counts: np.ndarray, prob
             parts.append(p)
             weight.append(c)
     weight = np.array(weight, float)
-    for rows, codes in _by_length(parts):
+    for rows, codes in by_length(parts):
         found = lattice.matches(codes)
         n = codes.shape[1]
         alpha = forward(lattice, codes, probs, found)[:, :, 0]

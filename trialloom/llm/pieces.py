@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
-from trialloom.llm.common import bounded_batches, text_of
+from trialloom.llm.common import batches_of, bounded_batches, text_of
+from trialloom.llm.lattice import Lattice, by_length
 
 MARK = "▁"
 #: Words in a worker's table before it begins another and keeps this one to look up; bounds memory only.
@@ -56,7 +57,12 @@ class Pieces:
             self.automaton.add_word(piece, i)
         self.automaton.make_automaton()
         self.word = re.compile(self._cuts())
+        self.lattice = Lattice(list(self.ids))
+        self.own = np.array(list(self.ids.values()))  # id of each piece of the lattice
+        self.width = np.array(self.length)
         self.pairs: dict[int, bool] = {}
+        self.met = np.full(1 << 20, -2, np.int64)  # pairs met lately, by a hash, and whether they are compatible
+        self.fits = np.zeros(1 << 20, bool)
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         sizes = np.array([len(c) for c in self.content])
@@ -140,27 +146,90 @@ class Pieces:
                 out.append(self.unknown)
         return tuple(reversed(out))
 
-    def _learn(self, words: list[str]) -> None:
-        """Have all of ``words`` in the table; of the words before, those not met lately are given up."""
-        known = self.words
-        for word in set(words):
-            if word not in known:
-                own = self.older.get(word)
-                known[word] = np.array(self.encode_word(word), "<u4").tobytes() if own is None else own
+    def _fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``compatible`` for arrays of tokens."""
+        pair = left << 32 | right
+        slot = (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
+        new = np.flatnonzero(self.met[slot] != pair)
+        if len(new):
+            if len(self.pairs) > 500_000:
+                self.pairs.clear()
+            for p in np.unique(pair[new]).tolist():
+                if p not in self.pairs:
+                    self.pairs[p] = self.compatible(p >> 32, p & 0xFFFFFFFF)
+            known = np.array([self.pairs[p] for p in pair[new].tolist()])
+            out = self.fits[slot]
+            out[new] = known
+            _, own = np.unique(slot[new], return_index=True)  # two pairs may want one place
+            self.met[slot[new[own]]], self.fits[slot[new[own]]] = pair[new[own]], known[own]
+            return out
+        return self.fits[slot]
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """``encode_word`` for many words, a column of the tables at a time; long or unusual words one by one."""
+        out: list[bytes | None] = [None] * len(words)
+        short = [k for k, w in enumerate(words) if len(w) <= 32]
+        for rows, codes in by_length([words[k] for k in short]):
+            n, size = codes.shape[1], self.size
+            found = self.lattice.matches(codes)
+            last = np.full((n + 1, len(codes)), -1, np.int64)
+            for end in range(1, n + 1):
+                for length in range(min(self.lattice.longest, end), 0, -1):
+                    if (hit := found.get((end - length, length))) is None:
+                        continue
+                    open_ = last[end][hit[0]] < 0
+                    at, right = hit[0][open_], self.own[hit[1][open_]]
+                    if len(at):
+                        ok = self._fit(last[end - length][at], right)
+                        last[end][at[ok]] = right[ok]
+                rest = last[end] < 0
+                last[end][rest] = size + codes[rest, end - 1].astype(np.int64)
+            tokens = np.zeros((len(codes), n), "<u4")
+            place, word = np.full(len(codes), n), np.arange(len(codes))
+            odd = np.zeros(len(codes), bool)
+            used = np.zeros((len(codes), n), bool)
+            column = n
+            while len(word):
+                token = last[place[word], word]
+                odd[word] |= token >= size
+                word, token = word[token < size], token[token < size]
+                column -= 1
+                tokens[word, column], used[word, column] = token, True
+                place[word] -= self.width[token]
+                word = word[place[word] > 0]
+            ends = np.cumsum(used.sum(axis=1)) * 4
+            data = tokens[used].tobytes()
+            for k, a, b, strange in zip(rows.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), odd.tolist(), strict=True):
+                if not strange:
+                    out[short[k]] = data[a:b]
+        return [np.array(self.encode_word(w), "<u4").tobytes() if o is None else o for w, o in zip(words, out, strict=True)]
+
+    def split(self, text: str) -> list[list[str]]:
+        """Words of a text, in parts of about a million characters."""
+        text, parts, at = MARK + text.replace(" ", MARK), [], 0
+        while at < len(text):
+            cut = re.compile(f"[^{MARK}]{MARK}").search(text, at + 1_000_000)
+            to = cut.start() + 1 if cut else len(text)
+            parts.append(self.word.findall(text, at, to))
+            at = to
+        return parts
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text with begin and end ids, as the library gives them, as little-endian 32-bit integers."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts with begin and end ids, as the library gives them, as little-endian 32-bit integers."""
         begin, end = (np.array([i], "<u4").tobytes() for i in (self.begin, self.end))
-        if not text:
-            return begin + end
-        words = self.word.findall(MARK + text.replace(" ", MARK))
-        try:
-            return begin + b"".join([self.words[w] for w in words]) + end
-        except KeyError:
-            self._learn(words)
-        out = begin + b"".join([self.words[w] for w in words]) + end
-        if len(self.words) > WORDS or max(map(len, words)) > 1000:
-            self.words, self.older = {}, {w: ids for w, ids in self.words.items() if len(w) <= 64}
+        cut = [self.split(t) if t else [] for t in texts]
+        known, older = self.words, self.older
+        new: set[str] = set()
+        for parts in cut:
+            new.update(*parts)
+        new -= known.keys()
+        for w in new & older.keys():
+            known[w] = older[w]
+        fresh = list(new - older.keys())
+        known.update(zip(fresh, self.encode_words(fresh), strict=True))
+        out = [begin + b"".join([known[w] for words in parts for w in words]) + end for parts in cut]
+        if len(known) > WORDS:
+            self.words, self.older = {}, {w: ids for w, ids in known.items() if len(w) <= 64}
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -199,9 +268,10 @@ def encode_documents(docs: DataFrame, model: str | None = None, text: str = "tex
     @F.arrow_udf("binary")
     def encode(batch: pa.Array) -> pa.Array:
         pieces = load(path)
-        return pa.array([pieces.encode(t) for t in batch.to_pylist()], pa.binary())
+        return pa.array([ids for part in batches_of(batch, 4 << 20) for ids in pieces.encode(part.to_pylist())], pa.binary())
 
-    return docs.withColumn(out, encode(text_of(text)))
+    # not merged into what reads the ids: it would run once for each reader
+    return docs.withColumn(out, encode.asNondeterministic()(text_of(text)))
 
 
 def decode_documents(docs: DataFrame, model: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
