@@ -172,7 +172,7 @@ def _write(rows: DataFrame, path: str, end: str) -> None:
 def write_arc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html",
               date: str = "20240101000000", limit: int = ARCHIVE_BYTES) -> None:
     """Pack pages into ARC files of about ``limit`` bytes, versions 1 and 2 in turn; no shuffle."""
-    bounded_batches(pages.sparkSession, 200)
+    bounded_batches(pages.sparkSession)
 
     def pack(batches):
         from pyspark import TaskContext
@@ -219,7 +219,7 @@ def convert(spark, source: str, target: str, least: int = 0) -> None:
     smallest page id stays a response and the others become revisits. A first
     pass takes digests only; the verdicts on a file's records join its content.
     """
-    bounded_batches(spark, 8)
+    bounded_batches(spark)
 
     def digests(batches):
         for batch in batches:
@@ -258,7 +258,7 @@ def read_back(spark, path: str) -> DataFrame:
 
     A response's payload is digested anew and must agree with its header.
     """
-    bounded_batches(spark, 8)
+    bounded_batches(spark)
 
     def read(batches):
         for batch in batches:

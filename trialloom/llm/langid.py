@@ -137,13 +137,21 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
         def expect(batches, now=now):
             total: dict[str, np.ndarray] = {}
+            held: dict[str, list] = {}
+
+            def flush(name):
+                at, own = languages.index(name), held.pop(name)
+                use = expected_counts(shared.value, [MARK + w for w, _ in own], np.array([n for _, n in own]),
+                                      now.value[:, at:at + 1])
+                total[name] = total.get(name, 0) + use
+
             for batch in batches:
-                frame = batch.to_pandas()
-                for name, own in frame.groupby("lang"):
-                    at = languages.index(name)
-                    use = expected_counts(shared.value, [MARK + w for w in own["w"]], own["n"].to_numpy(),
-                                          now.value[:, at:at + 1])
-                    total[name] = total.get(name, 0) + use
+                for name, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    held.setdefault(name, []).append((word, n))
+                for name in [k for k, own in held.items() if len(own) > 50_000]:
+                    flush(name)
+            for name in list(held):
+                flush(name)
             for name, use in total.items():
                 at = np.flatnonzero(use > 0)
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(at)), "piece": pa.array(at),

@@ -12,7 +12,9 @@ class Lattice:
 
     def __init__(self, pieces: list[str]):
         self.longest = max(map(len, pieces))
-        keys = np.array([self._key(np.array([[ord(c) for c in p]]))[0] for p in pieces], np.uint64)
+        keys = np.zeros(len(pieces), np.uint64)
+        for rows, codes in by_length(pieces):
+            keys[rows] = self._key(codes)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], order
         self.near = np.zeros(1 << 20, bool)

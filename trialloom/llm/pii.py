@@ -28,7 +28,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # a start inside a run of digits changes nothing
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_NODE = re.compile(r"[^\s]*[0-9@][^\s]*")
+_WORD = re.compile(r"\S+")
+_MARKED = re.compile("[0-9@]")
 #: Documents with a token of interest that teach, about (by a hash of the id).
 SAMPLE = 1500
 DIMS, ROUNDS = 1 << 12, 6
@@ -107,8 +108,10 @@ def shape(word: str) -> str:
 def graph(text: str) -> Graph:
     """The graph of a text. Skip edges link a token with the next one like it: as many edges as tokens at most."""
     places, words, features, chain, skip, last = [], [], [], [], [], {}
-    for m in _NODE.finditer(text):
+    for m in _WORD.finditer(text) if _MARKED.search(text) else ():
         k, word = len(places), m.group()
+        if not _MARKED.search(word):
+            continue
         before = text[max(0, m.start() - 24):m.start()].rstrip().rpartition(" ")[2].lower()
         digits = sum(c.isdigit() for c in word)
         names = ["bias", f"shape={shape(word)}", f"before={before}", f"digits={min(digits, 20)}",
