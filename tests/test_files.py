@@ -102,6 +102,21 @@ def test_incremental_run(spark, tmp_path):
     assert spark.read.parquet(f"{root}/data").agg(F.sum("value")).first()[0] == data.agg(F.sum("value")).first()[0]
 
 
+@pytest.mark.parametrize("lost,reason", [("DataSHA256", "hash_mismatch:data"), ("RowCount", "row_count_mismatch"),
+                                         ("RepeatEnd", "manifest_mismatch:RepeatEnd")])
+def test_a_manifest_without_a_field_is_not_valid(spark, tmp_path, lost, reason):
+    data = spark.range(1, 11).select(F.lit(1).alias("cond"), F.col("id").alias("unit"), (F.col("id") * 3).alias("value"))
+    root, units = str(tmp_path / "run"), data.select("cond", "unit")
+    args = (lambda due: data.join(due, ["cond", "unit"], "left_semi"), root, 10,
+            "cond int, unit bigint, value bigint, chunk bigint", ["unit"])
+    run_incremental(units, *args)
+    kept = spark.read.json(f"{root}/manifest").drop(lost)
+    rows = kept.collect()
+    spark.createDataFrame(rows, kept.schema).write.mode("overwrite").partitionBy("cond", "chunk").json(f"{root}/manifest")
+    assert outcomes(run_incremental(units, *args)) == {(1, 0): f"recomputed-invalid:{reason}"}
+    assert set(outcomes(run_incremental(units, *args)).values()) == {"skipped-valid"}
+
+
 def seq_rows(n=6, k=9):
     return [(0, u, "A", c, (u * c + c) % 4) for u in range(n) for c in range(1, k + 1)]
 

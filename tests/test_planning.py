@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trialloom.operators import planning, resampling
+from trialloom.operators import planning, ratios, resampling
 from trialloom.registry import STATISTICS
 
 COLS = "cond int, unit int, method string, " + ", ".join(f"{c} bigint" for c in STATISTICS)
@@ -72,7 +72,7 @@ def test_interval_needs_two_defined_values(spark):
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_bootstrap_by_hand(spark, broadcast, monkeypatch):
     if not broadcast:
-        monkeypatch.setattr(resampling, "BROADCAST_ROWS", 1)
+        monkeypatch.setattr(resampling, "BROADCAST_BYTES", 1)
     rows = rows_of(12, 9)
     stats = resampling.wide_statistics(spark.createDataFrame(rows, COLS), ["T", "TW"])
     drawn = resampling.draws(stats, 4).persist()
@@ -92,3 +92,44 @@ def test_contrast_is_undefined_with_either_side(spark):
                                "cond int, boot int, method string, metric string, value double").withColumn("defined", F.col("value").isNotNull())
     got = {r["contrast"]: (r["value"], r["defined"]) for r in resampling.contrasts(df).collect()}
     assert got == {"TW-T": (None, False), "TW-W": (0.25, True)}
+
+
+def test_gapped_ids_are_refused_and_renumbered(spark):
+    rows = [r for r in rows_of(5, 10) if r[1] != 3]
+    stats = resampling.wide_statistics(spark.createDataFrame(rows, COLS), ["T", "TW"])
+    with pytest.raises(ValueError, match="without gaps"):
+        resampling.draws(stats, 6)
+    dense = resampling.dense_units(stats)
+    assert sorted((r["unit_id"], r["unit"]) for r in dense.collect()) == [(1, 1), (2, 2), (4, 3), (5, 4)]
+    dense = dense.drop("unit_id").withColumn("one", F.lit(10))
+    drawn = resampling.draws(dense, 6)
+    assert [r["one"] for r in resampling.resample_sums(dense, drawn).collect()] == [40] * 6
+    with pytest.raises(Exception, match="without statistics"):
+        resampling.resample_sums(dense.filter("unit <> 2"), drawn).collect()
+
+
+def test_statistics_are_checked_before_they_are_loaded(spark):
+    rm = spark.createDataFrame(rows_of(4, 5), COLS)
+    assert ratios.load_statistics(rm).count() == 8
+    stat = F.col(STATISTICS[0])
+    for bad, fault in ((rm.unionByName(rm.limit(1)), "repeated"), (rm.withColumn(STATISTICS[0], -stat - 1), "negative"),
+                       (rm.withColumn(STATISTICS[0], F.when(F.col("unit") > 1, stat)), "nulls"),
+                       (rm.filter("NOT (unit = 2 AND method = 'T')"), "incomplete")):
+        assert ratios.statistics_faults(bad).first()[fault] > 0
+        with pytest.raises(ValueError, match="cannot be resampled"):
+            ratios.load_statistics(bad)
+
+
+def test_variance_of_very_large_counts(spark):
+    """Nearly constant ratios of counts up to 1e12 against exact rationals."""
+    from fractions import Fraction
+
+    rnd = random.Random(12)
+    n, (a, b, _) = 1999, planning.CORE_RATIOS["P_C_given_C"]
+    pairs = [(x := rnd.randint(10 ** 9, 2 * 10 ** 12), 2 * x + rnd.randint(0, 1)) for _ in range(n)]
+    rows = [(1, u + 1, "T", *[y if s == b else x if s == a else 1 for s in STATISTICS]) for u, (x, y) in enumerate(pairs)]
+    got = {r["metric"]: r["variance"] for r in planning.precision_individual(spark.createDataFrame(rows, COLS)).collect()}
+    sa, sb = sum(x for x, _ in pairs), sum(y for _, y in pairs)
+    psi = [(x - Fraction(sa, sb) * y) / Fraction(sb, n) for x, y in pairs]
+    want = float(sum(p * p for p in psi) / (n - 1))
+    assert got["P_C_given_C"] == pytest.approx(want, rel=1e-9) and want < 1e-20

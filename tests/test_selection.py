@@ -36,6 +36,7 @@ def test_selection_ignores_order_and_salting(spark, parts, hot):
             for u in range(4) for i in range(40)]
     c = spark.createDataFrame(rows, COLS).repartition(parts)
     inside = selection.gate_join(c, gates(spark, 4), hot_rows=hot)
+    assert "_salt" not in inside.columns and len(inside.columns) == len(c.columns) + len(gates(spark, 4).columns) - 2
     best = {r["unit"]: r for r in selection.pick_all(inside, selection.scores(10, 1)).collect()}
     for u in range(4):
         cand = [r for r in rows if r[0] == u and 50 <= r[2] < 150]

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from trialloom import skew
 from trialloom.operators import ratios, sequence
 from trialloom.registry import COUNTS, STATES
 
@@ -57,7 +58,9 @@ def brute(codes):
 
 
 @pytest.mark.parametrize("block,parts", [(1, 1), (3, 8), (7, 3), (64, 8)])
-def test_blocks_and_partitions_do_not_matter(spark, block, parts):
+@pytest.mark.parametrize("hot", [1, 10 ** 6])
+def test_blocks_and_partitions_do_not_matter(spark, block, parts, hot, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", hot)
     rnd = random.Random(5)
     units = {u: [rnd.choice([0, 1, 1, 2, 3]) for _ in range(rnd.randint(1, 60))] for u in range(25)}
     rows = [(0, u, "A", c, code, c // block) for u, codes in units.items() for c, code in enumerate(codes)]
@@ -108,3 +111,22 @@ def test_ratio_of_sums_and_zero_denominators(spark):
     flat = ratios.ratio_metrics(ratios.totals(rm), k=4).first()
     assert flat["P_E_H_undefined_reason"] == "E_COUNT_ZERO" and flat["P_E_H_value"] is None
     assert flat["P_cor_value"] == 0.0 and flat["R"] == 2000
+
+
+@pytest.mark.parametrize("hot", [1, 10 ** 6])
+def test_neighbours_and_ordinals_with_and_without_heavy_keys(spark, hot, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", hot)
+    rnd = random.Random(8)
+    codes = {u: [rnd.choice([0, 1, 2]) for _ in range(rnd.randint(1, 40))] for u in range(12)}
+    rows = [(0, u, "A", c, code, c // 5) for u, own in codes.items() for c, code in enumerate(own)]
+    seq = spark.createDataFrame(rows, "cond int, unit bigint, method string, cycle bigint, code int, cut bigint").repartition(4)
+    got = {(r["unit"], r["cycle"]): (r["prev_state"], r["state"], r["next_state"])
+           for r in sequence.with_neighbours(seq, block="cut").collect()}
+    names = "NCE"
+    for u, own in codes.items():
+        for c, code in enumerate(own):
+            assert got[u, c] == (names[own[c - 1]] if c else None, names[code], names[own[c + 1]] if c + 1 < len(own) else None)
+    out = skew.ordinal(seq, ["unit"], ["cycle"], ["cut"], "place")
+    assert out.columns == [*seq.columns, "place"] and all(r["place"] == r["cycle"] + 1 for r in out.collect())
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert hot == 1 or plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan

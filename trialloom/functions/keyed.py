@@ -39,6 +39,20 @@ def keyed_seed(namespace: str | int, family: str | int, seed: str = SEED_TEXT) -
     return int.from_bytes(first, "little"), int.from_bytes(second, "little")
 
 
+def keyed_seed_columns(namespace: Column | str, family: Column | str, seed: str = SEED_TEXT) -> tuple[Column, Column]:
+    """``keyed_seed`` for columns of namespace and family numbers."""
+    def little(n: Column) -> Column:
+        return F.concat(*[F.lpad(F.hex(F.shiftright(n, 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(4)])
+
+    text = F.concat(F.lit(hashlib.sha256(seed.encode("ascii")).hexdigest()), little(col(namespace)), little(col(family)))
+    digest = F.sha2(F.unhex(text), 256)
+
+    def word(at: int) -> Column:
+        return F.conv(F.concat(*[F.substring(digest, at + 2 * i, 2) for i in (3, 2, 1, 0)]), 16, 10).cast("bigint")
+
+    return word(1), word(9)
+
+
 def split64(n: Column | str) -> tuple[Column, Column]:
     """Low and high 32-bit words of a bigint in two's complement."""
     c = col(n).cast("bigint")

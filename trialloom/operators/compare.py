@@ -111,8 +111,14 @@ def forbidden_rows(df: DataFrame, columns: Sequence[str], labels: Sequence[str])
     return df.filter(F.exists(F.array(*[F.col(c).cast("string") for c in columns]), lambda x: x.isin(list(labels))))
 
 
-def forbidden_columns(df: DataFrame, names: Sequence[str]) -> list[str]:
-    return sorted(set(df.columns) & set(names))
+def forbidden_names(names: DataFrame, column: str, pattern: str) -> DataFrame:
+    """Column names, file names or paths that match a forbidden pattern, without regard to case."""
+    return names.filter(F.col(column).rlike(f"(?i){pattern}"))
+
+
+def forbidden_columns(df: DataFrame, pattern: str) -> DataFrame:
+    """The forbidden columns of a table, one row each."""
+    return forbidden_names(df.sparkSession.createDataFrame([(c,) for c in df.columns], "name string"), "name", pattern)
 
 
 def forbidden_fields(manifests: DataFrame, body: str, names: Sequence[str]) -> DataFrame:

@@ -1,11 +1,9 @@
 """Sample-size planning from the influence of each unit on a ratio of sums.
 
 With counts A and B per unit, theta = sum A / sum B and B' = sum B / n, the
-influence of a unit is psi = (A - theta * B) / B'. Its mean is zero by
-construction, so its variance follows from five sums that one map-side combined
-aggregation yields. The sums are exact decimals: the centred numerator
-``SB^2 * SAA - 2 * SA * SB * SAB + SA^2 * SBB`` is an integer and loses nothing
-to cancellation; only when it needs more than 38 digits does the double form step in.
+influence of a unit is psi = (A - theta * B) / B'. Sums come first, one row per
+cell; units look them up and the variance of their influences follows from
+mergeable central moments, so counts of any size lose nothing to cancellation.
 """
 
 from __future__ import annotations
@@ -22,7 +20,6 @@ from trialloom.registry import CORE_RATIOS, MIN_DENOMINATOR, MIN_POSITIVE_UNITS,
 from trialloom.skew import lookup_join
 
 METRICS = tuple(CORE_RATIOS)
-EXACT = "decimal(38,0)"
 
 
 def decision_input(rm: DataFrame, conditions: Sequence[int] = range(1, 19), methods: Sequence = ("T", "TW"),
@@ -34,28 +31,14 @@ def decision_input(rm: DataFrame, conditions: Sequence[int] = range(1, 19), meth
         cond, method, *extra, unit, *STATISTICS)
 
 
-def _exact(c: str) -> Column:
-    return F.col(c).cast("decimal(19,0)")
+def _psi(a: str, b: str, sa: str, sb: str, n: str = "_n") -> Column:
+    """Influence of a unit; null if the cell has no denominator.
 
-
-def _moment(a: str, b: str) -> Column:
-    return F.sum((_exact(a) * _exact(b)).cast(EXACT))
-
-
-def _times(*factors: Column) -> Column:
-    return reduce(F.try_multiply, [f.cast(EXACT) for f in factors])
-
-
-def _centred(sb1, sb2, saa, sa1, sab, sa2, sba, sbb) -> Column:
-    """Double of the exact SB1*SB2*SAA - SB1*SA2*SAB - SA1*SB2*SBA + SA1*SA2*SBB."""
-    plus = F.try_add(_times(sb1, sb2, saa), _times(sa1, sa2, sbb))
-    minus = F.try_add(_times(sb1, sa2, sab), _times(sa1, sb2, sba))
-
-    def d(*xs):
-        return reduce(lambda x, y: x * y, [x.cast("double") for x in xs])
-
-    rough = d(sb1, sb2, saa) + d(sa1, sa2, sbb) - d(sb1, sa2, sab) - d(sa1, sb2, sba)
-    return F.coalesce(F.try_subtract(plus, minus).cast("double"), rough)
+    The numerator A * sum B - sum A * B is an exact integer: products of counts fit 38 digits.
+    """
+    x, y, sx, sy = (F.col(c).cast("decimal(19,0)") for c in (a, b, sa, sb))
+    total = F.col(sb).cast("double")
+    return F.try_divide(F.try_divide((x * sy - sx * y).cast("double"), total) * F.col(n), total)
 
 
 def influence(rm: DataFrame, cell: Sequence[str] = CELL, unit: str = "unit", k: int | None = None) -> DataFrame:
@@ -66,9 +49,8 @@ def influence(rm: DataFrame, cell: Sequence[str] = CELL, unit: str = "unit", k:
     rows = lookup_join(pairs, sums, cell)
     items = []
     for m in METRICS:
-        a, b, sa, sb = (F.col(c).cast("double") for c in (f"A_{m}", f"B_{m}", f"_SA_{m}", f"_SB_{m}"))
-        theta = F.try_divide(sa, sb)
-        psi = F.try_divide(a - theta * b, sb / F.col("_n"))
+        theta = F.try_divide(F.col(f"_SA_{m}").cast("double"), F.col(f"_SB_{m}").cast("double"))
+        psi = _psi(f"A_{m}", f"B_{m}", f"_SA_{m}", f"_SB_{m}")
         items.append(F.struct(F.lit(m).alias("metric"), F.col(f"A_{m}").alias("a"), F.col(f"B_{m}").alias("b"),
                               theta.alias("theta"), psi.alias("psi")))
     return rows.select(*cell, unit, F.inline(F.array(*items)))
@@ -89,22 +71,22 @@ def _passes(df: DataFrame) -> DataFrame:
 
 
 def precision_individual(rm: DataFrame, cell: Sequence[str] = CELL, k: int | None = None) -> DataFrame:
-    """Variance of psi, required units and projected half-widths per cell and metric; one shuffle."""
+    """Variance of psi, required units and projected half-widths per cell and metric."""
     pairs = statistic_pairs(rm, cell, k)
-    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs = [F.count(F.lit(1)).alias("_n")]
     for m in METRICS:
-        a, b = f"A_{m}", f"B_{m}"
-        aggs += [F.sum(a).alias(f"SA_{m}"), F.sum(b).alias(f"SB_{m}"), _moment(a, a).alias(f"AA_{m}"),
-                 _moment(a, b).alias(f"AB_{m}"), _moment(b, b).alias(f"BB_{m}"),
-                 F.count_if(F.col(b) > 0).alias(f"P_{m}")]
-    wide = pairs.groupBy(*cell).agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(m).alias("metric"), *[F.col(f"{x}_{m}").alias(x) for x in (
-        "SA", "SB", "AA", "AB", "BB", "P")]) for m in METRICS])
-    out = wide.select(*cell, "n", F.inline(rows))
+        aggs += [F.sum(f"A_{m}").alias(f"_SA_{m}"), F.sum(f"B_{m}").alias(f"_SB_{m}"),
+                 F.count_if(F.col(f"B_{m}") > 0).alias(f"_P_{m}")]
+    sums = pairs.groupBy(*cell).agg(*aggs)
+    kept = [c for c in sums.columns if c not in cell]
+    wide = lookup_join(pairs, sums, cell).groupBy(*cell).agg(*[F.max(c).alias(c) for c in kept], *[
+        F.var_samp(_psi(f"A_{m}", f"B_{m}", f"_SA_{m}", f"_SB_{m}")).alias(f"_V_{m}") for m in METRICS])
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), *[F.col(f"_{x}_{m}").alias(x) for x in ("SA", "SB", "P", "V")])
+                     for m in METRICS])
+    out = wide.select(*cell, F.col("_n").alias("n"), F.inline(rows))
     sa, sb, n = F.col("SA"), F.col("SB"), F.col("n").cast("double")
-    num = _centred(sb, sb, F.col("AA"), sa, F.col("AB"), sa, F.col("AB"), F.col("BB"))
     sbd = sb.cast("double")
-    variance = F.when(sb > 0, F.try_divide(num / sbd / sbd * (n / sbd) * (n / sbd), n - 1))
+    variance = F.when(sb > 0, F.col("V"))
     out = out.select(
         *cell, "metric", target_of("metric").alias("target"), (sb > 0).alias("defined"),
         F.when(sb > 0, "").otherwise("ZERO_TOTAL_DENOMINATOR").alias("undefined_reason"),
@@ -131,38 +113,28 @@ def precision_paired(rm: DataFrame, first: str = "T", second: str = "TW", cond:
     pairs = statistic_pairs(rm, [cond, unit, method], k)
     cols = [f"{x}_{m}" for m in METRICS for x in "AB"]
     both = pair_methods(pairs, first, second, cols, (cond, unit), method)
-    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs = [F.count(F.lit(1)).alias("_n")]
     for m in METRICS:
         for i in (1, 2):
-            a, b = f"A_{m}_{i}", f"B_{m}_{i}"
-            aggs += [F.sum(a).alias(f"SA{i}_{m}"), F.sum(b).alias(f"SB{i}_{m}"), _moment(a, a).alias(f"AA{i}_{m}"),
-                     _moment(a, b).alias(f"AB{i}_{m}"), _moment(b, b).alias(f"BB{i}_{m}"),
-                     F.count_if(F.col(b) > 0).alias(f"P{i}_{m}")]
-        for x in "AB":
-            for y in "AB":
-                aggs.append(_moment(f"{x}_{m}_1", f"{y}_{m}_2").alias(f"X{x}{y}_{m}"))
-    wide = both.groupBy(cond).agg(*aggs)
-    parts = [f"{s}{i}" for i in (1, 2) for s in ("SA", "SB", "AA", "AB", "BB", "P")] + ["XAA", "XAB", "XBA", "XBB"]
-    rows = F.array(*[F.struct(F.lit(m).alias("metric"), *[F.col(f"{p}_{m}").alias(p) for p in parts]) for m in METRICS])
-    out = wide.select(cond, "n", F.inline(rows))
-    n = F.col("n").cast("double")
+            aggs += [F.sum(f"A_{m}_{i}").alias(f"_SA{i}_{m}"), F.sum(f"B_{m}_{i}").alias(f"_SB{i}_{m}"),
+                     F.count_if(F.col(f"B_{m}_{i}") > 0).alias(f"_P{i}_{m}")]
+    sums = both.groupBy(cond).agg(*aggs)
+    kept = [c for c in sums.columns if c != cond]
+    wide = lookup_join(both, sums, [cond]).groupBy(cond).agg(*[F.max(c).alias(c) for c in kept], *[
+        F.var_samp(_psi(f"A_{m}_2", f"B_{m}_2", f"_SA2_{m}", f"_SB2_{m}")
+                   - _psi(f"A_{m}_1", f"B_{m}_1", f"_SA1_{m}", f"_SB1_{m}")).alias(f"_V_{m}") for m in METRICS])
+    parts = [f"{s}{i}" for i in (1, 2) for s in ("SA", "SB", "P")] + ["V"]
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), *[F.col(f"_{p}_{m}").alias(p) for p in parts]) for m in METRICS])
+    out = wide.select(cond, F.inline(rows))
     sa1, sb1, sa2, sb2 = (F.col(c) for c in ("SA1", "SB1", "SA2", "SB2"))
     d1, d2 = sb1.cast("double"), sb2.cast("double")
-
-    def own(i, sa, sb):
-        return _centred(sb, sb, F.col(f"AA{i}"), sa, F.col(f"AB{i}"), sa, F.col(f"AB{i}"), F.col(f"BB{i}"))
-
-    cross = _centred(sb1, sb2, F.col("XAA"), sa1, F.col("XAB"), sa2, F.col("XBA"), F.col("XBB"))
-    s11 = own(1, sa1, sb1) / d1 / d1 * (n / d1) * (n / d1)
-    s22 = own(2, sa2, sb2) / d2 / d2 * (n / d2) * (n / d2)
-    s12 = cross / d1 / d2 * (n / d1) * (n / d2)
     ok1, ok2 = sb1 > 0, sb2 > 0
     ok = ok1 & ok2
     out = out.select(
         cond, "metric", target_of("metric").alias("target"), ok.alias("defined"),
         reasons(T_UNDEFINED=~ok1, TW_UNDEFINED=~ok2).alias("undefined_reason"),
         F.when(ok, sa1.cast("double") / d1).alias("theta_1"), F.when(ok, sa2.cast("double") / d2).alias("theta_2"),
-        F.when(ok, F.greatest(F.try_divide(s11 + s22 - 2 * s12, n - 1), F.lit(0.0))).alias("variance"),
+        F.when(ok, F.col("V")).alias("variance"),
         (support("metric", sb1, F.col("P1")) & support("metric", sb2, F.col("P2"))).alias("support"))
     out = out.withColumn("delta", F.col("theta_2") - F.col("theta_1"))
     return _passes(out.withColumns(_plan_columns("variance")))

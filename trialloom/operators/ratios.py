@@ -91,6 +91,32 @@ def point_estimates(rm: DataFrame, cell: Sequence[str] = CELL, k: int | None = N
         F.col("p.defined").alias("defined"), F.coalesce("p.undefined_reason", F.lit("")).alias("undefined_reason"))
 
 
-def load_statistics(rm: DataFrame, keys: Sequence[str] = ("cond", "unit", "method")) -> DataFrame:
-    """Only the columns the resampling needs; the rest is never read from Parquet."""
-    return rm.select(*keys, *STATISTICS)
+def statistics_faults(rm: DataFrame, keys: Sequence[str] = ("cond", "unit", "method")) -> DataFrame:
+    """One row: rows with a null key or statistic, with a negative statistic, repeated keys, and units that lack a method."""
+    cells = rm.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.min(s).alias(s) for s in STATISTICS],
+        F.max(F.greatest(*[F.col(c).isNull().cast("int") for c in (*keys, *STATISTICS)])).alias("_null"))
+    low = F.coalesce(F.least(*STATISTICS), F.lit(0)) < 0
+    *unit, method = keys
+    units = cells.groupBy(*unit).agg(
+        F.sum("_null").alias("_null"), F.count_if(low).alias("_low"), F.count_if(F.col("_n") > 1).alias("_twice"),
+        F.collect_set(method).alias("_methods"))  # the registered methods, a handful
+    names = units.agg(F.array_distinct(F.flatten(F.collect_set("_methods"))).alias("_all"))
+    whole = units.join(F.broadcast(names))  # one row
+    return whole.agg(
+        F.coalesce(F.sum("_null"), F.lit(0)).alias("nulls"), F.coalesce(F.sum("_low"), F.lit(0)).alias("negative"),
+        F.coalesce(F.sum("_twice"), F.lit(0)).alias("repeated"),
+        F.count_if(F.size("_methods") < F.size("_all")).alias("incomplete"))
+
+
+def load_statistics(rm: DataFrame, keys: Sequence[str] = ("cond", "unit", "method"), checked: bool = True) -> DataFrame:
+    """Only the columns the resampling needs; the rest is never read from Parquet.
+
+    ``checked`` refuses nulls, negative counts, repeated keys and units without all methods.
+    """
+    slim = rm.select(*keys, *STATISTICS)
+    if checked:
+        faults = statistics_faults(slim, keys).first().asDict()
+        if any(faults.values()):
+            raise ValueError(f"statistics cannot be resampled: {faults}")
+    return slim

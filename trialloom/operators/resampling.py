@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from trialloom.functions.keyed import keyed_seed, with_words, word_to_unit
 from trialloom.operators.ratios import load_statistics
 from trialloom.registry import CONTRASTS, CORE_RATIOS, STATISTICS
-from trialloom.skew import lookup_join
+from trialloom.skew import block_of, lookup_join, ordinal
 
 FEW_DEFINED = "INSUFFICIENT_DEFINED_BOOTSTRAP_REPLICATES"
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 DRAWS_PER_TASK = 2_000_000
 BOOT_BLOCK = 50
 MAX_TASKS = 20_000
@@ -23,13 +23,19 @@ MAX_TASKS = 20_000
 def wide_statistics(rm: DataFrame, methods: Sequence[str], cond: str = "cond", unit: str = "unit",
                     method: str = "method") -> DataFrame:
     """One row per unit with the statistics of all methods side by side."""
-    slim = load_statistics(rm, (cond, unit, method))
+    slim = load_statistics(rm, (cond, unit, method), checked=False)
     return slim.groupBy(cond, unit).agg(*[
         F.max(F.when(F.col(method) == m, F.col(s))).alias(f"{s}__{i}") for i, m in enumerate(methods) for s in STATISTICS])
 
 
-def unit_counts(stats: DataFrame, cond: str = "cond") -> DataFrame:
-    return stats.groupBy(cond).agg(F.count(F.lit(1)).alias("_units"))
+def unit_counts(stats: DataFrame, cond: str = "cond", unit: str = "unit") -> DataFrame:
+    return stats.groupBy(cond).agg(F.count(F.lit(1)).alias("_units"), F.min(unit).alias("_low"), F.max(unit).alias("_high"))
+
+
+def dense_units(stats: DataFrame, cond: str = "cond", unit: str = "unit", name: str = "unit_id") -> DataFrame:
+    """The same rows with ids 1..R in the order of the old ones, which stay as ``name``."""
+    rows = stats.withColumn(name, F.col(unit)).withColumn("_cut", block_of(name))
+    return ordinal(rows.drop(unit), [cond], [name], ["_cut"], unit).drop("_cut")
 
 
 def retries_needed(remainder: int, total_draws: int, unlikely: float = 1e-9) -> int:
@@ -47,11 +53,17 @@ def draws(stats: DataFrame, boots: int, cond: str = "cond", unit: str = "unit",
     """(cond, boot, draw, unit id): R draws per replicate, shared by all methods.
 
     The unit ids 1..R of a condition double as its draw positions, so draws are
-    made where the statistics already lie. A word depends on its address only.
+    made where the statistics already lie. A word depends on its address only. Ids
+    with gaps or repeats are refused; ``dense_units`` renumbers them. A word still
+    without a unit after the last try is an error.
     """
     key = key or keyed_seed("BOOTSTRAP", "BOOTSTRAP_INDEX")
-    sizes = unit_counts(stats, cond) if sizes is None else sizes
-    rest, total = sizes.agg(F.max(F.lit(2 ** 32) % F.col("_units")), F.sum("_units")).first()
+    sizes = unit_counts(stats, cond, unit) if sizes is None else sizes
+    gaps = F.count_if((F.col("_low") != 1) | (F.col("_high") != F.col("_units")))
+    rest, total, bad = sizes.agg(F.max(F.lit(2 ** 32) % F.col("_units")), F.sum("_units"), gaps).first()
+    if bad:
+        raise ValueError(f"unit ids of {bad} conditions are not 1..R without gaps; see dense_units")
+    sizes = sizes.select(cond, "_units")
     tries = retries_needed(rest or 0, boots * (total or 0))
     rows = lookup_join(stats.select(cond, unit), sizes, [cond]).select(cond, "_units", F.col(unit).alias("draw"))
     tasks = min(MAX_TASKS, boots * (total or 0) // DRAWS_PER_TASK)
@@ -66,7 +78,8 @@ def draws(stats: DataFrame, boots: int, cond: str = "cond", unit: str = "unit",
     for t in range(tries):
         rows = with_words(rows, [cond, "boot", F.lit(t), F.col("draw") - 1], key, (f"_w{t}", "_x1", "_x2", "_x3"))
         rows = rows.drop("_x1", "_x2", "_x3")
-    chosen = F.coalesce(*[word_to_unit(f"_w{t}", F.col("_units")) for t in range(tries)])
+    lost = F.raise_error(F.concat(F.lit("no unit after the last try for draw "), "draw", F.lit(" of replicate "), "boot"))
+    chosen = F.coalesce(*[word_to_unit(f"_w{t}", F.col("_units")) for t in range(tries)], lost.cast("bigint"))
     return rows.select(cond, "boot", F.col("draw").cast("bigint").alias("draw"), chosen.alias(unit))
 
 
@@ -74,14 +87,18 @@ def resample_sums(stats: DataFrame, drawn: DataFrame, cond: str = "cond", unit:
                   rows: int | None = None) -> DataFrame:
     """Sums of every statistic over the drawn units, one row per replicate.
 
-    A statistics table of at most BROADCAST_ROWS counted rows is broadcast, then
+    A drawn unit without statistics is an error. A statistics table whose counted rows
+    fill at most BROADCAST_BYTES is broadcast, then
     draws are never shuffled. Beyond that both sides meet on the evenly spread
     (cond, unit). Either way sums are combined before the (cond, boot) shuffle.
     """
-    rows = stats.limit(BROADCAST_ROWS + 1).count() if rows is None else rows
-    side = F.broadcast(stats) if rows <= BROADCAST_ROWS else stats
+    most = BROADCAST_BYTES // (16 * len(stats.columns))
+    rows = stats.limit(most + 1).count() if rows is None else rows
+    side = F.broadcast(stats) if rows <= most else stats
     cols = [c for c in stats.columns if c not in (cond, unit)]
-    return drawn.join(side, [cond, unit]).groupBy(cond, "boot").agg(*[F.sum(c).alias(c) for c in cols])
+    lost = F.raise_error(F.concat(F.lit("drawn unit without statistics: "), F.col(unit).cast("string")))
+    met = drawn.join(side.withColumn("_there", F.lit(True)), [cond, unit], "left")
+    return met.filter(F.coalesce("_there", lost.cast("boolean"))).groupBy(cond, "boot").agg(*[F.sum(c).alias(c) for c in cols])
 
 
 def bootstrap(stats: DataFrame, drawn: DataFrame, methods: Sequence[str], cond: str = "cond",

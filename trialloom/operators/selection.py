@@ -32,20 +32,21 @@ def gate_join(candidates: DataFrame, gates: DataFrame, on: Sequence[str] = CYCLE
               hot_rows: int = HOT_ROWS) -> DataFrame:
     """Candidates whose true time lies in [ref - half, ref + half) of their own cycle.
 
-    Heavy cycles are spread over salts; ``_salt`` stays for the next reduction.
+    Heavy cycles are spread over tasks; the columns are those of both sides in any case.
     """
     joined = salted_join(candidates, gates, on, rank, hot_rows=hot_rows)
     return joined.filter(in_gate(true_time, F.col(ref) - F.col(half), F.col(ref) + F.col(half)))
 
 
 def range_join(candidates: DataFrame, gates: DataFrame, unit: Sequence[str] = ("unit",), true_time: str = "t_us",
-               ref: str = "ref_us", half: str = "half_us", bucket: float = 43_200_000_000,
+               ref: str = "ref_us", half: str = "half_us", bucket: float | None = None,
                rank: Sequence[str] = ("rank",)) -> DataFrame:
     """The same for candidates without a cycle: both sides meet in time buckets.
 
-    A gate is copied to each bucket it touches; with buckets as wide as the gate
-    these are at most two.
+    A gate is copied to each bucket it touches; buckets are as wide as the widest
+    gate unless given, so these are at most two.
     """
+    bucket = bucket or gates.agg(2 * F.max(half)).first()[0] or 1
     left, right = F.col(ref) - F.col(half), F.col(ref) + F.col(half)
 
     def bucket_of(x: Column) -> Column:
@@ -68,13 +69,10 @@ def scores(t_scale: float, w_scale: float, observed: str = "t_us", width: str =
 
 def pick_all(inside: DataFrame, by: Mapping[str, Column], on: Sequence[str] = CYCLE,
              rank: Sequence[str] = ("rank",), keep: Sequence[str] = ("t_us", "w", "source_code")) -> DataFrame:
-    """One row per gate with one struct per score; reduced per salt before the shuffle."""
+    """One row per gate with one struct per score; a heavy gate is reduced in each task before the shuffle."""
     row = F.struct(*keep, *rank)
-    salted = "_salt" in inside.columns
-    part = [*on, "_salt"] if salted else list(on)
-    first = inside.groupBy(*part).agg(*[
+    best = inside.groupBy(*on).agg(*[
         F.min(F.struct(score.alias("score"), *rank, row.alias("row"))).alias(name) for name, score in by.items()])
-    best = first.groupBy(*on).agg(*[F.min(n).alias(n) for n in by]) if salted else first
     return best.select(*on, *[F.col(n)["row"].alias(n) for n in by])
 
 
@@ -100,7 +98,7 @@ def top_candidates(inside: DataFrame, score: Column, k: int, on: Sequence[str] =
                    rank: Sequence[str] = ("rank",)) -> DataFrame:
     """Best k candidates per gate. Spark limits each group before it shuffles."""
     w = Window.partitionBy(*on).orderBy(score, *rank)
-    return (inside.drop("_salt").withColumn("position", F.row_number().over(w))
+    return (inside.withColumn("position", F.row_number().over(w))
             .filter(F.col("position") <= k))
 
 
@@ -114,7 +112,7 @@ def nearest_join(refs: DataFrame, candidates: DataFrame, t_scale: float, on: Seq
 def candidate_positions(inside: DataFrame, on: Sequence[str] = CYCLE, source: str = "source_code",
                         index: str = "rank") -> DataFrame:
     """Zero-based position in the fixed order: source first, then event index."""
-    rows = inside.drop("_salt").withColumn("_cut", block_of(index))
+    rows = inside.withColumn("_cut", block_of(index))
     rows = blocked_scan(rows, on, [source, index], [source, "_cut"], running={"_pos": F.lit(1).cast("bigint")})
     return rows.withColumn("position", F.col("_pos") - 1).drop("_pos", "_cut")
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trialloom.functions.estimates import state_of
 from trialloom.registry import COUNTS, ERROR_SOURCES, STATE_COUNTS, STATES, TRANSITIONS
-from trialloom.skew import BLOCK, block_of, blocked_scan
+from trialloom.skew import BLOCK, block_of, blocked_scan, hot_hashes
 
 UNIT = ("cond", "unit", "method")
 
@@ -141,31 +141,15 @@ def with_neighbours(seq: DataFrame, keys: Sequence[str] = UNIT, block: str | Non
 
 
 def island_id(seq: DataFrame, keys: Sequence[str] = UNIT, block: str | None = None) -> DataFrame:
-    """Number of the maximal non-correct run each cycle belongs to; null in state C.
-
-    One pass: runs are numbered inside each block, then shifted by the runs of
-    earlier blocks, less one for every run that crosses into a block.
-    """
-    inner = Window.partitionBy(*keys, "_block").orderBy("cycle")
+    """Number of the maximal non-correct run each cycle belongs to; null in state C."""
     nc = ~_is("_s", "C")
-    rows = _states(seq, keys, block, "cycle").drop("code").withColumn("_prev", F.lag("_s").over(inner))
+    rows = _states(seq, keys, block, "cycle").drop("code")
+    hot = hot_hashes(rows, keys)
+    rows = blocked_scan(rows, keys, ["cycle"], ["_block"], following={"_next": "_s"}, preceding={"_prev": "_s"}, hot=hot)
     start = nc & F.coalesce(_is("_prev", "C"), F.lit(True))
-    rows = rows.withColumn("_local", F.sum(start.cast("bigint")).over(
-        inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    edges = rows.groupBy(*keys, "_block").agg(
-        F.max("_local").alias("_n"), F.min_by("_s", "cycle").alias("_first"), F.max_by("_s", "cycle").alias("_last"),
-        F.max("cycle").alias("_hi"))
-    over = Window.partitionBy(*keys).orderBy("_block")
-    edges = edges.withColumns({
-        "_joined": F.coalesce(~_is("_first", "C") & (F.lag("_last").over(over) != NUMBER["C"]), F.lit(False)).cast("bigint"),
-        "_final": F.lead("_block").over(over).isNull()})
-    total = F.sum(F.col("_n") - F.col("_joined")).over(over.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    edges = edges.select(*keys, "_block", (total - F.col("_n")).alias("_shift"),
-                         F.when(F.col("_final"), F.col("_hi")).alias("_end"))
-    rows = rows.join(edges, [*keys, "_block"])
-    return rows.select(*keys, "cycle", _name_of("_s").alias("state"),
-                       F.when(nc, F.col("_local") + F.col("_shift")).alias("island"),
-                       F.coalesce(F.col("cycle") == F.col("_end"), F.lit(False)).alias("_last_cycle"))
+    rows = blocked_scan(rows, keys, ["cycle"], ["_block"], running={"_run": start.cast("bigint")}, hot=hot)
+    return rows.select(*keys, "cycle", _name_of("_s").alias("state"), F.when(nc, F.col("_run")).alias("island"),
+                       F.col("_next").isNull().alias("_last_cycle"))
 
 
 def run_table(seq: DataFrame, keys: Sequence[str] = UNIT, block: str | None = None) -> DataFrame:

@@ -16,6 +16,7 @@ reduction instead.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -135,7 +136,9 @@ class LockstepFold:
         return done
 
     def _consider(self, frame: pd.DataFrame, rows: np.ndarray, slots: np.ndarray) -> None:
-        rows = rows[self.open[slots[rows]]]
+        # a candidate whose own cycle has no cycle row belongs to no gate
+        own = frame["cycle"].to_numpy(np.int64)[rows] == self.cycle[slots[rows]]
+        rows = rows[self.open[slots[rows]] & own]
         if not len(rows):
             return
         s = slots[rows]
@@ -167,8 +170,12 @@ class LockstepFold:
             self.i["position"][gw, m] = seen[wins] + nth[b]
             self.i["count"][g, m] = seen + size
 
-    def finish(self) -> pd.DataFrame | None:
-        return self._emit(np.arange(len(self.names)))
+    def finish(self, slice_: int = 4096) -> Iterator[pd.DataFrame]:
+        """Report the last cycles, some thousand segments at a time."""
+        for at in range(0, len(self.names), slice_):
+            done = self._emit(np.arange(at, min(at + slice_, len(self.names))))
+            if done is not None:
+                yield done
 
 
 def _folder(keys, rules, half):
@@ -183,9 +190,7 @@ def _folder(keys, rules, half):
                 done = fold.step(batch.iloc[a:b])
                 if done is not None:
                     yield done
-        last = fold.finish()
-        if last is not None:
-            yield last
+        yield from fold.finish()
     return run
 
 
@@ -233,7 +238,7 @@ def crowded_cycles(candidates: DataFrame, keys: Sequence[str], limit: int) -> Da
     hot = hot_hashes(candidates, on, limit // 2)
     if not hot:
         return None
-    counts = candidates.filter(F.xxhash64(*on).isin(hot)).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    counts = candidates.filter(F.xxhash64(*on).isin(list(hot))).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     found = settle(counts.filter(F.col("_n") > limit).select(*keys, F.col("cycle").cast("bigint").alias("cycle")), "crowded")
     return None if found.isEmpty() else found
 
@@ -349,18 +354,32 @@ def track(cycles: DataFrame, candidates: DataFrame, start: DataFrame, half: floa
     guess = F.transform(names, lambda _: (F.col("ref") + F.col("_nominal")).cast("double"))
     used = settle(segments.join(start, keys).select(*on, guess.alias("refs")), "entries")
     follow = settle(_previous(used.select(*on), keys), "follow")
-    result = settle(run(used), "trace")
+
+    def ends_of(trace: DataFrame) -> DataFrame:
+        return trace.groupBy(*on, "method").agg(F.max_by("ref_after", "cycle").alias("exit"))
+
+    # A round writes the traces of its own segments only; small tables keep each segment's last round, entry and exit.
+    rounds = [settle(run(used), "trace")]
+    ends = settle(ends_of(rounds[0]), "exits")
+    latest = settle(used.select(*on, F.lit(0).alias("_round")), "rounds")
+
+    def renew(old: DataFrame, changed: DataFrame, new: DataFrame, label: str) -> DataFrame:
+        return settle(old.join(changed.select(*on), on, "left_anti").unionByName(new), label)
+
     while True:
-        ends = result.groupBy(*on, "method").agg(F.max_by("ref_after", "cycle").alias("exit"))
         exits = ends.groupBy(*on).agg(F.map_from_entries(F.collect_list(F.struct("method", "exit"))).alias("_exit"))
         exits = exits.select(*keys, F.col("_seg").alias("_from"), F.transform(names, lambda n: F.col("_exit")[n]).alias("refs"))
         right = follow.join(exits, [*keys, "_from"]).select(*on, "refs")
         changed = settle(right.join(used.withColumnRenamed("refs", "_used"), on).filter(
             F.col("refs") != F.col("_used")).select(*on, "refs"), "entries")
         if changed.isEmpty():
-            return result.select(*keys, *TRACE)
-        result = settle(result.join(changed.select(*on), on, "left_anti").unionByName(run(changed)), "trace")
-        used = settle(used.join(changed.select(*on), on, "left_anti").unionByName(changed), "entries")
+            kept = [part.join(latest.filter(F.col("_round") == r).select(*on), on, "left_semi").select(*keys, *TRACE)
+                    for r, part in enumerate(rounds)]
+            return reduce(DataFrame.unionByName, kept)
+        rounds.append(settle(run(changed), "trace"))
+        ends = renew(ends, changed, ends_of(rounds[-1]), "exits")
+        used = renew(used, changed, changed, "entries")
+        latest = renew(latest, changed, changed.select(*on, F.lit(len(rounds) - 1).alias("_round")), "rounds")
 
 
 def _previous(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -381,7 +400,7 @@ def preassign(candidates: DataFrame, cycles: DataFrame, start: DataFrame, slack:
     near = range_join(candidates, nominal.select(*keys, "cycle", "_ref", "_half"), keys, true_time, "_ref", "_half",
                       bucket=2 * float(slack), rank=(index,))
     windows = nominal.withColumns({"win_left": F.col("_ref") - slack, "win_right": F.col("_ref") + slack})
-    return near.drop("_ref", "_half", "_salt"), windows.drop("_t", "_ref", "_half", "ref")
+    return near.drop("_ref", "_half"), windows.drop("_t", "_ref", "_half", "ref")
 
 
 def window_violations(trace: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from trialloom.plans import fixtures as fx
 from trialloom.plans import summaries as S
 from trialloom.plans.catalog.base import query
 from trialloom.plans.catalog.oracle import sql, view
+from trialloom.session import scratch
 
 UNIT = ["cond", "unit", "method"]
 # A copy of the metrics with defects: some rows doubled, some missing, some counts off.
@@ -229,6 +230,25 @@ def u5(spark, sf):
     return compare.forbidden_rows(fx.events(spark, sf).select("event_id", "event_type"), ["event_type"], ["error", "signup"])
 
 
+@query("U5_forbidden_columns", """SELECT column_name AS name, event_id FROM (SELECT unnest(['event_type', 'event_id']) AS column_name) CROSS JOIN
+    (SELECT min(event_id) AS event_id FROM events)""")
+def u5_columns(spark, sf):
+    """Columns of the table whose name a published pattern forbids, with the first row that carries them."""
+    rows = fx.events(spark, sf)
+    first = rows.agg(F.min("event_id").alias("event_id"))
+    return compare.forbidden_columns(rows, "^event_").join(F.broadcast(first))  # one row
+
+
+@query("U5_forbidden_paths", "SELECT DISTINCT 'kind=' || event_type AS name FROM events WHERE event_type IN ('error', 'signup')")
+def u5_paths(spark, sf):
+    """Folders of a written tree whose name is forbidden."""
+    path = scratch(spark, "tree")
+    rows = fx.events(spark, sf).select("event_id", F.col("event_type").alias("kind"))
+    rows.write.partitionBy("kind").parquet(path)
+    files = spark.read.parquet(path).select(F.regexp_extract("_metadata.file_path", "/(kind=[^/]+)/", 1).alias("name")).distinct()
+    return compare.forbidden_names(files, "name", "kind=(error|signup)$")
+
+
 @query("U5_forbidden_fields", "SELECT event_id, 'k' AS field FROM events")
 def u5_fields(spark, sf):
     rows = fx.events(spark, sf).select("event_id", "props")

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from trialloom import registry as reg
 from trialloom.functions.estimates import slug, strict_bool, strict_int
-from trialloom.operators import quality, ratios, selection, strata
+from trialloom.operators import quality, ratios, resampling, selection, strata
 from trialloom.operators.sequence import repeat_metrics
 from trialloom.plans import fixtures as fx
 from trialloom.plans import summaries as S
 from trialloom.plans.catalog.base import query
-from trialloom.plans.catalog.oracle import HALF, sql
-from trialloom.plans.catalog.resampling import _seq_dist
-from trialloom.plans.catalog.selections import TRACE_SQL, loop_inputs
+from trialloom.plans.catalog.oracle import BOOTS, HALF, sql
+from trialloom.plans.catalog.resampling import _seq_dist, _seq_stats
+from trialloom.plans.catalog.selections import GAP_SQL, GAPS, TRACE_SQL, gap_inputs, loop_inputs
 from trialloom.plans.increment import run_incremental
 from trialloom.session import scratch
 from trialloom.sources import sinks, tables
@@ -182,6 +182,18 @@ def k5(spark, sf):
     return spark.read.parquet(path).select(F.col("cond").cast("int").alias("cond"), "boot", "method", "metric", "value", "defined")
 
 
+@query("K5_audit_draws", sql("SELECT 'draws' AS part, cond, boot, draw, unit FROM q_draws WHERE boot IN (1, 25, 50)", "q_draws"))
+def k5_audit(spark, sf):
+    """Draws of the audited replicates are written, read back, checked and compared with fresh ones."""
+    stats, path = _seq_stats(spark, sf), scratch(spark, "audit")
+    drawn = resampling.draws(stats, BOOTS).filter(F.col("boot").isin(1, 25, 50))
+    sinks.write_distribution(drawn, path)
+    kept = spark.read.parquet(path).select(F.col("cond").cast("int").alias("cond"), "boot", "draw", "unit")
+    if not quality.draw_laws(kept, resampling.unit_counts(stats)).isEmpty() or not kept.exceptAll(drawn).isEmpty():
+        raise AssertionError("the written draws are not the drawn ones")
+    return kept.select(F.lit("draws").alias("part"), "*")
+
+
 @query("K6_run_manifest", sql(f"""SELECT 'metrics' AS table_name, row_count, (SELECT min(unit) FROM rm) AS min_id, (SELECT max(unit) FROM rm) AS max_id, sha256
     FROM ({digest_sql('rm', SLIM_SQL)}) UNION ALL SELECT 'picks', row_count, (SELECT min(rank) FROM picked WHERE method = 'T'), (SELECT max(rank) FROM picked WHERE method = 'T'), sha256
     FROM ({digest_sql("(SELECT * FROM picked WHERE method = 'T')", 'unit, cycle, rank')})""", "rm", "picked"))
@@ -232,6 +244,16 @@ def t1(spark, sf):
     return run_available(stream_repeat_metrics(stream))
 
 
+@query("T2_stream_track_with_gaps", GAP_SQL)
+def t2_gaps(spark, sf):
+    """Cycles are missing, and candidates come before the cycle rows of their unit."""
+    rows, path = stream_rows(*gap_inputs(spark, sf)), scratch(spark, "stream-in")
+    rows.filter("expected IS NULL").repartition(2, "cycle").write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    rows.filter("expected IS NOT NULL").repartition(2, "cycle").write.mode("append").parquet(path)
+    return run_available(stream_track(stream, float(HALF), t_scale=fx.T_SCALE, w_scale=fx.W_SCALE)).select(*GAPS)
+
+
 @query("T2_stream_track", sql(TRACE_SQL, "trace", recursive=True))
 def t2(spark, sf):
     rows, path = stream_rows(*loop_inputs(spark, sf)), scratch(spark, "stream-in")

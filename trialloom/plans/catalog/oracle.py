@@ -246,6 +246,10 @@ view("seq_units", "SELECT DISTINCT cond, unit + 1 AS unit FROM rm", "rm")
 view("study_units", "SELECT DISTINCT cond, unit FROM srm WHERE cond > 0", "srm")
 draw_views("q", "seq_units")
 draw_views("s", "study_units")
+# units with gaps, renumbered from 1
+view("thin", "SELECT *, dense_rank() OVER (PARTITION BY cond ORDER BY unit) AS dense FROM rm WHERE unit % 7 <> 3", "rm")
+view("thin_units", "SELECT DISTINCT cond, dense AS unit FROM thin", "thin")
+draw_views("t", "thin_units")
 
 
 def dist(draws: str, pairs_: str) -> str:
@@ -355,7 +359,22 @@ view("walk", f"""SELECT unit, method, 0::BIGINT AS cycle, {DAY // 2}::DOUBLE AS
     FROM (SELECT DISTINCT unit FROM cand) CROSS JOIN method_list
   UNION ALL
   SELECT t.unit, t.method, t.cycle + 1, coalesce(CAST(first(c.t_us ORDER BY {LOOP_SCORE}, c.rank) FILTER (c.t_us IS NOT NULL) AS DOUBLE), t.ref) + {DAY}
-  FROM walk t LEFT JOIN cand c ON {LOOP_ON} WHERE t.cycle < 29 GROUP BY t.unit, t.method, t.cycle, t.ref""", "cand", "method_list")
+  FROM walk t LEFT JOIN cand c ON {LOOP_ON} WHERE t.cycle < (SELECT max(cycle) FROM cand) GROUP BY t.unit, t.method, t.cycle, t.ref""", "cand", "method_list")
+# The same with cycles left out: a unit goes from each of its cycles to the next it has.
+view("some_cycles", """SELECT unit, cycle, row_number() OVER w AS k, lead(cycle) OVER w AS next FROM gates
+  WHERE cycle = 0 OR (unit + cycle) % 4 <> 1 WINDOW w AS (PARTITION BY unit ORDER BY cycle)""", "gates")
+view("gap_walk", f"""SELECT unit, method, 0::BIGINT AS cycle, 1::BIGINT AS k, {DAY // 2}::DOUBLE AS ref
+    FROM (SELECT DISTINCT unit FROM cand) CROSS JOIN method_list
+  UNION ALL
+  SELECT t.unit, t.method, s.next, t.k + 1, coalesce(CAST(first(c.t_us ORDER BY {LOOP_SCORE}, c.rank) FILTER (c.t_us IS NOT NULL) AS DOUBLE),
+    t.ref) + {DAY} * (s.next - t.cycle)
+  FROM gap_walk t JOIN some_cycles s ON s.unit = t.unit AND s.k = t.k LEFT JOIN cand c ON {LOOP_ON}
+  WHERE s.next IS NOT NULL GROUP BY t.unit, t.method, t.cycle, t.k, t.ref, s.next""", "cand", "method_list", "some_cycles")
+view("gap_trace", f"""SELECT t.unit, t.cycle, t.method, count(c.t_us) AS candidates,
+    CAST(first(c.t_us ORDER BY {LOOP_SCORE}, c.rank) FILTER (c.t_us IS NOT NULL) AS DOUBLE) AS picked_time,
+    CAST(coalesce(first(c.source_code ORDER BY {LOOP_SCORE}, c.rank) FILTER (c.t_us IS NOT NULL), 0) AS BIGINT) AS source_code,
+    t.ref AS ref_before
+  FROM gap_walk t LEFT JOIN cand c ON {LOOP_ON} GROUP BY t.unit, t.cycle, t.method, t.ref""", "gap_walk", "cand")
 view("trace", f"""SELECT t.unit, t.cycle, t.method, t.ref - {HALF} AS gate_left, t.ref + {HALF} AS gate_right, count(c.t_us) AS candidates,
     CAST(first(c.t_us ORDER BY {LOOP_SCORE}, c.rank) FILTER (c.t_us IS NOT NULL) AS DOUBLE) AS picked_time,
     CAST(coalesce(first(c.source_code ORDER BY {LOOP_SCORE}, c.rank) FILTER (c.t_us IS NOT NULL), 0) AS BIGINT) AS source_code,

@@ -79,10 +79,11 @@ def a18(spark, sf):
 
 
 @query("A18_warnings_of_study", sql("SELECT kind, cond, scope, metric, required_r, round(half_width_2000, 9) AS half_width_2000 "
-                                    "FROM scells WHERE exceeds_2000", "scells"))
+                                    "FROM scells WHERE required_r > 20", "scells"))
 def a18_study(spark, sf):
     rm = fx.study_metrics(spark, sf).filter("cond > 0").persist()
-    rows = planning.warnings(planning.precision_individual(planning.decision_input(rm)), planning.precision_paired(rm))
+    rows = planning.warnings(planning.precision_individual(planning.decision_input(rm)), planning.precision_paired(rm),
+                             large=20)
     return rounded(rows, ["half_width_2000"])
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialloom import registry as reg
@@ -11,6 +14,7 @@ from trialloom.plans import fixtures as fx
 from trialloom.plans import summaries as S
 from trialloom.plans.catalog.base import query, rounded, rsql
 from trialloom.plans.catalog.oracle import BOOTS, HALVES, ratio_columns, sql
+from trialloom.session import settle
 from trialloom.skew import lookup_join
 
 CODES = [c for _, c, _ in reg.METHODS]
@@ -56,6 +60,30 @@ def s6(spark, sf):
     return ratios.load_statistics(fx.seq_metrics(spark, sf))
 
 
+@query("S6_validated_load", sql("SELECT cond, unit, method, " + ", ".join(reg.STATISTICS) + " FROM rm WHERE cond = 1", "rm"))
+def s6_checked(spark, sf):
+    """A table with doubled, negative, null and missing rows is refused; the repaired one is loaded."""
+    good = fx.seq_metrics(spark, sf).filter("cond = 1")
+    bad = good.unionByName(good.filter("unit % 5 = 0")).filter("NOT (unit % 5 = 1 AND method = 'A')").withColumns({
+        "N_C": F.when(F.col("unit") % 5 == 2, F.lit(-1)).otherwise(F.col("N_C")),
+        "N_CC": F.when(F.col("unit") % 5 != 3, F.col("N_CC"))})
+    faults = ratios.statistics_faults(bad).first()
+    if not all(faults):
+        raise AssertionError(f"a fault was not found: {faults}")
+    return ratios.load_statistics(good)
+
+
+@query("A21_bootstrap_with_gaps", sql(f"""SELECT d.cond, d.boot, r.method, CAST(sum(N_C) AS BIGINT) AS N_C, count(*) AS drawn
+    FROM t_draws d JOIN thin r ON r.cond = d.cond AND r.dense = d.unit GROUP BY d.cond, d.boot, r.method""", "t_draws", "thin"))
+def a21_gaps(spark, sf):
+    """Unit ids with gaps are renumbered; every draw finds its statistics."""
+    rm = fx.seq_metrics(spark, sf).filter("unit % 7 <> 3")
+    stats = settle(resampling.dense_units(resampling.wide_statistics(rm, ["A", "B"])).drop("unit_id"), "thin")
+    wide = resampling.resample_sums(stats.withColumn("_n", F.lit(1)), resampling.draws(stats, BOOTS))
+    return wide.select("cond", "boot", F.inline(F.array(*[F.struct(
+        F.lit(m).alias("method"), F.col(f"N_C__{i}").alias("N_C"), F.col("_n").alias("drawn")) for i, m in enumerate("AB")])))
+
+
 @query("A20_draws", sql("SELECT * FROM q_draws", "q_draws"))
 def a20(spark, sf):
     return resampling.draws(_seq_stats(spark, sf), BOOTS)
@@ -226,7 +254,7 @@ CONTROL = ", ".join(f"{c}" for m, cs in (("P_cor", ("value", "defined")), ("P_C_
   FROM (SELECT *, {ratio_columns(ratios.METRICS_13)} FROM stot) JOIN method_list l USING (method)
   WHERE cond = 0""", "stot", "method_list"))
 def x4(spark, sf):
-    return S.control_table(ratios.ratio_metrics(ratios.totals(fx.study_metrics(spark, sf)), k=fx.DAYS))
+    return S.control_table(ratios.ratio_metrics(ratios.totals(fx.study_metrics(spark, sf)), k=len(fx.days(spark, sf))))
 
 
 def _rate_strata(spark, sf):
@@ -243,20 +271,21 @@ def x5(spark, sf):
     return S.strata_table(strata.strata_summary(_rate_strata(spark, sf)))
 
 
-@query("X6_scene_tables", sql(f"""SELECT 'individual' AS part, Scene, count(*) AS n, round(sum(PointEstimate), 9) AS total FROM ({IMASTER}) GROUP BY Scene
-  UNION ALL SELECT 'paired', Scene, count(*), round(sum(DeltaPoint), 9) FROM ({PMASTER}) GROUP BY Scene""", *IREQ, "psum"))
+@query("X6_scene_tables", sql(f"""SELECT 'individual' AS part, Scene, ConditionOrdinal, MethodCode AS scope, Metric, round(PointEstimate, 9) AS estimate,
+    round(CI95Lower, 9) AS lower, round(CI95Upper, 9) AS upper FROM ({IMASTER}) WHERE Scene IN {reg.SCENES}
+  UNION ALL SELECT 'paired', Scene, ConditionOrdinal, ContrastCode, Metric, round(DeltaPoint, 9), round(CI95Lower, 9), round(CI95Upper, 9)
+  FROM ({PMASTER}) WHERE Scene IN {reg.SCENES}""", *IREQ, "psum"))
 def x6(spark, sf):
+    """The rows of the six tables, three scenes by two kinds, each cut from one master."""
     ind, par = study_summaries(spark, sf)
     d = S.dims(spark)
-    parts = []
-    for scene in reg.SCENES:
-        for name, table, value in (("individual", S.individual_master(ind, d), "PointEstimate"), ("paired", S.paired_master(par, d), "DeltaPoint")):
-            parts.append(S.scene_slice(table, scene).groupBy("Scene").agg(
-                F.count(F.lit(1)).alias("n"), F.round(F.sum(value), 9).alias("total")).select(F.lit(name).alias("part"), "Scene", "n", "total"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    masters = (("individual", S.individual_master(ind, d), "MethodCode", "PointEstimate"),
+               ("paired", S.paired_master(par, d), "ContrastCode", "DeltaPoint"))
+    parts = [S.scene_slice(master, scene).select(
+        F.lit(part).alias("part"), "Scene", "ConditionOrdinal", F.col(scope).alias("scope"), "Metric",
+        F.col(value).alias("estimate"), F.col("CI95Lower").alias("lower"), F.col("CI95Upper").alias("upper"))
+        for part, master, scope, value in masters for scene in reg.SCENES]
+    return rounded(reduce(DataFrame.unionByName, parts), ["estimate", "lower", "upper"])
 
 
 MATRIX = ", ".join(f"max(Ratio) FILTER (MethodOrContrast = '{s}' AND Metric = '{m}') AS \"{s}:{m}\""
@@ -269,12 +298,30 @@ def x8(spark, sf):
     return wide.select(*[F.round(F.col(f"`{c}`"), 9).alias(c) if ":" in c else F.col(c) for c in wide.columns])
 
 
-@query("X9_series_tables", sql(f"""SELECT MethodOrdinal, MethodCode, FDelay_us AS x, HPRF_kHz AS panel, Metric, round(f * PointEstimate, 7) AS PointEstimate,
-    round(f * CI95Lower, 7) AS CI95Lower, round(f * CI95Upper, 7) AS CI95Upper
-  FROM (SELECT *, CASE WHEN Metric = 'Mean_L_NC' THEN 1.0 ELSE 100.0 END AS f FROM ({IMASTER})) WHERE Scene = 'COMPOSITE'""", *IREQ))
+FIGURE = "CASE WHEN Metric = 'Mean_L_NC' THEN 1.0 ELSE 100.0 END"
+SERIES_X = {"HPRF": "HPRF_kHz", "IDF": "FDelay_us", "COMPOSITE": "FDelay_us"}
+
+
+def _series_sql(master: str, scope: str, point: str, where: str) -> str:
+    return " UNION ALL ".join(f"""SELECT Scene, {scope} AS scope, {x} AS x, HPRF_kHz AS panel, Metric, round({FIGURE} * {point}, 10) AS PointEstimate,
+      round({FIGURE} * CI95Lower, 10) AS CI95Lower, round({FIGURE} * CI95Upper, 10) AS CI95Upper FROM ({master}) WHERE Scene = '{scene}' AND {where}"""
+                              for scene, x in SERIES_X.items())
+
+
+@query("X9_series_tables", sql(_series_sql(IMASTER, "MethodCode", "PointEstimate", "true"), *IREQ))
 def x9(spark, sf):
+    """Every scene on its own axis: rate, delay, and delay by rate."""
     master = S.individual_master(study_summaries(spark, sf)[0], S.dims(spark))
-    return rounded(S.series_table(master, "COMPOSITE", "FDelay_us"), ["PointEstimate", "CI95Lower", "CI95Upper"], 7)
+    rows = [S.series_table(master, scene, x) for scene, x in SERIES_X.items()]
+    return rounded(reduce(DataFrame.unionByName, rows), ["PointEstimate", "CI95Lower", "CI95Upper"], 10)
+
+
+@query("X9_paired_series", sql(_series_sql(PMASTER, "ContrastCode", "DeltaPoint", "ContrastCode IN ('TW-T', 'TW-W')"), *PREQ))
+def x9_paired(spark, sf):
+    """The series of the two plotted contrasts."""
+    master = S.paired_master(study_summaries(spark, sf)[1], S.dims(spark)).filter(F.col("ContrastCode").isin("TW-T", "TW-W"))
+    rows = [S.series_table(master, scene, x, "ContrastCode", "DeltaPoint") for scene, x in SERIES_X.items()]
+    return rounded(reduce(DataFrame.unionByName, rows), ["PointEstimate", "CI95Lower", "CI95Upper"], 10)
 
 
 @query("X10_support_table", sql("SELECT stratum, max(total_cycles) AS total_cycles, min(total_cycles) = max(total_cycles) AS shared FROM sspool GROUP BY stratum", "sspool"))

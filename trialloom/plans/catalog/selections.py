@@ -124,10 +124,20 @@ def f9(spark, sf):
     return _addressed(spark, sf).select("event_id", "w0", "w1", "w2", "w3")
 
 
-@query("F10_keyed_seed", sql("SELECT event_id, {0}::BIGINT AS k0, {1}::BIGINT AS k1 FROM addr".format(*keyed.keyed_seed("BOOTSTRAP", "BOOTSTRAP_INDEX")), "addr"))
+def _little(n: str) -> str:
+    return " || ".join(f"printf('%02x', ({n} >> {8 * i}) & 255)" for i in range(4))
+
+
+def _word(at: int) -> str:
+    return "CAST(('0x' || " + " || ".join(f"substr(h, {at + 2 * i}, 2)" for i in (3, 2, 1, 0)) + ") AS BIGINT)"
+
+
+@query("F10_keyed_seed", f"""SELECT event_id, {_word(1)} AS k0, {_word(9)} AS k1 FROM (SELECT event_id,
+    sha256(unhex(sha256('{keyed.SEED_TEXT}') || {_little('event_id % 7')} || {_little('event_id // 7')})) AS h FROM events)""")
 def f10(spark, sf):
-    k0, k1 = keyed.keyed_seed("BOOTSTRAP", "BOOTSTRAP_INDEX")
-    return fx.events(spark, sf).select("event_id", F.lit(k0).cast("bigint").alias("k0"), F.lit(k1).cast("bigint").alias("k1"))
+    """Seeds of a table of namespace and family numbers; one of the registered pairs is checked against the plain form."""
+    k0, k1 = keyed.keyed_seed_columns(F.col("event_id") % 7, F.expr("event_id div 7"))
+    return fx.events(spark, sf).select("event_id", k0.alias("k0"), k1.alias("k1"))
 
 
 @query("F11_keyed_uniform", sql("SELECT event_id, (CAST(w0 AS DOUBLE) + 0.5) / 4294967296.0 AS u FROM ew", "ew"))
@@ -309,7 +319,8 @@ def a28(spark, sf):
 
 def loop_inputs(spark, sf):
     g = fx.gates(spark, sf)
-    cycles = g.select("unit", "cycle", F.when(F.col("cycle") < fx.DAYS - 1, F.lit(fx.DAY_US)).alias("dt"),
+    last = fx.days(spark, sf)[-1]
+    cycles = g.select("unit", "cycle", F.when(F.col("cycle") < last, F.lit(fx.DAY_US)).alias("dt"),
                       F.col("w_ref").alias("ref_width"))
     rows = fx.cand(spark, sf).select(
         "unit", "cycle", F.col("t_us").alias("true_time"), F.col("t_us").alias("time"), F.col("w").alias("width"),
@@ -318,8 +329,17 @@ def loop_inputs(spark, sf):
     return cycles, rows, start
 
 
-def closed_loop(spark, sf, **extra):
-    return tracking.track(*loop_inputs(spark, sf), half=float(HALF), t_scale=fx.T_SCALE, w_scale=fx.W_SCALE, **extra)
+def closed_loop(spark, sf, inputs=None, **extra):
+    return tracking.track(*(inputs or loop_inputs(spark, sf)), half=float(HALF), t_scale=fx.T_SCALE, w_scale=fx.W_SCALE, **extra)
+
+
+def gap_inputs(spark, sf):
+    """The loop without some cycles of every unit; candidates of those belong to no gate."""
+    cycles, rows, start = loop_inputs(spark, sf)
+    some = cycles.filter("cycle = 0 OR (unit + cycle) % 4 <> 1").withColumn("day", F.col("cycle"))
+    some = blocked_scan(some, ["unit"], ["cycle"], ["day"], following={"next": "cycle"})
+    some = some.withColumn("dt", F.when(F.col("next").isNotNull(), (F.col("next") - F.col("cycle")) * fx.DAY_US))
+    return some.drop("next", "day"), rows, start
 
 
 TRACE_SQL = "SELECT unit, cycle, method, candidates, picked_time, source_code, ref_before FROM trace"
@@ -343,8 +363,27 @@ def l8_crowded(spark, sf):
         "unit", "cycle", "method", "candidates", "picked_time", "source_code", "ref_before")
 
 
+GAPS = ("unit", "cycle", "method", "candidates", "picked_time", "source_code", "ref_before")
+GAP_SQL = sql(f"SELECT {', '.join(GAPS)} FROM gap_trace", "gap_trace", recursive=True)
+
+
+@query("L8_closed_loop_with_gaps", GAP_SQL)
+def l8_gaps(spark, sf):
+    return closed_loop(spark, sf, gap_inputs(spark, sf)).select(*GAPS)
+
+
+@query("L8_closed_loop_with_gaps_in_segments", GAP_SQL)
+def l8_gaps_segments(spark, sf):
+    return closed_loop(spark, sf, gap_inputs(spark, sf), segment=8).select(*GAPS)
+
+
+@query("L8_closed_loop_with_gaps_crowded", GAP_SQL)
+def l8_gaps_crowded(spark, sf):
+    return closed_loop(spark, sf, gap_inputs(spark, sf), crowd=6).select(*GAPS)
+
+
 @query("L9_trace", sql(f"""SELECT t.unit, t.cycle, t.method, t.gate_left, t.gate_right, t.candidates, t.ref_before,
-    CASE WHEN t.cycle < 29 THEN coalesce(t.picked_time, t.ref_before) + {DAY} ELSE t.ref_before END AS ref_after,
+    CASE WHEN t.cycle < (SELECT max(cycle) FROM cand) THEN coalesce(t.picked_time, t.ref_before) + {DAY} ELSE t.ref_before END AS ref_after,
     CASE WHEN t.picked_rank IS NOT NULL THEN (SELECT count(*) FROM cand c WHERE c.unit = t.unit AND c.cycle = t.cycle
       AND c.t_us >= t.gate_left AND c.t_us < t.gate_right
       AND (c.source_code < t.source_code OR (c.source_code = t.source_code AND c.rank < t.picked_rank))) END AS position

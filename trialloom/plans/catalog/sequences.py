@@ -90,7 +90,7 @@ def a10(spark, sf):
 
 @query("P10_flatten_metrics", sql(f"SELECT cond, method, {ratio_columns(METRICS_13)} FROM stot", "stot"))
 def p10(spark, sf):
-    structs = ratios.ratio_structs(ratios.totals(fx.study_metrics(spark, sf)), k=fx.DAYS)
+    structs = ratios.ratio_structs(ratios.totals(fx.study_metrics(spark, sf)), k=len(fx.days(spark, sf)))
     return ratios.flatten_metrics(structs.select("cond", "method", *METRICS_13))
 
 
@@ -155,10 +155,13 @@ def w4(spark, sf):
     return sequence.running_time(fx.gates(spark, sf), ["unit"], "w_ref").select("unit", "cycle", "time")
 
 
-@query("W6_canonical_order", sql("SELECT method, stratum, total_cycles FROM spool", "spool"))
+@query("W6_canonical_order", sql("""SELECT CAST(row_number() OVER (ORDER BY method, list_position([{0}], stratum)) AS BIGINT) AS place,
+    method, stratum, total_cycles FROM spool""".format(", ".join(f"'{s}'" for s in reg.STRATA)), "spool"))
 def w6(spark, sf):
-    return canonical_order(strata.strata_summary(_strata(spark, sf)), ["method", "stratum"],
-                           {"stratum": reg.STRATA}).select("method", "stratum", "total_cycles")
+    """The place of each row in the ordered table, as its reader sees it."""
+    rows = canonical_order(strata.strata_summary(_strata(spark, sf)), ["method", "stratum"], {"stratum": reg.STRATA})
+    kept = rows.select("method", "stratum", "total_cycles").coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
+    return kept.select("place", "method", "stratum", "total_cycles")  # one row for each method and stratum
 
 
 def _levels(df):

@@ -19,7 +19,6 @@ from trialloom.skew import ordinal
 EPOCH_US = 1704067200000000
 DAY_US = 86_400_000_000
 HOUR_US = 3_600_000_000
-DAYS = 30
 T_SCALE = 3_600_000_000.0
 W_SCALE = 10.0
 
@@ -66,10 +65,14 @@ def cand(spark: SparkSession, sf: str) -> DataFrame:
     ).withColumn("cycle", F.expr(f"t_us div {DAY_US}L"))
 
 
+def days(spark: SparkSession, sf: str) -> list[int]:
+    """The distinct days of the data, ascending: a calendar, not rows."""
+    return sorted(r[0] for r in cand(spark, sf).select(F.col("cycle").cast("bigint")).distinct().collect())
+
+
 def gates(spark: SparkSession, sf: str) -> DataFrame:
     units = events(spark, sf).select(F.col("user_id").alias("unit")).distinct()
-    days = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(DAYS - 1).cast("bigint")))
-    return units.select("unit", days.alias("cycle")).select(
+    return units.select("unit", F.explode(F.array(*[F.lit(d) for d in days(spark, sf)])).alias("cycle")).select(
         "unit", "cycle", (F.col("cycle") * DAY_US + DAY_US // 2).alias("ref_us"),
         F.lit(DAY_US // 4).alias("half_us"), F.lit(20.0).alias("w_ref"))
 
@@ -83,7 +86,7 @@ def picks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def study(spark: SparkSession, sf: str) -> DataFrame:
-    """cond 0..18, unit 1..R, five methods, cycle 1..30, code."""
+    """cond 0..18, unit 1..R, five methods, a cycle for each day, code."""
     rows = F.array(*[F.struct(F.lit(o).alias("method_ord"), F.lit(c).alias("method"),
                               F.coalesce(F.col(c)["source_code"], F.lit(0)).alias("code")) for o, c, _ in METHODS])
     return picks(spark, sf).select(
@@ -92,8 +95,8 @@ def study(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def study_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """Counts per (cond, unit, method_ord, method); 30 cycles per unit by construction."""
-    return repeat_metrics(study(spark, sf), ("cond", "unit", "method_ord", "method"), k=DAYS)
+    """Counts per (cond, unit, method_ord, method); every unit has a cycle for each day of the data."""
+    return repeat_metrics(study(spark, sf), ("cond", "unit", "method_ord", "method"), k=len(days(spark, sf)))
 
 
 def code(spark: SparkSession, sf: str) -> DataFrame:

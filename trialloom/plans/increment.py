@@ -35,16 +35,20 @@ def chunk_status(plan: DataFrame, root: str, data_schema, keys: Sequence[str], c
     spark = plan.sparkSession
     manifest = _read_or_empty(spark, f"{root}/manifest", MANIFEST, "json")
     data = _read_or_empty(spark, f"{root}/data", data_schema, "parquet")
+    data = data.join(plan.select(cond, "chunk"), [cond, "chunk"], "left_semi")
     found = chunk_manifest(data, keys, cond, unit).select(
         cond, "chunk", F.col("RowCount").alias("_rows"), F.col("DataSHA256").alias("_sha"))
     rows = plan.join(manifest, [cond, "chunk"], "left").join(found, [cond, "chunk"], "left")
+    def differs(a, b):
+        return ~F.col(a).eqNullSafe(F.col(b))  # a missing field is a mismatch
+
     reason = (F.when(F.col("Completed").isNull(), "manifest_unreadable")
               .when(~F.col("Completed"), "manifest_mismatch:Completed")
-              .when(F.col("RepeatStart") != F.col("want_start"), "manifest_mismatch:RepeatStart")
-              .when(F.col("RepeatEnd") != F.col("want_end"), "manifest_mismatch:RepeatEnd")
+              .when(differs("RepeatStart", "want_start"), "manifest_mismatch:RepeatStart")
+              .when(differs("RepeatEnd", "want_end"), "manifest_mismatch:RepeatEnd")
               .when(F.col("_sha").isNull(), "data_file_missing")
-              .when(F.col("RowCount") != F.col("_rows"), "row_count_mismatch")
-              .when(F.col("DataSHA256") != F.col("_sha"), "hash_mismatch:data").otherwise("valid"))
+              .when(differs("RowCount", "_rows"), "row_count_mismatch")
+              .when(differs("DataSHA256", "_sha"), "hash_mismatch:data").otherwise("valid"))
     had = F.col("Completed").isNotNull() | F.col("_sha").isNotNull()
     return rows.select(cond, "chunk", reason.alias("reason"), had.alias("had_artifact"))
 
@@ -66,7 +70,7 @@ def run_incremental(units: DataFrame, compute: Callable[[DataFrame], DataFrame],
     if not todo.isEmpty():
         due = units.withColumn("chunk", chunk_of(unit, size)).join(todo, [cond, "chunk"], "left_semi").drop("chunk")
         write_chunks(compute(due), root, size, keys, cond, unit, chunks=todo)
-        again = chunk_status(plan, root, data_schema, keys, cond, unit)
+        again = chunk_status(plan.join(todo, [cond, "chunk"], "left_semi"), root, data_schema, keys, cond, unit)
         bad = pending_chunks(again).limit(1).collect()
         if bad:
             raise ValueError(f"chunk is still invalid after the write: {bad[0].asDict()}")

@@ -229,11 +229,12 @@ def figure_scale(df: DataFrame, columns: Sequence[str], metric: str = "Metric")
     return df.withColumns({c: F.col(c) * factor for c in columns})
 
 
-def series_table(master: DataFrame, scene: str, x: str) -> DataFrame:
-    """Scaled plot series of one scene: method, x, metric, estimate and interval."""
+def series_table(master: DataFrame, scene: str, x: str, scope: str = "MethodCode",
+                 point: str = "PointEstimate") -> DataFrame:
+    """Scaled plot series of one scene: method or contrast, x, metric, estimate and interval."""
     rows = master.filter(F.col("Scene") == scene).select(
-        "MethodOrdinal", "MethodCode", F.col(x).alias("x"), F.col("HPRF_kHz").alias("panel"), "Metric",
-        "PointEstimate", "CI95Lower", "CI95Upper")
+        "Scene", F.col(scope).alias("scope"), F.col(x).alias("x"), F.col("HPRF_kHz").alias("panel"), "Metric",
+        F.col(point).alias("PointEstimate"), "CI95Lower", "CI95Upper")
     return figure_scale(rows, ["PointEstimate", "CI95Lower", "CI95Upper"])
 
 

@@ -12,9 +12,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialloom.session import settle
+
 BLOCK = 4096
 HOT_ROWS = 1_000_000
 SALTS = 64
+#: A table is broadcast only below so many bytes, by its row count and the width of its columns.
+BROADCAST_BYTES = 32 << 20
 
 
 def block_of(order: str, size: int = BLOCK) -> Column:
@@ -32,17 +36,25 @@ def blocked_scan(
     following: Mapping[str, str] | None = None,
     preceding: Mapping[str, str] | None = None,
     exclusive: bool = False,
+    hot: Mapping[int, int] | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Add running sums (of earlier rows only if ``exclusive``) and next/previous values along ``order``.
 
     ``blocks`` are columns that cut each key in order (every row of an earlier
     block sorts before every row of a later one). Pass None only when a key's
-    size is bounded by contract; then a single window suffices. The input is
-    evaluated twice, the second time reduced to one row per block before any
-    shuffle; ``session.settle`` an input that is expensive to compute.
+    size is bounded by contract; then a single window suffices. Only keys that a
+    sketch names as heavy are cut; their rows are evaluated a second time, reduced
+    to one row per block before any shuffle. Without heavy keys one exchange and
+    one window do it all.
     """
     running, following, preceding = running or {}, following or {}, preceding or {}
-    cut = list(blocks or [])
+    hot = list((hot_hashes(df, keys, hot_rows) if hot is None else hot) if blocks else ())
+    cut = [f"_cut{i}" for i in range(len(blocks or []))] if hot else []
+    wanted = df.columns
+    if hot:
+        heavy = F.xxhash64(*keys).isin(hot)
+        df = df.withColumns({c: F.when(heavy, F.col(b)) for c, b in zip(cut, blocks, strict=True)})
     inner = Window.partitionBy(*keys, *cut).orderBy(*order)
     upto = inner.rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
     out = df.withColumns({
@@ -63,7 +75,7 @@ def blocked_scan(
         aggs += [F.max_by(src, rank).alias(f"_p_{name}") for name, src in preceding.items()]
         if not following:
             aggs += [F.min(rank).alias("_lo")]
-    edges = df.groupBy(*keys, *cut).agg(*aggs)
+    edges = df.filter(heavy).groupBy(*keys, *cut).agg(*aggs)
     over = Window.partitionBy(*keys).orderBy(*cut)
     before = over.rowsBetween(Window.unboundedPreceding, -1)
     picks = [F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in running]
@@ -73,62 +85,62 @@ def blocked_scan(
     picks += [F.col("_lo")] if preceding else []
     edges = edges.select(*keys, *cut, *picks)
 
-    out = out.join(edges, [*keys, *cut], "inner")
-    fixed = {n: F.col(n) + F.col(f"_s_{n}") for n in running}
+    out = out.join(edges, [*keys, *cut], "left")
+    fixed = {n: F.col(n) + F.coalesce(f"_s_{n}", F.lit(0)) for n in running}
     fixed.update({n: F.when(rank == F.col("_hi"), F.col(f"_f_{n}")).otherwise(F.col(n)) for n in following})
     fixed.update({n: F.when(rank == F.col("_lo"), F.col(f"_p_{n}")).otherwise(F.col(n)) for n in preceding})
-    names = [*df.columns, *running, *following, *preceding]
+    names = [*wanted, *running, *following, *preceding]
     return out.withColumns(fixed).select(*names)
 
 
 def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-            blocks: Sequence[str] | None, name: str = "cycle") -> DataFrame:
+            blocks: Sequence[str] | None, name: str = "cycle", hot_rows: int | None = None) -> DataFrame:
     """One-based position of each row in its key."""
-    return blocked_scan(df, keys, order, blocks, running={name: F.lit(1).cast("bigint")})
+    return blocked_scan(df, keys, order, blocks, running={name: F.lit(1).cast("bigint")}, hot_rows=hot_rows)
 
 
-def hot_hashes(df: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS) -> list[int]:
-    """Hashes of the keys that hold more than about ``rows`` rows, at most 10,000 of them.
+def hot_hashes(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> dict[int, int]:
+    """Hashes of the keys that hold more than about ``rows`` rows (at most 10,000 of them), with their counts.
 
     One pass over the key columns with a bounded frequent-items sketch, no
     shuffle. A key that holds more than a 1/50,000 share cannot be missed; a
     surplus or missed smaller key changes the work per task, never a result.
     """
+    rows = HOT_ROWS if rows is None else rows
     sketch = F.expr(f"filter(approx_top_k(h, 10000, 100000), x -> x.count > {int(rows)})")
     found = df.select(F.xxhash64(*keys).alias("h")).agg(sketch.alias("top")).first()["top"]
-    return sorted(x["item"] for x in found or [])
+    return {x["item"]: x["count"] for x in sorted(found or [])}
 
 
 def salted_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], spread: Sequence[str],
-                *, salts: int = SALTS, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Inner join in which heavy keys of ``rows`` are spread over ``salts`` tasks.
-
-    If there are heavy keys, adds the column ``_salt`` (0 for ordinary keys) so a
-    following aggregation can first reduce inside (keys, _salt) without another shuffle.
-    """
+                *, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join in which heavy keys of ``rows`` are spread over tasks of at most about ``hot_rows`` of their rows."""
     hot = hot_hashes(rows, keys, hot_rows)
     if not hot:
         return rows.join(lookup, list(keys), "inner")
-    heavy = F.xxhash64(*keys).isin(hot)
+    salts = max(2, -(-max(hot.values()) // hot_rows))
+    heavy = F.xxhash64(*keys).isin(list(hot))
     left = rows.withColumn(
         "_salt", F.when(heavy, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
     right = lookup.withColumn(
-        "_salt", F.explode(F.when(heavy, F.array(*[F.lit(i) for i in range(salts)]))
+        "_salt", F.explode(F.when(heavy, F.sequence(F.lit(0), F.lit(salts - 1)))
                            .otherwise(F.array(F.lit(0)))))
-    return left.join(right, [*keys, "_salt"], "inner")
+    return left.join(right, [*keys, "_salt"], "inner").drop("_salt")
 
 
 def lookup_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner",
-                *, limit: int = 20_000, salts: int = SALTS) -> DataFrame:
+                *, limit: int | None = None, salts: int = SALTS) -> DataFrame:
     """Join a large side with a table of one row per (few, hence heavy) keys.
 
-    The table is broadcast only after counting at most ``limit`` rows of it;
-    otherwise both sides are spread over salts of the key.
+    The table is written once and broadcast only if its counted rows, at 16 bytes a
+    column, stay below BROADCAST_BYTES (or ``limit`` rows); otherwise both sides are
+    spread over salts of the key.
     """
     if how not in ("inner", "left"):
         raise ValueError("lookup_join supports inner and left")
-    table = table.persist()
-    if table.limit(limit + 1).count() <= limit:
+    table = settle(table, "lookup")
+    limit = BROADCAST_BYTES // (16 * len(table.columns)) if limit is None else limit
+    if table.count() <= limit:
         return rows.join(F.broadcast(table), list(keys), how)
     others = [c for c in rows.columns if c not in keys]
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int"))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from trialloom.functions.estimates import col
 from trialloom.operators.compare import fingerprint
+from trialloom.sources.tables import read_table_exact
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -89,10 +90,11 @@ def evidence_registry(spark: SparkSession, tables: Mapping[str, DataFrame],
 
 def export_tables(spark: SparkSession, tables: Mapping[str, tuple[DataFrame, Sequence[str]]], out: str,
                   classes: Mapping[str, tuple[str, str]] | None = None) -> DataFrame:
-    """Write every table canonically, then the registry of what was written."""
+    """Write every table canonically, then the registry of what the files hold."""
     for name, (df, keys) in tables.items():
         write_canonical(df, f"{out}/{name}", df.schema, keys)
-    registry = evidence_registry(spark, {n: df for n, (df, _) in tables.items()}, classes)
+    written = {n: read_table_exact(spark, f"{out}/{n}", df.schema) for n, (df, _) in tables.items()}
+    registry = evidence_registry(spark, written, classes)
     registry.write.mode("errorifexists").json(f"{out}/registry")
     return spark.read.schema(registry.schema).json(f"{out}/registry")
 

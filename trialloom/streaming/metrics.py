@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -15,10 +17,16 @@ STATE_OF = {0: "N", 1: "C", 2: "E", 3: "E"}
 LIVE = ("N_C", "N_E", "N_N", *TRANSITIONS, "N_run_NC", "N_E_H", "N_E_F")
 
 
+_NAME = np.array([0, 1, 2, 2])  # state number of a code: N, C, E, E
+_STATES = ("N", "C", "E")
+
+
 class RepeatAccumulator(StatefulProcessor):
     """Counts one unit as its cycles arrive, in any order; reports once when cycle k is in.
 
-    State is the previous code, the counters, and the cycles that arrived early.
+    State is the previous code, the counters, and a map of the cycles that arrived
+    early. The cycles that follow without a gap are counted in one vectorised
+    pass per batch. A finished unit leaves the state.
     """
 
     def __init__(self, names: list[str], ttl_ms: int | None = None):
@@ -26,54 +34,68 @@ class RepeatAccumulator(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         counters = ", ".join(f"{c} bigint" for c in LIVE)
-        self.live = handle.getValueState(
-            "live", f"seen bigint, waiting bigint, previous int, done boolean, {counters}", self.ttl_ms)
-        self.early = handle.getListState("early", "cycle bigint, code int", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
-        fields = ("seen", "waiting", "previous", "done", *LIVE)
-        state = dict(zip(fields, self.live.get())) if self.live.exists() else dict.fromkeys(fields, 0) | {
-            "previous": None, "done": False}
-        waiting = dict(self.early.get()) if state["waiting"] else {}
-        report = None
-        for row in rows:
-            cycle, k = row["cycle"], row["k"]
-            if state["done"] or cycle > k or cycle <= state["seen"] or cycle in waiting:
-                raise ValueError(f"unit {key}: cycle {cycle} does not belong to {k} open cycles")
-            waiting[cycle] = row["code"]
-            while state["seen"] + 1 in waiting:
-                self._take(state, waiting.pop(state["seen"] + 1))
-            if state["seen"] == k:
-                state["done"] = True
-                report = self._row(key, state)
-        if waiting:
-            self.early.put(list(waiting.items()))
-        elif state["waiting"]:
-            self.early.clear()
-        state["waiting"] = len(waiting)
-        self.live.update(tuple(state[c] for c in fields))
-        if report is not None:
-            yield report
+        self.live = handle.getValueState("live", f"seen bigint, waiting bigint, previous int, {counters}", self.ttl_ms)
+        self.early = handle.getMapState("early", "cycle bigint", "code int", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        fields = ("seen", "waiting", "previous", *LIVE)
+        state = dict(zip(fields, self.live.get())) if self.live.exists() else dict.fromkeys(fields, 0) | {"previous": None}
+        frame = pd.concat(list(rows)).sort_values("cycle")
+        cycle, code, k = frame["cycle"].to_numpy(np.int64), frame["code"].to_numpy(np.int64), int(frame["k"].iloc[0])
+        early = state["waiting"] > 0
+        wrong = (cycle > k) | (cycle <= state["seen"]) | np.append(False, cycle[1:] == cycle[:-1])
+        if early:
+            wrong |= np.array([self.early.containsKey((int(c),)) for c in cycle])
+        if wrong.any():
+            raise ValueError(f"unit {key}: cycle {cycle[wrong][0]} does not belong to {k} open cycles")
+        after, at, run = state["seen"] + 1, 0, []
+        while True:
+            here = int((cycle[at:] == np.arange(after, after + len(cycle) - at)).cumprod().sum())
+            if here:
+                run.append(code[at:at + here])
+            elif state["waiting"] and self.early.containsKey((after,)):
+                run.append(np.array(self.early.getValue((after,)), np.int64))
+                self.early.removeKey((after,))
+                state["waiting"] -= 1
+                after += 1
+                continue
+            else:
+                break
+            at, after = at + here, after + here
+        for c, x in zip(cycle[at:].tolist(), code[at:].tolist()):
+            self.early.updateValue((c,), (x,))
+        state["waiting"] += len(cycle) - at
+        if run:
+            self._take(state, np.concatenate(run))
+        if state["seen"] == k:
+            self.live.clear()
+            yield self._row(key, state)
+        else:
+            self.live.update(tuple(state[c] for c in fields))
 
     @staticmethod
-    def _take(state: dict, code: int) -> None:
-        now, before = STATE_OF[code], None if state["previous"] is None else STATE_OF[state["previous"]]
-        state[f"N_{now}"] += 1
-        if before:
-            state[f"N_{before}{now}"] += 1
-        if now != "C" and before in (None, "C"):
-            state["N_run_NC"] += 1
-        state["N_E_H"] += code == 2
-        state["N_E_F"] += code == 3
-        state["previous"] = code
-        state["seen"] += 1
-
-    def _row(self, key, state: dict) -> Row:
+    def _take(state: dict, code: np.ndarray) -> None:
+        if code.min() < 0 or code.max() > 3:
+            raise ValueError("unknown source code")
+        now = _NAME[code]
+        first = state["previous"] is None
+        line = now if first else np.append(_NAME[state["previous"]], now)
+        for s, n in zip(_STATES, np.bincount(now, minlength=3).tolist()):
+            state[f"N_{s}"] += n
+        for s, n in enumerate(np.bincount(3 * line[:-1] + line[1:], minlength=9).tolist()):
+            state[f"N_{_STATES[s // 3]}{_STATES[s % 3]}"] += n
+        state["N_run_NC"] += int(((line[1:] != 1) & (line[:-1] == 1)).sum()) + int(first and now[0] != 1)
+        state["N_E_H"] += int((code == 2).sum())
+        state["N_E_F"] += int((code == 3).sum())
+        state["previous"] = int(code[-1])
+        state["seen"] += len(code)
+
+    def _row(self, key, state: dict) -> pd.DataFrame:
         end = STATE_OF[state["previous"]]
         full = {c: state[c] for c in LIVE}
         full.update({f"N_{a}dot": sum(state[f"N_{a}{b}"] for b in STATES) for a in STATES})
         full.update({"Sum_L_NC_obs": state["N_E"] + state["N_N"], "N_open_NC": int(end != "C")})
-        return Row(*self.names, *COUNTS, "EndState")(*key, *[full[c] for c in COUNTS], end)
+        return pd.DataFrame([[*key, *[full[c] for c in COUNTS], end]], columns=[*self.names, *COUNTS, "EndState"])
 
     def close(self) -> None:
         pass
@@ -83,8 +105,8 @@ def stream_repeat_metrics(stream: DataFrame, k: int | None = None,
                           keys: tuple[str, ...] = ("cond", "unit", "method"), ttl_ms: int | None = None) -> DataFrame:
     """Repeat metrics of a stream of (keys, cycle, code [, k]); a unit is emitted at its k-th cycle.
 
-    Cycle k + 1, a repeated cycle and a closed unit are errors. Abandoned units
-    leave the state after ``ttl_ms``. Needs the RocksDB state store.
+    Cycle k + 1 and a repeated cycle are errors. Finished units leave the state at once,
+    abandoned ones after ``ttl_ms``. Needs the RocksDB state store.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = stream.select(*keys, F.col("cycle").cast("bigint").alias("cycle"), F.col("code").cast("int").alias("code"),
@@ -92,5 +114,5 @@ def stream_repeat_metrics(stream: DataFrame, k: int | None = None,
     fields = [f"{n} {stream.schema[n].dataType.simpleString()}" for n in keys]
     schema = ", ".join([*fields, *[f"{c} bigint" for c in COUNTS], "EndState string"])
     mode = "ProcessingTime" if ttl_ms else "None"
-    return rows.groupBy(*keys).transformWithState(
+    return rows.groupBy(*keys).transformWithStateInPandas(
         RepeatAccumulator(list(keys), ttl_ms), schema, "append", mode)

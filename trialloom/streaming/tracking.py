@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from trialloom.functions.rules import standard_rules
+from trialloom.skew import block_of, blocked_scan
 from trialloom.streaming.metrics import ROCKSDB
 
 TRACE = ("cycle", "method", "candidates", "picked_time", "source_code", "ref_before", "ref_after")
-OPENING = {"expected": "bigint", "first_cycle": "bigint", "start": "double", "dt": "double", "ref_width": "double"}
+OPENING = {"expected": "bigint", "first_cycle": "bigint", "next_cycle": "bigint", "start": "double", "dt": "double",
+           "ref_width": "double"}
 CANDIDATE = {"true_time": "double", "time": "double", "width": "double", "rank_hi": "bigint", "rank_lo": "bigint",
              "source_code": "bigint"}
 FIELDS = ("cycle", *OPENING, *CANDIDATE)
@@ -32,33 +34,37 @@ class Tracker(StatefulProcessor):
         best = ", ".join(f"{c} array<double>" for c in ("refs", "score", "picked")) + ", " + ", ".join(
             f"{c} array<bigint>" for c in ("hi", "lo", "source", "count"))
         self.now = handle.getValueState(
-            "now", f"cycle bigint, waiting bigint, expected bigint, seen bigint, dt double, ref_width double, {best}", self.ttl_ms)
+            "now", f"cycle bigint, waiting bigint, expected bigint, seen bigint, next bigint, dt double, ref_width double, {best}", self.ttl_ms)
         row = ", ".join(f"{n} {t}" for n, t in {"cycle": "bigint", **OPENING, **CANDIDATE}.items())
         self.early = handle.getListState("early", row, self.ttl_ms)
 
-    NOW = ("cycle", "waiting", "expected", "seen", "dt", "ref_width", "refs", "score", "picked", "hi", "lo", "source", "count")
+    NOW = ("cycle", "waiting", "expected", "seen", "next", "dt", "ref_width", "refs", "score", "picked", "hi", "lo", "source", "count")
 
     def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
         s = dict(zip(self.NOW, self.now.get())) if self.now.exists() else None
         if s:
-            s.update({c: list(s[c]) for c in self.NOW[6:]})
+            s.update({c: list(s[c]) for c in self.NOW[7:]})
         held = s["waiting"] if s else 0
+        if s and s["cycle"] is None:
+            s = None
         early: dict[int, list] = {}
         for r in self.early.get() if held else ():
             early.setdefault(r[0], []).append(r)
         for row in rows:
             r = tuple(row[c] for c in FIELDS)
             if s is None and r[2] is not None:
-                s = self._fresh(r[2], [r[3]] * len(self.rules))
+                s = self._fresh(r[2], [r[4]] * len(self.rules))
             if s and r[0] < s["cycle"]:
-                raise ValueError(f"unit {key}: cycle {r[0]} is closed")
+                if r[1] is not None:
+                    raise ValueError(f"unit {key}: cycle {r[0]} is closed")
+                continue  # its cycle has no row
             early.setdefault(r[0], []).append(r)
             while s and s["cycle"] in early:
                 self._take(key, s, early)
                 if s["expected"] is None or s["seen"] < s["expected"]:
                     break
                 yield from self._close(key, s)
-        left = [r for rs in early.values() for r in rs]
+        left = [r for c, rs in early.items() if s is None or c >= s["cycle"] for r in rs]
         if left:
             self.early.put(left)
         elif held:
@@ -66,12 +72,12 @@ class Tracker(StatefulProcessor):
         if s:
             s["waiting"] = len(left)
             self.now.update(tuple(s[c] for c in self.NOW))
-        elif left:
-            raise ValueError(f"unit {key}: rows without any cycle row in one batch")
+        elif left:  # candidates came before the first cycle row; they wait for it
+            self.now.update(tuple({**self._fresh(None, []), "waiting": len(left)}[c] for c in self.NOW))
 
     def _fresh(self, cycle: int, refs: list[float]) -> dict:
         n = len(self.rules)
-        return {"cycle": cycle, "waiting": 0, "expected": None, "seen": 0, "dt": None, "ref_width": None, "refs": refs,
+        return {"cycle": cycle, "waiting": 0, "expected": None, "seen": 0, "next": None, "dt": None, "ref_width": None, "refs": refs,
                 "score": [0.0] * n, "picked": [0.0] * n, "hi": [0] * n, "lo": [0] * n, "source": [0] * n, "count": [0] * n}
 
     def _take(self, key, s: dict, early: dict[int, list]) -> None:
@@ -81,13 +87,13 @@ class Tracker(StatefulProcessor):
         if len(opening) + (s["expected"] is not None) > 1:
             raise ValueError(f"unit {key}: cycle {s['cycle']} arrived twice")
         if opening:
-            s["expected"], s["dt"], s["ref_width"] = opening[0][1], opening[0][4], opening[0][5]
+            s["expected"], s["next"], s["dt"], s["ref_width"] = opening[0][1], *opening[0][3:4], *opening[0][5:7]
         if s["expected"] is None:
             return
         del early[s["cycle"]]
         for r in mine:
             if r[1] is None:
-                self._fold(s, *r[6:])
+                self._fold(s, *r[7:])
 
     def _fold(self, s: dict, true, time, width, hi, lo, source) -> None:
         s["seen"] += 1
@@ -111,7 +117,7 @@ class Tracker(StatefulProcessor):
             yield Row(*self.names, *TRACE)(*key, s["cycle"], name, s["count"][m], s["picked"][m] if hit else None,
                                            s["source"][m] if hit else 0, ref, float(new))
             after.append(float(new))
-        s.update(self._fresh(s["cycle"] + 1, after))
+        s.update(self._fresh(s["cycle"] + 1 if s["next"] is None else s["next"], after))
 
     def close(self) -> None:
         pass
@@ -120,11 +126,14 @@ class Tracker(StatefulProcessor):
 def stream_rows(cycles: DataFrame, candidates: DataFrame, start: DataFrame, keys: tuple[str, ...] = ("unit",)) -> DataFrame:
     """Rows for ``stream_track`` from the tables of the batch form.
 
-    A cycle row announces its number of candidates; every candidate is a row of its own.
+    A cycle row announces its number of candidates and the next cycle that has a
+    row; every candidate is a row of its own.
     """
     n = candidates.groupBy(*keys, "cycle").agg(F.count(F.lit(1)).alias("expected"))
     first = cycles.groupBy(*keys).agg(F.min("cycle").alias("first_cycle")).join(
         start.select(*keys, F.col("ref").alias("start")), list(keys))
+    cycles = blocked_scan(cycles.withColumn("_cut", block_of("cycle")), list(keys), ["cycle"], ["_cut"],
+                          following={"next_cycle": "cycle"}).drop("_cut")
     opening = cycles.join(n, [*keys, "cycle"], "left").join(first, list(keys)).withColumn("expected", F.coalesce("expected", F.lit(0)))
     none = lambda spec: [F.lit(None).cast(t).alias(c) for c, t in spec.items()]
     cast = lambda spec: [F.col(c).cast(t).alias(c) for c, t in spec.items()]
@@ -136,9 +145,10 @@ def stream_track(stream: DataFrame, half: float, rules: Mapping[str, Callable] |
                  w_scale: float = 1.0, keys: tuple[str, ...] = ("unit",), ttl_ms: int | None = None) -> DataFrame:
     """Trace of a stream of cycle rows and candidate rows (see ``stream_rows``), in any order.
 
-    A cycle is reported when its row and all announced candidates are in. The
-    first batch of a unit must hold one of its cycle rows. Abandoned units leave
-    the state after ``ttl_ms``.
+    A cycle is reported when its row and all announced candidates are in.
+    Candidates that come before any cycle row of their unit wait for it; those of
+    a cycle without a row belong to no gate. Abandoned units leave the state after
+    ``ttl_ms``.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rules = rules or standard_rules(t_scale, w_scale)
