@@ -1,5 +1,6 @@
 """Base spans of secrets and personal data against the plain patterns of their contract."""
 
+import math
 import random
 import re
 
@@ -87,3 +88,15 @@ def test_like_tokens_share_a_label_along_skip_edges():
     assert (field.marginals(g).argmax(axis=1) == 2).all()
     assert pii.field_spans(g, field, sorted(pii.base_spans(text), key=lambda s: s[1:])) == []
     assert pii.field_spans(pii.graph("nothing here"), field, []) == []
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_every_inferred_automaton_is_whole(seed):
+    """All ways on lead to states, and the probabilities of each state sum to one."""
+    rnd = random.Random(seed)
+    strings = ["".join(rnd.choice("a9zA/"[:rnd.randint(1, 5)]) for _ in range(rnd.randint(0, 40))) for _ in range(rnd.choice([1, 8, 300]))]
+    found = secrets.infer(strings)
+    for step, stop in zip(found.step, found.stop, strict=True):
+        assert all(0 <= k < len(found.step) for k, _ in step.values())
+        assert abs(sum(math.exp(p) for _, p in step.values()) + math.exp(stop) - 1) < 2e-3
+    assert all(found.likelihood(s) < 0.01 for s in strings)

@@ -143,25 +143,21 @@ def infer(strings: list[str], alpha: float = ALPHA) -> Automaton:
                 else:
                     kids[a][c] = k
 
-    red, order = [0], [0]
-    done = {0}
-    while order:
-        node = order.pop(0)
-        for c in sorted(kids[node]):
-            blue = kids[node][c]
-            if blue in done:
-                continue
-            for r in red:
-                if compatible(r, blue):
-                    kids[node][c] = r
-                    fold(r, blue)
-                    if r not in order:
-                        order.append(r)  # it may have got new ways on
-                    break
-            else:
-                red.append(blue)
-                done.add(blue)
-                order.append(blue)
+    red = [0]
+    while True:
+        # a fold can give any earlier state new ways on, so all are looked at again
+        blue = next(((node, c) for node in red for c in sorted(kids[node]) if kids[node][c] not in red), None)
+        if blue is None:
+            break
+        node, c = blue
+        own = kids[node][c]
+        for r in red:
+            if compatible(r, own):
+                kids[node][c] = r
+                fold(r, own)
+                break
+        else:
+            red.append(own)
     at = {node: k for k, node in enumerate(red)}
     step, stop = [], []
     for node in red:
