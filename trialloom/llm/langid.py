@@ -8,6 +8,7 @@ maximisation over the words of a bounded sample of each language.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +25,8 @@ LONGEST = 40
 #: Labelled documents of a language that teach, about (by a hash of the id).
 SAMPLE = 400
 ROUNDS = 3
-#: Words held by a worker's table before it starts anew; bounds memory only.
-WORDS = 400_000
+#: Words in a worker's table before it begins another and keeps this one to look up; bounds memory only.
+WORDS = 300_000
 _FLOOR = 1e-9
 
 
@@ -103,8 +104,12 @@ class LanguageModel:
     probs: np.ndarray  # piece x language
 
 
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
 def split(text: str) -> list[str]:
-    return [MARK + w for w in text.lower().split()]
+    """Runs of letters in lower case; signs and digits say nothing about the language."""
+    return _LETTERS.findall(text.lower())
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE,
@@ -125,8 +130,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         return LanguageModel((), tuple(pieces), np.zeros((len(pieces), 0)))
     chance = F.coalesce(*[F.when(F.col("lang") == name, F.lit(shares[name])) for name in languages])
     draw = F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 30)) / float(1 << 30)
-    counts = known.where(draw < chance).select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).where(
-        "w <> ''").groupBy("lang", "w").agg(F.count("*").alias("n")).persist()
+    counts = known.where(draw < chance).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n")).persist()
     lattice = Lattice(pieces)
     shared = spark.sparkContext.broadcast(lattice)
     lengths = np.array([len(p) for p in pieces], float)
@@ -175,51 +179,58 @@ class Scorer:
         self._reset()
 
     def _reset(self) -> None:
+        """Begin another table and keep this one to look up."""
+        self.older = getattr(self, "at", {}), getattr(self, "table", None)
         self.at: dict[str, int] = {}
-        self.table = np.zeros((WORDS + 1, len(self.model.languages)))
+        self.table = np.zeros((2 * WORDS, len(self.model.languages)))
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Prediction and its share of the posterior; ``und`` and 0 for null or without a letter."""
+        split_ = [split(t) if t and self.model.languages else [] for t in texts]
         names, scores = [], []
-        for text in texts:
-            if text is None or not self.model.languages or not any(map(str.isalpha, text)):
-                names.append("und")
-                scores.append(0.0)
-                continue
-            total = self.total(split(text))
-            k = int(total.argmax())
-            names.append(self.model.languages[k])
-            scores.append(float(1 / np.exp(total - total[k]).sum()))
+        for at in range(0, len(split_), 500):
+            part = split_[at:at + 500]
+            for own, total in zip(part, self.totals(part), strict=True):
+                if not any(c.isalpha() for w in own for c in w):
+                    names.append("und")
+                    scores.append(0.0)
+                    continue
+                k = int(total.argmax())
+                names.append(self.model.languages[k])
+                scores.append(float(1 / np.exp(total - total[k]).sum()))
         return names, scores
 
-    def total(self, words: list[str]) -> np.ndarray:
-        out = np.zeros(len(self.model.languages))
-        for k in range(0, len(words), 100_000):
-            part = words[k:k + 100_000]
-            out += self.table[[self.at[w] for w in part] if self._learn(part) else []].sum(axis=0)
+    def totals(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Summed log-probabilities of the words of each text."""
+        out = [np.zeros(len(self.model.languages)) for _ in texts]
+        step, at = WORDS // 2, 0
+        while at < len(texts):  # as many texts at once as the table can hold, long ones in parts
+            to, n = at, 0
+            while to < len(texts) and (n == 0 or n + len(texts[to]) <= step):
+                n, to = n + len(texts[to]), to + 1
+            for low in range(0, max(map(len, texts[at:to])), step):
+                part = [t[low:low + step] for t in texts[at:to]]
+                self._learn(set().union(*part))
+                for k, own in enumerate(part):
+                    if own:
+                        out[at + k] += self.table[[self.at[w] for w in own]].sum(axis=0)
+            at = to
         return out
 
-    def _learn(self, words: list[str]) -> bool:
-        new = [w for w in dict.fromkeys(words) if w not in self.at]
-        if len(self.at) + len(new) > WORDS:
+    def _learn(self, words: set[str]) -> None:
+        if len(self.at) > WORDS:
             self._reset()
-            new = list(dict.fromkeys(words))
-        if new:
-            first = len(self.at)
-            self.table[first:first + len(new)] = word_scores(self.lattice, new, self.model.probs)
-            self.at.update(zip(new, range(first, first + len(new)), strict=True))
-        return True
-
-    def prepare(self, texts: list[str | None]) -> None:
-        """Score the new words of many texts together."""
-        new: dict[str, None] = {}
-        for text in texts:
-            if text:
-                new.update(dict.fromkeys(w for w in split(text) if w not in self.at))
-            if len(new) > 50_000:
-                self._learn(list(new))
-                new = {}
-        self._learn(list(new))
+        new = words - self.at.keys()
+        before, rows = self.older
+        old = list(new & before.keys())
+        fresh = list(new - before.keys())
+        first = len(self.at)
+        if old:
+            self.table[first:first + len(old)] = rows[[before[w] for w in old]]
+        if fresh:
+            self.table[first + len(old):first + len(new)] = word_scores(self.lattice, [MARK + w for w in fresh],
+                                                                        self.model.probs)
+        self.at.update(zip(old + fresh, range(first, first + len(new)), strict=True))
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", out: str = "language") -> DataFrame:
@@ -235,10 +246,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", out: str
 
     @F.arrow_udf("struct<lang: string, score: double>")
     def predict(batch: pa.Array) -> pa.Array:
-        scorer = _scorer(shared)
-        texts = batch.to_pylist()
-        scorer.prepare(texts)
-        names, scores = scorer(texts)
+        names, scores = _scorer(shared)(batch.to_pylist())
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                                           fields=list(kind))
 
