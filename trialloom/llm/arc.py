@@ -240,6 +240,8 @@ def convert(spark, source: str, target: str, least: int = 0) -> None:
         F.map_from_entries(F.collect_list(F.struct("ordinal", F.coalesce(F.col("head.id").cast("string"), F.lit("-")))
                                           )).alias("again"))  # at most the records of one archive
 
+    again = settle(again, "revisits")  # a table of known size: if it is small, the archives are not shuffled for it
+
     def rewrite(batches):
         for batch in batches:
             for path, content, verdict in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(),
