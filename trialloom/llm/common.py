@@ -97,7 +97,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         last = inside.copy()
         last[:-1] &= ~inside[1:] | edge[1:]
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-        up, down = _powers(max(2 * CHUNK, 1 << int(to - at).bit_length()))
+        up, down = _powers(max(CHUNK + 4096, to - at))
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(_VALUE[part] * up[:len(part)], out=total[1:])
         hashes.append(mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)))
@@ -121,7 +121,7 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
-def batches_of(texts: pa.Array, limit: int = 8 * CHUNK) -> Iterator[pa.Array]:
+def batches_of(texts: pa.Array, limit: int = 2 * CHUNK) -> Iterator[pa.Array]:
     """Slices of a batch with a bounded number of bytes (at least one text each)."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0

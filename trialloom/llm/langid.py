@@ -26,7 +26,7 @@ LONGEST = 40
 SAMPLE = 400
 ROUNDS = 3
 #: Words in a worker's table before it begins another and keeps this one to look up; bounds memory only.
-WORDS = 300_000
+WORDS = 150_000
 _FLOOR = 1e-9
 
 

@@ -59,7 +59,7 @@ def _locally_frequent(share: float, size: int):
             for kinds, _ in text_shingles(batch.column(0), size):
                 held.append(kinds)
                 texts, n = texts + 1, n + len(kinds)
-            if n >= 1 << 22:
+            if n >= 1 << 21:
                 yield flush()
                 held, texts, n = [], 0, 0
         if held:

@@ -27,7 +27,7 @@ from trialloom.llm.lattice import Lattice, by_length
 
 MARK = "▁"
 #: Words in a worker's table before it begins another and keeps this one to look up; bounds memory only.
-WORDS = 300_000
+WORDS = 150_000
 
 
 class Pieces:
@@ -115,7 +115,7 @@ class Pieces:
         """
         n, size, length, pairs = len(word), self.size, self.length, self.pairs
         last = [-1] * (n + 1)
-        if len(pairs) > 500_000:
+        if len(pairs) > 250_000:
             pairs.clear()
         for at, right in self.automaton.iter(word):
             end = at + 1
@@ -152,7 +152,7 @@ class Pieces:
         slot = (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
         new = np.flatnonzero(self.met[slot] != pair)
         if len(new):
-            if len(self.pairs) > 500_000:
+            if len(self.pairs) > 250_000:
                 self.pairs.clear()
             for p in np.unique(pair[new]).tolist():
                 if p not in self.pairs:
@@ -268,7 +268,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, text: str = "tex
     @F.arrow_udf("binary")
     def encode(batch: pa.Array) -> pa.Array:
         pieces = load(path)
-        return pa.array([ids for part in batches_of(batch, 4 << 20) for ids in pieces.encode(part.to_pylist())], pa.binary())
+        return pa.array([ids for part in batches_of(batch) for ids in pieces.encode(part.to_pylist())], pa.binary())
 
     # not merged into what reads the ids: it would run once for each reader
     return docs.withColumn(out, encode.asNondeterministic()(text_of(text)))
