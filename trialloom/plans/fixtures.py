@@ -72,7 +72,7 @@ def days(spark: SparkSession, sf: str) -> list[int]:
 
 def gates(spark: SparkSession, sf: str) -> DataFrame:
     units = events(spark, sf).select(F.col("user_id").alias("unit")).distinct()
-    return units.select("unit", F.explode(F.array(*[F.lit(d) for d in days(spark, sf)])).alias("cycle")).select(
+    return units.select("unit", F.explode(F.array(*[F.lit(d).cast("bigint") for d in days(spark, sf)])).alias("cycle")).select(
         "unit", "cycle", (F.col("cycle") * DAY_US + DAY_US // 2).alias("ref_us"),
         F.lit(DAY_US // 4).alias("half_us"), F.lit(20.0).alias("w_ref"))
 

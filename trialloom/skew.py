@@ -119,6 +119,7 @@ def salted_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], spread:
     if not hot:
         return rows.join(lookup, list(keys), "inner")
     salts = max(2, -(-max(hot.values()) // hot_rows))
+    lookup = lookup.withColumns({k: F.col(k).cast(rows.schema[k].dataType) for k in keys})  # hashes depend on the type
     heavy = F.xxhash64(*keys).isin(list(hot))
     left = rows.withColumn(
         "_salt", F.when(heavy, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
