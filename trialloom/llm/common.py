@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 from functools import lru_cache
 
 import numpy as np
@@ -17,6 +20,26 @@ from trialloom.session import settle
 CHUNK = 1 << 20
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(kind: str, key: object, build: Callable[[], object]) -> object:
+    """The tables that a Python worker keeps between its tasks: of one operator at a time."""
+    if (kind, key) not in _HELD:
+        release()
+        _HELD[kind, key] = build()
+    return _HELD[kind, key]
+
+
+def release() -> None:
+    """Give up what an earlier operator's tasks left in this worker."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        with suppress(OSError, AttributeError):  # give the memory back at once where the C library can
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialloom.llm.common import batches_of, bounded_batches, keep_rows, row_mark, text_bytes, text_of, windows, words
+from trialloom.llm.common import batches_of, bounded_batches, keep_rows, release, row_mark, text_bytes, text_of, windows, words
 from trialloom.session import settle
 
 SEED, COVER = 5, 0.5
@@ -104,6 +104,7 @@ def tiling(text: np.ndarray, item: np.ndarray, pairs: list[tuple[int, int]], siz
 
 def block_matches(texts: pa.Array, block: Block) -> list[list[tuple[int | None, int, int, int]]]:
     """For each text (lower case): item, its words, covered words and number of tiles, for items with a tile."""
+    release()
     out = []
     for part in batches_of(texts):
         data, cuts = text_bytes(part)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialloom.llm.common import bounded_batches, held_out
+from trialloom.llm.common import bounded_batches, held, held_out
 from trialloom.llm.lattice import Lattice, by_length
 from trialloom.llm.pieces import MARK, model_path
 
@@ -253,11 +253,6 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", out: str
     return docs.withColumn(out, predict(F.col(text).cast("string")))
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def _scorer(shared) -> Scorer:
-    if id(shared.value) not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[id(shared.value)] = Scorer(shared.value)
-    return _SCORERS[id(shared.value)]
+    model = shared.value
+    return held("language", id(model), lambda: Scorer(model))

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialloom.llm.common import (batches_of, bounded_batches, keep_rows, mix, row_mark, text_bytes, text_of, windows,
-                                  words)
+from trialloom.llm.common import (batches_of, bounded_batches, keep_rows, mix, release, row_mark, text_bytes, text_of,
+                                  windows, words)
 from trialloom.session import settle
 
 SIZE, BANDS, ROWS, SIMILAR = 5, 14, 4, 0.8
@@ -34,6 +34,7 @@ def text_shingles(texts: pa.Array, size: int = SIZE):
 
     A text of fewer than ``size`` words is one shingle; one without words has none.
     """
+    release()
     for part in batches_of(texts):
         data, cuts = text_bytes(part)
         hashes, first = words(data, cuts)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
-from trialloom.llm.common import batches_of, bounded_batches, text_of
+from trialloom.llm.common import batches_of, bounded_batches, held, text_of
 from trialloom.llm.lattice import Lattice, by_length
 
 MARK = "▁"
@@ -241,14 +241,9 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
-_LOADED: dict[str, Pieces] = {}
-
-
 def load(path: str) -> Pieces:
     """The model of this worker process."""
-    if path not in _LOADED:
-        _LOADED[path] = Pieces(path)
-    return _LOADED[path]
+    return held("pieces", path, lambda: Pieces(path))
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:

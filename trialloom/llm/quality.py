@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialloom.llm.common import bounded_batches, held_out, keep_rows, row_mark, text_bytes, words
+from trialloom.llm.common import bounded_batches, held_out, keep_rows, release, row_mark, text_bytes, words
 from trialloom.session import settle
 
 FEATURES = ("length", "words", "word_length", "upper", "digit", "stop", "comma", "shout", "bar", "symbol",
@@ -33,6 +33,7 @@ def document_statistics(texts: pa.Array) -> np.ndarray:
     Logarithms of counts, square roots of shares, entropy of the bytes, and the
     share of different words. Works on the bytes of whole texts.
     """
+    release()
     data, cuts = text_bytes(texts)
     masks, space = _masks(), np.zeros(256, bool)
     space[[9, 10, 11, 12, 13, 32]] = True
