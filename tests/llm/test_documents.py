@@ -153,6 +153,44 @@ def test_later_rounds_find_links_between_others_than_the_first_hub(spark):
     assert all(len({root[10 * k + j] for j in range(4)}) == 1 for k in range(7)) and len(set(root.values())) == 7
 
 
+def test_chains_between_two_hubs_are_one_class(spark):
+    """One bucket for all: the middle of a chain closes on hubs at both ends, which only its own link joins."""
+    rnd = random.Random(4)
+    rows = []
+    for k in range(12):
+        own = [f"w{rnd.randint(0, 9999)}" for _ in range(60)]
+        for j in range(4):
+            rows.append((10 * k + j, " ".join(own), "en"))
+            own[10 + 15 * j] = f"new{j}"
+    docs = make(spark, rows)
+    weights = minhash.Weights(np.zeros(0, np.uint64), np.zeros(0), len(rows))
+    signed = minhash.signatures(docs, weights).withColumn("bands", F.array(F.lit(1).cast("long"))).withColumn(
+        "weight", F.lit(1.0)).withColumn("n", F.when(F.col("id") % 10 % 3 == 0, 5).otherwise(1))
+    if "plain" in signed.columns:
+        signed = signed.withColumn("plain", F.array().cast("array<long>"))
+    edges = minhash.links(signed, docs, weights, "doc_id", "text", 5, 0.8)
+    ids = {r.uid: r.id for r in signed.collect()}
+    pairs = {tuple(sorted((ids[r.a], ids[r.b]))) for r in edges.collect()}
+    assert pairs == {(10 * k + j, 10 * k + j + 1) for k in range(12) for j in range(3)}
+    root = {ids[r.uid]: r.root for r in minhash.classes(edges).collect()}
+    assert len(root) == 48 and len(set(root.values())) == 12
+
+
+def test_n_links_lies_between_one_and_all_links(spark):
+    """A star of twenty near copies: every content has a link, none more than brute force."""
+    rnd = random.Random(6)
+    own = [f"w{rnd.randint(0, 9999)}" for _ in range(200)]
+    rows = [(k, " ".join([*own[:5 * k + 9], f"x{k}", *own[5 * k + 10:]]), "en") for k in range(20)]
+    rows += [(100 + k, " ".join(f"v{rnd.randint(0, 9999)}" for _ in range(50)), "en") for k in range(5)]
+    weights = minhash.corpus_weights(make(spark, rows))
+    vectors = [(g, weights(g, c)) for g, c in minhash.text_shingles(pa.array([t for _, t, _ in rows]))]
+    degree = {rows[a][0]: sum(minhash.weighted_jaccard(vectors[a], vectors[b]) >= 0.8 for b in range(25) if b != a)
+              for a in range(25)}
+    got = {r.id: r for r in minhash.near_groups(make(spark, rows)).collect()}
+    for i, n in degree.items():
+        assert min(n, 1) <= got[i].n_links <= n and (got[i].class_size > 1) == (n > 0)
+
+
 def brute_coverage(text, item, size=decontam.SEED):
     """Greedy string tiling by trying every place, longest first."""
     size = min(size, len(item))

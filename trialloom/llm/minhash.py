@@ -6,7 +6,8 @@ an inverse document frequency, ``ln(1 / max(df / N, rare))``: shingles in fewer
 most (mean text length / rare), need a table. Texts draw one shingle per sample in
 proportion to weight; bands of samples make buckets; in every bucket all texts
 are compared with hubs, by weighted Jaccard similarity on the texts, until each
-has been a hub or is linked to one; links are contracted to classes.
+has been a hub or is linked to one, and then across classes, until no pair of
+different classes is left; links are contracted to classes.
 """
 
 from __future__ import annotations
@@ -241,8 +242,11 @@ def links(contents: DataFrame, docs: DataFrame, weights: Weights, key: str, text
     cut by weight on a grid of that ratio, each member in two neighbouring cells. In
     round one every member is compared with the hub, the content of most copies. While a
     bucket has members that no hub was like, some of these become hubs for all its
-    members (1, 8, 64, ... in a round). It ends when every member has been a
-    hub or is linked to one.
+    members (1, 8, 64, ... in a round), until every member has been a
+    hub or is linked to one. Then members of a bucket that still has several classes
+    become hubs for its members of other classes (8, 64, ... in a round; classes
+    are contracted after each). It ends when every pair of a bucket has been compared or
+    is in one class; pairs within a class may stay uncompared.
     """
     spark = docs.sparkSession
     place = ["band", "value", "cell"]
@@ -258,19 +262,23 @@ def links(contents: DataFrame, docs: DataFrame, weights: Weights, key: str, text
     texts = settle(wanted.alias("w").join(
         body.alias("b"), F.col("w.id").eqNullSafe(F.col("b.id")) & (F.col("w.mark") == F.col("b.mark"))
     ).select("w.uid", "b.text"), "bodies")
-    done, width = None, 1
-    while True:
-        hubs = open_.where("open").groupBy(*place, F.pmod(F.xxhash64("uid"), F.lit(width)).alias("part")).agg(
-            F.min(F.struct((-F.col("copies")).alias("few"), "uid"))["uid"].alias("hub"))
-        met = open_.join(hubs, place).where("uid <> hub").withColumns(
-            {"a": F.least("uid", "hub"), "b": F.greatest("uid", "hub")})
+
+    def compare(met: DataFrame, done: DataFrame | None) -> DataFrame:
         fresh = met.select("a", "b").distinct()
         fresh = fresh if done is None else fresh.join(done, ["a", "b"], "left_anti")
         read = fresh.join(texts.select(F.col("uid").alias("b"), F.col("text").alias("_y")), "b").join(
             texts.select(F.col("uid").alias("a"), F.col("text").alias("_x")), "a")
         checked = settle(read.select("a", "b", (_similar(weights, spark, size, F.col("_x"), F.col("_y")) >= similar
                                                 ).alias("alike")).distinct(), "checked")
-        done = checked if done is None else done.unionByName(checked)
+        return checked if done is None else done.unionByName(checked)
+
+    buckets, done, width = open_, None, 1
+    while True:
+        hubs = open_.where("open").groupBy(*place, F.pmod(F.xxhash64("uid"), F.lit(width)).alias("part")).agg(
+            F.min(F.struct((-F.col("copies")).alias("few"), "uid"))["uid"].alias("hub"))
+        met = open_.join(hubs, place).where("uid <> hub").withColumns(
+            {"a": F.least("uid", "hub"), "b": F.greatest("uid", "hub")})
+        done = compare(met, done)
         gone = met.where("open").join(done.where("alike"), ["a", "b"]).select(*place, "uid").unionByName(
             hubs.select(*place, F.col("hub").alias("uid"))).distinct().withColumn("gone", F.lit(True))
         after = open_.join(gone, [*place, "uid"], "left").withColumn(
@@ -278,8 +286,25 @@ def links(contents: DataFrame, docs: DataFrame, weights: Weights, key: str, text
         open_ = settle(after, "buckets")
         live = open_.where("open").select(*place).distinct()
         if live.isEmpty():
-            return done.where("alike").select("a", "b")
+            break
         open_, width = open_.join(live, place, "left_semi"), width * 8
+    width = 8
+    while True:  # a content without a link has been a hub in all its buckets: only linked ones are left
+        linked = buckets.join(classes(done.where("alike").select("a", "b")), "uid")
+        several = linked.groupBy(*place).agg(F.min("root").alias("low"), F.max("root").alias("high")).where(
+            "low < high").select(*place)
+        linked = settle(linked.join(several, place, "left_semi"), "linked")
+        if linked.where("open").isEmpty():
+            return done.where("alike").select("a", "b")
+        hubs = settle(linked.where("open").groupBy(*place, F.pmod(F.xxhash64("uid"), F.lit(width)).alias("part")).agg(
+            F.min(F.struct("uid", "root")).alias("hub")).select(
+                *place, F.col("hub.uid").alias("hub"), F.col("hub.root").alias("hub_root")), "hubs")
+        done = compare(linked.join(hubs, place).where("root <> hub_root").withColumns(
+            {"a": F.least("uid", "hub"), "b": F.greatest("uid", "hub")}), done)
+        was = hubs.select(*place, F.col("hub").alias("uid"), F.lit(True).alias("was"))
+        buckets = linked.drop("root").join(was, [*place, "uid"], "left").withColumn(
+            "open", F.col("open") & F.col("was").isNull()).drop("was")
+        width *= 8
 
 
 def classes(edges: DataFrame) -> DataFrame:
@@ -310,8 +335,10 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     """For each document: id, class_id (smallest id of its class), class_size, n_links, kept, mark.
 
     Texts with the same words are one content; links join contents of similarity
-    ``similar`` or more. ``n_links`` counts the verified links of the document's content to other
-    contents. A text without a word (null and empty ones too) is a class of its
+    ``similar`` or more. ``n_links`` counts the links of the document's content to other contents that
+    were verified on the way to its class: they hold the class together, and pairs
+    already in one class need not be compared, so it is at least 1 in a class of several
+    contents and at most the number of all links. A text without a word (null and empty ones too) is a class of its
     own. A null id takes part and names a class only if it has no other id. Of
     rows alike, one is kept. Other columns are not read; an empty table gives no rows.
     """
