@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialloom.llm import arc, chat, decontam, dedup, langid, minhash, pieces, pii, quality, secrets
+from trialloom.llm import (
+    arc, chat, decontam, dedup, fim, importance, langid, maxscore, minhash, pieces, pii, quality, secrets)
 from trialloom.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +143,78 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), *[_count(spans, k).alias(f"n_{k}") for k in base],
         F.sha2(_listed(spans, base), 256).alias("base_sha256"), _listed(spans).alias("spans"))
+
+
+@query("op11_maxscore_top_k", """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+               FROM embeddings
+               WHERE embedding IS NOT NULL
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, o.vec_id,
+                 CAST(coalesce(list_sum(list_transform(range(1, least(len(q.c), len(o.c)) + 1), lambda i: q.c[i] * o.c[i])),
+                               0) AS BIGINT) AS score
+          FROM v q JOIN v o ON q.vec_id <> o.vec_id WHERE q.vec_id % 100 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 10""")
+def op11_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0).select(
+        "query_id", "rank", "vec_id", "score")
+
+
+_WORDS = """list_filter(regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"""
+_SHIFTED = "xor(c >> 1, 3988292384 * (c & 1))"
+
+
+@query("op12_importance_draw", f"""
+    WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_WORDS.format("text")} AS words FROM documents),
+    dw AS (SELECT k, unnest(words) AS w FROM d),
+    bw AS (SELECT unnest({_WORDS.format("text")}) AS w FROM benchmark),
+    t AS (SELECT list(c ORDER BY i) AS crc FROM (
+        SELECT i, list_reduce(range(8), lambda c, b: {_SHIFTED}, i) AS c FROM range(256) r(i))),
+    h AS (SELECT DISTINCT w FROM (SELECT w FROM dw UNION ALL SELECT w FROM bw)),
+    b AS (SELECT w, CAST(xor(list_reduce(
+              list_transform(range(octet_length(encode(w))),
+                             lambda i: CAST('0x' || substr(hex(encode(w)), 2 * CAST(i AS INT) + 1, 2) AS BIGINT)),
+              lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 10000 AS INT) AS bucket
+          FROM h, t),
+    s AS (SELECT bucket, count(*) AS n FROM dw JOIN b USING (w) GROUP BY 1),
+    u AS (SELECT bucket, count(*) AS n FROM bw JOIN b USING (w) GROUP BY 1),
+    g AS (SELECT bucket, CAST(floor(1000 * ln(CAST(coalesce(u.n, 0) + 1 AS DOUBLE)
+              * (SELECT count(*) + 10000 FROM dw) / (CAST(s.n + 1 AS DOUBLE) * (SELECT count(*) + 10000 FROM bw)))) AS BIGINT) AS gain
+          FROM s LEFT JOIN u USING (bucket)),
+    x AS (SELECT k, count(*) AS n, sum(gain) AS weight FROM dw JOIN b USING (w) JOIN g USING (bucket) GROUP BY 1),
+    y AS (SELECT k, doc_id, coalesce(n, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+                 CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+          FROM d LEFT JOIN x USING (k)),
+    z AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM y),
+    r AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM z WHERE n_features >= 20)
+    SELECT doc_id, n_features, weight, score,
+           CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM r) THEN rank END AS rank
+    FROM z LEFT JOIN r USING (k)""")
+def op12_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+@query("op13_fill_in_middle", """
+    WITH u AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+                      sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    c AS (SELECT *, CAST(len(units) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(units) + 1) AS a,
+                 CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(units) + 1) AS b,
+                 CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 50 AS first FROM u),
+    p AS (SELECT *, coalesce(array_to_string(units[1:least(a, b)], ''), '') AS pre,
+                 coalesce(array_to_string(units[least(a, b) + 1:greatest(a, b)], ''), '') AS mid,
+                 coalesce(array_to_string(units[greatest(a, b) + 1:n], ''), '') AS suf,
+                 CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain'
+                      WHEN first THEN 'spm' ELSE 'psm' END AS form FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                            ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+           sha256(text) AS restored_sha256 FROM p""")
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fim.*")
+    return fim.restore(cut, "form", "output").select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"))
