@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from trialloom.operators import compare
 from trialloom.operators.sequence import repeat_metrics
 from trialloom.operators.tracking import track
-from trialloom.plans.increment import run_incremental
+from trialloom.plans.increment import Artifact, default_identity, run_chunks, run_incremental
 from trialloom.sources import sinks, tables
 from trialloom.streaming.metrics import stream_repeat_metrics
 from trialloom.streaming.run import run_available
@@ -95,28 +96,139 @@ def test_incremental_run(spark, tmp_path):
     bad.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cond", "chunk").parquet(f"{root}/data")
     os.rename(f"{root}/manifest/cond=0/chunk=1", str(tmp_path / "lost"))
     second = outcomes(run_incremental(units, *args))
-    assert second == {(0, 0): "recomputed-invalid:hash_mismatch:data", (0, 1): "recomputed-invalid:manifest_unreadable",
+    assert second == {(0, 0): "recomputed-invalid:unexpected_or_missing_file", (0, 1): "recomputed-invalid:manifest_unreadable",
                       (1, 0): "skipped-valid", (1, 1): "computed"}
     assert calls == [30, 30]
     assert set(outcomes(run_incremental(units, *args)).values()) == {"skipped-valid"} and len(calls) == 2
     assert spark.read.parquet(f"{root}/data").agg(F.sum("value")).first()[0] == data.agg(F.sum("value")).first()[0]
 
 
-@pytest.mark.parametrize("lost,reason", [("DataSHA256", "hash_mismatch:data"), ("RowCount", "row_count_mismatch"),
-                                         ("RepeatEnd", "manifest_mismatch:RepeatEnd")])
-def test_a_manifest_without_a_field_is_not_valid(spark, tmp_path, lost, reason):
-    data = spark.range(1, 11).select(F.lit(1).alias("cond"), F.col("id").alias("unit"), (F.col("id") * 3).alias("value"))
+def test_a_manifest_without_a_field_is_not_valid(spark, tmp_path):
+    lost = {1: ("DataSHA256", "hash_mismatch:data"), 2: ("RowCount", "row_count_mismatch"), 3: ("RepeatEnd", "manifest_mismatch:RepeatEnd")}
+    data = spark.range(30).select((F.col("id") % 3 + 1).cast("int").alias("cond"), (F.expr("id div 3") + 1).alias("unit"), (F.col("id") * 3).alias("value"))
     root, units = str(tmp_path / "run"), data.select("cond", "unit")
     args = (lambda due: data.join(due, ["cond", "unit"], "left_semi"), root, 10,
             "cond int, unit bigint, value bigint, chunk bigint", ["unit"])
     run_incremental(units, *args)
-    kept = spark.read.json(f"{root}/manifest").drop(lost)
-    rows = kept.collect()
-    spark.createDataFrame(rows, kept.schema).write.mode("overwrite").partitionBy("cond", "chunk").json(f"{root}/manifest")
-    assert outcomes(run_incremental(units, *args)) == {(1, 0): f"recomputed-invalid:{reason}"}
+    for cond, (field, _) in lost.items():
+        base = f"{root}/manifest/cond={cond}"
+        kept = spark.read.json(base).drop(field)
+        rows = kept.collect()
+        spark.createDataFrame(rows, kept.schema).write.mode("overwrite").partitionBy("chunk").json(base)
+    assert outcomes(run_incremental(units, *args)) == {(c, 0): f"recomputed-invalid:{r}" for c, (_, r) in lost.items()}
     assert set(outcomes(run_incremental(units, *args)).values()) == {"skipped-valid"}
 
 
+def two_tables(spark, n=12):
+    rows = spark.range(n).select(F.lit(0).alias("cond"), (F.col("id") + 1).alias("unit"), (F.col("id") * 3).alias("value"))
+    some = rows.filter("unit % 4 = 0").select("cond", "unit", F.explode(F.array(F.lit(1), F.lit(2))).alias("part"))
+    artifacts = {"main": Artifact("unit bigint, value bigint", ["unit"]),
+                 "extra": Artifact("unit bigint, part int", ["unit", "part"], lambda u: u.filter("unit % 4 = 0"))}
+
+    def compute(due):
+        return {k: df.join(due.select("cond", "unit"), ["cond", "unit"], "left_semi") for k, df in (("main", rows), ("extra", some))}
+
+    return rows.select("cond", "unit"), compute, artifacts
+
+
+def in_chunk(root, folder, chunk):
+    base = f"{root}/{folder}/cond=0/chunk={chunk}"
+    return [os.path.join(base, n) for n in os.listdir(base) if not n.startswith((".", "_"))] if os.path.isdir(base) else []
+
+
+def test_chunks_of_two_tables(spark, tmp_path):
+    """Chunks 0 (units 1-3) and 1 (4-6), 2, 3; only those with a fourth unit owe the second table."""
+    units, compute, artifacts = two_tables(spark)
+    root = str(tmp_path / "run")
+    args = (compute, root, 3, artifacts)
+    assert set(outcomes(run_chunks(units, *args)).values()) == {"computed"}
+    assert in_chunk(root, "extra", 0) == [] and len(in_chunk(root, "extra", 1)) == 1
+    # a byte of a file changes; a file of a table that the chunk does not owe appears; the only file of a table goes
+    for name in in_chunk(root, "main", 2):
+        with open(name, "r+b") as f:
+            f.seek(8)
+            byte = f.read(1)
+            f.seek(8)
+            f.write(bytes([byte[0] ^ 1]))
+        crc = os.path.join(os.path.dirname(name), f".{os.path.basename(name)}.crc")
+        if os.path.exists(crc):
+            os.rename(crc, str(tmp_path / "crc"))
+    os.makedirs(f"{root}/extra/cond=0/chunk=0")
+    shutil.copy(in_chunk(root, "extra", 1)[0], f"{root}/extra/cond=0/chunk=0/part-x.parquet")
+    os.rename(in_chunk(root, "extra", 3)[0], str(tmp_path / "gone.parquet"))
+    assert outcomes(run_chunks(units, *args)) == {
+        (0, 0): "recomputed-invalid:unexpected_or_missing_file", (0, 1): "skipped-valid",
+        (0, 2): "recomputed-invalid:hash_mismatch:main", (0, 3): "recomputed-invalid:unexpected_or_missing_file"}
+    assert in_chunk(root, "extra", 0) == []
+    assert set(outcomes(run_chunks(units, *args)).values()) == {"skipped-valid"}
+    got = spark.read.parquet(f"{root}/main")
+    assert sorted(map(tuple, got.select("unit", "value").collect())) == [(u, 3 * (u - 1)) for u in range(1, 13)]
+
+
+def test_only_planned_chunks_are_opened(spark, tmp_path):
+    units, compute, artifacts = two_tables(spark)
+    root = str(tmp_path / "run")
+    run_chunks(units, compute, root, 3, artifacts)
+    for folder in ("main", "entries", "manifest"):  # not to be read: neither as Parquet nor by its checksum
+        for name in in_chunk(root, folder, 0):
+            write(name, "spoilt")
+    calls = []
+    some = units.filter("unit > 3")
+    assert outcomes(run_chunks(some, calls.append, root, 3, artifacts)) == {(0, k): "skipped-valid" for k in (1, 2, 3)}
+    assert calls == []
+
+
+def test_a_run_that_stops_leaves_no_committed_chunk(spark, tmp_path):
+    units, compute, artifacts = two_tables(spark)
+    root = str(tmp_path / "run")
+
+    def stops(due):
+        out = compute(due)
+        return out | {"extra": out["extra"].withColumn("part", F.raise_error(F.lit("lost")).cast("int"))}
+
+    with pytest.raises(Exception, match="lost"):
+        run_chunks(units, stops, root, 3, artifacts)
+    assert len(in_chunk(root, "main", 0)) == 1 and in_chunk(root, "manifest", 0) == []
+    assert set(outcomes(run_chunks(units, compute, root, 3, artifacts)).values()) == {"recomputed-invalid:manifest_unreadable"}
+
+
+def test_wrong_rows_are_found_and_a_bad_compute_is_refused(spark, tmp_path):
+    units, compute, artifacts = two_tables(spark)
+    root, gates = str(tmp_path / "run"), [("too_large", lambda t: t["main"].filter("value > 30"))]
+    other = lambda due: compute(due) | {"main": compute(due)["main"].withColumn("unit", F.when(F.col("unit") == 8, 9).otherwise(F.col("unit")))}
+    with pytest.raises(ValueError, match="data_invalid:duplicate_key:main|data_invalid:missing_key:main"):
+        run_chunks(units, other, root, 3, artifacts)
+    assert outcomes(run_chunks(units, compute, root, 3, artifacts)) == {
+        (0, 0): "skipped-valid", (0, 1): "skipped-valid", (0, 2): "recomputed-invalid:data_invalid:duplicate_key:main", (0, 3): "skipped-valid"}
+    with pytest.raises(ValueError, match="too_large"):
+        run_chunks(units, compute, root, 3, artifacts, gates=gates)
+    # the last chunk was refused again, all others stay
+    fine = compute(units)["main"].withColumn("value", F.least("value", F.lit(30)))
+    low = lambda due: compute(due) | {"main": fine.join(due.select("cond", "unit"), ["cond", "unit"], "left_semi")}
+    assert outcomes(run_chunks(units, low, root, 3, artifacts, gates=gates))[0, 3] == "recomputed-invalid:too_large"
+
+
+def test_manifest_fields_that_must_be_absent(spark, tmp_path):
+    units, compute, artifacts = two_tables(spark)
+    root = str(tmp_path / "run")
+    flag = default_identity() | {"Flag": F.when(F.col("chunk") == 1, "true")}
+    run_chunks(units, compute, root, 3, artifacts, flag)
+    turned = default_identity() | {"Flag": F.when(F.col("chunk") == 2, "true")}
+    assert outcomes(run_chunks(units, compute, root, 3, artifacts, turned)) == {
+        (0, 0): "skipped-valid", (0, 1): "recomputed-invalid:unexpected_manifest_field:Flag",
+        (0, 2): "recomputed-invalid:manifest_mismatch:Flag", (0, 3): "skipped-valid"}
+    with pytest.raises(ValueError, match="forbidden_manifest_field:Completed"):
+        run_chunks(units.filter("unit <= 3"), compute, root, 3, artifacts, turned, ["Completed"])
+
+
+def test_fields_of_a_row_text_cannot_run_together(spark):
+    a = spark.createDataFrame([("a\x1fb", "c"), ("1:x", None)], "x string, y string")
+    b = spark.createDataFrame([("a", "b\x1fc"), ("1:x", "~")], "x string, y string")
+    c = spark.createDataFrame([("a\x1fb", "c"), ("1:x", "\x00")], "x string, y string")
+    digests = {compare.fingerprint(t, ["x", "y"]).first()["sha256"] for t in (a, b, c)}
+    assert len(digests) == 3
+
+
 def seq_rows(n=6, k=9):
     return [(0, u, "A", c, (u * c + c) % 4) for u in range(n) for c in range(1, k + 1)]
 

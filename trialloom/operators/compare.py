@@ -128,8 +128,30 @@ def forbidden_fields(manifests: DataFrame, body: str, names: Sequence[str]) -> D
 
 
 def row_text(columns: Sequence[str]) -> Column:
-    """Canonical text of a row; null is kept apart from the empty string."""
-    return F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
+    """Text that tells any two rows apart: every field led by its length, a null field as a bare mark."""
+    return F.concat(*[F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("~"))
+                      for x in (F.col(c).cast("string") for c in columns)])
+
+
+#: The columns of an order-free digest: number of rows and the sums of four 60-bit parts of their SHA-256.
+SET_SUMS = ("_rows", "_p0", "_p1", "_p2", "_p3")
+
+
+def set_sums(columns: Sequence[str], where: Column | None = None) -> list[Column]:
+    """Exact sums over the digests of rows (``where`` it holds); they can be summed again."""
+    h = F.sha2(row_text(columns), 256)
+    h = h if where is None else F.when(where, h)
+    parts = [F.coalesce(F.sum(F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("decimal(28,0)")), F.lit(0)) for i in range(4)]
+    return [F.count(h).alias("_rows"), *[p.alias(c) for p, c in zip(parts, SET_SUMS[1:], strict=True)]]
+
+
+def sums_digest() -> Column:
+    return F.sha2(F.concat_ws(":", *[F.coalesce(c, F.lit(0)).cast("decimal(38,0)").cast("string") for c in SET_SUMS]), 256)
+
+
+def set_digest(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Digest of the rows of each group, whatever their order and place; nothing is gathered."""
+    return df.groupBy(*by).agg(*set_sums(columns)).select(*by, F.col("_rows").alias("row_count"), sums_digest().alias("sha256"))
 
 
 def fingerprint(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
@@ -141,10 +163,5 @@ def fingerprint(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
     aggregates ride along in the same pass.
     """
     extra = extra or {}
-    parts = [F.conv(F.substring("_h", 1 + 15 * i, 15), 16, 10).cast("decimal(28,0)") for i in range(4)]
-    sums = df.withColumn("_h", F.sha2(row_text(columns), 256)).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("row_count"), *[F.sum(p).alias(f"_p{i}") for i, p in enumerate(parts)],
-        *[c.alias(n) for n, c in extra.items()])
-    text = F.concat_ws(":", F.col("row_count").cast("string"),
-                       *[F.coalesce(F.col(f"_p{i}"), F.lit(0)).cast("string") for i in range(4)])
-    return sums.select(*by, "row_count", F.sha2(text, 256).alias("sha256"), *extra)
+    sums = df.groupBy(*by).agg(*set_sums(columns), *[c.alias(n) for n, c in extra.items()])
+    return sums.select(*by, F.col("_rows").alias("row_count"), sums_digest().alias("sha256"), *extra)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trialloom.functions.codes import next_state
 from trialloom.functions.estimates import finite
-from trialloom.operators.compare import duplicates, key_gaps
+from trialloom.operators.compare import SET_SUMS, duplicates, key_gaps, set_sums, sums_digest
 from trialloom.registry import CONTRASTS, DELAY_SCENES, RATE_SCENES, SCENES, STATES, TRANSITIONS
 from trialloom.skew import block_of, blocked_scan, lookup_join
 
@@ -243,47 +243,64 @@ def valid_condition(df: DataFrame, **columns: str) -> DataFrame:
     return df.withColumn("valid", ~bad)
 
 
-def chunk_reason(plan: DataFrame, manifests: DataFrame, files: DataFrame, fields: Sequence[str],
-                 forbidden: Sequence[str] = (), gates: DataFrame | None = None) -> DataFrame:
-    """First reason why a planned chunk is not valid, or 'valid'.
+def chunk_reason(plan: DataFrame, manifests: DataFrame, entries: DataFrame, files: DataFrame, fields: Sequence[str],
+                 forbidden: Sequence[str] = (), gates: DataFrame | None = None, owed: DataFrame | None = None) -> DataFrame:
+    """First reason why a planned chunk is not valid, or 'valid'; with had_artifact and the manifest's RowCount.
 
-    plan:      chunk, and one expected value per manifest field (strings)
+    plan:      chunk, and one expected value per manifest field (strings; null: must be absent)
     manifests: chunk, body (JSON text)
-    files:     chunk, name, sha256 of what is on disk
-    gates:     chunk, reason; rows a content gate rejected
+    entries:   chunk, artifact, name, sha256 of the committed files
+    files:     chunk, artifact, name, sha256 of what is on disk
+    gates:     chunk, reason (and step, if they have an order); rows a content gate rejected
+    owed:      chunk, artifact a chunk must consist of; without it the entries alone say so
     Order: unreadable, forbidden field, field mismatch, missing or unexpected
-    file, file hash, combined hash, content gate.
+    file, file hash (named by artifact), combined hash, content gate. A chunk
+    without exactly one manifest is unreadable. The combined hash is the digest of
+    exact sums over the files, so the list of a chunk is never gathered.
     """
-    wanted = "array<struct<name:string,sha256:string>>"
-    read = manifests.select(
-        "chunk", F.try_parse_json("body").isNotNull().alias("_ok"),
+    read = manifests.groupBy("chunk").agg(F.count(F.lit(1)).alias("_manifests"), F.min("body").alias("body")).select(
+        "chunk", ((F.col("_manifests") == 1) & F.try_parse_json("body").isNotNull()).alias("_ok"),
         F.array_min(F.array_intersect(F.json_object_keys("body"), F.array(*[F.lit(x) for x in (*forbidden, "")]))).alias("_bad"),
         *[F.get_json_object("body", f"$.{f}").alias(f"_m_{f}") for f in fields],
-        F.from_json(F.get_json_object("body", "$.Files"), wanted).alias("_want"),
-        F.get_json_object("body", "$.DataSHA256").alias("_total"))
-    # Only files a manifest lists are gathered per chunk; what else lies on disk is just counted.
-    listed = read.select("chunk", F.inline("_want")).withColumnRenamed("sha256", "_sha")
-    both = listed.join(files, ["chunk", "name"], "full_outer")
-    is_listed, on_disk = F.col("_sha").isNotNull(), F.col("sha256").isNotNull()
-    have = both.groupBy("chunk").agg(
-        F.bool_or(on_disk).alias("_seen"), F.bool_or(is_listed != on_disk).alias("_other"),
-        F.min(F.when(is_listed & on_disk & (F.col("_sha") != F.col("sha256")), F.col("name"))).alias("_wrong"),
-        F.array_sort(F.collect_list(F.when(is_listed & on_disk, F.struct("name", "sha256")))).alias("_have"))
-    rows = plan.join(read.drop("_want"), "chunk", "left").join(have, "chunk", "left")
-    combined = F.sha2(F.concat_ws("\n", F.transform("_have", lambda x: F.concat_ws(" ", x["name"], x["sha256"]))), 256)
+        F.get_json_object("body", "$.DataSHA256").alias("_total"), F.get_json_object("body", "$.RowCount").alias("RowCount"))
+    name = ["chunk", "artifact", "name"]
+    sides = entries.select(*name, F.col("sha256").alias("_listed"), F.lit(None).cast("string").alias("_disk"),
+                           F.lit(False).alias("_owed")).unionByName(
+        files.select(*name, F.lit(None).cast("string").alias("_listed"), F.col("sha256").alias("_disk"), F.lit(False).alias("_owed")))
+    if owed is not None:
+        none = F.lit(None).cast("string")
+        sides = sides.unionByName(owed.select("chunk", "artifact", none.alias("name"), none.alias("_listed"), none.alias("_disk"),
+                                              F.lit(True).alias("_owed")))
+    each = sides.groupBy(*name).agg(
+        F.count("_listed").alias("_listings"), F.min("_listed").alias("_listed"), F.min("_disk").alias("_disk"),
+        F.bool_or("_owed").alias("_owed"))
+    is_file, on_disk = F.col("name").isNotNull(), F.col("_disk").isNotNull()
+    each = each.groupBy("chunk", "artifact").agg(
+        F.bool_or(on_disk).alias("_seen"), F.bool_or("_owed").alias("_owed"),
+        F.coalesce(F.bool_or(F.when(is_file, (F.col("_listings") != 1) | ~on_disk)), F.lit(False)).alias("_other"),
+        F.bool_or(on_disk & (F.col("_listed") != F.col("_disk"))).alias("_differs"),
+        *set_sums(["artifact", "name", "_disk"], on_disk))
+    wrong_set = F.col("_other") if owed is None else F.col("_other") | (F.col("_owed") != F.col("_seen"))
+    have = each.groupBy("chunk").agg(
+        F.bool_or("_seen").alias("_seen"), F.bool_or(wrong_set).alias("_other"),
+        F.min(F.when(F.col("_differs"), F.col("artifact"))).alias("_wrong"),
+        *[F.sum(c).alias(c) for c in SET_SUMS])
+    rows = plan.join(read, "chunk", "left").join(have, "chunk", "left")
     reason = F.when(~F.coalesce("_ok", F.lit(False)), "manifest_unreadable")
     reason = reason.when(F.col("_bad").isNotNull(), F.concat(F.lit("forbidden_manifest_field:"), "_bad"))
     for f in fields:
+        reason = reason.when(F.col(f).isNull() & F.col(f"_m_{f}").isNotNull(), F.lit(f"unexpected_manifest_field:{f}"))
         reason = reason.when(~F.col(f"_m_{f}").eqNullSafe(F.col(f)), F.lit(f"manifest_mismatch:{f}"))
     reason = (reason.when(F.coalesce("_other", F.lit(True)), "unexpected_or_missing_file")
               .when(F.col("_wrong").isNotNull(), F.concat(F.lit("hash_mismatch:"), "_wrong"))
-              .when(~F.col("_total").eqNullSafe(combined), "hash_mismatch:data"))
+              .when(~F.col("_total").eqNullSafe(sums_digest()), "hash_mismatch:data"))
     if gates is not None:
-        first = gates.groupBy("chunk").agg(F.min("reason").alias("_gate"))
+        step = F.col("step") if "step" in gates.columns else F.lit(0)
+        first = gates.groupBy("chunk").agg(F.min(F.struct(step.alias("step"), "reason"))["reason"].alias("_gate"))
         rows = rows.join(first, "chunk", "left")
         reason = reason.when(F.col("_gate").isNotNull(), F.col("_gate"))
     seen = F.col("_ok").isNotNull() | F.coalesce("_seen", F.lit(False))
-    return rows.select("chunk", reason.otherwise("valid").alias("reason"), seen.alias("had_artifact"))
+    return rows.select("chunk", reason.otherwise("valid").alias("reason"), seen.alias("had_artifact"), "RowCount")
 
 
 def chunk_problems(chunks: DataFrame, keys: Sequence[str], group: Sequence[str], unit: str = "unit") -> DataFrame:

@@ -8,7 +8,7 @@ from trialloom.operators import compare, quality, ratios, strata
 from trialloom.plans import fixtures as fx
 from trialloom.plans import summaries as S
 from trialloom.plans.catalog.base import query
-from trialloom.plans.catalog.oracle import sql, view
+from trialloom.plans.catalog.oracle import field_text, sql, view
 from trialloom.session import scratch
 
 UNIT = ["cond", "unit", "method"]
@@ -255,7 +255,7 @@ def u5_fields(spark, sf):
     return compare.forbidden_fields(rows, "props", ["k", "state", "seed"]).select("event_id", "field")
 
 
-TEXT = "concat_ws(chr(31), cond, unit, method, N_C, N_run_NC, EndState)"
+TEXT = field_text("cond, unit, method, N_C, N_run_NC, EndState")
 
 
 @query("A22_fingerprint", sql(f"""SELECT cond, n AS row_count, sha256(concat_ws(':', n, {', '.join(f'p{i}' for i in range(4))})) AS sha256 FROM (
@@ -313,22 +313,21 @@ MANIFEST = """SELECT conv_id AS chunk, count(*) AS n, min(turn) AS lo, CASE WHEN
 def q17(spark, sf):
     """Conversations as chunks: turns are the files, the manifest lists them, with defects by chunk number."""
     t = spark.read.parquet(f"{sf}/conversations.parquet")
-    chunk, c = F.col("conv_id").cast("string").alias("chunk"), F.col("conv_id")
-    name = F.concat(F.lit("turn"), F.col("turn").cast("string"))
+    c, name = F.col("conv_id"), F.concat(F.lit("turn"), F.col("turn").cast("string"))
     good = F.sha2(F.concat("role", "text"), 256)
-    files = t.select(chunk, name.alias("name"), good.alias("sha256"))
     seen = F.when((c % 7 == 3) & (F.col("turn") == 0), F.sha2("role", 256)).otherwise(good)
-    drop = (c % 11 == 4) & (F.col("turn") == 0)
-    per = t.groupBy("conv_id").agg(
-        F.min("turn").alias("lo"), F.max("turn").alias("hi"),
-        F.array_sort(F.collect_list(F.when(~drop, F.struct(name.alias("name"), seen.alias("sha256"))))).alias("Files"),
-        F.array_sort(F.collect_list(F.struct(name.alias("name"), seen.alias("sha256")))).alias("_all"))
-    total = F.sha2(F.concat_ws("\n", F.transform("_all", lambda x: F.concat_ws(" ", x["name"], x["sha256"]))), 256)
+    turns = t.select(c.cast("string").alias("chunk"), name.alias("artifact"), name.alias("name"), good.alias("sha256"), seen.alias("_seen"), "turn", "conv_id")
+    files = turns.select("chunk", "artifact", "name", "sha256")
+    claimed = turns.select("chunk", "artifact", "name", F.col("_seen").alias("sha256"))
+    entries = turns.filter(~((c % 11 == 4) & (F.col("turn") == 0))).select("chunk", "artifact", "name", F.col("_seen").alias("sha256"))
+    total = compare.set_digest(claimed, ["artifact", "name", "sha256"], by=["chunk"]).select("chunk", F.col("sha256").alias("total"))
+    per = t.groupBy("conv_id").agg(F.min("turn").alias("lo"), F.max("turn").alias("hi")).withColumn("chunk", c.cast("string"))
+    per = per.join(total, "chunk")
     body = F.to_json(F.struct(
         F.col("lo").cast("string").alias("RepeatStart"),
-        F.when(c % 5 == 0, F.col("hi") + 1).otherwise(F.col("hi")).cast("string").alias("RepeatEnd"), "Files",
-        F.when(c % 9 == 8, "0").otherwise(total).alias("DataSHA256"), F.when(c % 6 == 2, "x").alias("StateSHA256")))
-    manifests = per.select(chunk, F.when(c % 13 == 6, F.lit("{broken")).otherwise(body).alias("body"))
-    plan = per.select(chunk, F.col("lo").cast("string").alias("RepeatStart"), F.col("hi").cast("string").alias("RepeatEnd"))
-    gates = per.filter(c % 10 == 9).select(chunk, F.lit("no_n_gate_failed").alias("reason"))
-    return quality.chunk_reason(plan, manifests, files, ["RepeatStart", "RepeatEnd"], ["StateSHA256"], gates).select("chunk", "reason")
+        F.when(c % 5 == 0, F.col("hi") + 1).otherwise(F.col("hi")).cast("string").alias("RepeatEnd"),
+        F.when(c % 9 == 8, "0").otherwise(F.col("total")).alias("DataSHA256"), F.when(c % 6 == 2, "x").alias("StateSHA256")))
+    manifests = per.select("chunk", F.when(c % 13 == 6, F.lit("{broken")).otherwise(body).alias("body"))
+    plan = per.select("chunk", F.col("lo").cast("string").alias("RepeatStart"), F.col("hi").cast("string").alias("RepeatEnd"))
+    gates = per.filter(c % 10 == 9).select("chunk", F.lit("no_n_gate_failed").alias("reason"))
+    return quality.chunk_reason(plan, manifests, entries, files, ["RepeatStart", "RepeatEnd"], ["StateSHA256"], gates).select("chunk", "reason")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trialloom import registry as reg
@@ -11,11 +12,11 @@ from trialloom.operators.sequence import repeat_metrics
 from trialloom.plans import fixtures as fx
 from trialloom.plans import summaries as S
 from trialloom.plans.catalog.base import query
-from trialloom.plans.catalog.oracle import BOOTS, HALF, sql
+from trialloom.plans.catalog.oracle import BOOTS, HALF, field_text, sql
 from trialloom.plans.catalog.resampling import _seq_dist, _seq_stats
 from trialloom.plans.catalog.selections import GAP_SQL, GAPS, TRACE_SQL, gap_inputs, loop_inputs
-from trialloom.plans.increment import run_incremental
-from trialloom.session import scratch
+from trialloom.plans.increment import ENTRIES, Artifact, commit_chunks, default_identity, run_chunks, run_incremental
+from trialloom.session import scratch, settle
 from trialloom.sources import sinks, tables
 from trialloom.streaming.metrics import stream_repeat_metrics
 from trialloom.streaming.run import run_available
@@ -149,7 +150,7 @@ def digest_sql(source: str, columns: str, by: str = "") -> str:
     parts = ", ".join(f"CAST(sum(CAST(('0x' || substr(h, {1 + 15 * i}, 15)) AS UBIGINT)) AS VARCHAR) AS p{i}" for i in range(4))
     keep, group = (f"{by}, ", f" GROUP BY {by}") if by else ("", "")
     return f"""SELECT {keep}n AS row_count, sha256(concat_ws(':', n, p0, p1, p2, p3)) AS sha256 FROM (
-      SELECT {keep}count(*) AS n, {parts} FROM (SELECT {keep}sha256(concat_ws(chr(31), {columns})) AS h FROM {source}){group})"""
+      SELECT {keep}count(*) AS n, {parts} FROM (SELECT {keep}sha256({field_text(columns)}) AS h FROM {source}){group})"""
 
 
 @query("K4_evidence_registry", sql(f"""SELECT 'metrics' AS ArtifactPath, 'UNIT_COUNTS' AS ArtifactClass, row_count AS RowCount, sha256 AS SHA256, 'events' AS ImmediateSourceArtifacts
@@ -203,19 +204,107 @@ def k6(spark, sf):
     return sinks.run_manifest({"metrics": (_slim(spark, sf), "unit"), "picks": (best, "rank")})
 
 
-@query("T3_incremental_run", sql("""SELECT cond, chunk, CASE WHEN cond = 1 AND chunk = 0 THEN 'recomputed-invalid:hash_mismatch:data'
-    WHEN cond = 2 AND chunk = 0 THEN 'computed' ELSE 'skipped-valid' END AS outcome FROM (SELECT DISTINCT cond, unit // 20 AS chunk FROM rm)""", "rm"))
+# Of sixteen neighbouring chunks each has a fate of its own; the four conditions take turns in the numbering.
+FATES = {1: "manifest_unreadable", 2: "forbidden_manifest_field:RNGState", 3: "manifest_mismatch:RepeatEnd",
+         4: "control_identity_failed", 5: "no_n_gate_failed", 6: "unexpected_or_missing_file", 7: "unexpected_or_missing_file",
+         8: "hash_mismatch:metrics", 9: "hash_mismatch:data", 10: "row_count_mismatch", 11: "hash_mismatch:strata",
+         13: "data_invalid:duplicate_key:metrics", 14: "data_invalid:missing_key:metrics", 15: "unexpected_manifest_field:NoNPassed"}
+PAYLOAD = ["N_C", "N_E", "N_N", "EndState"]
+FORBIDDEN = ["RNGState", "StateSHA256", "TrajectorySHA256"]
+
+
+def _t3_artifacts(spark, sf):
+    pairs = F.array(F.lit("A"), F.lit("B"))
+    levels = F.array(*[F.lit(s) for s in reg.STRATA])
+    with_method = lambda u: u.withColumn("method", F.explode(pairs))
+    return {
+        "metrics": Artifact("unit bigint, method string, N_C bigint, N_E bigint, N_N bigint, EndState string", ["unit", "method"],
+                            with_method, ["unit", "method"]),
+        "strata": Artifact("unit bigint, method string, stratum string, cycles bigint", ["unit", "method", "stratum"],
+                           lambda u: with_method(u.filter("cond = 3")).withColumn("stratum", F.explode(levels)),
+                           ["unit", "method", "stratum"]),
+        "audit": Artifact("unit bigint, method string, cycle bigint, code int", ["unit", "method", "cycle"],
+                          lambda u: with_method(u.filter("unit % 50 = 7")), ["unit", "method"])}
+
+
+def _t3_compute(spark, sf):
+    """Metrics of all units (the control right throughout, condition 1 without N), strata of one condition, audited sequences."""
+    rm = fx.seq_metrics(spark, sf)
+    k, control = F.col("N_C") + F.col("N_E") + F.col("N_N"), F.col("cond") == 0
+    metrics = settle(rm.select(
+        "cond", (F.col("unit") + 1).alias("unit"), "method", F.when(control, k).when(F.col("cond") == 1, F.col("N_C") + F.col("N_N"))
+        .otherwise(F.col("N_C")).alias("N_C"), F.when(control, 0).otherwise(F.col("N_E")).alias("N_E"),
+        F.when(F.col("cond") <= 1, 0).otherwise(F.col("N_N")).alias("N_N"), F.when(control, "C").otherwise(F.col("EndState")).alias("EndState")), "t3")
+    seq = fx.seq(spark, sf).withColumn("unit", F.col("unit") + 1)
+
+    def compute(due):
+        mine = lambda df: df.join(due.select("cond", "unit"), ["cond", "unit"], "left_semi")
+        level = F.element_at(F.array(*[F.lit(s) for s in reg.STRATA]), (F.col("cycle") % 3 + 1).cast("int"))
+        three = mine(metrics.filter("cond = 3")).select("cond", "unit", "method", F.explode(F.array(*[F.lit(s) for s in reg.STRATA])).alias("stratum"))
+        counted = mine(seq.filter("cond = 3")).groupBy("cond", "unit", "method", level.alias("stratum")).agg(F.count(F.lit(1)).alias("cycles"))
+        return {"metrics": mine(metrics),
+                "strata": three.join(counted, ["cond", "unit", "method", "stratum"], "left").fillna(0, ["cycles"]),
+                "audit": mine(seq.filter("unit % 50 = 7")).select("cond", "unit", "method", "cycle", "code")}
+
+    return metrics, compute
+
+
+@query("T3_incremental_run", sql(f"""SELECT cond, chunk, CASE fate WHEN 12 THEN 'computed'
+    {' '.join(f"WHEN {k} THEN 'recomputed-invalid:{r}'" for k, r in FATES.items())} ELSE 'skipped-valid' END AS outcome
+  FROM (SELECT DISTINCT cond, unit // 20 AS chunk, (unit // 20 * 4 + cond) % 16 AS fate FROM rm)""", "rm"))
 def t3(spark, sf):
-    """All but one chunk computed, one of them damaged, then brought up to date."""
-    slim = _slim(spark, sf).withColumn("unit", F.col("unit") + 1).persist()
-    units, root = slim.select("cond", "unit").distinct(), scratch(spark, "increment")
-    compute = lambda due: slim.join(due, ["cond", "unit"], "left_semi")
-    args = {"root": root, "size": 20, "data_schema": slim.withColumn("chunk", F.lit(0).cast("bigint")).schema, "keys": ["unit", "method"]}
-    some = units.filter(~((F.col("cond") == 2) & (F.col("unit") <= 20)))
-    run_incremental(some, compute, **args)
-    damaged = slim.filter("cond = 1 AND unit <= 20").withColumns({"chunk": F.lit(0).cast("bigint"), "N_C": F.col("N_C") + 1})
-    (damaged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cond", "chunk").parquet(f"{root}/data"))
-    return run_incremental(units, compute, **args)
+    """Chunks of three tables are committed, damaged in every way a chunk can be, then brought up to date."""
+    metrics, compute = _t3_compute(spark, sf)
+    artifacts, root, size = _t3_artifacts(spark, sf), scratch(spark, "increment"), 20
+    identity = default_identity() | {
+        "ConditionOrdinal": F.col("cond"), "ConditionCode": F.concat(F.lit("S"), F.col("cond").cast("string")), "RunKind": F.lit("FORMAL"),
+        "ControlIdentityPassed": F.when(F.col("cond") == 0, "true"), "NoNPassed": F.when(F.col("cond") == 1, "true")}
+    gates = [("control_identity_failed", lambda t: quality.control_condition(t["metrics"], 0, PAYLOAD).withColumn("cond", F.lit(0))),
+             ("no_n_gate_failed", lambda t: quality.no_empty_cycles(t["metrics"], [1], UNIT))]
+    units = metrics.select("cond", "unit").distinct()
+    fate = (sinks.chunk_of("unit", size) * 4 + F.col("cond")) % 16
+    kept = units.filter(fate != 12)
+
+    def worn(due):
+        """The same with wrong rows in some chunks: their bytes are committed, their content is not what is owed."""
+        out, f = compute(due), fate
+        n = (F.col("unit") - 1) % size
+        first = out["metrics"].withColumns({
+            "N_E": F.col("N_E") + F.when((f == 4) & (F.col("method") == "B"), 1).otherwise(0),
+            "N_N": F.col("N_N") + F.when(f == 5, 2).otherwise(0)})
+        twice = first.filter((f == 13) & (n % 7 == 0))
+        return out | {"metrics": first.filter(~((f == 14) & (n % 5 == 0) & (F.col("method") == "A"))).unionByName(twice)}
+
+    commit_chunks(worn(kept), kept, root, size, artifacts, identity)
+    damage_chunks(spark, root, kept, size)
+    return run_chunks(units, compute, root, size, artifacts, identity, FORBIDDEN, gates)
+
+
+def damage_chunks(spark, root, units, size):
+    """Spoil manifests, lists and files of committed chunks by their fate."""
+    def rewrite(df, folder, fmt):
+        out = settle(df.drop("fate"), "damage")
+        getattr(out.hint("rebalance", "cond", "chunk").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                .partitionBy("cond", "chunk"), fmt)(f"{root}/{folder}")
+
+    fate = (F.col("chunk") * 4 + F.col("cond")) % 16
+    bodies = tables.manifest_texts(spark, f"{root}/manifest", "*", recursive=False).select("cond", "chunk", "body", fate.alias("fate"))
+    change = {1: F.lit("{broken"), 2: F.regexp_replace("body", r"\}\s*$", ',"RNGState":"1"}'),
+              3: F.regexp_replace("body", '"RepeatEnd":"', '"RepeatEnd":"9'), 9: F.regexp_replace("body", '"DataSHA256":"....', '"DataSHA256":"zzzz'),
+              10: F.regexp_replace("body", '"RowCount":"', '"RowCount":"1'), 15: F.regexp_replace("body", r"\}\s*$", ',"NoNPassed":"true"}')}
+    spoilt = F.lit(None).cast("string")
+    for k, c in change.items():
+        spoilt = F.when(F.col("fate") == k, c).otherwise(spoilt)
+    rewrite(bodies.withColumn("value", spoilt).filter("value IS NOT NULL").drop("body"), "manifest", "text")
+    entries = spark.read.schema(ENTRIES).json(f"{root}/entries").withColumn("fate", fate)
+    one = F.row_number().over(Window.partitionBy("cond", "chunk", "artifact").orderBy("name")) == 1
+    hit = ((F.col("fate") == 8) & (F.col("artifact") == "metrics")) | ((F.col("fate") == 11) & (F.col("artifact") == "strata"))
+    wrong = entries.filter("fate IN (7, 8, 11)").withColumn("one", one).withColumn(
+        "sha256", F.when(hit & F.col("one"), F.sha2("name", 256)).otherwise(F.col("sha256")))
+    lost = wrong.filter("fate = 7 AND one AND artifact = 'metrics'").withColumn("name", F.lit("gone.parquet"))
+    rewrite(wrong.unionByName(lost).drop("one"), "entries", "json")
+    stray = units.withColumn("chunk", sinks.chunk_of("unit", size)).filter(fate == 6).select("cond", "chunk").distinct().withColumn("unit", F.lit(-1))
+    stray.write.mode("append").partitionBy("cond", "chunk").parquet(f"{root}/metrics")
 
 
 @query("D4_injected_compute", sql(f"SELECT {SLIM_SQL.replace('unit,', 'unit + 1 AS unit,')} FROM rm", "rm"))

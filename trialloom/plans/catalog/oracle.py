@@ -34,6 +34,11 @@ def sql(body: str, *needs: str, recursive: bool = False) -> str:
     return head + ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order) + "\n" + body
 
 
+def field_text(columns: str) -> str:
+    """Text of a row that tells fields apart, of comma-separated column names."""
+    return " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '~')" for c in columns.split(", "))
+
+
 STATE = "CASE code WHEN 0 THEN 'N' WHEN 1 THEN 'C' ELSE 'E' END"
 
 

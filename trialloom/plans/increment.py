@@ -1,79 +1,241 @@
-"""Incremental runs over chunks: keep what is valid, recompute the rest whole."""
+"""Incremental runs over chunks of several tables: keep what is valid, recompute the rest whole.
+
+Below the root, ``<artifact>/cond=/chunk=`` holds the tables of a chunk, ``entries`` one
+line for each of their files (artifact, name, sha256), ``manifest`` one JSON text for
+each chunk. The manifest comes last: without it a chunk was not committed.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from trialloom.operators.compare import duplicates, key_gaps, set_digest
+from trialloom.operators.quality import chunk_reason
 from trialloom.session import settle
-from trialloom.sources.sinks import chunk_manifest, chunk_of, write_chunks
+from trialloom.sources.sinks import chunk_of
+from trialloom.sources.tables import manifest_texts
+
+ENTRIES = "artifact string, name string, sha256 string, cond int, chunk bigint"
+#: Written by the runner itself, besides the fields of the chunk's identity.
+SEALS = ("RowCount", "DataSHA256")
+Gate = tuple[str, Callable[[Mapping[str, DataFrame]], DataFrame]]
+
+
+@dataclass(frozen=True)
+class Artifact:
+    """A table that chunks consist of.
+
+    ``keys`` name a row within a chunk. ``owed`` turns the planned units (cond, chunk,
+    unit) into the (cond, chunk, *owed_keys) that must be there, neither more nor
+    less; a chunk that owes none must not have the artifact. By default each unit
+    owes at least one row.
+    """
+
+    schema: T.StructType | str
+    keys: Sequence[str]
+    owed: Callable[[DataFrame], DataFrame] = lambda units: units
+    owed_keys: Sequence[str] = ("unit",)
+
+    def fields(self) -> T.StructType:
+        schema = T.StructType.fromDDL(self.schema) if isinstance(self.schema, str) else self.schema
+        return T.StructType([f for f in schema if f.name not in ("cond", "chunk")]).add("cond", T.IntegerType()).add("chunk", T.LongType())
+
+
+def default_identity() -> dict[str, Column]:
+    """Manifest fields of a planned chunk, as text; a field whose value is null must be absent."""
+    return {"RepeatStart": F.col("want_start"), "RepeatEnd": F.col("want_end"), "Completed": F.lit("true")}
 
-MANIFEST = "cond int, chunk bigint, RepeatStart bigint, RepeatEnd bigint, RowCount bigint, DataSHA256 string, Completed boolean"
 
+def key_of() -> Column:
+    return F.concat_ws("/", F.col("cond").cast("string"), F.col("chunk").cast("string"))
 
-def chunk_plan(units: DataFrame, size: int, cond: str = "cond", unit: str = "unit") -> DataFrame:
-    """Expected chunks of the given unit ids."""
-    return units.groupBy(cond, chunk_of(unit, size).alias("chunk")).agg(
-        F.min(unit).alias("want_start"), F.max(unit).alias("want_end"))
 
+def chunk_plan(units: DataFrame, size: int) -> DataFrame:
+    """Expected chunks of the given units (cond, unit), with their range of ids."""
+    return units.groupBy(F.col("cond").cast("int").alias("cond"), chunk_of("unit", size).alias("chunk")).agg(
+        F.min("unit").alias("want_start"), F.max("unit").alias("want_end"))
 
-def _read_or_empty(spark: SparkSession, path: str, schema, fmt: str) -> DataFrame:
+
+def _empty(spark: SparkSession, schema) -> DataFrame:
+    return spark.createDataFrame([], schema)
+
+
+def _below(read: Callable[[], DataFrame], keys: Sequence[str]) -> DataFrame | None:
+    """The partitions of the named chunks; a filter on partition columns only, so nothing else is opened."""
     try:
-        return spark.read.schema(schema).format(fmt).load(path)
+        df = read()
     except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
+        if not any(x in str(e) for x in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
             raise
-        return spark.createDataFrame([], schema)
-
-
-def chunk_status(plan: DataFrame, root: str, data_schema, keys: Sequence[str], cond: str = "cond",
-                 unit: str = "unit") -> DataFrame:
-    """Reason per planned chunk: valid, or what is wrong with its manifest or data."""
-    spark = plan.sparkSession
-    manifest = _read_or_empty(spark, f"{root}/manifest", MANIFEST, "json")
-    data = _read_or_empty(spark, f"{root}/data", data_schema, "parquet")
-    data = data.join(plan.select(cond, "chunk"), [cond, "chunk"], "left_semi")
-    found = chunk_manifest(data, keys, cond, unit).select(
-        cond, "chunk", F.col("RowCount").alias("_rows"), F.col("DataSHA256").alias("_sha"))
-    rows = plan.join(manifest, [cond, "chunk"], "left").join(found, [cond, "chunk"], "left")
-    def differs(a, b):
-        return ~F.col(a).eqNullSafe(F.col(b))  # a missing field is a mismatch
-
-    reason = (F.when(F.col("Completed").isNull(), "manifest_unreadable")
-              .when(~F.col("Completed"), "manifest_mismatch:Completed")
-              .when(differs("RepeatStart", "want_start"), "manifest_mismatch:RepeatStart")
-              .when(differs("RepeatEnd", "want_end"), "manifest_mismatch:RepeatEnd")
-              .when(F.col("_sha").isNull(), "data_file_missing")
-              .when(differs("RowCount", "_rows"), "row_count_mismatch")
-              .when(differs("DataSHA256", "_sha"), "hash_mismatch:data").otherwise("valid"))
-    had = F.col("Completed").isNotNull() | F.col("_sha").isNotNull()
-    return rows.select(cond, "chunk", reason.alias("reason"), had.alias("had_artifact"))
+        return None
+    if not {"cond", "chunk"} <= set(df.columns):
+        return None
+    return df.where(key_of().isin(list(keys)))
+
+
+def chunk_files(spark: SparkSession, root: str, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """cond, chunk, artifact, name and sha256 of all files in the named chunks, hashed where they are read."""
+    parts = []
+    for name in names:
+        df = _below(lambda name=name: spark.read.format("binaryFile").load(f"{root}/{name}"), keys)
+        if df is not None:
+            parts.append(df.select(
+                F.col("cond").cast("int").alias("cond"), F.col("chunk").cast("bigint").alias("chunk"),
+                F.lit(name).alias("artifact"), F.element_at(F.split("path", "/"), -1).alias("name"),
+                F.sha2("content", 256).alias("sha256")))
+    return reduce(DataFrame.unionByName, parts) if parts else _empty(
+        spark, "cond int, chunk bigint, artifact string, name string, sha256 string")
+
+
+def _tables(spark: SparkSession, root: str, artifacts: Mapping[str, Artifact], keys: Sequence[str]) -> dict[str, DataFrame]:
+    out = {}
+    for name, a in artifacts.items():
+        df = _below(lambda name=name, a=a: spark.read.schema(a.fields()).parquet(f"{root}/{name}"), keys) if keys else None
+        out[name] = _empty(spark, a.fields()) if df is None else df
+    return out
+
+
+def content_faults(tables: Mapping[str, DataFrame], artifacts: Mapping[str, Artifact], units: DataFrame, size: int,
+                   rows_of: DataFrame, gates: Sequence[Gate]) -> DataFrame:
+    """(cond, chunk, step, reason) of chunks whose rows are not what the plan and their manifest say.
+
+    Steps: 0 row count (``rows_of``: cond, chunk, RowCount), 1 keys missing, extra or
+    twice, then the gates in their order.
+    """
+    n = reduce(DataFrame.unionByName, [t.groupBy("cond", "chunk").agg(F.count(F.lit(1)).alias("n")) for t in tables.values()])
+    n = n.groupBy("cond", "chunk").agg(F.sum("n").alias("n"))
+    faults = [rows_of.join(n, ["cond", "chunk"], "left")
+              .where(~F.col("RowCount").eqNullSafe(F.coalesce("n", F.lit(0)).cast("string")))
+              .select("cond", "chunk", F.lit(0).alias("step"), F.lit("row_count_mismatch").alias("reason"))]
+    for name, a in artifacts.items():
+        own = ["cond", "chunk", *a.owed_keys]
+        gaps = key_gaps(tables[name], a.owed(units).select(*own), own)
+        faults.append(gaps.select("cond", "chunk", F.lit(1).alias("step"), F.concat(
+            F.lit("data_invalid:"), "side", F.lit(f"_key:{name}")).alias("reason")))
+        faults.append(duplicates(tables[name], ["cond", "chunk", *a.keys]).select(
+            "cond", "chunk", F.lit(1).alias("step"), F.lit(f"data_invalid:duplicate_key:{name}").alias("reason")))
+    for k, (reason, gate) in enumerate(gates):
+        bad = gate(tables)
+        if "chunk" not in bad.columns:
+            bad = bad.withColumn("chunk", chunk_of("unit", size))
+        faults.append(bad.select(F.col("cond").cast("int").alias("cond"), F.col("chunk").cast("bigint").alias("chunk"),
+                                 F.lit(2 + k).alias("step"), F.lit(reason).alias("reason")))
+    return reduce(DataFrame.unionByName, faults)
+
+
+def chunk_status(units: DataFrame, root: str, size: int, artifacts: Mapping[str, Artifact],
+                 identity: Mapping[str, Column], forbidden: Sequence[str] = (), gates: Sequence[Gate] = ()) -> DataFrame:
+    """Reason (Q17) of each planned chunk of ``units`` (cond, unit): cond, chunk, reason, had_artifact.
+
+    Manifests, file sets and digests first; the rows of a chunk are read only if its
+    bytes are the committed ones. Only planned chunks are opened.
+    """
+    spark = units.sparkSession
+    units = settle(units.select(F.col("cond").cast("int").alias("cond"), F.col("unit").cast("bigint").alias("unit")).distinct()
+                   .withColumn("chunk", chunk_of("unit", size)), "units")
+    plan = chunk_plan(units, size).select("cond", "chunk", *[c.cast("string").alias(f) for f, c in identity.items()])
+    keys = [r[0] for r in units.select(key_of()).distinct().collect()]  # one short name for each planned chunk, as in the file listing
+    manifests = _below(lambda: manifest_texts(spark, f"{root}/manifest", "*", recursive=False), keys)
+    manifests = _empty(spark, "chunk string, body string") if manifests is None else manifests.select(
+        key_of().alias("chunk"), "body")
+    entries = _below(lambda: spark.read.schema(ENTRIES).json(f"{root}/entries"), keys)
+    entries = _empty(spark, ENTRIES) if entries is None else entries
+    files = chunk_files(spark, root, list(artifacts), keys)
+    owed = reduce(DataFrame.unionByName, [a.owed(units).select("cond", "chunk").distinct().withColumn("artifact", F.lit(n))
+                                          for n, a in artifacts.items()])
+
+    def named(df):
+        return df.withColumn("chunk", key_of()).drop("cond")
+
+    fields = list(identity)
+    first = chunk_reason(named(plan), manifests, named(entries), named(files), fields, forbidden, owed=named(owed))
+    first = settle(first.select(F.split("chunk", "/")[0].cast("int").alias("cond"), F.split("chunk", "/")[1].cast("bigint").alias("chunk"),
+                                "reason", "had_artifact", "RowCount"), "structure")
+    sound = first.where("reason = 'valid'").select("cond", "chunk", "RowCount")
+    sound_keys = [r[0] for r in sound.select(key_of()).collect()]
+    if not sound_keys:
+        return first.drop("RowCount")
+    faults = content_faults(_tables(spark, root, artifacts, sound_keys), artifacts,
+                            units.join(sound, ["cond", "chunk"], "left_semi"), size, sound, gates)
+    worst = faults.groupBy("cond", "chunk").agg(F.min(F.struct("step", "reason")).alias("_fault"))
+    return settle(first.join(worst, ["cond", "chunk"], "left").select(
+        "cond", "chunk", F.when((F.col("reason") == "valid") & F.col("_fault").isNotNull(), F.col("_fault.reason"))
+        .otherwise(F.col("reason")).alias("reason"), "had_artifact"), "status")
+
+
+def clear_chunks(spark: SparkSession, root: str, folders: Sequence[str], chunks: Sequence[tuple[int, int]]) -> None:
+    """Remove chunks whole, the manifest first."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in ("manifest", "entries", *folders):
+        for cond, chunk in chunks:
+            fs.delete(hadoop.Path(f"{root}/{folder}/cond={cond}/chunk={chunk}"), True)
+
+
+def commit_chunks(tables: Mapping[str, DataFrame], units: DataFrame, root: str, size: int,
+                  artifacts: Mapping[str, Artifact], identity: Mapping[str, Column]) -> None:
+    """Write the tables of the chunks of ``units``, then the list of their files, then their manifests."""
+    spark = units.sparkSession
+    plan = settle(chunk_plan(units, size), "plan")
+    keys = [r[0] for r in plan.select(key_of()).collect()]
+    for name, a in artifacts.items():
+        rows = tables[name].withColumns({"cond": F.col("cond").cast("int"), "chunk": chunk_of("unit", size)})
+        # rebalancing keeps a chunk together but splits one that is too large for a task
+        (rows.select(*[F.col(f.name).cast(f.dataType) for f in a.fields()]).hint("rebalance", "cond", "chunk")
+         .sortWithinPartitions("cond", "chunk", *a.keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .option("maxRecordsPerFile", 5_000_000).partitionBy("cond", "chunk").parquet(f"{root}/{name}"))
+    files = settle(chunk_files(spark, root, list(artifacts), keys), "files")
+    (files.hint("rebalance", "cond", "chunk").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("cond", "chunk").json(f"{root}/entries"))
+    counts = [t.groupBy("cond", "chunk").agg(F.count(F.lit(1)).alias("n")) for t in _tables(spark, root, artifacts, keys).values()]
+    counts = reduce(DataFrame.unionByName, counts).groupBy("cond", "chunk").agg(F.sum("n").cast("string").alias("RowCount"))
+    total = set_digest(files, ["artifact", "name", "sha256"], by=["cond", "chunk"]).select(
+        "cond", "chunk", F.col("sha256").alias("DataSHA256"))
+    named = plan.select("cond", "chunk", *[c.cast("string").alias(f) for f, c in identity.items()])
+    sealed = named.join(counts, ["cond", "chunk"], "left").join(total, ["cond", "chunk"], "left")
+    body = F.to_json(F.struct(*identity, F.coalesce("RowCount", F.lit("0")).alias("RowCount"), "DataSHA256"))
+    (sealed.select("cond", "chunk", body.alias("value")).hint("rebalance", "cond", "chunk").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("cond", "chunk").text(f"{root}/manifest"))
 
 
 def pending_chunks(status: DataFrame) -> DataFrame:
     return status.filter(F.col("reason") != "valid")
 
 
-def run_incremental(units: DataFrame, compute: Callable[[DataFrame], DataFrame], root: str, size: int,
-                    data_schema, keys: Sequence[str], cond: str = "cond", unit: str = "unit") -> DataFrame:
-    """Bring all chunks of ``units`` up to date and report one outcome per chunk.
+def run_chunks(units: DataFrame, compute: Callable[[DataFrame], Mapping[str, DataFrame]], root: str, size: int,
+               artifacts: Mapping[str, Artifact], identity: Mapping[str, Column] | None = None,
+               forbidden: Sequence[str] = (), gates: Sequence[Gate] = ()) -> DataFrame:
+    """Bring all chunks of ``units`` (cond, unit) up to date and report one outcome for each: cond, chunk, outcome.
 
-    ``compute`` turns the units of the pending chunks into their rows. Outcomes:
-    skipped-valid, computed (nothing was there), recomputed-invalid:<reason>.
+    ``compute`` turns the units of the pending chunks into their tables. Outcomes:
+    skipped-valid, computed (nothing was there), recomputed-invalid:<reason>. What
+    was written is validated again.
     """
-    plan = chunk_plan(units, size, cond, unit)
-    status = settle(chunk_status(plan, root, data_schema, keys, cond, unit), "status")
-    todo = pending_chunks(status).select(cond, "chunk")
+    spark, identity = units.sparkSession, identity or default_identity()
+    check = (root, size, artifacts, identity, forbidden, gates)
+    status = chunk_status(units, *check)
+    todo = pending_chunks(status).select("cond", "chunk")
     if not todo.isEmpty():
-        due = units.withColumn("chunk", chunk_of(unit, size)).join(todo, [cond, "chunk"], "left_semi").drop("chunk")
-        write_chunks(compute(due), root, size, keys, cond, unit, chunks=todo)
-        again = chunk_status(plan.join(todo, [cond, "chunk"], "left_semi"), root, data_schema, keys, cond, unit)
-        bad = pending_chunks(again).limit(1).collect()
+        stale = [tuple(r) for r in pending_chunks(status).where("had_artifact").select("cond", "chunk").collect()]
+        clear_chunks(spark, root, list(artifacts), stale)
+        due = units.withColumn("chunk", chunk_of("unit", size)).join(todo, ["cond", "chunk"], "left_semi").drop("chunk")
+        commit_chunks(compute(due), due, root, size, artifacts, identity)
+        bad = pending_chunks(chunk_status(due, *check)).limit(1).collect()
         if bad:
             raise ValueError(f"chunk is still invalid after the write: {bad[0].asDict()}")
     outcome = (F.when(F.col("reason") == "valid", "skipped-valid").when(~F.col("had_artifact"), "computed")
                .otherwise(F.concat(F.lit("recomputed-invalid:"), "reason")))
-    return status.select(cond, "chunk", outcome.alias("outcome"))
+    return status.select("cond", "chunk", outcome.alias("outcome"))
+
+
+def run_incremental(units: DataFrame, compute: Callable[[DataFrame], DataFrame], root: str, size: int,
+                    data_schema, keys: Sequence[str], **options) -> DataFrame:
+    """``run_chunks`` for a single table, which ``compute`` returns; it lies in ``<root>/data``."""
+    return run_chunks(units, lambda due: {"data": compute(due)}, root, size, {"data": Artifact(data_schema, keys)}, **options)

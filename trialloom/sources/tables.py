@@ -42,11 +42,12 @@ def read_manifests(spark: SparkSession, root: str, schema: T.StructType | str, p
     return df.select("*", F.col("_metadata.file_path").alias("path"))
 
 
-def manifest_texts(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
-    """Raw manifest text per file, also of files that do not parse."""
-    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+def manifest_texts(spark: SparkSession, root: str, pattern: str = "*.json", recursive: bool = True) -> DataFrame:
+    """Raw manifest text per file, also of files that do not parse; partition columns too unless ``recursive``."""
+    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", recursive)
           .option("pathGlobFilter", pattern).text(root))
-    return df.select(F.col("value").alias("body"), F.col("_metadata.file_path").alias("path"))
+    kept = [c for c in df.columns if c != "value"]
+    return df.select(F.col("value").alias("body"), F.col("_metadata.file_path").alias("path"), *kept)
 
 
 def hash_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
