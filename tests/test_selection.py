@@ -99,6 +99,83 @@ def test_closed_loop(spark, segment, crowd):
             r["unit"], r["cycle"], r["method"]], r
 
 
+TIMED = ("unit bigint, cycle bigint, true_time double, time double, width double, rank_hi bigint, "
+         "rank_lo bigint, source_code int, index bigint")
+
+
+def two_lanes(spark, units, n, away, switch=()):
+    """Candidates on the nominal time line and ``away`` beside it; a loop stays in the lane where it starts.
+
+    In the cycles of ``switch`` a lone candidate between the lanes leads the loop over to the first lane.
+    """
+    frame = spark.createDataFrame([(u, k, 10.0 if k < n - 1 else None, 1.0) for u in range(units) for k in range(n)],
+                                  "unit bigint, cycle bigint, dt double, ref_width double")
+    rows = []
+    for u in range(units):
+        for k in range(n):
+            lanes = [5.0 + 10 * k + away / 2] if k in switch else [5.0 + 10 * k, 5.0 + 10 * k + away]
+            rows += [(u, k, t, t - (away / 2 if k in switch else 0), 1.0, len(rows) + j, 0, 1, len(rows) + j) for j, t in enumerate(lanes)]
+    start = spark.createDataFrame([(u, 5.0 + away) for u in range(units)], "unit bigint, ref double")
+    return frame, spark.createDataFrame(rows, TIMED), start, rows
+
+
+@pytest.mark.parametrize("switch", [(), (101,)])
+def test_many_wrong_segments_settle_in_few_rounds(spark, monkeypatch, switch):
+    """64 segments whose guessed entries all lead into the other lane."""
+    folded, n = [], 192
+    frame, cands, start, rows = two_lanes(spark, 2, n, 4.0, switch)
+    plain = tracking.settle
+    monkeypatch.setattr(tracking, "settle", lambda df, label: (folded.append(1) if label == "trace" else None, plain(df, label))[1])
+    rule = {"T": standard_rules(3.0, 2.0)["T"]}
+    got = tracking.track(frame, cands, start, 2.5, rule, segment=3).collect()
+    assert len(folded) <= 8
+    cycles = {u: [(10.0 if k < n - 1 else None, 1.0) for k in range(n)] for u in range(2)}
+    want = loop(cycles, [(*x[:6], x[7], x[8]) for x in rows], {0: 9.0, 1: 9.0}, 2.5, rule)
+    assert len(got) == len(want) == 2 * n
+    for r in got:
+        assert (r["candidates"], r["position"], r["picked_time"], r["source_code"], r["ref_before"], r["ref_after"]) == want[
+            r["unit"], r["cycle"], r["method"]], r
+
+
+def test_segments_hold_bounded_numbers_of_candidates(spark):
+    """Every cycle of a unit holds half of what a task may: the block is cut by the running sums."""
+    n, each, crowd = 40, 50, 100
+    c = spark.range(n * each + 30).select(
+        F.when(F.col("id") < n * each, 0).otherwise(1).cast("bigint").alias("unit"),
+        F.when(F.col("id") < n * each, F.expr(f"id div {each}")).otherwise(F.col("id") % 3).alias("cycle"))
+    heavy = c.unionByName(spark.range(70).select(F.lit(0).cast("bigint").alias("unit"), F.lit(17).cast("bigint").alias("cycle")))
+    cuts, total = tracking.weighted_cuts(heavy, ["unit"], 4096, crowd)
+    assert total == n * each + 70
+    placed = tracking.Placement(["unit"], 4096, cuts).place(heavy)
+    size = {(r["unit"], r["_seg"]): (r["count"], r["crowded"]) for r in placed.groupBy("unit", "_seg").agg(
+        F.count("*").alias("count"), F.max("_crowded").alias("crowded")).collect()}
+    assert [v for v in size.values() if v[1]] == [(120, True)]  # cycle 17 alone
+    assert all(v[0] <= crowd for v in size.values() if not v[1]) and len(size) > n / 3
+    order = placed.filter("unit = 0").groupBy("_seg").agg(F.min("cycle").alias("a"), F.max("cycle").alias("b")).orderBy("_seg").collect()
+    assert all(x["b"] < y["a"] for x, y in zip(order, order[1:]))
+    assert tracking.weighted_cuts(c.filter("unit = 1"), ["unit"], 4096, crowd) is None
+
+
+def test_heavy_cycles_have_the_same_trace(spark):
+    rnd = random.Random(21)
+    n, rules = 12, standard_rules(3.0, 2.0)
+    cycles = {u: [(10.0 if k < n - 1 else None, float(rnd.randint(1, 5))) for k in range(n)] for u in range(2)}
+    rows = []
+    for u, k, each in [(0, k, 30) for k in range(n)] + [(1, k, 2) for k in range(n)]:
+        for _ in range(each):
+            t = 5.0 + 10 * k + rnd.choice([-7, -3, -2, 0, 1, 4, 6])
+            rows.append((u, k, t, t + rnd.choice([0, 0.5]), float(rnd.randint(1, 5)), len(rows) * 13 % 1009, 0, rnd.choice([1, 2, 3]), len(rows)))
+    frame = spark.createDataFrame([(u, k, dt, w) for u, s in cycles.items() for k, (dt, w) in enumerate(s)],
+                                  "unit bigint, cycle bigint, dt double, ref_width double")
+    start = spark.createDataFrame([(0, 5.0), (1, 5.0)], "unit bigint, ref double")
+    want = loop(cycles, [(*x[:6], x[7], x[8]) for x in rows], {0: 5.0, 1: 5.0}, 6.0, rules)
+    got = tracking.track(frame, spark.createDataFrame(rows, TIMED), start, 6.0, rules, crowd=70).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert (r["candidates"], r["position"], r["picked_time"], r["source_code"], r["ref_before"], r["ref_after"]) == want[
+            r["unit"], r["cycle"], r["method"]], r
+
+
 def test_window_is_reported(spark):
     cycles = spark.createDataFrame([(0, k, 10.0 if k < 3 else None, 1.0) for k in range(4)], "unit bigint, cycle bigint, dt double, ref_width double")
     free = spark.createDataFrame([(0, 4.0, 4.0, 1.0, 1, 0, 1, 1), (0, 9.0, 9.0, 1.0, 2, 0, 1, 2)],

@@ -5,12 +5,18 @@ last cycle of a unit does not advance. Every rule runs its own loop.
 
 The work is cut into segments of cycles per unit and folded step by step over
 all segments of a partition at once. State is a few numbers per segment, so
-neither a long unit nor a crowded cycle has to fit in memory. A unit of several
-segments starts each one from a guessed reference; segments whose guess turns
-out wrong are folded again until nothing changes, which is exact because every
-round settles at least one more segment of each unit. A cycle with too many
-candidates for one task is a segment of its own and is picked by a distributed
-reduction instead.
+neither a long unit nor a crowded cycle has to fit in memory. Blocks of cycles
+with too many candidates for one task are cut again by the running sums of their
+counts; a cycle that is too large by itself is a segment of its own and is picked
+by a distributed reduction instead.
+
+A unit of several segments starts each one from a guessed reference. A segment is
+a map from its entry to its exit, of which every fold tells some pairs. The pairs
+are chained from the first segment on; segments that the chain does not reach are
+folded again, from the exits found before them and from the time line moved by
+where the chain has got to, several entries at once. So a loop that runs beside
+the guessed one costs a few rounds and not one for each segment. The result is
+exact, because the chain holds only what has been folded.
 """
 
 from __future__ import annotations
@@ -28,9 +34,10 @@ from trialloom.functions.rules import standard_rules
 from trialloom.operators.selection import range_join
 from trialloom.operators.sequence import running_time
 from trialloom.session import settle
-from trialloom.skew import BLOCK, SALTS, block_of, hot_hashes, lookup_join
+from trialloom.skew import BLOCK, HOT_ROWS, SALTS, block_of, lookup_join
 
 ENTRY, CYCLE, CANDIDATE = 0, 1, 2
+CANDIDATE_COLUMNS = ("cycle", "true_time", "time", "width", "rank_hi", "rank_lo", "source_code", "index")
 TRACE = ("cycle", "method", "gate_left", "gate_right", "candidates", "position", "picked_time",
          "source_code", "ref_before", "ref_after", "window_ok")
 
@@ -204,16 +211,13 @@ def _signed(df: DataFrame, c: str):
 class Placement:
     """Where a cycle belongs: its segment and the step inside the block of cycles.
 
-    A block is one segment unless it holds crowded cycles (too many candidates for
-    one task); each of those is a segment of its own, numbered odd, and the
-    stretches around it are numbered even.
+    A block is one segment unless ``cuts`` (keys, _block, _starts, _apart) divide it:
+    segments then begin at the cycles in ``_starts``; those in ``_apart`` stand alone
+    and are too crowded to be folded.
     """
 
-    def __init__(self, keys: Sequence[str], segment: int, crowded: DataFrame | None = None):
-        self.keys, self.segment, self.cuts = list(keys), segment, None
-        if crowded is not None:
-            self.cuts = crowded.withColumn("_block", block_of("cycle", segment)).groupBy(*keys, "_block").agg(
-                F.array_sort(F.collect_set("cycle")).alias("_cuts"))
+    def __init__(self, keys: Sequence[str], segment: int, cuts: DataFrame | None = None):
+        self.keys, self.segment, self.cuts = list(keys), segment, cuts
 
     def place(self, df: DataFrame) -> DataFrame:
         out = df.withColumn("_block", block_of("cycle", self.segment))
@@ -221,26 +225,38 @@ class Placement:
         if self.cuts is None:
             return out.withColumns({"_step": step, "_seg": F.col("_block"), "_crowded": F.lit(False)}).drop("_block")
         out = lookup_join(out, self.cuts, [*self.keys, "_block"], "left")
-        cuts = F.coalesce("_cuts", F.array().cast("array<bigint>"))
-        before = F.size(F.filter(cuts, lambda c: c < F.col("cycle")))
-        hit = F.array_contains(cuts, F.col("cycle").cast("bigint"))
+        none = F.array().cast("array<bigint>")
+        before = F.size(F.filter(F.coalesce("_starts", none), lambda c: c <= F.col("cycle")))
+        hit = F.array_contains(F.coalesce("_apart", none), F.col("cycle").cast("bigint"))
         return out.withColumns({"_step": step, "_crowded": hit}).withColumn(
-            "_seg", F.col("_block") * (2 * self.segment + 2) + 2 * before + F.col("_crowded").cast("int")
-        ).drop("_block", "_cuts")
+            "_seg", F.col("_block") * (self.segment + 2) + before).drop("_block", "_starts", "_apart")
 
 
-def crowded_cycles(candidates: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
-    """Cycles with more than ``limit`` candidates, or None.
+def weighted_cuts(candidates: DataFrame, keys: Sequence[str], segment: int, crowd: int) -> tuple[DataFrame, int] | None:
+    """Borders inside blocks of cycles that hold more than ``crowd`` candidates, and the candidates of these blocks.
 
-    Only keys that can be that heavy are counted, so ordinary data is read once and not shuffled.
+    Pieces hold at most ``crowd`` candidates: a border lies where the running sum of the
+    cycles passes a multiple of half of it, and cycles of more than that half stand
+    alone. None if no block is that heavy: then counting the blocks is all it takes.
     """
-    on = [*keys, "cycle"]
-    hot = hot_hashes(candidates, on, limit // 2)
-    if not hot:
+    block = [*keys, "_block"]
+    rows = candidates.select(*keys, F.col("cycle").cast("bigint").alias("cycle")).withColumn("_block", block_of("cycle", segment))
+    heavy = settle(rows.groupBy(*block).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > crowd), "heavy")
+    total = heavy.agg(F.sum("_n")).first()[0]
+    if not total:
         return None
-    counts = candidates.filter(F.xxhash64(*on).isin(list(hot))).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    found = settle(counts.filter(F.col("_n") > limit).select(*keys, F.col("cycle").cast("bigint").alias("cycle")), "crowded")
-    return None if found.isEmpty() else found
+    half = max(1, crowd // 2)
+    counts = lookup_join(rows, heavy.select(*block), block).groupBy(*block, "cycle").agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(*block).orderBy("cycle")  # at most ``segment`` cycles
+    small = F.when(F.col("_n") <= half, F.col("_n")).otherwise(0)
+    piece = F.floor((F.sum(small).over(order.rowsBetween(Window.unboundedPreceding, 0)) - small) / half)
+    cut = counts.withColumns({"_apart": F.col("_n") > half, "_piece": piece})
+    begins = F.col("_apart") | ~F.col("_piece").eqNullSafe(F.lag("_piece").over(order))
+    starts = F.array_compact(F.array(F.when(begins, F.col("cycle")), F.when(F.col("_apart"), F.col("cycle") + 1)))
+    cut = cut.withColumn("_at", starts)
+    return settle(cut.groupBy(*block).agg(  # bounded: at most two entries for each cycle of a block
+        F.array_distinct(F.flatten(F.collect_list("_at"))).alias("_starts"),
+        F.collect_list(F.when(F.col("_apart"), F.col("cycle"))).alias("_apart")), "cuts"), total
 
 
 def _windowed(cycles: DataFrame) -> DataFrame:
@@ -248,15 +264,15 @@ def _windowed(cycles: DataFrame) -> DataFrame:
     return cycles.withColumns({**missing, "dt": F.col("dt").cast("double"), "ref_width": F.col("ref_width").cast("double")})
 
 
-def _fold(cycles, candidates, entries, keys, rules, half):
-    """Fold the placed rows of every segment that has an entry row."""
+def _fold(cycles, candidates, entries, keys, rules, half, tasks=None):
+    """Fold the placed rows of every segment that has an entry row; ``keys`` name a segment."""
     blank = {"refs": F.lit(None).cast("array<double>"), **{c: F.lit(None).cast("double") for c in (
         "dt", "ref_width", "win_left", "win_right", "true_time", "time", "width")},
         **{c: F.lit(0).cast("bigint") for c in ("rank_hi", "rank_lo", "source_code", "index", "cycle")}}
 
     def rows(df, kind, **given):
         cols = {**blank, **given}
-        return df.select(*keys, "_seg", "_step", F.lit(kind).alias("kind"), *[c.alias(n) for n, c in cols.items()])
+        return df.select(*keys, "_step", F.lit(kind).alias("kind"), *[c.alias(n) for n, c in cols.items()])
 
     a = rows(entries.withColumn("_step", F.lit(-1).cast("bigint")), ENTRY, refs=F.col("refs"))
     b = rows(cycles, CYCLE, cycle=F.col("cycle").cast("bigint"), **{
@@ -266,18 +282,18 @@ def _fold(cycles, candidates, entries, keys, rules, half):
              width=F.col("width").cast("double"), rank_hi=_signed(candidates, "rank_hi"),
              rank_lo=_signed(candidates, "rank_lo"), source_code=F.col("source_code").cast("bigint"),
              index=F.col("index").cast("bigint"))
-    stream = (a.unionByName(b).unionByName(c).repartition(*keys, "_seg")
-              .sortWithinPartitions("_step", *keys, "_seg", "kind", "source_code", "index"))
-    schema = T.StructType([stream.schema[k] for k in (*keys, "_seg")] + [
+    stream = a.unionByName(b).unionByName(c)
+    stream = stream.repartition(tasks, *keys) if tasks else stream.repartition(*keys)
+    stream = stream.sortWithinPartitions("_step", *keys, "kind", "source_code", "index")
+    schema = T.StructType([stream.schema[k] for k in keys] + [
         T.StructField(n, t()) for n, t in zip(TRACE, (
             T.LongType, T.StringType, T.DoubleType, T.DoubleType, T.LongType, T.LongType, T.DoubleType, T.LongType,
             T.DoubleType, T.DoubleType, T.BooleanType))])
-    return stream.mapInPandas(_folder([*keys, "_seg"], rules, half), schema)
+    return stream.mapInPandas(_folder(keys, rules, half), schema)
 
 
-def _select_crowded(cycles, candidates, entries, keys, rules, half):
+def _select_crowded(cycles, candidates, entries, on, rules, half):
     """Picks of crowded cycles for known references: reduced where the candidates lie, never gathered."""
-    on = [*keys, "_seg"]
     gates = cycles.join(entries, on)
     spread = F.pmod(F.xxhash64("index", "source_code"), F.lit(SALTS)).cast("int")
     copies = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
@@ -316,6 +332,10 @@ def _select_crowded(cycles, candidates, entries, keys, rules, half):
     return rows.select(*on, F.col("cycle").cast("bigint").alias("cycle"), F.inline(F.array(*items))).select(*on, *TRACE)
 
 
+#: Entries of one segment and rule that a round folds at most, the one that the chain needs first.
+ENTRIES = 3
+
+
 def track(cycles: DataFrame, candidates: DataFrame, start: DataFrame, half: float,
           rules: Mapping[str, Callable] | None = None, *, t_scale: float = 1.0, w_scale: float = 1.0,
           keys: Sequence[str] = ("unit",), segment: int = BLOCK, crowd: int = 1_000_000) -> DataFrame:
@@ -324,68 +344,127 @@ def track(cycles: DataFrame, candidates: DataFrame, start: DataFrame, half: floa
     cycles: keys, cycle, dt (null in the last cycle), ref_width [, win_left, win_right]
     candidates: keys, cycle, true_time, time, width, rank_hi, rank_lo, source_code, index
     start: keys, ref (reference of the first cycle)
+    A segment is folded by one task: ``segment`` cycles and ``crowd`` candidates at most.
     """
     rules = rules or standard_rules(t_scale, w_scale)
     keys = list(keys)
     on = [*keys, "_seg"]
-    crowded = crowded_cycles(candidates, keys, crowd)
-    where = Placement(keys, segment, crowded)
+    fold_on = [*on, "_guess"]
+    cut = weighted_cuts(candidates, keys, segment, crowd)
+    where = Placement(keys, segment, cut and cut[0])
+    tasks = cut and max(int(cycles.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * cut[1] // max(crowd, HOT_ROWS)))
     placed, rows = where.place(_windowed(cycles)), where.place(candidates)
     names = F.array(*[F.lit(n) for n in rules])
     spans = placed.groupBy(*keys).agg(F.min("_seg").alias("_seg"), F.max("_seg").alias("_end"))
     first = F.transform(names, lambda _: F.col("ref").cast("double"))
-    if crowded is None and spans.filter(F.col("_end") > F.col("_seg")).isEmpty():
+    if cut is None and spans.filter(F.col("_end") > F.col("_seg")).isEmpty():
         entries = spans.join(start, keys).select(*on, first.alias("refs"))
-        return _fold(placed, rows, entries, keys, rules, half).select(*keys, *TRACE)
+        return _fold(placed, rows, entries, on, rules, half).select(*keys, *TRACE)
 
-    def run(entries: DataFrame) -> DataFrame:
-        mine, theirs = placed.join(entries.select(*on), on, "left_semi"), rows.join(entries.select(*on), on, "left_semi")
-        if crowded is None:
-            return _fold(mine, theirs, entries, keys, rules, half)
-        apart = mine.filter("_crowded").select(*on)
-        folded = _fold(mine.filter("NOT _crowded"), theirs.filter("NOT _crowded"),
-                       entries.join(apart, on, "left_anti"), keys, rules, half)
-        picked = _select_crowded(mine.filter("_crowded"), theirs.filter("_crowded"), entries, keys, rules, half)
-        return folded.unionByName(picked)
-
-    # Several segments: guess each entry from the nominal time line, then correct.
-    segments = running_time(placed, keys, "dt", name="_nominal").groupBy(*on).agg(
-        F.min_by("_nominal", "cycle").alias("_nominal"))
-    guess = F.transform(names, lambda _: (F.col("ref") + F.col("_nominal")).cast("double"))
-    used = settle(segments.join(start, keys).select(*on, guess.alias("refs")), "entries")
-    follow = settle(_previous(used.select(*on), keys), "follow")
-
-    def ends_of(trace: DataFrame) -> DataFrame:
-        return trace.groupBy(*on, "method").agg(F.max_by("ref_after", "cycle").alias("exit"))
-
-    # A round writes the traces of its own segments only; small tables keep each segment's last round, entry and exit.
-    rounds = [settle(run(used), "trace")]
-    ends = settle(ends_of(rounds[0]), "exits")
-    latest = settle(used.select(*on, F.lit(0).alias("_round")), "rounds")
-
-    def renew(old: DataFrame, changed: DataFrame, new: DataFrame, label: str) -> DataFrame:
-        return settle(old.join(changed.select(*on), on, "left_anti").unionByName(new), label)
+    # several rounds read them: placed once
+    placed, rows = settle(placed, "cycles"), settle(rows.select(*on, "_step", "_crowded", *CANDIDATE_COLUMNS), "candidates")
 
+    def run(entries: DataFrame) -> DataFrame:
+        """Fold segments from their entries; an entry that is not a number asks for nothing."""
+        mine, theirs = (df.join(entries.select(*fold_on), on) for df in (placed, rows))
+        if cut is None:
+            out = _fold(mine, theirs, entries, fold_on, rules, half)
+        else:
+            apart = mine.filter("_crowded").select(*fold_on)
+            out = _fold(mine.filter("NOT _crowded"), theirs.filter("NOT _crowded"),
+                        entries.join(apart, fold_on, "left_anti"), fold_on, rules, half, tasks).unionByName(
+                _select_crowded(mine.filter("_crowded"), theirs.filter("_crowded"), entries, fold_on, rules, half))
+        return settle(out.filter(~F.isnan("ref_before")), "trace")
+
+    def pairs_of(trace: DataFrame, n: int) -> DataFrame:
+        return trace.groupBy(*on, "_guess", "method").agg(
+            F.min_by("ref_before", "cycle").alias("entry"), F.max_by("ref_after", "cycle").alias("exit")).withColumn("_round", F.lit(n))
+
+    # The first entries come from the nominal time line, those of the first segments are right.
+    segments = running_time(placed, keys, "dt", name="_nominal").groupBy(*on).agg(F.min_by("_nominal", "cycle").alias("_nominal"))
+    nominal = settle(segments.join(start, keys).select(*on, (F.col("ref") + F.col("_nominal")).cast("double").alias("_nominal")), "nominal")
+    entries = nominal.select(*on, F.lit(0).alias("_guess"), F.transform(names, lambda _: F.col("_nominal")).alias("refs"))
+    rounds, pairs = [], None
     while True:
-        exits = ends.groupBy(*on).agg(F.map_from_entries(F.collect_list(F.struct("method", "exit"))).alias("_exit"))
-        exits = exits.select(*keys, F.col("_seg").alias("_from"), F.transform(names, lambda n: F.col("_exit")[n]).alias("refs"))
-        right = follow.join(exits, [*keys, "_from"]).select(*on, "refs")
-        changed = settle(right.join(used.withColumnRenamed("refs", "_used"), on).filter(
-            F.col("refs") != F.col("_used")).select(*on, "refs"), "entries")
-        if changed.isEmpty():
-            kept = [part.join(latest.filter(F.col("_round") == r).select(*on), on, "left_semi").select(*keys, *TRACE)
-                    for r, part in enumerate(rounds)]
-            return reduce(DataFrame.unionByName, kept)
-        rounds.append(settle(run(changed), "trace"))
-        ends = renew(ends, changed, ends_of(rounds[-1]), "exits")
-        used = renew(used, changed, changed, "entries")
-        latest = renew(latest, changed, changed.select(*on, F.lit(len(rounds) - 1).alias("_round")), "rounds")
-
-
-def _previous(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Each segment with its predecessor; one row per segment, so windows stay small."""
-    w = Window.partitionBy(*keys).orderBy("_seg")
-    return segments.withColumn("_from", F.lag("_seg").over(w)).filter(F.col("_from").isNotNull())
+        rounds.append(run(entries))
+        new = pairs_of(rounds[-1], len(rounds) - 1)
+        pairs = settle(pairs.unionByName(new) if pairs else new, "pairs")
+        per_unit = pairs.join(nominal, on).groupBy(*keys)  # a row for each segment, rule and folded entry
+        kind = T.StructType([pairs.schema[c] for c in (*on, "method", "entry", "_round", "_guess")])
+        asked = settle(per_unit.applyInPandas(_asker(keys, len(rounds)), kind), "asks")
+        if asked.isEmpty():
+            break
+        refs = F.map_from_entries(F.collect_list(F.struct("method", "entry")))  # one for each rule
+        entries = settle(asked.groupBy(*fold_on).agg(refs.alias("_refs")).select(
+            *fold_on, F.transform(names, lambda n: F.coalesce(F.col("_refs")[n], F.lit(float("nan")))).alias("refs")), "entries")
+    if len(rounds) == 1:
+        return rounds[0].select(*keys, *TRACE)
+    right = settle(per_unit.applyInPandas(_chainer(keys), kind), "chain").select(*fold_on, "method", "_round")
+    return reduce(DataFrame.unionByName, [
+        part.join(right.filter(F.col("_round") == n).drop("_round"), [*fold_on, "method"], "left_semi").select(*keys, *TRACE)
+        for n, part in enumerate(rounds)])
+
+
+def _chain(pairs: pd.DataFrame) -> Iterator[tuple[str, list, dict, list, float]]:
+    """For each rule: its segments in order, the known pairs, the chain from the first entry on, and where it leads."""
+    units: dict[str, tuple[dict, dict]] = {}
+    for method, seg, entry, exit_, n, guess in zip(*(pairs[c].tolist() for c in ("method", "_seg", "entry", "exit", "_round", "_guess"))):
+        known, first = units.setdefault(method, ({}, {}))
+        if (seg, entry) not in known or (n, guess) < known[seg, entry][1:]:
+            known[seg, entry] = (exit_, n, guess)
+        if n == 0:
+            first[seg] = entry  # every segment is folded in round 0
+    for method, (known, first) in units.items():
+        segs = sorted(first)
+        at, chain = first[segs[0]], []
+        for seg in segs:
+            if (seg, at) not in known:
+                break
+            chain.append((seg, at, *known[seg, at][1:]))
+            at = known[seg, at][0]
+        yield method, segs, known, chain, at
+
+
+def _frame(pairs: pd.DataFrame, keys: Sequence[str], rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["method", "_seg", "entry", "_round", "_guess"])
+    for k in reversed(keys):
+        out.insert(0, k, pairs[k].iloc[0])
+    return out[[*keys, "_seg", "method", "entry", "_round", "_guess"]]
+
+
+def _chainer(keys: Sequence[str]):
+    def chains(pairs: pd.DataFrame) -> pd.DataFrame:
+        return _frame(pairs, keys, [(method, *link) for method, _, _, chain, _ in _chain(pairs) for link in chain])
+    return chains
+
+
+def _asker(keys: Sequence[str], n: int):
+    """What round ``n`` folds of the segments of a unit behind its chain: entries, numbered for each segment and rule.
+
+    First the entry that the chain needs next, then the exits that the last round found
+    before a segment, and from the second repetition on the nominal entry moved by as
+    much as the chain's end is away from the nominal time line.
+    """
+    def ask(pairs: pd.DataFrame) -> pd.DataFrame:
+        nominal = dict(zip(pairs["_seg"].tolist(), pairs["_nominal"].tolist()))
+        rows = []
+        for method, segs, known, chain, at in _chain(pairs):
+            if len(chain) == len(segs):
+                continue
+            relays: dict[int, list] = {}
+            for (seg, _), (exit_, m, guess) in known.items():
+                if m == n - 1:
+                    relays.setdefault(seg, []).append((guess, exit_))
+            away = at - nominal[segs[len(chain)]]
+            for before, seg in zip(segs[len(chain) - 1:], segs[len(chain):]):
+                wanted = [at] if seg == segs[len(chain)] else []
+                wanted += [exit_ for _, exit_ in sorted(relays.get(before, []))]
+                if n > 1:
+                    wanted.insert(1, nominal[seg] + away)
+                fresh = [e for e in dict.fromkeys(wanted) if (seg, e) not in known]
+                rows += [(method, seg, e, n, k) for k, e in enumerate(fresh[:ENTRIES])]
+        return _frame(pairs, keys, rows)
+    return ask
 
 
 def preassign(candidates: DataFrame, cycles: DataFrame, start: DataFrame, slack: float, keys: Sequence[str] = ("unit",),

@@ -358,8 +358,8 @@ def l8_segments(spark, sf):
 
 @query("L8_closed_loop_with_crowded_cycles", sql(TRACE_SQL, "trace", recursive=True))
 def l8_crowded(spark, sf):
-    """Cycles with more than six candidates are picked by the distributed reduction."""
-    return closed_loop(spark, sf, crowd=6).select(
+    """Twelve candidates for a task: cycles with more than six are picked by the distributed reduction."""
+    return closed_loop(spark, sf, crowd=12).select(
         "unit", "cycle", "method", "candidates", "picked_time", "source_code", "ref_before")
 
 
@@ -379,7 +379,7 @@ def l8_gaps_segments(spark, sf):
 
 @query("L8_closed_loop_with_gaps_crowded", GAP_SQL)
 def l8_gaps_crowded(spark, sf):
-    return closed_loop(spark, sf, gap_inputs(spark, sf), crowd=6).select(*GAPS)
+    return closed_loop(spark, sf, gap_inputs(spark, sf), crowd=12).select(*GAPS)
 
 
 @query("L9_trace", sql(f"""SELECT t.unit, t.cycle, t.method, t.gate_left, t.gate_right, t.candidates, t.ref_before,
