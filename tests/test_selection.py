@@ -55,6 +55,31 @@ def test_range_join_equals_nested_loop(spark):
     assert sorted((r["unit"], r["cycle"], r["rank"]) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("kind", ["bigint", "double"])
+def test_range_join_of_wide_and_narrow_gates(spark, kind):
+    """One gate over the whole time line beside narrow ones: joined rows stay in proportion to the result."""
+    n, wide = 3000, 3000 * 100
+    gates = spark.range(n).select(F.lit(0).alias("unit"), F.col("id").alias("cycle"), (F.col("id") * 100 + 50).cast(kind).alias("ref_us"),
+                                  F.lit(3).cast(kind).alias("half_us"))
+    one = spark.createDataFrame([(0, -1, wide // 2, wide // 2 + 7), (0, -2, 40, 0), (1, -3, 5, 2)], "unit int, cycle bigint, ref_us bigint, half_us bigint")
+    gates = gates.unionByName(one.withColumns({c: F.col(c).cast(kind) for c in ("ref_us", "half_us")}))
+    cands = spark.range(9000).select(F.when(F.col("id") == 0, 2).otherwise(0).alias("unit"),
+                                     ((F.col("id") * 7919) % (wide + 200) - 100).cast(kind).alias("t_us"), F.col("id").alias("rank"))
+    got = selection.range_join(cands, gates)
+    want = [(r["unit"], g, r["rank"]) for r in cands.collect() for g in (
+        [-1] * (r["unit"] == 0 and -7 <= r["t_us"] < wide + 7) + [int(r["t_us"] // 100)] * (
+            r["unit"] == 0 and 0 <= r["t_us"] < wide and 47 <= r["t_us"] % 100 < 53))]
+    assert sorted((r["unit"], r["cycle"], r["rank"]) for r in got.collect()) == sorted(want)
+    plan = selection.salted_join
+    joined = []
+    try:
+        selection.salted_join = lambda *a, **k: (joined.append(plan(*a, **k)), joined[-1])[1]
+        selection.range_join(cands, gates)
+    finally:
+        selection.salted_join = plan
+    assert joined[-1].count() < 2 * len(want)
+
+
 def loop(cycles, cands, start, half, rules):
     out = {}
     for unit, steps in cycles.items():

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trialloom.functions.rules import standard_rules
 from trialloom.functions.scores import grid_range, grid_time, in_gate, q_t
@@ -41,23 +42,37 @@ def gate_join(candidates: DataFrame, gates: DataFrame, on: Sequence[str] = CYCLE
 def range_join(candidates: DataFrame, gates: DataFrame, unit: Sequence[str] = ("unit",), true_time: str = "t_us",
                ref: str = "ref_us", half: str = "half_us", bucket: float | None = None,
                rank: Sequence[str] = ("rank",)) -> DataFrame:
-    """The same for candidates without a cycle: both sides meet in time buckets.
+    """The same for candidates without a cycle: both sides meet in time buckets of dyadic widths.
 
-    A gate is copied to each bucket it touches; buckets are as wide as the widest
-    gate unless given, so these are at most two.
+    A gate lies on the level whose buckets are as wide as itself or up to twice as
+    wide, in the one or two buckets that it touches; a candidate looks into one bucket
+    on each level that its unit has gates on. So a wide gate does not widen the
+    buckets of narrow ones, and joined rows stay within a constant of the result.
+    ``bucket`` is the width of level 0 (1 unless given). Gates of no width join nothing.
     """
-    bucket = bucket or gates.agg(2 * F.max(half)).first()[0] or 1
+    types = [gates.schema[ref].dataType, gates.schema[half].dataType, candidates.schema[true_time].dataType]
+    whole = not isinstance(bucket, float) and all(isinstance(t, T.IntegralType) for t in types)
+    base = float(bucket or 1)
     left, right = F.col(ref) - F.col(half), F.col(ref) + F.col(half)
-
-    def bucket_of(x: Column) -> Column:
-        if isinstance(bucket, float):
-            return F.floor(x / F.lit(bucket))
-        return F.call_function("div", x - F.pmod(x, F.lit(bucket)), F.lit(bucket))
-
-    touched = gates.withColumn("_bucket", F.explode(F.sequence(bucket_of(left), bucket_of(right))))
-    placed = candidates.withColumn("_bucket", bucket_of(F.col(true_time)))
-    joined = salted_join(placed, touched, [*unit, "_bucket"], rank)
-    return joined.filter(in_gate(true_time, left, right)).drop("_bucket")
+    size = (right - left).cast("double") / base
+    # the smallest level with base * 2**level >= width; the correction makes up for a logarithm that is off by one
+    near = F.ceil(F.log2(size)).cast("int")
+    level = F.when(F.pow(F.lit(2.0), near) < size, near + 1).when(F.pow(F.lit(2.0), near - 1) >= size, near - 1).otherwise(near)
+    level = F.greatest(F.lit(0), level) if whole else level
+
+    def bucket_of(x: Column, level: Column) -> Column:
+        if not whole:
+            return F.floor(x / (F.lit(base) * F.pow(F.lit(2.0), level)))
+        wide = F.lit(int(base)) * F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
+        return F.call_function("div", x - F.pmod(x, wide), wide)
+
+    placed = gates.filter(left < right).withColumn("_level", level)
+    levels = placed.groupBy(*unit).agg(F.collect_set("_level").alias("_levels"))  # at most a level for each power of two
+    touched = placed.withColumn("_bucket", F.explode(F.sequence(bucket_of(left, F.col("_level")), bucket_of(right, F.col("_level")))))
+    probes = salted_join(candidates, levels, unit, rank).withColumn("_level", F.explode("_levels")).drop("_levels")
+    probes = probes.withColumn("_bucket", bucket_of(F.col(true_time), F.col("_level")))
+    joined = salted_join(probes, touched, [*unit, "_level", "_bucket"], rank)
+    return joined.filter(in_gate(true_time, left, right)).drop("_level", "_bucket")
 
 
 def scores(t_scale: float, w_scale: float, observed: str = "t_us", width: str = "w",
