@@ -27,7 +27,33 @@ from trialloom.llm.lattice import Lattice, by_length
 
 MARK = "▁"
 #: Words in a worker's table before it begins another and keeps this one to look up; bounds memory only.
-WORDS = 150_000
+WORDS = 100_000
+
+
+class Contents:
+    """The bytes that each id of a model stands for: all that decoding needs."""
+
+    def __init__(self, path: str):
+        model = SentencePieceProcessor(model_file=path)
+        content = [b""] * model.get_piece_size()
+        for i in range(len(content)):
+            piece = model.id_to_piece(i)
+            if model.is_byte(i):
+                content[i] = bytes([int(piece[3:5], 16)])
+            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
+                content[i] = piece.replace(MARK, " ").encode()
+        content[model.unk_id()] = " ⁇ ".encode()
+        self.sizes = np.array([len(c) for c in content])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.blob = np.frombuffer(b"".join(content), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> str:
+        """Text of ids; control ids give nothing, the space put before the first piece goes."""
+        size = self.sizes[ids]
+        end = np.cumsum(size)
+        at = np.repeat(self.starts[ids] - end + size, size) + np.arange(end[-1] if len(end) else 0)
+        text = self.blob[at].tobytes().decode("utf-8", "replace")
+        return text[1:] if text.startswith(" ") else text
 
 
 class Pieces:
@@ -38,16 +64,12 @@ class Pieces:
         self.size = model.get_piece_size()
         self.unknown, self.begin, self.end = model.unk_id(), model.bos_id(), model.eos_id()
         self.ids, self.score, self.bytes_of = {}, {}, {}
-        self.content: list[bytes] = [b""] * self.size
         for i in range(self.size):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 self.bytes_of[int(piece[3:5], 16)] = i
-                self.content[i] = bytes([int(piece[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.ids[piece], self.score[piece] = i, model.get_score(i)
-                self.content[i] = piece.replace(MARK, " ").encode()
-        self.content[self.unknown] = " ⁇ ".encode()
         if any(a != MARK and b == MARK for p in self.ids for a, b in zip(p, p[1:], strict=False)):
             raise ValueError("the model has pieces across words")
         self.piece = {i: p for p, i in self.ids.items()}
@@ -65,9 +87,6 @@ class Pieces:
         self.fits = np.zeros(1 << 20, bool)
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        sizes = np.array([len(c) for c in self.content])
-        self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
-        self.blob = np.frombuffer(b"".join(self.content), np.uint8)
 
     def _cuts(self) -> str:
         """Pattern of words: runs that end where no piece has the two characters that meet there.
@@ -232,14 +251,6 @@ class Pieces:
             self.words, self.older = {}, {w: ids for w, ids in known.items() if len(w) <= 64}
         return out
 
-    def decode(self, ids: np.ndarray) -> str:
-        """Text of ids; control ids give nothing, the space put before the first piece goes."""
-        size = self.sizes[ids]
-        end = np.cumsum(size)
-        at = np.repeat(self.starts[ids] - end + size, size) + np.arange(end[-1] if len(end) else 0)
-        text = self.blob[at].tobytes().decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
-
 
 def load(path: str) -> Pieces:
     """The model of this worker process."""
@@ -276,7 +287,7 @@ def decode_documents(docs: DataFrame, model: str | None = None, ids: str = "ids"
 
     @F.arrow_udf("string")
     def decode(batch: pa.Array) -> pa.Array:
-        pieces = load(path)
-        return pa.array([pieces.decode(np.frombuffer(b or b"", "<u4")) for b in batch.to_pylist()], pa.string())
+        contents = held("contents", path, lambda: Contents(path))
+        return pa.array([contents.decode(np.frombuffer(b or b"", "<u4")) for b in batch.to_pylist()], pa.string())
 
     return docs.withColumn(out, decode(F.col(ids)))
