@@ -120,6 +120,38 @@ def test_statistics_are_checked_before_they_are_loaded(spark):
             ratios.load_statistics(bad)
 
 
+def test_resampling_refuses_units_that_are_not_whole(spark):
+    rm = spark.createDataFrame(rows_of(4, 5), COLS)
+    wide = lambda df: resampling.wide_statistics(df, ["T", "TW"]).select("cond", "unit").collect()
+    assert len(wide(rm)) == 4 and len(wide(rm.unionByName(rm.withColumn("method", F.lit("other"))))) == 4
+    stat = F.col(STATISTICS[0])
+    for bad in (rm.unionByName(rm.limit(1)), rm.withColumn(STATISTICS[0], -stat - 1), rm.filter("NOT (unit = 2 AND method = 'T')"),
+                rm.withColumn(STATISTICS[0], F.when(F.col("unit") > 1, stat)),
+                rm.withColumn("unit", F.when(F.col("unit") > 1, F.col("unit")))):
+        with pytest.raises(Exception, match="cannot be resampled"):
+            wide(bad)
+        assert resampling.wide_statistics(bad, ["T", "TW"], checked=False).count() >= 4
+
+
+def test_every_fault_is_reported_from_one_pass(spark):
+    rm = spark.createDataFrame(rows_of(6, 5), COLS).withColumn("ord", F.when(F.col("method") == "T", 2).otherwise(4))
+    expected = spark.createDataFrame([(1, 6)], "cond int, R int")
+    codes = {"ord": ("method", spark.createDataFrame([(2, "T"), (4, "TW")], "ordinal int, code string"))}
+    report = lambda df, want=expected: sorted(tuple(r) for r in ratios.statistics_report(df, want, codes).collect())
+    assert report(rm) == []
+    t, stat = F.col("method") == "T", F.col(STATISTICS[0])
+    assert report(rm.withColumn("ord", F.when(t & (F.col("unit") < 3), 4).otherwise(F.col("ord")))) == [(1, "T", "identity", 2)]
+    assert report(rm.withColumn(STATISTICS[0], F.when(t & (F.col("unit") == 1), -1).otherwise(stat))) == [(1, "T", "negative", 1)]
+    assert report(rm.withColumn(STATISTICS[0], F.when(~(t & (F.col("unit") == 1)), stat))) == [(1, "T", "null", 1)]
+    assert report(rm.unionByName(rm.filter("unit = 2"))) == [(1, "T", "surplus", 1), (1, "TW", "surplus", 1)]
+    assert report(rm.filter("unit <> 6")) == [(1, "T", "missing", 1), (1, "TW", "missing", 1)]  # also where all methods lack it
+    moved = rm.withColumn("unit", F.when(t & (F.col("unit") == 3), 2).otherwise(F.col("unit")))  # one twice, one not at all
+    assert report(moved) == [(1, "T", "other_units", 6)]
+    assert report(rm.filter("method = 'T'").unionByName(rm.filter("method = 'TW'").withColumn("cond", F.lit(2)))) == [
+        (1, "TW", "missing", 6), (2, "TW", "unknown", 6)]
+    assert report(rm.limit(0)) == []
+
+
 def test_variance_of_very_large_counts(spark):
     """Nearly constant ratios of counts up to 1e12 against exact rationals."""
     from fractions import Fraction

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialloom.functions.estimates import ratio
 from trialloom.registry import CORE_RATIOS, COUNTS, STATISTICS
+from trialloom.skew import lookup_join
 
 CELL = ("cond", "method")
 # metric -> (numerator, denominator, reason); _cycles is all cycles, _units all units.
@@ -109,6 +111,46 @@ def statistics_faults(rm: DataFrame, keys: Sequence[str] = ("cond", "unit", "met
         F.count_if(F.size("_methods") < F.size("_all")).alias("incomplete"))
 
 
+def statistics_report(rm: DataFrame, expected: DataFrame, codes: Mapping[str, tuple[str, DataFrame]] | None = None,
+                      keys: Sequence[str] = ("cond", "unit", "method")) -> DataFrame:
+    """Faults of a table of statistics per condition and method: cond, method, fault, rows; none if it is sound.
+
+    ``expected`` (cond, R) says that every method of a condition holds the units 1..R.
+    ``codes`` maps an ordinal column to its code column and their registry (ordinal, code).
+    One pass folds the rows to counts and sums of unit hashes, which are compared with
+    those of 1..R: no key is shuffled. Faults: identity, null, negative, surplus and missing
+    rows, other_units (as many rows as there should be, but not of these units), and
+    unknown for conditions that are not expected.
+    """
+    cond, unit, method = keys
+    spark, rows, wrong = rm.sparkSession, rm, F.lit(False)
+    for k, (ordinal, (code, dim)) in enumerate((codes or {}).items()):
+        dim = dim.select(F.col("ordinal").cast(rm.schema[ordinal].dataType).alias(ordinal), F.col("code").alias(f"_code{k}"))
+        rows = lookup_join(rows, dim, [ordinal], "left")
+        wrong = wrong | ~F.col(code).eqNullSafe(F.col(f"_code{k}"))
+    null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in (*keys, *STATISTICS)])
+    low = F.coalesce(F.least(*STATISTICS) < 0, F.lit(False))
+    number = F.col(unit).cast("bigint")
+    found = rows.groupBy(F.col(cond).alias("cond"), F.col(method).alias("method")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("identity"), F.count_if(null).alias("null"),
+        F.count_if(low).alias("negative"), F.sum(F.xxhash64(number).cast("decimal(38,0)")).alias("hash"))
+    sizes = sorted({r[0] for r in expected.select("R").distinct().collect()})  # a few sizes of conditions
+    ids = spark.range(1, max(sizes, default=0) + 1)
+    sums = ids.agg(*[F.sum(F.when(F.col("id") <= r, F.xxhash64("id").cast("decimal(38,0)"))).alias(str(r)) for r in sizes]).first() if sizes else ()
+    wanted = spark.createDataFrame([(r, s) for r, s in zip(sizes, sums)], "R bigint, want decimal(38,0)")
+    universe = expected.select(F.col("cond"), F.col("R").cast("bigint").alias("R")).join(F.broadcast(wanted), "R")
+    methods = found.select("method").where("method IS NOT NULL").distinct()
+    every = universe.join(F.broadcast(methods.agg(F.collect_set("method").alias("_m"))))  # one row of a handful of names
+    every = every.select("cond", "R", "want", F.explode("_m").alias("method"))
+    both = found.join(every, ["cond", "method"], "full_outer")
+    n = F.coalesce("n", F.lit(0))
+    same = (n == F.col("R")) & ~F.col("hash").eqNullSafe(F.col("want"))
+    faults = {"identity": F.col("identity"), "null": F.col("null"), "negative": F.col("negative"), "surplus": n - F.col("R"),
+              "missing": F.col("R") - n, "other_units": F.when(same, n), "unknown": F.when(F.col("R").isNull(), n)}
+    lines = F.array(*[F.struct(F.lit(f).alias("fault"), c.cast("bigint").alias("rows")) for f, c in faults.items()])
+    return both.select("cond", "method", F.inline(lines)).filter("rows > 0")
+
+
 def load_statistics(rm: DataFrame, keys: Sequence[str] = ("cond", "unit", "method"), checked: bool = True) -> DataFrame:
     """Only the columns the resampling needs; the rest is never read from Parquet.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,11 +22,24 @@ MAX_TASKS = 20_000
 
 
 def wide_statistics(rm: DataFrame, methods: Sequence[str], cond: str = "cond", unit: str = "unit",
-                    method: str = "method") -> DataFrame:
-    """One row per unit with the statistics of all methods side by side."""
+                    method: str = "method", checked: bool = True) -> DataFrame:
+    """One row per unit with the statistics of all methods side by side.
+
+    ``checked``: the same aggregation counts the rows of every method and looks for nulls
+    and negative counts; a unit that does not hold each method once, whole, is an error.
+    """
     slim = load_statistics(rm, (cond, unit, method), checked=False)
-    return slim.groupBy(cond, unit).agg(*[
-        F.max(F.when(F.col(method) == m, F.col(s))).alias(f"{s}__{i}") for i, m in enumerate(methods) for s in STATISTICS])
+    cells = [F.max(F.when(F.col(method) == m, F.col(s))).alias(f"{s}__{i}") for i, m in enumerate(methods) for s in STATISTICS]
+    if not checked:
+        return slim.groupBy(cond, unit).agg(*cells)
+    mine = F.col(method).isin(list(methods))
+    odd = reduce(lambda a, b: a | b, [F.col(c).isNull() | (F.col(c) < 0) for c in STATISTICS])
+    wide = slim.groupBy(cond, unit).agg(
+        *cells, F.count_if(mine & odd).alias("_odd"),
+        F.array(*[F.count_if(F.col(method) == m) for m in methods]).alias("_rows"))
+    bad = (F.col("_odd") > 0) | F.exists("_rows", lambda n: n != 1) | F.col(cond).isNull() | F.col(unit).isNull()
+    text = F.concat(F.lit("statistics cannot be resampled: "), F.to_json(F.struct(cond, unit, "_odd", "_rows")))
+    return wide.filter(F.when(bad, F.raise_error(text).cast("boolean")).otherwise(F.lit(True))).drop("_odd", "_rows")
 
 
 def unit_counts(stats: DataFrame, cond: str = "cond", unit: str = "unit") -> DataFrame:

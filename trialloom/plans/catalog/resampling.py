@@ -60,17 +60,37 @@ def s6(spark, sf):
     return ratios.load_statistics(fx.seq_metrics(spark, sf))
 
 
-@query("S6_validated_load", sql("SELECT cond, unit, method, " + ", ".join(reg.STATISTICS) + " FROM rm WHERE cond = 1", "rm"))
+WORN = """SELECT cond, unit, method, method_ord + CASE WHEN cond % 6 = 4 AND unit = 1 THEN 1 ELSE 0 END AS method_ord,
+    CASE WHEN cond % 6 = 2 AND unit % 2 = 1 THEN -1 ELSE N_C END AS N_C, CASE WHEN cond % 6 = 3 AND unit % 2 = 1 THEN NULL ELSE N_CC END AS N_CC,
+    CASE WHEN cond % 6 = 5 AND unit = 1 THEN 1000000 ELSE unit END AS unit2
+  FROM (SELECT cond, unit, method, method_ord, N_C, N_CC FROM srm UNION ALL SELECT cond, unit, method, method_ord, N_C, N_CC FROM srm WHERE cond % 6 = 0 AND unit % 3 = 1)
+  WHERE NOT (cond % 6 = 1 AND unit % 3 = 1 AND method = 'T')"""
+
+
+@query("S6_validated_load", sql(f"""SELECT CAST(cond AS INT) AS cond, method, f.fault AS fault, f.n AS rows FROM (
+    SELECT e.cond, e.method, unnest([{{'fault': 'identity', 'n': i}}, {{'fault': 'null', 'n': u}}, {{'fault': 'negative', 'n': g}}, {{'fault': 'surplus', 'n': n - R}},
+      {{'fault': 'missing', 'n': R - n}}, {{'fault': 'other_units', 'n': CASE WHEN n = R AND far > 0 THEN n ELSE 0 END}}]) AS f
+    FROM (SELECT * FROM (SELECT cond, count(DISTINCT unit) AS R FROM srm GROUP BY cond), (SELECT unnest({CODES}) AS method)) e
+    LEFT JOIN (SELECT cond, method, count(*) AS n0, count(*) FILTER (method_ord <> list_position({CODES}, method) - 1) AS i, count(*) FILTER (N_CC IS NULL) AS u,
+      count(*) FILTER (N_C < 0) AS g, count(*) FILTER (unit2 = 1000000) AS far FROM ({WORN}) GROUP BY cond, method) b USING (cond, method),
+    LATERAL (SELECT coalesce(n0, 0) AS n)) WHERE f.n > 0""", "srm"))
 def s6_checked(spark, sf):
-    """A table with doubled, negative, null and missing rows is refused; the repaired one is loaded."""
-    good = fx.seq_metrics(spark, sf).filter("cond = 1")
-    bad = good.unionByName(good.filter("unit % 5 = 0")).filter("NOT (unit % 5 = 1 AND method = 'A')").withColumns({
-        "N_C": F.when(F.col("unit") % 5 == 2, F.lit(-1)).otherwise(F.col("N_C")),
-        "N_CC": F.when(F.col("unit") % 5 != 3, F.col("N_CC"))})
-    faults = ratios.statistics_faults(bad).first()
-    if not all(faults):
-        raise AssertionError(f"a fault was not found: {faults}")
-    return ratios.load_statistics(good)
+    """Every kind of fault, each in conditions of its own, reported from one pass; the sound table has none and is loaded."""
+    good = fx.study_metrics(spark, sf).persist()
+    expected = good.groupBy("cond").agg(F.countDistinct("unit").alias("R"))
+    kind, first = F.col("cond") % 6, F.col("unit") == 1
+    bad = good.unionByName(good.filter((kind == 0) & (F.col("unit") % 3 == 1))).filter(
+        ~((kind == 1) & (F.col("unit") % 3 == 1) & (F.col("method") == "T")))
+    odd = F.col("unit") % 2 == 1
+    bad = bad.withColumns({
+        "N_C": F.when((kind == 2) & odd, -1).otherwise(F.col("N_C")), "N_CC": F.when(~((kind == 3) & odd), F.col("N_CC")),
+        "method_ord": F.col("method_ord") + ((kind == 4) & first).cast("int"),
+        "unit": F.when((kind == 5) & first, 1_000_000).otherwise(F.col("unit"))})
+    methods = spark.createDataFrame([(o, c) for o, c, _ in reg.METHODS], "ordinal int, code string")
+    codes = {"method_ord": ("method", methods)}
+    if not ratios.statistics_report(good, expected, codes).isEmpty():
+        raise AssertionError("the sound table has faults")
+    return ratios.statistics_report(bad, expected, codes)
 
 
 @query("A21_bootstrap_with_gaps", sql(f"""SELECT d.cond, d.boot, r.method, CAST(sum(N_C) AS BIGINT) AS N_C, count(*) AS drawn
