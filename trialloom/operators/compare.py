@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -116,9 +117,18 @@ def forbidden_names(names: DataFrame, column: str, pattern: str) -> DataFrame:
     return names.filter(F.col(column).rlike(f"(?i){pattern}"))
 
 
-def forbidden_columns(df: DataFrame, pattern: str) -> DataFrame:
-    """The forbidden columns of a table, one row each."""
-    return forbidden_names(df.sparkSession.createDataFrame([(c,) for c in df.columns], "name string"), "name", pattern)
+def forbidden_columns(df: DataFrame, pattern: str, nested: Sequence[str] = ()) -> DataFrame:
+    """Forbidden columns of a table with the number of rows that hold a value; also the keys of JSON columns, as column.key.
+
+    A column without any value does not count, whatever its name.
+    """
+    own = [F.when(F.col(c).isNotNull(), F.lit(c)) for c in df.columns if re.search(pattern, c, re.IGNORECASE)]
+    names = F.array_compact(F.array(*own)) if own else F.array().cast("array<string>")
+    for c in nested:
+        keys = F.filter(F.coalesce(F.json_object_keys(c), F.array().cast("array<string>")), lambda k: k.rlike(f"(?i){pattern}"))
+        named = F.lit(f"{c}.")
+        names = F.concat(names, F.transform(keys, lambda k: F.concat(named, k)))  # built at once, so ``named`` is this one
+    return df.select(F.explode(names).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def forbidden_fields(manifests: DataFrame, body: str, names: Sequence[str]) -> DataFrame:

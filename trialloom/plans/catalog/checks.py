@@ -230,13 +230,15 @@ def u5(spark, sf):
     return compare.forbidden_rows(fx.events(spark, sf).select("event_id", "event_type"), ["event_type"], ["error", "signup"])
 
 
-@query("U5_forbidden_columns", """SELECT column_name AS name, event_id FROM (SELECT unnest(['event_type', 'event_id']) AS column_name) CROSS JOIN
-    (SELECT min(event_id) AS event_id FROM events)""")
+@query("U5_forbidden_columns", """SELECT 'event_type' AS name, count(event_type) AS rows FROM events UNION ALL
+    SELECT 'label_type', count(*) FILTER (value > 50) FROM events HAVING count(*) FILTER (value > 50) > 0 UNION ALL
+    SELECT 'props.k_type', count(*) FROM events WHERE event_id % 3 = 0 HAVING count(*) > 0""")
 def u5_columns(spark, sf):
-    """Columns of the table whose name a published pattern forbids, with the first row that carries them."""
-    rows = fx.events(spark, sf)
-    first = rows.agg(F.min("event_id").alias("event_id"))
-    return compare.forbidden_columns(rows, "^event_").join(F.broadcast(first))  # one row
+    """Columns and JSON keys that a published pattern forbids, with the rows that hold them; an empty column is none."""
+    rows = fx.events(spark, sf).withColumns({
+        "label_type": F.when(F.col("value") > 50, "x"), "empty_type": F.lit(None).cast("string"),
+        "props": F.when(F.col("event_id") % 3 == 0, F.regexp_replace("props", '"k"', '"k_type"')).otherwise(F.col("props"))})
+    return compare.forbidden_columns(rows, "_type$", ["props"])
 
 
 @query("U5_forbidden_paths", "SELECT DISTINCT 'kind=' || event_type AS name FROM events WHERE event_type IN ('error', 'signup')")
