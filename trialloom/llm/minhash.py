@@ -4,15 +4,15 @@ A shingle is five consecutive words; its weight is its count in the text times
 an inverse document frequency, ``ln(1 / max(df / N, rare))``: shingles in fewer than a share
 ``rare`` of all texts weigh alike, so only the frequent ones, of which there are at
 most (mean text length / rare), need a table. Texts draw one shingle per sample in
-proportion to weight; bands of samples make buckets; in every bucket all texts
-are compared with hubs, by weighted Jaccard similarity on the texts, until each
-has been a hub or is linked to one, and then across classes, until no pair of
-different classes is left; links are contracted to classes.
+proportion to weight; bands of samples make buckets; in every bucket texts are
+compared with a few hubs, by weighted Jaccard similarity on the texts, and then
+all pairs that can still be alike by what they differ in from a common hub; links
+are contracted to classes.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,11 @@ SIZE, BANDS, ROWS, SIMILAR = 5, 14, 4, 0.8
 RARE = 0.02
 #: Shingles that pass as locally frequent and may be broadcast for the exact count (16 MB); beyond it they are counted by a shuffle.
 MAX_CANDIDATES = 2_000_000
+#: Hubs of a bucket in each round; members unlike all of them are left to the differences.
+HUBS = (1, 4)
+#: Counters by which differences are put in order, rarest first; several keys may share one.
+COUNTERS = 1 << 18
+LIKE, UNLIKE, REST = 0, 1, 2
 
 
 def text_shingles(texts: pa.Array, size: int = SIZE):
@@ -234,19 +239,127 @@ def _similar(weights: Weights, spark, size: int, a: Column, b: Column) -> Column
     return similarity(a, b)
 
 
+def _pairs_of(batch: pa.RecordBatch, weights: Weights, size: int):
+    """Shingles and weights of the texts ``x`` and ``y`` of every row."""
+    for x, y in zip(text_shingles(batch.column("x"), size), text_shingles(batch.column("y"), size), strict=True):
+        yield (x[0], weights(*x)), (y[0], weights(*y))
+
+
+def _differences(shared, size: int):
+    """Rows (uid, hub, ..., x, y): the weights in which a text differs from its hub, each with a key of hub, shingle and sign."""
+    def scan(batches):
+        for batch in batches:
+            keys, gaps, sizes, own, other = [], [], [], [], []
+            hubs = batch.column("hub").to_numpy().view(np.uint64)
+            for hub, (a, h) in zip(mix(hubs + np.uint64(1)), _pairs_of(batch, shared.value, size), strict=True):
+                kinds = np.union1d(a[0], h[0])
+                gap = np.zeros(len(kinds))
+                gap[np.searchsorted(kinds, a[0])] += a[1]
+                gap[np.searchsorted(kinds, h[0])] -= h[1]
+                at = np.flatnonzero(np.abs(gap) > 1e-9)
+                signed = np.where(gap[at] < 0, ~kinds[at], kinds[at])
+                keys.append(mix(signed ^ hub).view(np.int64))
+                gaps.append(np.abs(gap[at]))
+                sizes.append(len(at))
+                own.append(a[1].sum())
+                other.append(h[1].sum())
+            cuts = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            if sizes:
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in ("uid", "alike", "mixed", "rest")), pa.array(own), pa.array(other),
+                     pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(keys))),
+                     pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(gaps)))],
+                    names=["uid", "alike", "mixed", "rest", "own", "other", "keys", "gaps"])
+    return scan
+
+
+def _count_keys(batches):
+    total = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        keys = batch.column("keys").flatten().to_numpy().view(np.uint64)
+        total += np.bincount((keys % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_pydict({"slot": pa.array(at), "n": pa.array(total[at])})
+
+
+def _heads(counters, similar: float):
+    """Rows (key, uid, role) of the differences under which a text must meet all it is like.
+
+    See ``meetings`` for the bounds. Any order serves as long as it is the same for all;
+    the rarest come first, by counters that several keys may share.
+    """
+    def scan(batches):
+        k, reach = (1 - similar) / (1 + similar), (1 - similar) / similar
+        for batch in batches:
+            out_key, out_uid, out_role = [], [], []
+            at = batch.column("keys").offsets.to_numpy()
+            keys = batch.column("keys").values.to_numpy().view(np.uint64)
+            gaps = batch.column("gaps").values.to_numpy()
+            for i, (uid, alike, mixed, rest, own, other) in enumerate(zip(
+                    *(batch.column(c).to_pylist() for c in ("uid", "alike", "mixed", "rest", "own", "other")), strict=True)):
+                mine, gap = keys[at[i]:at[i + 1]], gaps[at[i]:at[i + 1]]
+                order = np.lexsort((mine, counters.value[(mine % np.uint64(COUNTERS)).astype(np.int64)]))
+                mine, gap = mine[order], gap[order]
+                tail = gap[::-1].cumsum()[::-1]  # weight from here to the end
+                far = gap.sum() - own * reach
+                half = max(far, (gap.sum() + k * (other - own)) / 2)
+                for role, wanted, bound in ((LIKE, mixed and alike, half), (UNLIKE, mixed and not alike, far), (REST, rest, half)):
+                    if wanted:
+                        head = mine[tail > bound - 1e-6 * own]
+                        out_key.append(head)
+                        out_uid.append(np.full(len(head), uid))
+                        out_role.append(np.full(len(head), role, np.int32))
+            if out_key:
+                yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(out_key).view(np.int64)),
+                                                  "uid": pa.array(np.concatenate(out_uid).astype(np.int64)),
+                                                  "role": pa.array(np.concatenate(out_role))})
+    return scan
+
+
+def meetings(stars: DataFrame, weights: Weights, size: int, similar: float) -> DataFrame:
+    """(a, b): pairs of texts around one hub that may be alike and are not known to be in one class.
+
+    ``stars`` has (uid, hub, alike, mixed, rest, x, y): a text ``x``, its hub's text
+    ``y``, whether they are alike, whether the hub has texts of both sorts, and whether ``x`` is to be compared with others of
+    the rest. Let A, B, H be total weights, L(a) the sum of absolute differences of a
+    from the hub, and C the part in which the differences of a and b coincide. Then a and b differ
+    by L(a) + L(b) - 2 C, and they are alike if that is at most k (A + B), k = (1 - s) / (1 + s).
+    So C is at least (L(a) + L(b) - k (A + B)) / 2: for a text beside one that is unlike the hub more than
+    (L + k (H - A)) / 2, and always at least L - A (1 - s) / s. In a common order of the differences
+    two texts alike share one that is not in a last part lighter than C. With
+    the rarest first, texts whose edits are their own meet nobody; nothing is lost.
+    """
+    spark = stars.sparkSession
+    shared = spark.sparkContext.broadcast(weights)
+    apart = settle(stars.mapInArrow(
+        _differences(shared, size), "uid long, alike boolean, mixed boolean, rest boolean, own double, other double, "
+        "keys array<long>, gaps array<double>"), "differences")
+    counts = apart.select("keys").mapInArrow(_count_keys, "slot long, n long").groupBy("slot").agg(
+        F.sum("n").alias("n")).toArrow()  # at most COUNTERS rows
+    counters = np.zeros(COUNTERS, np.int64)
+    counters[counts["slot"].to_numpy()] = counts["n"].to_numpy()
+    heads = settle(apart.mapInArrow(_heads(spark.sparkContext.broadcast(counters), similar),
+                                    "key long, uid long, role int"), "heads")
+
+    def met(left: int, right: int) -> DataFrame:
+        return heads.where(F.col("role") == left).select("key", F.col("uid").alias("p")).join(
+            heads.where(F.col("role") == right).select("key", F.col("uid").alias("q")), "key")
+
+    pairs = met(LIKE, UNLIKE).where("p <> q").unionByName(met(REST, REST).where("p < q"))
+    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+
+
 def links(contents: DataFrame, docs: DataFrame, weights: Weights, key: str, text: str, size: int,
-          similar: float) -> DataFrame:
+          similar: float, rounds: tuple[int, ...] = HUBS) -> DataFrame:
     """(a, b): verified links between different contents that share a bucket.
 
     Similar contents have total weights within the ratio ``similar``; a bucket is
     cut by weight on a grid of that ratio, each member in two neighbouring cells. In
-    round one every member is compared with the hub, the content of most copies. While a
-    bucket has members that no hub was like, some of these become hubs for all its
-    members (1, 8, 64, ... in a round), until every member has been a
-    hub or is linked to one. Then members of a bucket that still has several classes
-    become hubs for its members of other classes (8, 64, ... in a round; classes
-    are contracted after each). It ends when every pair of a bucket has been compared or
-    is in one class; pairs within a class may stay uncompared.
+    round one every member is compared with the hub, the content of most copies. Members
+    unlike it are compared with hubs from among themselves in the following rounds (``rounds``: hubs of a bucket). Members like one hub are in one class. All other pairs
+    of a bucket lie around a common hub, one of them unlike it, and ``meetings`` finds those that can be alike: of a member like a hub and one unlike
+    it around that hub, of two members unlike all hubs around the first. Pairs within a
+    class may stay uncompared.
     """
     spark = docs.sparkSession
     place = ["band", "value", "cell"]
@@ -256,55 +369,43 @@ def links(contents: DataFrame, docs: DataFrame, weights: Weights, key: str, text
     split = settle(placed.join(several, ["band", "value"]).select(
         "band", "value", "uid", "copies", F.explode(F.array(cell, cell + 1)).alias("cell")), "cells")
     meet = split.groupBy(*place).agg(F.count("*").alias("n")).where("n > 1").select(*place)
-    open_ = settle(split.join(meet, place).select(*place, "uid", "copies", F.lit(True).alias("open")), "buckets")
+    open_ = settle(split.join(meet, place).select(*place, "uid", "copies"), "buckets")
     wanted = open_.select("uid").distinct().join(contents.select("uid", "id", "mark"), "uid")
     body = docs.select(F.col(key).alias("id"), row_mark(F.col(text)).alias("mark"), F.lower(text_of(text)).alias("text"))
     texts = settle(wanted.alias("w").join(
         body.alias("b"), F.col("w.id").eqNullSafe(F.col("b.id")) & (F.col("w.mark") == F.col("b.mark"))
-    ).select("w.uid", "b.text"), "bodies")
-
-    def compare(met: DataFrame, done: DataFrame | None) -> DataFrame:
-        fresh = met.select("a", "b").distinct()
-        fresh = fresh if done is None else fresh.join(done, ["a", "b"], "left_anti")
-        read = fresh.join(texts.select(F.col("uid").alias("b"), F.col("text").alias("_y")), "b").join(
-            texts.select(F.col("uid").alias("a"), F.col("text").alias("_x")), "a")
-        checked = settle(read.select("a", "b", (_similar(weights, spark, size, F.col("_x"), F.col("_y")) >= similar
-                                                ).alias("alike")).distinct(), "checked")
-        return checked if done is None else done.unionByName(checked)
-
-    buckets, done, width = open_, None, 1
-    while True:
-        hubs = open_.where("open").groupBy(*place, F.pmod(F.xxhash64("uid"), F.lit(width)).alias("part")).agg(
-            F.min(F.struct((-F.col("copies")).alias("few"), "uid"))["uid"].alias("hub"))
-        met = open_.join(hubs, place).where("uid <> hub").withColumns(
-            {"a": F.least("uid", "hub"), "b": F.greatest("uid", "hub")})
-        done = compare(met, done)
-        gone = met.where("open").join(done.where("alike"), ["a", "b"]).select(*place, "uid").unionByName(
-            hubs.select(*place, F.col("hub").alias("uid"))).distinct().withColumn("gone", F.lit(True))
-        after = open_.join(gone, [*place, "uid"], "left").withColumn(
-            "open", F.col("open") & F.col("gone").isNull()).drop("gone")
-        open_ = settle(after, "buckets")
-        live = open_.where("open").select(*place).distinct()
-        if live.isEmpty():
-            break
-        open_, width = open_.join(live, place, "left_semi"), width * 8
-    width = 8
-    while True:  # a content without a link has been a hub in all its buckets: only linked ones are left
-        linked = buckets.join(classes(done.where("alike").select("a", "b")), "uid")
-        several = linked.groupBy(*place).agg(F.min("root").alias("low"), F.max("root").alias("high")).where(
-            "low < high").select(*place)
-        linked = settle(linked.join(several, place, "left_semi"), "linked")
-        if linked.where("open").isEmpty():
-            return done.where("alike").select("a", "b")
-        hubs = settle(linked.where("open").groupBy(*place, F.pmod(F.xxhash64("uid"), F.lit(width)).alias("part")).agg(
-            F.min(F.struct("uid", "root")).alias("hub")).select(
-                *place, F.col("hub.uid").alias("hub"), F.col("hub.root").alias("hub_root")), "hubs")
-        done = compare(linked.join(hubs, place).where("root <> hub_root").withColumns(
-            {"a": F.least("uid", "hub"), "b": F.greatest("uid", "hub")}), done)
-        was = hubs.select(*place, F.col("hub").alias("uid"), F.lit(True).alias("was"))
-        buckets = linked.drop("root").join(was, [*place, "uid"], "left").withColumn(
-            "open", F.col("open") & F.col("was").isNull()).drop("was")
-        width *= 8
+    ).select("w.uid", "b.text").dropDuplicates(["uid"]), "bodies")
+
+    def with_texts(pairs: DataFrame, x: str, y: str) -> DataFrame:
+        return pairs.join(texts.select(F.col("uid").alias(y), F.col("text").alias("y")), y).join(
+            texts.select(F.col("uid").alias(x), F.col("text").alias("x")), x)
+
+    def compare(pairs: DataFrame, x: str, y: str) -> DataFrame:
+        return settle(with_texts(pairs.select(x, y).distinct(), x, y).select(
+            x, y, (_similar(weights, spark, size, F.col("x"), F.col("y")) >= similar).alias("alike")), "checked")
+
+    known, first = [], None
+    for width in rounds:
+        hubs = settle(open_.groupBy(*place, F.pmod(F.xxhash64("uid"), F.lit(width)).alias("part")).agg(
+            F.min(F.struct((-F.col("copies")).alias("few"), "uid"))["uid"].alias("hub")).select(*place, "hub"), "hubs")
+        first = hubs if first is None else first
+        met = open_.join(hubs, place).where("uid <> hub")
+        checked = compare(met, "uid", "hub")
+        known.append(checked)
+        gone = met.join(checked.where("alike"), ["uid", "hub"]).select(*place, "uid").unionByName(
+            hubs.select(*place, F.col("hub").alias("uid"))).distinct()
+        open_ = open_.join(gone, [*place, "uid"], "left_anti")
+        left = open_.groupBy(*place).agg(F.count("*").alias("n")).where("n > 1").select(*place)
+        open_ = settle(open_.join(left, place, "left_semi"), "buckets")
+    checked = reduce(DataFrame.unionByName, known).distinct()
+    alike = checked.where("alike").select(F.least("uid", "hub").alias("a"), F.greatest("uid", "hub").alias("b"))
+    sorts = checked.groupBy("hub").agg((F.min("alike") != F.max("alike")).alias("mixed"))
+    rest = open_.join(first, place).select("uid", "hub").distinct().withColumn("rest", F.lit(True))
+    stars = checked.join(sorts, "hub").join(rest, ["uid", "hub"], "left").select(
+        "uid", "hub", "alike", "mixed", F.coalesce("rest", F.lit(False)).alias("rest")).where("mixed or rest")
+    found = meetings(with_texts(stars, "uid", "hub"), weights, size, similar)
+    more = compare(found, "a", "b").where("alike").select("a", "b")
+    return alike.unionByName(more).distinct()
 
 
 def classes(edges: DataFrame) -> DataFrame:
