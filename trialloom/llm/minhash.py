@@ -266,10 +266,10 @@ def _differences(shared, size: int):
             cuts = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             if sizes:
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in ("uid", "alike", "mixed", "rest")), pa.array(own), pa.array(other),
+                    [*(batch.column(c) for c in ("uid", "root", "alike", "mixed", "rest")), pa.array(own), pa.array(other),
                      pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(keys))),
                      pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(gaps)))],
-                    names=["uid", "alike", "mixed", "rest", "own", "other", "keys", "gaps"])
+                    names=["uid", "root", "alike", "mixed", "rest", "own", "other", "keys", "gaps"])
     return scan
 
 
@@ -283,20 +283,22 @@ def _count_keys(batches):
 
 
 def _heads(counters, similar: float):
-    """Rows (key, uid, role) of the differences under which a text must meet all it is like.
+    """Rows (key, uid, root, role, tail, slack) of the differences under which a text must meet all it is like.
 
     See ``meetings`` for the bounds. Any order serves as long as it is the same for all;
-    the rarest come first, by counters that several keys may share.
+    the rarest come first, by counters that several keys may share. ``tail`` is the weight from
+    this difference to the last, ``slack`` the text's part of the smallest C, (L - k A) / 2.
     """
     def scan(batches):
         k, reach = (1 - similar) / (1 + similar), (1 - similar) / similar
         for batch in batches:
-            out_key, out_uid, out_role = [], [], []
+            out_key, out_tail, out = [], [], []
             at = batch.column("keys").offsets.to_numpy()
             keys = batch.column("keys").values.to_numpy().view(np.uint64)
             gaps = batch.column("gaps").values.to_numpy()
-            for i, (uid, alike, mixed, rest, own, other) in enumerate(zip(
-                    *(batch.column(c).to_pylist() for c in ("uid", "alike", "mixed", "rest", "own", "other")), strict=True)):
+            for i, (uid, root, alike, mixed, rest, own, other) in enumerate(zip(
+                    *(batch.column(c).to_pylist() for c in ("uid", "root", "alike", "mixed", "rest", "own", "other")),
+                    strict=True)):
                 mine, gap = keys[at[i]:at[i + 1]], gaps[at[i]:at[i + 1]]
                 order = np.lexsort((mine, counters.value[(mine % np.uint64(COUNTERS)).astype(np.int64)]))
                 mine, gap = mine[order], gap[order]
@@ -305,48 +307,53 @@ def _heads(counters, similar: float):
                 half = max(far, (gap.sum() + k * (other - own)) / 2)
                 for role, wanted, bound in ((LIKE, mixed and alike, half), (UNLIKE, mixed and not alike, far), (REST, rest, half)):
                     if wanted:
-                        head = mine[tail > bound - 1e-6 * own]
-                        out_key.append(head)
-                        out_uid.append(np.full(len(head), uid))
-                        out_role.append(np.full(len(head), role, np.int32))
-            if out_key:
-                yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(out_key).view(np.int64)),
-                                                  "uid": pa.array(np.concatenate(out_uid).astype(np.int64)),
-                                                  "role": pa.array(np.concatenate(out_role))})
+                        head = tail > bound - 1e-6 * own
+                        out_key.append(mine[head])
+                        out_tail.append(tail[head])
+                        out.append((int(head.sum()), uid, root, role, (gap.sum() - k * own) / 2 - 1e-6 * own))
+            if out:
+                n, uid, root, role, slack = zip(*out, strict=True)
+                yield pa.RecordBatch.from_pydict({
+                    "key": pa.array(np.concatenate(out_key).view(np.int64)), "uid": pa.array(np.repeat(uid, n).astype(np.int64)),
+                    "root": pa.array(np.repeat(root, n).astype(np.int64)), "role": pa.array(np.repeat(role, n).astype(np.int32)),
+                    "tail": pa.array(np.concatenate(out_tail)), "slack": pa.array(np.repeat(slack, n).astype(float))})
     return scan
 
 
 def meetings(stars: DataFrame, weights: Weights, size: int, similar: float) -> DataFrame:
     """(a, b): pairs of texts around one hub that may be alike and are not known to be in one class.
 
-    ``stars`` has (uid, hub, alike, mixed, rest, x, y): a text ``x``, its hub's text
+    ``stars`` has (uid, root, hub, alike, mixed, rest, x, y): a text ``x`` and its class so far, its hub's text
     ``y``, whether they are alike, whether the hub has texts of both sorts, and whether ``x`` is to be compared with others of
     the rest. Let A, B, H be total weights, L(a) the sum of absolute differences of a
     from the hub, and C the part in which the differences of a and b coincide. Then a and b differ
     by L(a) + L(b) - 2 C, and they are alike if that is at most k (A + B), k = (1 - s) / (1 + s).
     So C is at least (L(a) + L(b) - k (A + B)) / 2: for a text beside one that is unlike the hub more than
     (L + k (H - A)) / 2, and always at least L - A (1 - s) / s. In a common order of the differences
-    two texts alike share one that is not in a last part lighter than C. With
-    the rarest first, texts whose edits are their own meet nobody; nothing is lost.
+    two texts alike share one that is not in a last part lighter than C, and from the first
+    one they share on, both have at least C to come. With the rarest first, texts whose edits are their own meet nobody; nothing is lost.
     """
     spark = stars.sparkSession
     shared = spark.sparkContext.broadcast(weights)
     apart = settle(stars.mapInArrow(
-        _differences(shared, size), "uid long, alike boolean, mixed boolean, rest boolean, own double, other double, "
-        "keys array<long>, gaps array<double>"), "differences")
+        _differences(shared, size), "uid long, root long, alike boolean, mixed boolean, rest boolean, own double, "
+        "other double, keys array<long>, gaps array<double>"), "differences")
     counts = apart.select("keys").mapInArrow(_count_keys, "slot long, n long").groupBy("slot").agg(
         F.sum("n").alias("n")).toArrow()  # at most COUNTERS rows
     counters = np.zeros(COUNTERS, np.int64)
     counters[counts["slot"].to_numpy()] = counts["n"].to_numpy()
     heads = settle(apart.mapInArrow(_heads(spark.sparkContext.broadcast(counters), similar),
-                                    "key long, uid long, role int"), "heads")
+                                    "key long, uid long, root long, role int, tail double, slack double"), "heads")
 
     def met(left: int, right: int) -> DataFrame:
-        return heads.where(F.col("role") == left).select("key", F.col("uid").alias("p")).join(
-            heads.where(F.col("role") == right).select("key", F.col("uid").alias("q")), "key")
+        return heads.where(F.col("role") == left).alias("p").join(
+            heads.where(F.col("role") == right).alias("q"),
+            (F.col("p.key") == F.col("q.key")) & (F.col("p.root") != F.col("q.root"))
+            & (F.least("p.tail", "q.tail") >= F.col("p.slack") + F.col("q.slack"))
+            & ((F.col("p.uid") < F.col("q.uid")) if left == right else F.lit(True))
+        ).select(F.least("p.uid", "q.uid").alias("a"), F.greatest("p.uid", "q.uid").alias("b"))
 
-    pairs = met(LIKE, UNLIKE).where("p <> q").unionByName(met(REST, REST).where("p < q"))
-    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    return met(LIKE, UNLIKE).unionByName(met(REST, REST)).distinct()
 
 
 def links(contents: DataFrame, docs: DataFrame, weights: Weights, key: str, text: str, size: int,
@@ -401,8 +408,8 @@ def links(contents: DataFrame, docs: DataFrame, weights: Weights, key: str, text
     alike = checked.where("alike").select(F.least("uid", "hub").alias("a"), F.greatest("uid", "hub").alias("b"))
     sorts = checked.groupBy("hub").agg((F.min("alike") != F.max("alike")).alias("mixed"))
     rest = open_.join(first, place).select("uid", "hub").distinct().withColumn("rest", F.lit(True))
-    stars = checked.join(sorts, "hub").join(rest, ["uid", "hub"], "left").select(
-        "uid", "hub", "alike", "mixed", F.coalesce("rest", F.lit(False)).alias("rest")).where("mixed or rest")
+    stars = checked.join(sorts, "hub").join(rest, ["uid", "hub"], "left").join(classes(alike), "uid", "left").select(
+        "uid", F.coalesce("root", "uid").alias("root"), "hub", "alike", "mixed", F.coalesce("rest", F.lit(False)).alias("rest")).where("mixed or rest")
     found = meetings(with_texts(stars, "uid", "hub"), weights, size, similar)
     more = compare(found, "a", "b").where("alike").select("a", "b")
     return alike.unionByName(more).distinct()
