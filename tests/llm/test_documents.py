@@ -176,6 +176,55 @@ def test_chains_between_two_hubs_are_one_class(spark):
     assert len(root) == 48 and len(set(root.values())) == 12
 
 
+def test_texts_around_one_hub_meet_only_those_they_can_be_like(spark, monkeypatch):
+    """One bucket for all: edits of their own push most pairs just below the threshold; few of them are compared."""
+    rnd = random.Random(8)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(0, " ".join(base), "en")]
+    for k in range(1, 160):
+        own = list(base)
+        for j in rnd.sample(range(200), 3 + k % 5):
+            own[j] = f"x{k}_{j}"
+        rows.append((k, " ".join(own), "en"))
+        if k % 10 == 0:  # a neighbour of a member that is itself unlike the base
+            own[rnd.randrange(200)] = f"y{k}"
+            rows.append((1000 + k, " ".join(own), "en"))
+    docs = make(spark, rows)
+    weights = minhash.Weights(np.zeros(0, np.uint64), np.zeros(0), len(rows))
+    signed = minhash.signatures(docs, weights).withColumn("bands", F.array(F.lit(1).cast("long"))).withColumn(
+        "weight", F.lit(1.0)).withColumn("n", F.lit(1))
+    seen, plain = [], minhash.settle
+
+    def settle(df, label):
+        out = plain(df, label)
+        if label == "checked":
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "settle", settle)
+    edges = minhash.links(signed, docs, weights, "doc_id", "text", 5, 0.8)
+    ids = {r.uid: r.id for r in signed.collect()}
+    root = {ids[r.uid]: r.root for r in minhash.classes(edges).collect()}
+    vectors = [(g, weights(g, c)) for g, c in minhash.text_shingles(pa.array([t for _, t, _ in rows]))]
+    up = list(range(len(rows)))
+
+    def top(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if minhash.weighted_jaccard(vectors[a], vectors[b]) >= 0.8:
+                up[top(a)] = top(b)
+    got, want = {}, {}
+    for k, (i, _, _) in enumerate(rows):
+        got.setdefault(root.get(i, -1 - i), set()).add(i)
+        want.setdefault(top(k), set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and len(want) > 1
+    assert sum(seen) < len(rows) * 20 < len(rows) * (len(rows) - 1) / 4
+
+
 def test_n_links_lies_between_one_and_all_links(spark):
     """A star of twenty near copies: every content has a link, none more than brute force."""
     rnd = random.Random(6)
@@ -322,16 +371,26 @@ def test_forward_pass_sums_all_segmentations():
                 total = total + probs[k] * brute(word[len(p):])
         return total
 
+    for word in ("▁" + "abba" * 50, "x" * 90 + "ab", "ab" * 3000):  # far below the range of doubles
+        want = [np.zeros(2)]  # newest first, in logarithms
+        for end in range(1, len(word) + 1):
+            ways = [want[0] + np.log(1e-9)] + [want[len(p) - 1] + np.log(probs[k]) for k, p in enumerate(parts)
+                                               if word[:end].endswith(p) and len(p) <= end]
+            want = [np.logaddexp.reduce(ways), *want[:9]]
+        assert np.allclose(langid.word_scores(lattice, [word], probs)[0], want[0])
+    assert langid.split("Ete\u0301 नमस्ते x2y") == ["ete\u0301", "नमस्ते", "x", "y"]
+
     names = ["▁abab", "a", "▁abx", "bbbbaba", "", "▁aab"]
     want = np.log([brute(w) + 1e-300 for w in names])
     assert np.allclose(langid.word_scores(lattice, names, probs), want)
+    several = [*names[:4], "ab" * 20]
     # expected counts: the derivative of the log-probability
-    counts = langid.expected_counts(lattice, names[:4], np.array([1, 2, 1, 3]), probs[:, :1])
+    counts = langid.expected_counts(lattice, several, np.array([1, 2, 1, 3, 2]), probs[:, :1])
     for k in range(len(parts)):
         step = probs.copy()
         step[k, 0] *= 1 + 1e-6
-        gain = langid.word_scores(lattice, names[:4], step) - langid.word_scores(lattice, names[:4], probs)
-        assert counts[k] == pytest.approx((gain[:, 0] * [1, 2, 1, 3]).sum() / 1e-6, abs=1e-3)
+        gain = langid.word_scores(lattice, several, step) - langid.word_scores(lattice, several, probs)
+        assert counts[k] == pytest.approx((gain[:, 0] * [1, 2, 1, 3, 2]).sum() / 1e-6, abs=1e-3)
 
 
 def test_language_of_awkward_rows(spark, prose):

@@ -9,6 +9,8 @@ maximisation over the words of a bounded sample of each language.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,13 +22,15 @@ from trialloom.llm.common import bounded_batches, held, held_out
 from trialloom.llm.lattice import Lattice, by_length
 from trialloom.llm.pieces import MARK, model_path
 
-#: A longer word is cut into parts of so many characters before the forward pass.
-LONGEST = 40
+#: Words of more characters are summed in logarithms, as their probabilities leave the range of doubles.
+PLAIN = 24
 #: Labelled documents of a language that teach, about (by a hash of the id).
 SAMPLE = 400
 ROUNDS = 3
 #: Words in a worker's table before it begins another and keeps this one to look up; bounds memory only.
 WORDS = 150_000
+#: Characters whose matches are held at once in a long word; bounds memory only.
+STRETCH = 4096
 _FLOOR = 1e-9
 
 
@@ -40,10 +44,6 @@ def vocabulary(path: str | None = None) -> list[str]:
     return list(dict.fromkeys(model.id_to_piece(i).lower() for i in plain))
 
 
-def _cut(word: str) -> list[str]:
-    return [word[k:k + LONGEST] for k in range(0, len(word), LONGEST)]
-
-
 def forward(lattice: Lattice, codes: np.ndarray, probs: np.ndarray, found=None) -> np.ndarray:
     """alpha[k, word, language]: summed probability of all segmentations of the first k characters."""
     n = codes.shape[1]
@@ -58,31 +58,62 @@ def forward(lattice: Lattice, codes: np.ndarray, probs: np.ndarray, found=None)
     return alpha
 
 
+def log_forward(lattice: Lattice, codes: np.ndarray, log_probs: np.ndarray) -> np.ndarray:
+    """Logarithm of ``forward``'s last row, for words of any length: only as many steps are held as a piece is long."""
+    n, reach = codes.shape[1], lattice.longest
+    held = np.zeros((reach + 1, len(codes), log_probs.shape[1]))  # step k lies at k % (reach + 1)
+    for low in range(0, n, STRETCH):
+        found = lattice.matches(codes, max(low - reach, 0), min(low + STRETCH, n))
+        for end in range(low + 1, min(low + STRETCH, n) + 1):
+            now = held[(end - 1) % (reach + 1)] + np.log(_FLOOR)
+            for size in range(1, min(reach, end) + 1):
+                if (hit := found.get((end - size, size))) is not None:
+                    at, ids = hit
+                    now[at] = np.logaddexp(now[at], held[(end - size) % (reach + 1)][at] + log_probs[ids])
+            held[end % (reach + 1)] = now
+    return held[n % (reach + 1)]
+
+
 def word_scores(lattice: Lattice, words: list[str], probs: np.ndarray) -> np.ndarray:
-    """Log-probability of each word for each language."""
-    parts, owner = [], []
-    for k, w in enumerate(words):
-        for p in _cut(w):
-            parts.append(p)
-            owner.append(k)
+    """Log-probability of each word for each language, over all segmentations of the whole word."""
     out = np.zeros((len(words), probs.shape[1]))
-    for rows, codes in by_length(parts):
-        np.add.at(out, np.array(owner)[rows], np.log(forward(lattice, codes, probs)[-1] + 1e-300))
+    log_probs = np.log(probs) if any(len(w) > PLAIN for w in words) else None
+    for rows, codes in by_length(words):
+        out[rows] = (np.log(forward(lattice, codes, probs)[-1]) if codes.shape[1] <= PLAIN
+                     else log_forward(lattice, codes, log_probs))
     return out
 
 
+def _long_uses(found, words: int, n: int, longest: int, log_probs: np.ndarray):
+    """(word, piece, expected uses) of every match, summed in logarithms."""
+    alpha, beta = np.zeros((n + 1, words)), np.zeros((n + 1, words))
+    for end in range(1, n + 1):
+        alpha[end] = alpha[end - 1] + np.log(_FLOOR)
+        for size in range(1, min(longest, end) + 1):
+            if (hit := found.get((end - size, size))) is not None:
+                at, ids = hit
+                alpha[end][at] = np.logaddexp(alpha[end][at], alpha[end - size][at] + log_probs[ids])
+    for start in range(n - 1, -1, -1):
+        beta[start] = beta[start + 1] + np.log(_FLOOR)
+        for size in range(1, min(longest, n - start) + 1):
+            if (hit := found.get((start, size))) is not None:
+                at, ids = hit
+                beta[start][at] = np.logaddexp(beta[start][at], beta[start + size][at] + log_probs[ids])
+    for (start, size), (at, ids) in found.items():
+        yield at, ids, np.exp(alpha[start][at] + log_probs[ids] + beta[start + size][at] - alpha[n][at])
+
+
 def expected_counts(lattice: Lattice, words: list[str], counts: np.ndarray, probs: np.ndarray) -> np.ndarray:
     """Expected uses of each piece (rows) for one language with piece probabilities ``probs`` (n, 1)."""
     total = np.zeros(len(probs))
-    parts, weight = [], []
-    for w, c in zip(words, counts, strict=True):
-        for p in _cut(w):
-            parts.append(p)
-            weight.append(c)
-    weight = np.array(weight, float)
-    for rows, codes in by_length(parts):
+    weight = np.array(counts, float)
+    for rows, codes in by_length(words):
         found = lattice.matches(codes)
         n = codes.shape[1]
+        if n > PLAIN:
+            for at, ids, use in _long_uses(found, len(codes), n, lattice.longest, np.log(probs[:, 0])):
+                np.add.at(total, ids, use * weight[rows[at]])
+            continue
         alpha = forward(lattice, codes, probs, found)[:, :, 0]
         beta = np.zeros((n + 1, len(codes)))
         beta[n] = 1
@@ -104,12 +135,16 @@ class LanguageModel:
     probs: np.ndarray  # piece x language
 
 
+_MARKS = "".join(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "M")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_MARK = re.compile(f"[{_MARKS}]")
+_MARKED = re.compile(f"(?:[^\\W\\d_]|[{_MARKS}])+")
 
 
 def split(text: str) -> list[str]:
-    """Runs of letters in lower case; signs and digits say nothing about the language."""
-    return _LETTERS.findall(text.lower())
+    """Runs of letters and combining marks in lower case; signs and digits say nothing about the language."""
+    low = text.lower()
+    return (_MARKED if _MARK.search(low) else _LETTERS).findall(low)
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE,
@@ -130,7 +165,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         return LanguageModel((), tuple(pieces), np.zeros((len(pieces), 0)))
     chance = F.coalesce(*[F.when(F.col("lang") == name, F.lit(shares[name])) for name in languages])
     draw = F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 30)) / float(1 << 30)
-    counts = known.where(draw < chance).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n")).persist()
+    counts = known.where(draw < chance).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}]+)"), F.lit(1))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n")).persist()
     lattice = Lattice(pieces)
     shared = spark.sparkContext.broadcast(lattice)
     lengths = np.array([len(p) for p in pieces], float)

@@ -32,10 +32,14 @@ class Lattice:
         h = (h ^ (code.astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
         return h ^ (h >> np.uint64(29))
 
-    def matches(self, codes: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-        """For (start, length): the rows of ``codes`` (words of one length) that have a piece there, and the pieces."""
+    def matches(self, codes: np.ndarray, low: int = 0, high: int | None = None
+                ) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+        """For (start, length): the rows of ``codes`` (words of one length) that have a piece there, and the pieces.
+
+        Starts from ``low`` up to ``high`` only, if given.
+        """
         n, out = codes.shape[1], {}
-        for start in range(n):
+        for start in range(low, n if high is None else high):
             h = np.zeros(len(codes), np.uint64)
             for size in range(1, min(self.longest, n - start) + 1):
                 h = self._step(h, codes[:, start + size - 1])
