@@ -256,6 +256,33 @@ def test_stream_waits_for_the_last_cycle_and_refuses_more(spark, tmp_path):
         run_available(stream_repeat_metrics(stream, k=8), str(tmp_path / "bad"))
 
 
+def test_stream_counts_go_on_through_blocks_that_waited(spark, tmp_path):
+    from trialloom.streaming.metrics import BLOCK
+
+    k = 3 * BLOCK + 5
+    rows = [(0, u, "A", c, (u * c + c // 3) % 4) for u in (1, 2) for c in range(1, k + 1)]
+    df = spark.createDataFrame(rows, "cond int, unit bigint, method string, cycle bigint, code int")
+    path = str(tmp_path / "in")
+    late = F.when(F.col("cycle") > 2 * BLOCK, 0).when(F.col("cycle") % BLOCK > 2, 1).otherwise(2)  # last block first, block edges last
+    for i in range(3):
+        df.filter(late == i).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = run_available(stream_repeat_metrics(stream, k=k), str(tmp_path / "out"))
+    want = repeat_metrics(df)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("again", [7, 5000])
+def test_stream_refuses_a_waiting_cycle_that_comes_again(spark, tmp_path, again):
+    path = str(tmp_path / "in")
+    schema = "cond int, unit bigint, method string, cycle bigint, code int"
+    for c in (again, again):
+        spark.createDataFrame([(0, 1, "A", c, 1)], schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    with pytest.raises(Exception, match="open cycles"):
+        run_available(stream_repeat_metrics(stream, k=9000), str(tmp_path / "out"))
+
+
 @pytest.mark.parametrize("files", [1, 5])
 def test_stream_tracking_equals_batch(spark, tmp_path, files):
     rnd = random.Random(8)
