@@ -1,9 +1,11 @@
 """Base spans of secrets and personal data against the plain patterns of their contract."""
 
+import itertools
 import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 from trialloom.llm import pii, secrets
@@ -100,3 +102,83 @@ def test_every_inferred_automaton_is_whole(seed):
         assert all(0 <= k < len(found.step) for k, _ in step.values())
         assert abs(sum(math.exp(p) for _, p in step.values()) + math.exp(stop) - 1) < 2e-3
     assert all(found.likelihood(s) < 0.01 for s in strings)
+
+
+def random_field(rnd, scale=1.5):
+    draw = lambda *shape: rnd.normal(0, scale, shape)
+    n = len(pii.LABELS)
+    return pii.Field(draw(pii.DIMS, n), draw(n, n), draw(n, n))
+
+
+def plain_marginals(field, g):
+    """Every labelling of the tokens, weighed one by one."""
+    local, n = field.potentials(g), len(g.places)
+    total = np.zeros((n, len(pii.LABELS)))
+    for labels in itertools.product(range(len(pii.LABELS)), repeat=n):
+        weight = math.exp(sum(local[k, y] for k, y in enumerate(labels))
+                          + sum(field.chain[labels[i], labels[j]] for i, j in g.chain)
+                          + sum(field.skip[labels[i], labels[j]] for i, j in g.skip))
+        for k, y in enumerate(labels):
+            total[k, y] += weight
+    return total / total.sum(axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_marginals_without_loops_equal_all_labellings(seed):
+    rnd = np.random.default_rng(seed)
+    n = 5
+    edges = [(int(rnd.integers(0, k)), k) for k in range(1, n)]  # a tree
+    chain = [e for k, e in enumerate(edges) if k % 2]
+    skip = [e for k, e in enumerate(edges) if not k % 2]
+    g = pii.Graph([(k, k + 1) for k in range(n)], [], [np.array([int(x)]) for x in rnd.integers(0, pii.DIMS, n)],
+                  np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2))
+    field = random_field(rnd)
+    assert np.allclose(field.marginals(g), plain_marginals(field, g), atol=1e-5)
+
+
+def test_evidence_at_the_first_of_many_repeats_reaches_the_last():
+    n, labels = 60, len(pii.LABELS)
+    field = pii.Field(np.zeros((pii.DIMS, labels)), np.zeros((labels, labels)), 6.0 * np.eye(labels))
+    field.node[7, 3] = 9.0
+    skip = np.array([(k, k + 1) for k in range(n - 1)])
+    g = pii.Graph([(k, k + 1) for k in range(n)], [], [np.array([7])] + [np.array([0])] * (n - 1), np.zeros((0, 2), np.int64), skip)
+    p = field.marginals(g)[:, 3]
+    stay = math.exp(6) / (math.exp(6) + labels - 1)
+    turn = (1 - stay) / (labels - 1)
+    first = math.exp(9) / (math.exp(9) + labels - 1)
+    want = [1 / labels + (first - 1 / labels) * (stay - turn) ** k for k in range(n)]  # a chain of draws, in closed form
+    assert np.allclose(p, want, atol=1e-4)
+    assert p[-1] > 0.5
+
+
+def test_messages_in_loops_come_to_an_end():
+    rnd = np.random.default_rng(5)
+    pairs = np.array([(i, j) for i in range(12) for j in range(i + 1, 12)])
+    g = pii.Graph([(k, k + 1) for k in range(12)], [], [np.array([k]) for k in range(12)], pairs[:6], pairs[6:])
+    p = random_field(rnd, 4.0).marginals(g)
+    assert np.isfinite(p).all() and np.allclose(p.sum(axis=1), 1)
+
+
+def test_a_skip_edge_adds_a_span_that_its_token_alone_does_not_give():
+    text = "id 4111-2222-3333 first. Much later again 4111-2222-3333"
+    g = pii.graph(text)
+    labels = len(pii.LABELS)
+    field = pii.Field(np.zeros((pii.DIMS, labels)), np.zeros((labels, labels)), 5.0 * np.eye(labels))
+    own = set(g.features[0]) - set(g.features[1])
+    field.node[list(own), 4] = 8.0
+    alone = pii.Field(field.node, field.chain, np.zeros((labels, labels)))
+    spans = lambda f: [text[a:b] for _, a, b in pii.field_spans(g, f, [])]
+    assert spans(alone) == ["4111-2222-3333"]
+    assert spans(field) == ["4111-2222-3333"] * 2
+
+
+def test_repeats_and_similar_tokens_are_linked():
+    words = ["77", "x 77", "y +1 (555) 0102030", "z +1(555)010-2030", "w (555)010-2031", "v (555)010-2999"]
+    g = pii.graph(" .. ".join(words))
+    linked = {(g.words[a], g.words[b]) for a, b in g.skip}
+    assert ("77", "77") in linked
+    assert ("+1(555)010-2030", "(555)010-2031") not in linked  # another length
+    g = pii.graph("call 555-010-2030 or x then 555.010.2031 and y 555.010.2999 here")
+    assert [(g.words[a], g.words[b]) for a, b in g.skip] == [("555-010-2030", "555.010.2031")]
+    g = pii.graph(" and ".join(["a" * 100_000 + "1@"] * 3))
+    assert g.skip.tolist() == [[0, 1], [1, 2]]

@@ -1,11 +1,13 @@
 """Personal data: fixed rules, and a skip-chain conditional random field over tokens.
 
 Tokens with a digit or an at sign are nodes. Neighbours in the text form the
-chain; a token and the next one like it (the same letters and digits) in the document,
-however far, form a skip edge. Labels of the fixed rules teach the weights of token
-features, of the chain and of the skip edges; loopy message passing then gives every token
-a label that agrees with its like. Tokens found so that no rule reports are
-added with the kind ``crf_`` and the label's name.
+chain; a token and the next one like it in the document, however far, form a skip
+edge: a repeat has the same letters and digits, a similar token of eight and more of
+them differs in one (same length, first or last half equal; the latest such token
+counts). Labels of the fixed rules teach the weights of token features, of the chain and
+of the skip edges; loopy message passing, repeated until the messages settle, then gives
+every token a label that agrees with its like. Tokens found so that no rule reports
+are added with the kind ``crf_`` and the label's name.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ _WORD = re.compile(r"\S+")
 _MARKED = re.compile("[0-9@]")
 #: Documents with a token of interest that teach, about (by a hash of the id).
 SAMPLE = 1500
-DIMS, ROUNDS = 1 << 12, 6
+DIMS = 1 << 12
+#: A message that moves by less (in natural logarithms) has settled.
+SETTLED = 1e-6
 SURE = 0.9
 
 
@@ -100,14 +104,20 @@ def _core(word: str) -> str:
 
 
 def shape(word: str) -> str:
-    """Runs of digits and letters with their lengths up to four, other signs as they are."""
-    out = re.sub(r"[^\W\d_]+", "a", word[:200])
-    return re.sub(r"[0-9]+", lambda m: f"9{min(len(m.group()), 4)}", out)[:24]
+    """Runs of digits with their lengths up to four, runs of letters as one, other signs as they are."""
+    out = re.sub(r"[^\W\d_]+", "a", word)
+    return re.sub(r"[0-9]+", lambda m: f"9{min(len(m.group()), 4)}", out)
+
+
+def _one_apart(a: str, b: str) -> bool:
+    """Whether two strings of one length differ in exactly one character."""
+    at = next((i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), None)
+    return at is not None and a[at + 1:] == b[at + 1:]
 
 
 def graph(text: str) -> Graph:
-    """The graph of a text. Skip edges link a token with the next one like it: as many edges as tokens at most."""
-    places, words, features, chain, skip, last = [], [], [], [], [], {}
+    """The graph of a text. Skip edges link a token with the latest one like it: at most three for each token."""
+    places, words, features, chain, skip, last, halves = [], [], [], [], [], {}, {}
     for m in _WORD.finditer(text) if _MARKED.search(text) else ():
         k, word = len(places), m.group()
         if not _MARKED.search(word):
@@ -121,10 +131,16 @@ def graph(text: str) -> Graph:
         if places and m.start() - places[-1][1] <= 1:
             chain.append((k - 1, k))
         core = _core(word)
-        if len(core) >= 6:
-            if core in last and (last[core], k) not in chain[-1:]:
-                skip.append((last[core], k))
+        like = {last[core]} if core in last else set()
+        if core:
             last[core] = k
+        if len(core) >= 8:
+            half = len(core) // 2
+            for side in ((len(core), 0, core[:half]), (len(core), 1, core[half:])):
+                if side in halves and _one_apart(halves[side][0], core):
+                    like.add(halves[side][1])
+                halves[side] = (core, k)
+        skip.extend((j, k) for j in sorted(like) if (j, k) not in chain[-1:])
         places.append(m.span())
         words.append(word)
     pair = lambda x: np.array(x, np.int64).reshape(-1, 2)
@@ -156,27 +172,40 @@ class Field:
     def potentials(self, g: Graph) -> np.ndarray:
         return np.array([self.node[f].sum(axis=0) for f in g.features]).reshape(len(g.places), len(LABELS))
 
-    def marginals(self, g: Graph, rounds: int = ROUNDS) -> np.ndarray:
-        """Label probabilities of each token after ``rounds`` of sum-product messages along all edges."""
+    def marginals(self, g: Graph, settled: float = SETTLED) -> np.ndarray:
+        """Label probabilities of each token by sum-product messages along all edges until they settle.
+
+        Only edges at tokens whose belief moved are looked at again, so a change that
+        travels along far repeats costs little. Without loops the result is exact.
+        Messages that turn in a loop for more rounds than there are tokens are
+        averaged with those before, and given up after four times as many.
+        """
         local = self.potentials(g)
         edges = np.concatenate([g.chain, g.skip])
         if not len(edges):
             return _softmax(local)
-        weight = np.concatenate([np.broadcast_to(self.chain, (len(g.chain), *self.chain.shape)),
-                                 np.broadcast_to(self.skip, (len(g.skip), *self.skip.shape))])
+        kind = np.repeat([0, 1], [len(g.chain), len(g.skip)])
+        both, n = np.stack([self.chain, self.skip]), len(local)
         a, b = edges.T
         right = np.zeros((len(edges), len(LABELS)))  # messages a to b
         left = np.zeros_like(right)
-        for _ in range(rounds):
-            belief = local.copy()
-            np.add.at(belief, b, right)
-            np.add.at(belief, a, left)
-            out_a, out_b = belief[a] - left, belief[b] - right
-            right = _norm(_logsumexp(out_a[:, :, None] + weight, 1))
-            left = _norm(_logsumexp(out_b[:, None, :] + weight, 2))
-        belief = local.copy()
-        np.add.at(belief, b, right)
-        np.add.at(belief, a, left)
+        belief, active = local.copy(), np.arange(len(edges))
+        for turn in range(4 * n + 32):
+            e, w = active, both[kind[active]]
+            to_b = _norm(_logsumexp((belief[a[e]] - left[e])[:, :, None] + w, 1))
+            to_a = _norm(_logsumexp((belief[b[e]] - right[e])[:, None, :] + w, 2))
+            share = 1.0 if turn < n + 8 else 0.5
+            by_b, by_a = share * (to_b - right[e]), share * (to_a - left[e])
+            np.add.at(belief, b[e], by_b)
+            np.add.at(belief, a[e], by_a)
+            right[e] += by_b
+            left[e] += by_a
+            moved = np.zeros(n, bool)
+            moved[b[e][np.abs(by_b).max(axis=1) > settled]] = True
+            moved[a[e][np.abs(by_a).max(axis=1) > settled]] = True
+            active = np.flatnonzero(moved[a] | moved[b])
+            if not len(active):
+                break
         return _softmax(belief)
 
 
@@ -282,8 +311,9 @@ def find_personal_data(docs: DataFrame, field: Field, key: str = "doc_id", text:
     """For each document: id and spans (rank, start, end, kind), by kind, then start.
 
     Places are code points, the end exclusive. The fixed rules' spans are always
-    there; those of the field come on top. Null and empty texts have none. Repeated
-    rows and null ids are rows like others; other columns are not read.
+    there; those of the field come on top. Null and empty texts have none, an empty
+    table gives no rows. Repeated rows and null ids are rows like others; very long
+    texts are read whole; other columns are not read.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)
