@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -277,6 +278,17 @@ def test_tiles_equal_brute_force():
         assert (found[0][2] if found else 0) == brute_coverage(text, item)
 
 
+def test_tiles_of_repeated_words_are_found_in_bounded_time_and_memory():
+    started = time.time()
+    for item, text, covered, tiles in (
+            (["a"] * 1000, ["a"] * 20_000, 1000, 1),
+            (["a"] * 500 + ["b"] + ["a"] * 499, ["a"] * 20_000, 999, 2),
+            ((["a"] * 9 + ["b"]) * 100, ["a"] * 20_000, 900, 100)):
+        block = decontam.Block([(3, " ".join(item)), (4, "quite other words than these here")], 5)
+        assert decontam.block_matches(pa.array([" ".join(text)]), block) == [[(3, len(item), covered, tiles)]]
+    assert time.time() - started < 60
+
+
 def test_contamination_of_awkward_rows_and_in_blocks(spark, prose):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
     w = item.split()

@@ -1,10 +1,9 @@
 """Benchmark decontamination by greedy string tiling.
 
 Every window of ``SEED`` words of a text is looked up among the windows of the
-benchmark items (joined on the Karp-Rabin hash). The matches of a text and an
-item grow to maximal ones; the longest is marked, what others lose by it is cut
-off, and so on until no unmarked match of ``SEED`` words is left. Tiles may come in
-any order, so moved sentences count. A text is contaminated if its tiles cover
+benchmark items (joined on the Karp-Rabin hash). The longest match of a text and
+an item is marked, what others lose by it is cut off, and so on until no unmarked
+match of ``SEED`` words is left. Tiles may come in any order, so moved sentences count. A text is contaminated if its tiles cover
 at least ``COVER`` of the words of an item.
 
 The benchmark is broadcast in blocks of bounded size, each block against all
@@ -14,13 +13,15 @@ rows; texts are neither shuffled nor grouped.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialloom.llm.common import batches_of, bounded_batches, keep_rows, release, row_mark, text_bytes, text_of, windows, words
+from trialloom.llm.common import (
+    CHUNK, _powers, batches_of, bounded_batches, keep_rows, release, row_mark, text_bytes, text_of, windows, words)
 from trialloom.session import settle
 
 SEED, COVER = 5, 0.5
@@ -61,44 +62,74 @@ class Block:
         return at[self.keys[slot] == grams[at]]
 
 
-def tiling(text: np.ndarray, item: np.ndarray, pairs: list[tuple[int, int]], size: int) -> list[tuple[int, int, int]]:
-    """Tiles (text start, item start, length), longest first; ``pairs`` are the starts of equal windows.
+def _sums(own: np.ndarray) -> np.ndarray:
+    """Running Karp-Rabin sums of word hashes."""
+    out = np.zeros(len(own) + 1, np.uint64)
+    np.cumsum(own * _powers(max(CHUNK, len(own) + 1))[0][:len(own)], out=out[1:])
+    return out
+
+
+def tiling(text: np.ndarray, item: np.ndarray, starts: np.ndarray, keys: np.ndarray, size: int,
+           sums: np.ndarray) -> list[tuple[int, int, int]]:
+    """Tiles (text start, item start, length), longest first.
 
-    Equal lengths: the earlier text start, then the earlier item start first.
+    ``starts`` are the places in the text (ascending) whose window of ``size`` words the item
+    has, ``keys`` the hashes of these windows, ``sums`` the text's ``_sums``. Equal lengths:
+    the earlier text start, then the earlier item start first.
+
+    Memory is a few numbers for each start and item word, however often words are
+    repeated: a start waits under an upper bound of its longest match (runs of starts),
+    which is measured only when it leads, by bisection on the Karp-Rabin sums at all
+    its places in the item. Marks only shorten matches, so bounds stay bounds.
     """
-    matches, seen = [], set()
-    for t, p in sorted(pairs):
-        if (t - 1, p - 1) in seen:
-            seen.add((t, p))
-            continue
-        seen.add((t, p))
-        n = size
-        while t + n < len(text) and p + n < len(item) and text[t + n] == item[p + n]:
-            n += 1
-        if (text[t:t + size] == item[p:p + size]).all():
-            matches.append((-n, t, p))
-    heapq.heapify(matches)
-    in_text, in_item = set(), np.zeros(len(item), bool)
-    tiles = []
-    while matches:
-        n, t, p = heapq.heappop(matches)
-        free = [t + k not in in_text and not in_item[p + k] for k in range(-n)]
-        if all(free):
-            tiles.append((t, p, -n))
-            in_text.update(range(t, t - n))
-            in_item[p:p - n] = True
+    grams = windows(item, size)
+    order = np.argsort(grams, kind="stable")
+    grams = grams[order]
+    own, down = _sums(item), _powers(max(CHUNK, len(text) + 1, len(item) + 1))[1]
+    ends = np.append(np.flatnonzero(np.diff(starts) != 1), len(starts) - 1)
+    bound = np.minimum(starts[ends[np.searchsorted(ends, np.arange(len(starts)))]] - starts + size, len(item))
+    heap = [(-n, t, -1, 0, k) for k, (n, t) in enumerate(zip(bound.tolist(), starts.tolist(), strict=True))]
+    heapq.heapify(heap)
+    tiles: list[tuple[int, int, int]] = []
+    in_text: list[tuple[int, int]] = []  # marked stretches (start, end), ascending
+    begin, end = np.zeros(0, np.int64), np.zeros(0, np.int64)  # those of the item
+
+    def longest(t: int, k: int) -> tuple[int, int]:
+        """Length and item start of the longest unmarked match that starts at ``t``."""
+        at = bisect_right(in_text, (t, len(text)))
+        if at and in_text[at - 1][1] > t:
+            return 0, 0
+        room = (in_text[at][0] if at < len(in_text) else len(text)) - t
+        place = order[np.searchsorted(grams, keys[k]):np.searchsorted(grams, keys[k], side="right")]
+        mark = np.searchsorted(begin, place, side="right")
+        most = np.minimum(np.append(begin, len(item))[mark] - place, room)
+        most[np.append(0, end)[mark] > place] = 0
+        place, most = place[most >= size], most[most >= size]
+        if not len(place):
+            return 0, 0
+        least = np.full(len(place), size)
+        while (least < most).any():
+            mid = (least + most + 1) // 2
+            like = (sums[t + mid] - sums[t]) * down[t] == (own[place + mid] - own[place]) * down[place]
+            least, most = np.where(like, mid, least), np.where(like, most, mid - 1)
+        best = int(least.argmax())
+        return int(least[best]), int(place[best])
+
+    while heap:
+        n, t, p, version, k = heapq.heappop(heap)
+        if p < 0 or version != len(tiles):
+            found, p = longest(t, k)
+            if found >= size:
+                heapq.heappush(heap, (-found, t, p, len(tiles), k))
             continue
-        k = 0
-        while k < -n:  # what is left of it, in pieces
-            if not free[k]:
-                k += 1
-                continue
-            end = k
-            while end < -n and free[end]:
-                end += 1
-            if end - k >= size:
-                heapq.heappush(matches, (-(end - k), t + k, p + k))
-            k = end
+        if not (text[t:t - n] == item[p:p - n]).all():
+            continue  # equal hashes of different words
+        tiles.append((t, p, -n))
+        insort(in_text, (t, t - n))
+        at = int(np.searchsorted(begin, p))
+        begin, end = np.insert(begin, at, p), np.insert(end, at, p - n)
+        if (np.append(begin, len(item)) - np.append(0, end)).max() < size:
+            break
     return tiles
 
 
@@ -109,21 +140,27 @@ def block_matches(texts: pa.Array, block: Block) -> list[list[tuple[int | None,
     for part in batches_of(texts):
         data, cuts = text_bytes(part)
         hashes, first = words(data, cuts)
-        hits = {n: block.lookup(windows(hashes, n)) for n in (block.short | {block.seed})}
+        grams = {n: windows(hashes, n) for n in (block.short | {block.seed})}
+        hits = {n: block.lookup(g) for n, g in grams.items()}
         for a, b in zip(first[:-1], first[1:], strict=True):
-            pairs: dict[int, list[tuple[int, int]]] = {}
+            own, sums = [], None
             for n, at in hits.items():
-                for t in at[np.searchsorted(at, a):np.searchsorted(at, b - n + 1)]:
-                    key = windows(hashes[t:t + n], n)[0]
-                    for s in range(np.searchsorted(block.keys, key), np.searchsorted(block.keys, key, side="right")):
-                        if n == min(block.seed, len(block.words[block.item[s]])):
-                            pairs.setdefault(int(block.item[s]), []).append((int(t - a), int(block.place[s])))
-            own = []
-            for k, found in pairs.items():
-                item = block.words[k]
-                tiles = tiling(hashes[a:b], item, found, min(block.seed, len(item)))
-                if tiles:
-                    own.append((block.items[k], len(item), sum(x[2] for x in tiles), len(tiles)))
+                here = at[np.searchsorted(at, a):np.searchsorted(at, b - n + 1)]
+                if not len(here):
+                    continue
+                keys = grams[n][here]
+                low = np.unique(keys)
+                low, high = np.searchsorted(block.keys, low), np.searchsorted(block.keys, low, side="right")
+                items = np.unique(np.concatenate([block.item[x:y] for x, y in zip(low, high, strict=True)]))
+                for item in items.tolist():
+                    words_of = block.words[item]
+                    if n != min(block.seed, len(words_of)):
+                        continue
+                    sums = _sums(hashes[a:b]) if sums is None else sums
+                    mine = np.isin(keys, windows(words_of, n))
+                    tiles = tiling(hashes[a:b], words_of, here[mine] - a, keys[mine], n, sums)
+                    if tiles:
+                        own.append((block.items[item], len(words_of), sum(x[2] for x in tiles), len(tiles)))
             out.append(own)
     return out
 
@@ -143,8 +180,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     ``coverage`` is the largest covered share of an item's words, ``item_id`` that item
     (the smallest of equals), ``n_items`` the number of items that reach ``cover``. An item of
     fewer than ``seed`` words must occur as a whole; one without words matches
-    nothing. Null and empty texts are clean. Repeated items and null item ids
-    count like others. Other columns are not read.
+    nothing. Null and empty texts are clean, empty tables give no rows or clean ones.
+    Repeated items and null item ids count like others. Very long texts are read
+    whole. Other columns are not read.
     """
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
