@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import re
 import time
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -421,6 +423,29 @@ def test_language_of_awkward_rows(spark, prose):
     assert langid.identify(docs.where("false"), model).count() == 0
 
 
+def test_words_are_found_in_time():
+    rng = random.Random(5)
+    for marks in ("", "\u0301\u093f", "\u0301\U0001d167"):
+        for _ in range(300):
+            text = "".join(rng.choice("aÉßж नम1_-\U0001f600\U00010400" + marks) for _ in range(rng.randrange(30)))
+            plain, word = [], ""
+            for c in text.lower() + " ":
+                if c.isalpha() or unicodedata.category(c)[0] == "M":
+                    word += c
+                elif word:
+                    plain, word = [*plain, word], ""
+            assert langid.split(text) == plain
+
+    def seconds(find, text):
+        began = time.perf_counter()
+        find(text)
+        return time.perf_counter() - began
+
+    text = "une été ordinaire, " * 20_000
+    plain = min(seconds(re.compile(r"[^\W\d_]+").findall, text) for _ in range(5))
+    assert min(seconds(langid.split, text) for _ in range(3)) < 8 * plain  # 29 times, when every character was searched for marks
+
+
 def test_secrets_and_personal_data_of_awkward_rows(spark, prose):
     rnd = random.Random(1)
     key = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(40))

@@ -135,16 +135,23 @@ class LanguageModel:
     probs: np.ndarray  # piece x language
 
 
-_MARKS = "".join(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "M")
+_MARKS = frozenset(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "M")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_MARK = re.compile(f"[{_MARKS}]")
-_MARKED = re.compile(f"(?:[^\\W\\d_]|[{_MARKS}])+")
+
+
+def _marked(marks) -> re.Pattern:
+    return re.compile(f"(?:[^\\W\\d_]|[{''.join(sorted(marks))}])+")
+
+
+# a class that reaches beyond the basic plane is searched mark by mark, one inside it is looked up
+_NEAR, _FAR = _marked(c for c in _MARKS if c <= "\uffff"), _marked(_MARKS)
 
 
 def split(text: str) -> list[str]:
     """Runs of letters and combining marks in lower case; signs and digits say nothing about the language."""
     low = text.lower()
-    return (_MARKED if _MARK.search(low) else _LETTERS).findall(low)
+    marks = () if low.isascii() else _MARKS.intersection(low)
+    return (_LETTERS if not marks else _NEAR if max(marks) <= "\uffff" else _FAR).findall(low)
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE,
