@@ -40,8 +40,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit), their number, and whether they decode to the text."""
-    ids = pieces.encode_documents(docs.select("doc_id", "text"))
-    return pieces.decode_documents(ids).select(
+    return pieces.round_trip_documents(docs.select("doc_id", "text")).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 

@@ -333,6 +333,11 @@ def test_ids_and_texts_equal_the_library(spark, prose):
         assert np.frombuffer(r.ids, "<u4").tolist() == ids
         assert r.decoded == library.decode(ids)
     assert pieces.encode_documents(docs.where("false")).count() == 0
+    both = pieces.round_trip_documents(docs)
+    assert sorted(map(str, both.select("doc_id", "text", "ids", "decoded", "source").collect())) == sorted(map(str, got))
+    assert pieces.round_trip_documents(docs.where("false")).count() == 0
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # two hold their tables side by side
 
 
 def test_statistics_moments_and_scores(spark, prose):
@@ -476,3 +481,20 @@ def test_words_and_windows_are_the_same_wherever_they_stand():
     assert windows(hashes[:2], 2)[0] == windows(hashes[5:7], 2)[0] != windows(hashes[1:3], 2)[0]
     sliced = pa.array(["skip", *texts], pa.string()).slice(1)
     assert (words(*text_bytes(sliced))[0] == hashes).all()
+
+
+def test_texts_that_share_many_differences_meet_seldom(spark):
+    rng = random.Random(3)
+    edits = [[rng.randrange(1 << 60) for _ in range(10)] for _ in range(30)]
+    place = {k: n for n, k in enumerate(sorted({k for e in edits for k in e}))}
+    rows = []
+    for uid in range(60):
+        keys = sorted({k for e in rng.sample(edits, 6) for k in e} | {rng.randrange(1 << 60, 1 << 61)}, key=lambda k: place.get(k, 999))
+        rows += [(k, uid, uid, uid % 3, float(len(keys) - n), 8.0) for n, k in enumerate(keys)]
+    heads = spark.createDataFrame(rows, "key long, uid long, root long, role int, tail double, slack double")
+    plain = heads.withColumn("before", F.array().cast("array<long>"))
+    for left, right in ((minhash.LIKE, minhash.UNLIKE), (minhash.REST, minhash.REST)):
+        all_ = [tuple(r) for r in minhash.met(plain, left, right).collect()]
+        few = [tuple(r) for r in minhash.met(minhash.leading(heads), left, right).collect()]
+        assert set(few) == set(all_) and len(all_) > 8 * len(set(all_))
+        assert len(few) < 2 * len(set(few))

@@ -57,8 +57,7 @@ def op4_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_piece_round_trip")
 def op9_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
-    return pieces.decode_documents(ids).select(
+    return pieces.round_trip_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -16,7 +16,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialloom.llm.common import (batches_of, bounded_batches, keep_rows, mix, release, row_mark, text_bytes, text_of,
@@ -32,6 +32,8 @@ MAX_CANDIDATES = 2_000_000
 HUBS = (1, 4)
 #: Counters by which differences are put in order, rarest first; several keys may share one.
 COUNTERS = 1 << 18
+#: Keys before a difference by which two texts know that they have met; more of them only make fewer rows.
+BEFORE = 8
 LIKE, UNLIKE, REST = 0, 1, 2
 
 
@@ -345,15 +347,34 @@ def meetings(stars: DataFrame, weights: Weights, size: int, similar: float) -> D
     heads = settle(apart.mapInArrow(_heads(spark.sparkContext.broadcast(counters), similar),
                                     "key long, uid long, root long, role int, tail double, slack double"), "heads")
 
-    def met(left: int, right: int) -> DataFrame:
-        return heads.where(F.col("role") == left).alias("p").join(
-            heads.where(F.col("role") == right).alias("q"),
-            (F.col("p.key") == F.col("q.key")) & (F.col("p.root") != F.col("q.root"))
-            & (F.least("p.tail", "q.tail") >= F.col("p.slack") + F.col("q.slack"))
-            & ((F.col("p.uid") < F.col("q.uid")) if left == right else F.lit(True))
-        ).select(F.least("p.uid", "q.uid").alias("a"), F.greatest("p.uid", "q.uid").alias("b"))
+    heads = settle(leading(heads), "heads")
+    return met(heads, LIKE, UNLIKE).unionByName(met(heads, REST, REST)).distinct()
 
-    return met(LIKE, UNLIKE).unionByName(met(REST, REST)).distinct()
+
+def leading(heads: DataFrame) -> DataFrame:
+    """``heads`` for a join in which two texts meet a few times, however many differences they share.
+
+    Differences that the same texts have, as those of one edit, become one, under the largest
+    of their tails; owners are told by a digest, and if two agree by chance there are more pairs and none
+    fewer. ``before`` holds the last ``BEFORE`` keys that stand before: two texts that share one of
+    them have met there, with larger tails, so they need not meet again. A difference of one text alone meets nobody.
+    """
+    owners = heads.groupBy("key").agg(F.bit_xor(F.xxhash64("uid", "role")).alias("owners"), F.count("*").alias("n"))
+    several = heads.join(owners.where("n > 1").select("key", "owners"), "key").groupBy(
+        F.col("owners").alias("key"), "uid", "root", "role", "slack").agg(F.max("tail").alias("tail"))
+    order = Window.partitionBy("uid", "role", "slack").orderBy(F.desc("tail"), "key")  # a text's differences from a hub
+    return several.withColumn("before", F.collect_list("key").over(order.rowsBetween(-BEFORE, -1)))
+
+
+def met(heads: DataFrame, left: int, right: int) -> DataFrame:
+    """(a, b): texts of two roles that share a difference with enough to come, some pairs several times."""
+    return heads.where(F.col("role") == left).alias("p").join(
+        heads.where(F.col("role") == right).alias("q"),
+        (F.col("p.key") == F.col("q.key")) & (F.col("p.root") != F.col("q.root"))
+        & (F.least("p.tail", "q.tail") >= F.col("p.slack") + F.col("q.slack"))
+        & ((F.col("p.uid") < F.col("q.uid")) if left == right else F.lit(True))
+        & ~F.arrays_overlap("p.before", "q.before")
+    ).select(F.least("p.uid", "q.uid").alias("a"), F.greatest("p.uid", "q.uid").alias("b"))
 
 
 def links(contents: DataFrame, docs: DataFrame, weights: Weights, key: str, text: str, size: int,

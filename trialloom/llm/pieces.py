@@ -291,3 +291,29 @@ def decode_documents(docs: DataFrame, model: str | None = None, ids: str = "ids"
         return pa.array([contents.decode(np.frombuffer(b or b"", "<u4")) for b in batch.to_pylist()], pa.string())
 
     return docs.withColumn(out, decode(F.col(ids)))
+
+
+def round_trip_documents(docs: DataFrame, model: str | None = None, text: str = "text", ids: str = "ids",
+                         decoded: str = "decoded") -> DataFrame:
+    """``docs`` with the ids of each whole text, and with the text that these ids give.
+
+    The same as ``decode_documents(encode_documents(docs))``, in one worker for each
+    task: two of them would keep their tables and batches side by side.
+    """
+    bounded_batches(docs.sparkSession)
+    path = model or model_path()
+
+    @F.arrow_udf("struct<ids: binary, decoded: string>")
+    def there_and_back(batch: pa.Array) -> pa.Array:
+        pieces, contents = held("round trip", path, lambda: (Pieces(path), Contents(path)))
+        own, back = [], []
+        for part in batches_of(batch):
+            new = pieces.encode(part.to_pylist())
+            own.append(pa.array(new, pa.binary()))
+            back.append(pa.array([contents.decode(np.frombuffer(b, "<u4")) for b in new], pa.string()))
+        if not own:
+            own, back = [pa.array([], pa.binary())], [pa.array([], pa.string())]
+        return pa.StructArray.from_arrays([pa.concat_arrays(own), pa.concat_arrays(back)], ["ids", "decoded"])
+
+    both = docs.withColumn("_both", there_and_back.asNondeterministic()(text_of(text)))
+    return both.withColumns({ids: F.col("_both.ids"), decoded: F.col("_both.decoded")}).drop("_both")
