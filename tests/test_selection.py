@@ -220,3 +220,29 @@ def test_grid_pieces(spark):
         got = selection.expand_grid(g, ["unit"], "a", "b", F.lit(0.0), F.lit(1.0), piece=piece)
         n = {r["unit"]: r["n"] for r in got.groupBy("unit").agg(F.count("*").alias("n")).collect()}
         assert n == {0: 1000, 2: 2}
+
+
+def test_the_loop_is_spread_over_tasks(spark):
+    """Folding is much work on few bytes: adaptive execution put it into one task."""
+    from trialloom.plans.catalog.selections import closed_loop
+
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert wanted > 1
+    assert closed_loop(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == wanted
+
+
+def test_units_are_chained_across_batches():
+    import pandas as pd
+
+    from trialloom.operators import tracking
+
+    rows = [(unit, method, seg, float(seg), float(seg + (unit != 3)), 0, 0, float(seg))
+            for unit in range(7) for method in ("T", "W") for seg in range(5)]
+    whole = pd.DataFrame(rows, columns=["unit", *tracking.PAIR])
+    for make in (tracking._chained, tracking._asker(1)):
+        want = [row for unit, own in whole.groupby("unit")
+                for row in [(unit, *r) for r in make([r[1:] for r in own.itertuples(index=False, name=None)])]]
+        for size in (1, 3, 8, 100):
+            parts = (whole.iloc[at:at + size] for at in range(0, len(whole), size))
+            got = pd.concat(tracking._each_unit(["unit"], make, 4)(parts))
+            assert [tuple(r) for r in got.itertuples(index=False, name=None)] == want

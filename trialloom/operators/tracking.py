@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -264,6 +265,10 @@ def _windowed(cycles: DataFrame) -> DataFrame:
     return cycles.withColumns({**missing, "dt": F.col("dt").cast("double"), "ref_width": F.col("ref_width").cast("double")})
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _fold(cycles, candidates, entries, keys, rules, half, tasks=None):
     """Fold the placed rows of every segment that has an entry row; ``keys`` name a segment."""
     blank = {"refs": F.lit(None).cast("array<double>"), **{c: F.lit(None).cast("double") for c in (
@@ -283,7 +288,8 @@ def _fold(cycles, candidates, entries, keys, rules, half, tasks=None):
              rank_lo=_signed(candidates, "rank_lo"), source_code=F.col("source_code").cast("bigint"),
              index=F.col("index").cast("bigint"))
     stream = a.unionByName(b).unionByName(c)
-    stream = stream.repartition(tasks, *keys) if tasks else stream.repartition(*keys)
+    # a fixed number of tasks: the rows are few bytes, by which Spark would put them together, but much work
+    stream = stream.repartition(tasks or _tasks(stream), *keys)
     stream = stream.sortWithinPartitions("_step", *keys, "kind", "source_code", "index")
     schema = T.StructType([stream.schema[k] for k in keys] + [
         T.StructField(n, t()) for n, t in zip(TRACE, (
@@ -352,7 +358,7 @@ def track(cycles: DataFrame, candidates: DataFrame, start: DataFrame, half: floa
     fold_on = [*on, "_guess"]
     cut = weighted_cuts(candidates, keys, segment, crowd)
     where = Placement(keys, segment, cut and cut[0])
-    tasks = cut and max(int(cycles.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * cut[1] // max(crowd, HOT_ROWS)))
+    tasks = cut and max(_tasks(cycles), -(-2 * cut[1] // max(crowd, HOT_ROWS)))
     placed, rows = where.place(_windowed(cycles)), where.place(candidates)
     names = F.array(*[F.lit(n) for n in rules])
     spans = placed.groupBy(*keys).agg(F.min("_seg").alias("_seg"), F.max("_seg").alias("_end"))
@@ -389,9 +395,10 @@ def track(cycles: DataFrame, candidates: DataFrame, start: DataFrame, half: floa
         rounds.append(run(entries))
         new = pairs_of(rounds[-1], len(rounds) - 1)
         pairs = settle(pairs.unionByName(new) if pairs else new, "pairs")
-        per_unit = pairs.join(nominal, on).groupBy(*keys)  # a row for each segment, rule and folded entry
+        # a row for each segment, rule and folded entry; many units to a task, one after the other
+        per_unit = pairs.join(nominal, on).select(*keys, *PAIR).repartition(_tasks(pairs), *keys).sortWithinPartitions(*keys)
         kind = T.StructType([pairs.schema[c] for c in (*on, "method", "entry", "_round", "_guess")])
-        asked = settle(per_unit.applyInPandas(_asker(keys, len(rounds)), kind), "asks")
+        asked = settle(per_unit.mapInPandas(_each_unit(keys, _asker(len(rounds))), kind), "asks")
         if asked.isEmpty():
             break
         refs = F.map_from_entries(F.collect_list(F.struct("method", "entry")))  # one for each rule
@@ -399,16 +406,19 @@ def track(cycles: DataFrame, candidates: DataFrame, start: DataFrame, half: floa
             *fold_on, F.transform(names, lambda n: F.coalesce(F.col("_refs")[n], F.lit(float("nan")))).alias("refs")), "entries")
     if len(rounds) == 1:
         return rounds[0].select(*keys, *TRACE)
-    right = settle(per_unit.applyInPandas(_chainer(keys), kind), "chain").select(*fold_on, "method", "_round")
+    right = settle(per_unit.mapInPandas(_each_unit(keys, _chained), kind), "chain").select(*fold_on, "method", "_round")
     return reduce(DataFrame.unionByName, [
         part.join(right.filter(F.col("_round") == n).drop("_round"), [*fold_on, "method"], "left_semi").select(*keys, *TRACE)
         for n, part in enumerate(rounds)])
 
 
-def _chain(pairs: pd.DataFrame) -> Iterator[tuple[str, list, dict, list, float]]:
+PAIR = ("method", "_seg", "entry", "exit", "_round", "_guess", "_nominal")
+
+
+def _chain(pairs: list[tuple]) -> Iterator[tuple[str, list, dict, list, float]]:
     """For each rule: its segments in order, the known pairs, the chain from the first entry on, and where it leads."""
     units: dict[str, tuple[dict, dict]] = {}
-    for method, seg, entry, exit_, n, guess in zip(*(pairs[c].tolist() for c in ("method", "_seg", "entry", "exit", "_round", "_guess"))):
+    for method, seg, entry, exit_, n, guess, _ in pairs:
         known, first = units.setdefault(method, ({}, {}))
         if (seg, entry) not in known or (n, guess) < known[seg, entry][1:]:
             known[seg, entry] = (exit_, n, guess)
@@ -425,28 +435,36 @@ def _chain(pairs: pd.DataFrame) -> Iterator[tuple[str, list, dict, list, float]]
         yield method, segs, known, chain, at
 
 
-def _frame(pairs: pd.DataFrame, keys: Sequence[str], rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["method", "_seg", "entry", "_round", "_guess"])
-    for k in reversed(keys):
-        out.insert(0, k, pairs[k].iloc[0])
-    return out[[*keys, "_seg", "method", "entry", "_round", "_guess"]]
+def _each_unit(keys: Sequence[str], rows_of: Callable[[list[tuple]], list[tuple]], slice_: int = 20_000):
+    """Rows (_seg, method, entry, _round, _guess) that ``rows_of`` makes of the pairs of each unit; units are adjacent."""
+    k, names = len(keys), [*keys, "_seg", "method", "entry", "_round", "_guess"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (row for batch in batches for row in zip(*(batch[c].tolist() for c in (*keys, *PAIR))))
+        out = []
+        for unit, own in groupby(rows, lambda row: row[:k]):
+            out += [(*unit, *row) for row in rows_of([row[k:] for row in own])]
+            if len(out) >= slice_:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=names)
+    return run
 
 
-def _chainer(keys: Sequence[str]):
-    def chains(pairs: pd.DataFrame) -> pd.DataFrame:
-        return _frame(pairs, keys, [(method, *link) for method, _, _, chain, _ in _chain(pairs) for link in chain])
-    return chains
+def _chained(pairs: list[tuple]) -> list[tuple]:
+    return [(seg, method, *link) for method, _, _, chain, _ in _chain(pairs) for seg, *link in chain]
 
 
-def _asker(keys: Sequence[str], n: int):
+def _asker(n: int):
     """What round ``n`` folds of the segments of a unit behind its chain: entries, numbered for each segment and rule.
 
     First the entry that the chain needs next, then the exits that the last round found
     before a segment, and from the second repetition on the nominal entry moved by as
     much as the chain's end is away from the nominal time line.
     """
-    def ask(pairs: pd.DataFrame) -> pd.DataFrame:
-        nominal = dict(zip(pairs["_seg"].tolist(), pairs["_nominal"].tolist()))
+    def ask(pairs: list[tuple]) -> list[tuple]:
+        nominal = {pair[1]: pair[-1] for pair in pairs}
         rows = []
         for method, segs, known, chain, at in _chain(pairs):
             if len(chain) == len(segs):
@@ -462,8 +480,8 @@ def _asker(keys: Sequence[str], n: int):
                 if n > 1:
                     wanted.insert(1, nominal[seg] + away)
                 fresh = [e for e in dict.fromkeys(wanted) if (seg, e) not in known]
-                rows += [(method, seg, e, n, k) for k, e in enumerate(fresh[:ENTRIES])]
-        return _frame(pairs, keys, rows)
+                rows += [(seg, method, e, n, k) for k, e in enumerate(fresh[:ENTRIES])]
+        return rows
     return ask
 
 
