@@ -130,3 +130,28 @@ def test_neighbours_and_ordinals_with_and_without_heavy_keys(spark, hot, monkeyp
     assert out.columns == [*seq.columns, "place"] and all(r["place"] == r["cycle"] + 1 for r in out.collect())
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert hot == 1 or plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("hot", [1, 10 ** 6])
+def test_tasks_grow_with_the_rows(spark, hot, monkeypatch):
+    """However few partitions the session asks for, a task orders about TASK_ROWS rows."""
+    monkeypatch.setattr(skew, "HOT_ROWS", hot)
+    monkeypatch.setattr(skew, "TASK_ROWS", 100)
+    rows = spark.range(2000).select(
+        (F.col("id") % 97).alias("unit"), F.lit("A").alias("method"), (F.col("id") % 97 % 3).alias("cond"),
+        F.expr("id div 97 + 1").alias("cycle"), (F.col("id") % 4).cast("int").alias("code"), F.expr("id div 970").alias("part"))
+    placed = skew.ordinal(rows, ["cond", "unit"], ["cycle"], ["part"], "place")
+    assert hot == 1 or placed.rdd.getNumPartitions() == 20
+    assert "REPARTITION_BY_NUM, [plan_id" in placed._jdf.queryExecution().executedPlan().toString()
+    assert placed.where("place <> cycle").isEmpty() and placed.count() == 2000
+    runs = {(r["unit"], r["first_cycle"]): r["length"] for r in sequence.run_table(rows).collect()}
+    codes = {u: [i % 4 for i in range(u, 2000, 97)] for u in range(97)}
+    want = {}
+    for u, c in codes.items():
+        first = None
+        for k, code in enumerate([*c, 1], 1):
+            if code != 1:
+                first = first or k
+            elif first:
+                want[u, first], first = k - first, None
+    assert runs == want

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trialloom.functions.estimates import state_of
 from trialloom.registry import COUNTS, ERROR_SOURCES, STATE_COUNTS, STATES, TRANSITIONS
-from trialloom.skew import BLOCK, block_of, blocked_scan, hot_hashes
+from trialloom.skew import BLOCK, block_of, blocked_scan, key_load, spread
 
 UNIT = ("cond", "unit", "method")
 
@@ -144,7 +144,8 @@ def island_id(seq: DataFrame, keys: Sequence[str] = UNIT, block: str | None = No
     """Number of the maximal non-correct run each cycle belongs to; null in state C."""
     nc = ~_is("_s", "C")
     rows = _states(seq, keys, block, "cycle").drop("code")
-    hot = hot_hashes(rows, keys)
+    total, hot = key_load(rows, keys)
+    rows = rows if hot else spread(rows, keys, total)
     rows = blocked_scan(rows, keys, ["cycle"], ["_block"], following={"_next": "_s"}, preceding={"_prev": "_s"}, hot=hot)
     start = nc & F.coalesce(_is("_prev", "C"), F.lit(True))
     rows = blocked_scan(rows, keys, ["cycle"], ["_block"], running={"_run": start.cast("bigint")}, hot=hot)

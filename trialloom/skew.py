@@ -16,6 +16,8 @@ from trialloom.session import settle
 
 BLOCK = 4096
 HOT_ROWS = 1_000_000
+#: Rows of a task that orders them: AQE joins partitions by their compressed bytes, a few of which become many in memory.
+TASK_ROWS = 200_000
 SALTS = 64
 #: A table is broadcast only below so many bytes, by its row count and the width of its columns.
 BROADCAST_BYTES = 32 << 20
@@ -46,15 +48,21 @@ def blocked_scan(
     size is bounded by contract; then a single window suffices. Only keys that a
     sketch names as heavy are cut; their rows are evaluated a second time, reduced
     to one row per block before any shuffle. Without heavy keys one exchange and
-    one window do it all.
+    one window do it all, dealt over as many tasks as the counted rows ask for;
+    a caller that gives ``hot`` has dealt them itself.
     """
     running, following, preceding = running or {}, following or {}, preceding or {}
-    hot = list((hot_hashes(df, keys, hot_rows) if hot is None else hot) if blocks else ())
+    total = None
+    if blocks and hot is None:
+        total, hot = key_load(df, keys, hot_rows)
+    hot = list(hot or ()) if blocks else []
     cut = [f"_cut{i}" for i in range(len(blocks or []))] if hot else []
     wanted = df.columns
     if hot:
         heavy = F.xxhash64(*keys).isin(hot)
         df = df.withColumns({c: F.when(heavy, F.col(b)) for c, b in zip(cut, blocks, strict=True)})
+    if total is not None:
+        df = spread(df, [*keys, *cut], total)
     inner = Window.partitionBy(*keys, *cut).orderBy(*order)
     upto = inner.rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
     out = df.withColumns({
@@ -99,8 +107,19 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return blocked_scan(df, keys, order, blocks, running={name: F.lit(1).cast("bigint")}, hot_rows=hot_rows)
 
 
+def spread(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """``df`` of ``rows`` rows dealt by ``keys`` over tasks of about TASK_ROWS; a table of one task is left alone."""
+    tasks = -(-rows // TASK_ROWS)
+    return df.repartition(tasks, *keys) if tasks > 1 else df
+
+
 def hot_hashes(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> dict[int, int]:
-    """Hashes of the keys that hold more than about ``rows`` rows (at most 10,000 of them), with their counts.
+    """The heavy keys of ``key_load``."""
+    return key_load(df, keys, rows)[1]
+
+
+def key_load(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> tuple[int, dict[int, int]]:
+    """Number of rows, and hashes of the keys that hold more than about ``rows`` of them (at most 10,000), with their counts.
 
     One pass over the key columns with a bounded frequent-items sketch, no
     shuffle. A key that holds more than a 1/50,000 share cannot be missed; a
@@ -108,8 +127,8 @@ def hot_hashes(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> d
     """
     rows = HOT_ROWS if rows is None else rows
     sketch = F.expr(f"filter(approx_top_k(h, 10000, 100000), x -> x.count > {int(rows)})")
-    found = df.select(F.xxhash64(*keys).alias("h")).agg(sketch.alias("top")).first()["top"]
-    return {x["item"]: x["count"] for x in sorted(found or [])}
+    total, found = df.select(F.xxhash64(*keys).alias("h")).agg(F.count(F.lit(1)), sketch).first()
+    return total, {x["item"]: x["count"] for x in sorted(found or [])}
 
 
 def salted_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], spread: Sequence[str],
