@@ -302,3 +302,26 @@ def test_stream_tracking_equals_batch(spark, tmp_path, files):
     got = run_available(stream_track(stream, 6.0, t_scale=3.0, w_scale=2.0), str(tmp_path / "out"))
     want = track(cycles, cands, start, 6.0, t_scale=3.0, w_scale=2.0).select(got.columns)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_small_chunks_are_written_by_many_tasks_and_large_ones_are_split(spark, tmp_path, monkeypatch):
+    """Bytes do not decide: a task writes a few chunks, and only a chunk that is too large has several files."""
+    from trialloom.plans import increment
+
+    monkeypatch.setattr(increment, "TASK_CHUNKS", 4)
+    monkeypatch.setattr(increment, "TASK_ROWS", 500)
+    rows = spark.range(2000).select((F.col("id") % 2).cast("int").alias("cond"), (F.col("id") % 40).alias("chunk"), "id")
+    heavy = spark.range(2000, 7000).select(F.lit(0).alias("cond"), F.lit(100).cast("bigint").alias("chunk"), "id")
+    root = str(tmp_path / "data")
+    increment.write_partitions(rows.unionByName(heavy), root, "parquet", 41, ["id"])
+    back = spark.read.schema("id bigint, cond int, chunk bigint").parquet(root).select("cond", "chunk", "id", "_metadata.file_path")
+    assert back.select("cond", "chunk", "id").exceptAll(rows.unionByName(heavy)).isEmpty() and back.count() == 7000
+    files = back.groupBy("chunk").agg(F.countDistinct("file_path").alias("n"), F.first(F.regexp_extract("file_path", r"part-(\d+)", 1)).alias("task"))
+    small = files.where("chunk < 100")
+    assert small.agg(F.max("n")).first()[0] == 1 and small.select("task").distinct().count() >= 5
+    assert files.where("chunk = 100").first()["n"] >= 4
+    increment.write_partitions(rows.where("chunk = 3").limit(1), root, "parquet", 1, ["id"])  # replaced, the others stay
+    assert spark.read.parquet(root).count() == 7000 - 50 + 1
+    assert spark.conf.get(increment.LISTING) == "10000"
+    assert spark.createDataFrame([(1, 2), (1, 3)], "cond int, chunk int").where(increment.among(["1/3", "2/2"])).count() == 1
+    assert spark.range(3).where(increment.among([])).isEmpty()
