@@ -498,3 +498,32 @@ def test_texts_that_share_many_differences_meet_seldom(spark):
         few = [tuple(r) for r in minhash.met(minhash.leading(heads), left, right).collect()]
         assert set(few) == set(all_) and len(all_) > 8 * len(set(all_))
         assert len(few) < 2 * len(set(few))
+
+
+def test_differences_stay_only_with_texts_that_can_meet_there(spark):
+    """A difference of many unlike texts of one sort or one class meets nobody; pairs with enough in common stay."""
+    rng = random.Random(5)
+    rows = [(7, uid, uid, minhash.UNLIKE, 9.0, 1.0) for uid in range(50)]
+    rows += [(8, uid, 1, minhash.REST, 9.0, 1.0) for uid in range(50)]
+    rows += [(9, uid, uid, uid % 2, 3.0, 2.0) for uid in range(50)]  # neither side has enough to come
+    heads = lambda r: spark.createDataFrame(r, "key long, uid long, root long, role int, tail double, slack double")
+    assert minhash.leading(heads(rows)).count() == 0
+    for uid in range(100, 160):
+        slack, keys = rng.uniform(0, 3), sorted(rng.sample(range(10, 40), 8))
+        rows += [(k, uid, uid % 23, uid % 3, float(8 - n), slack) for n, k in enumerate(keys)]
+    plain = heads(rows).withColumn("before", F.array().cast("array<long>"))
+    for left, right in ((minhash.LIKE, minhash.UNLIKE), (minhash.REST, minhash.REST)):
+        want = {tuple(r) for r in minhash.met(plain, left, right).collect()}
+        got = {tuple(r) for r in minhash.met(minhash.leading(heads(rows)), left, right).collect()}
+        assert want and want <= got
+
+
+def test_texts_out_of_reach_of_all_partners_are_not_compared_around_a_hub(spark):
+    checked = spark.createDataFrame(
+        [(1, 0, 0.95), (2, 0, 0.85), (3, 0, 0.7), (4, 0, 0.6), (5, 0, 0.75), (6, 0, 0.2),  # 4: 0.4 > 0.15 + 0.2
+         (11, 10, 0.99), (12, 10, 0.75), (13, 10, 0.5)], "uid long, hub long, near double").withColumn("alike", F.col("near") >= 0.8)
+    roots = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (5, 0), (10, 10), (11, 10)], "uid long, root long")
+    rest = spark.createDataFrame([(6, 0, True)], "uid long, hub long, rest boolean")
+    got = {(r.uid, r.hub): (r.root, r.mixed, r.rest) for r in minhash.facing(checked, rest, roots, 0.8).collect()}
+    # 1 lies 0.25 from the nearest unlike text, 5 is in the hub's class, 12 lies 0.24 from 11
+    assert got == {(2, 0): (0, True, False), (3, 0): (3, True, False), (6, 0): (6, False, True)}

@@ -351,17 +351,46 @@ def meetings(stars: DataFrame, weights: Weights, size: int, similar: float) -> D
     return met(heads, LIKE, UNLIKE).unionByName(met(heads, REST, REST)).distinct()
 
 
+def facing(checked: DataFrame, rest: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
+    """(uid, root, hub, alike, mixed, rest): texts that can still be like another one around their hub.
+
+    ``checked`` has (uid, hub, near, alike). One minus the weighted Jaccard similarity is a
+    metric. So a text unlike the hub has a partner among those like it only if it lies within 1 - s behind the
+    outermost of them, and one of those only if the nearest text unlike the hub lies within 1 - s behind it.
+    All texts like a hub are in the hub's class, hence a text unlike the hub but in that class has no partner there.
+    """
+    reach = 1 - similar + 1e-9
+    rooted = settle(checked.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid")).join(
+        roots.toDF("hub", "centre"), "hub", "left").withColumn("gap", 1 - F.col("near")), "gaps")
+    inner, outer = F.col("alike"), ~F.col("alike") & ~F.col("root").eqNullSafe(F.col("centre"))
+    edges = rooted.groupBy("hub").agg(F.max(F.when(inner, F.col("gap"))).alias("outermost"),
+                                      F.min(F.when(outer, F.col("gap"))).alias("nearest"))
+    mixed = (inner & (F.col("gap") >= F.col("nearest") - reach)) | (outer & (F.col("gap") <= F.col("outermost") + reach))
+    return rooted.join(edges, "hub").join(rest, ["uid", "hub"], "left").select(
+        "uid", "root", "hub", "alike", F.coalesce(mixed, F.lit(False)).alias("mixed"),
+        F.coalesce("rest", F.lit(False)).alias("rest")).where("mixed or rest")
+
+
 def leading(heads: DataFrame) -> DataFrame:
     """``heads`` for a join in which two texts meet a few times, however many differences they share.
 
-    Differences that the same texts have, as those of one edit, become one, under the largest
+    A difference stays with a text only if another text that it may meet there, by role and class, can have
+    enough in common with it: the largest tail less slack and the smallest slack of the other
+    side bound that. Differences that the same texts have, as those of one edit, become one, under the largest
     of their tails; owners are told by a digest, and if two agree by chance there are more pairs and none
     fewer. ``before`` holds the last ``BEFORE`` keys that stand before: two texts that share one of
-    them have met there, with larger tails, so they need not meet again. A difference of one text alone meets nobody.
+    them have met there, with larger tails, so they need not meet again.
     """
-    owners = heads.groupBy("key").agg(F.bit_xor(F.xxhash64("uid", "role")).alias("owners"), F.count("*").alias("n"))
-    several = heads.join(owners.where("n > 1").select("key", "owners"), "key").groupBy(
-        F.col("owners").alias("key"), "uid", "root", "role", "slack").agg(F.max("tail").alias("tail"))
+    heads = heads.withColumn("kind", F.col("role") == REST).withColumn("room", F.col("tail") - F.col("slack"))
+    like, unlike = F.col("role") != UNLIKE, F.col("role") != LIKE  # the rest meets itself and is on both sides
+    owners = heads.groupBy("key", "kind").agg(
+        F.bit_xor(F.xxhash64("uid", "role")).alias("owners"), F.min("root").alias("low"), F.max("root").alias("high"),
+        F.max(F.when(like, F.col("room"))).alias("like_room"), F.min(F.when(like, F.col("slack"))).alias("like_slack"),
+        F.max(F.when(unlike, F.col("room"))).alias("unlike_room"), F.min(F.when(unlike, F.col("slack"))).alias("unlike_slack"),
+    ).where("low < high AND like_room IS NOT NULL AND unlike_room IS NOT NULL").drop("low", "high")
+    other = lambda c: F.when(F.col("role") == LIKE, F.col(f"unlike_{c}")).otherwise(F.col(f"like_{c}"))
+    several = heads.join(owners, ["key", "kind"]).where((other("room") >= F.col("slack")) & (F.col("room") >= other("slack")))
+    several = several.groupBy(F.col("owners").alias("key"), "uid", "root", "role", "slack").agg(F.max("tail").alias("tail"))
     order = Window.partitionBy("uid", "role", "slack").orderBy(F.desc("tail"), "key")  # a text's differences from a hub
     return several.withColumn("before", F.collect_list("key").over(order.rowsBetween(-BEFORE, -1)))
 
@@ -409,8 +438,9 @@ def links(contents: DataFrame, docs: DataFrame, weights: Weights, key: str, text
             texts.select(F.col("uid").alias(x), F.col("text").alias("x")), x)
 
     def compare(pairs: DataFrame, x: str, y: str) -> DataFrame:
-        return settle(with_texts(pairs.select(x, y).distinct(), x, y).select(
-            x, y, (_similar(weights, spark, size, F.col("x"), F.col("y")) >= similar).alias("alike")), "checked")
+        near = with_texts(pairs.select(x, y).distinct(), x, y).select(
+            x, y, _similar(weights, spark, size, F.col("x"), F.col("y")).alias("near"))
+        return settle(near.withColumn("alike", F.col("near") >= similar), "checked")
 
     known, first = [], None
     for width in rounds:
@@ -427,10 +457,8 @@ def links(contents: DataFrame, docs: DataFrame, weights: Weights, key: str, text
         open_ = settle(open_.join(left, place, "left_semi"), "buckets")
     checked = reduce(DataFrame.unionByName, known).distinct()
     alike = checked.where("alike").select(F.least("uid", "hub").alias("a"), F.greatest("uid", "hub").alias("b"))
-    sorts = checked.groupBy("hub").agg((F.min("alike") != F.max("alike")).alias("mixed"))
     rest = open_.join(first, place).select("uid", "hub").distinct().withColumn("rest", F.lit(True))
-    stars = checked.join(sorts, "hub").join(rest, ["uid", "hub"], "left").join(classes(alike), "uid", "left").select(
-        "uid", F.coalesce("root", "uid").alias("root"), "hub", "alike", "mixed", F.coalesce("rest", F.lit(False)).alias("rest")).where("mixed or rest")
+    stars = facing(checked, rest, classes(alike), similar)
     found = meetings(with_texts(stars, "uid", "hub"), weights, size, similar)
     more = compare(found, "a", "b").where("alike").select("a", "b")
     return alike.unionByName(more).distinct()
