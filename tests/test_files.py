@@ -12,6 +12,7 @@ from trialloom.operators import compare
 from trialloom.operators.sequence import repeat_metrics
 from trialloom.operators.tracking import track
 from trialloom.plans.increment import Artifact, default_identity, run_chunks, run_incremental
+from trialloom.session import settle
 from trialloom.sources import sinks, tables
 from trialloom.streaming.metrics import stream_repeat_metrics
 from trialloom.streaming.run import run_available
@@ -304,6 +305,33 @@ def test_stream_tracking_equals_batch(spark, tmp_path, files):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
+def test_streamed_units_reach_the_state_in_packs(spark, tmp_path, monkeypatch):
+    """Blocks of three cycles, crowded cycles by numpy, gaps wider than a block, candidates first: as in batch, in a few packs."""
+    from trialloom.streaming import tracking
+
+    rnd = random.Random(12)
+    own = [c for c in range(40) if c % 7 < 4 and not 15 < c < 26]
+    after = dict(zip(own, [*own[1:], None]))
+    cycles = spark.createDataFrame([(u, c, None if after[c] is None else 10.0 * (after[c] - c), 3.0) for u in range(3) for c in own],
+                                   "unit bigint, cycle bigint, dt double, ref_width double")
+    cands = [(u, c, t, t, float(rnd.randint(1, 5)), i, 0, rnd.choice([1, 2, 3]), i) for i, (u, c, t) in enumerate(
+        (u, c, 5.0 + 10 * c + rnd.randint(-6, 6)) for u in range(3) for c in range(40) for _ in range(40 if c in (8, 31) else rnd.randint(0, 4)))]
+    cands = spark.createDataFrame(cands, "unit bigint, cycle bigint, true_time double, time double, width double, "
+                                         "rank_hi bigint, rank_lo bigint, source_code int, index bigint")
+    rows, path = stream_rows(cycles, cands, spark.createDataFrame([(u, 5.0) for u in range(3)], "unit bigint, ref double")), str(tmp_path / "in")
+    rows = settle(rows, "rows")
+    packs = rows.coalesce(1).mapInArrow(tracking._packs(["unit"]), "unit bigint, cycles binary, candidates binary")
+    assert packs.count() == 3  # of one batch
+    for part in ("expected IS NULL AND cycle >= 9", "expected IS NULL AND cycle < 9", "expected IS NOT NULL AND cycle > 5", "expected IS NOT NULL AND cycle <= 5"):
+        rows.filter(part).coalesce(1).write.mode("append").parquet(path)
+    monkeypatch.setattr(tracking, "BLOCK", 3)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = run_available(stream_track(stream, 6.0, t_scale=3.0, w_scale=2.0), str(tmp_path / "out"))
+    want = track(cycles, cands, spark.createDataFrame([(u, 5.0) for u in range(3)], "unit bigint, ref double"), 6.0,
+                 t_scale=3.0, w_scale=2.0).select(got.columns)
+    assert got.count() == 3 * 5 * len(own) and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_small_chunks_are_written_by_many_tasks_and_large_ones_are_split(spark, tmp_path, monkeypatch):
     """Bytes do not decide: a task writes a few chunks, and only a chunk that is too large has several files."""
     from trialloom.plans import increment

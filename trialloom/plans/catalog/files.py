@@ -18,6 +18,7 @@ from trialloom.plans.catalog.selections import GAP_SQL, GAPS, TRACE_SQL, gap_inp
 from trialloom.plans.increment import (ENTRIES, TASK_CHUNKS, Artifact, commit_chunks, default_identity, few_listing_tasks, run_chunks,
                                        run_incremental, write_partitions)
 from trialloom.session import scratch, settle
+from trialloom.skew import TASK_ROWS
 from trialloom.sources import sinks, tables
 from trialloom.streaming.metrics import stream_repeat_metrics
 from trialloom.streaming.run import run_available
@@ -336,19 +337,24 @@ def t1(spark, sf):
     return run_available(stream_repeat_metrics(stream))
 
 
+def _files(spark, sf):
+    """Files that a batch takes: one for every TASK_ROWS events, so that more tasks and not more batches read more rows."""
+    return max(1, -(-fx.events(spark, sf).count() // TASK_ROWS))
+
+
 @query("T2_stream_track_with_gaps", GAP_SQL)
 def t2_gaps(spark, sf):
     """Cycles are missing, and candidates come before the cycle rows of their unit."""
-    rows, path = stream_rows(*gap_inputs(spark, sf)), scratch(spark, "stream-in")
-    rows.filter("expected IS NULL").repartition(2, "cycle").write.parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    rows.filter("expected IS NOT NULL").repartition(2, "cycle").write.mode("append").parquet(path)
+    rows, path, files = stream_rows(*gap_inputs(spark, sf)), scratch(spark, "stream-in"), _files(spark, sf)
+    rows.filter("expected IS NULL").repartition(2 * files, "unit", "cycle").write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+    rows.filter("expected IS NOT NULL").repartition(2 * files, "unit", "cycle").write.mode("append").parquet(path)
     return run_available(stream_track(stream, float(HALF), t_scale=fx.T_SCALE, w_scale=fx.W_SCALE)).select(*GAPS)
 
 
 @query("T2_stream_track", sql(TRACE_SQL, "trace", recursive=True))
 def t2(spark, sf):
-    rows, path = stream_rows(*loop_inputs(spark, sf)), scratch(spark, "stream-in")
-    rows.repartition(4, "cycle").write.parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    rows, path, files = stream_rows(*loop_inputs(spark, sf)), scratch(spark, "stream-in"), _files(spark, sf)
+    rows.repartition(4 * files, "unit", "cycle").write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2 * files).parquet(path)
     return run_available(stream_track(stream, float(HALF), t_scale=fx.T_SCALE, w_scale=fx.W_SCALE)).drop("ref_after")
