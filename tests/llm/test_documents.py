@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialloom.llm import decontam, dedup, langid, minhash, pieces, pii, quality, secrets
-from trialloom.llm.common import text_bytes, windows, words
+from trialloom.llm.common import keep_rows, parted, row_mark, text_bytes, windows, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, mark long, kept string, slot int"
 
@@ -527,3 +527,54 @@ def test_texts_out_of_reach_of_all_partners_are_not_compared_around_a_hub(spark)
     got = {(r.uid, r.hub): (r.root, r.mixed, r.rest) for r in minhash.facing(checked, rest, roots, 0.8).collect()}
     # 1 lies 0.25 from the nearest unlike text, 5 is in the hub's class, 12 lies 0.24 from 11
     assert got == {(2, 0): (0, True, False), (3, 0): (3, True, False), (6, 0): (6, False, True)}
+
+
+def moved(spark, job):
+    """Result of ``job`` and the bytes that its stages wrote to shuffles."""
+    context, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def stages():
+        context.listenerBus().waitUntilEmpty()
+        empty = gateway.jvm.java.util.ArrayList()
+        found = context.statusStore().stageList(empty, False, False, gateway.new_array(gateway.jvm.double, 0), empty)
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteBytes() for k in range(found.size())}
+
+    before = max(stages(), default=-1)
+    result = job()
+    return result, sum(size for stage, size in stages().items() if stage > before)
+
+
+def test_texts_without_a_verdict_or_a_bucket_are_not_shuffled(spark):
+    """Before, each text was shuffled once to drop a few rows, and once more to compare a few."""
+    rnd = random.Random(9)
+    texts = [" ".join(f"{rnd.randrange(1 << 60):x}" for _ in range(600)) for _ in range(150)]
+    texts[-6:] = [texts[0] + f" end {k}" for k in range(6)]
+    docs = make(spark, [(k, t, "en") for k, t in enumerate(texts)]).localCheckpoint()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        verdicts = docs.select(F.col("doc_id").alias("id"), row_mark(F.col("text")).alias("mark"), (F.col("doc_id") % 20 > 0).alias("kept"))
+        kept, size = moved(spark, lambda: {r.doc_id for r in keep_rows(docs, verdicts).select("doc_id", "text").collect()})
+        assert kept == {k for k in range(150) if k % 20}
+        assert size < 0.4 * sum(map(len, texts))
+        near, size = moved(spark, lambda: minhash.near_groups(docs).where("class_size > 1").collect())
+        assert sorted(r.id for r in near) == [0, *range(144, 150)] and {r.class_id for r in near} == {0}
+        assert size < 0.8 * sum(map(len, texts))  # a few are moved for each comparison
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rows_are_parted_by_pairs(spark, prose, monkeypatch):
+    docs = make(spark, prose + [(1000 + k, f"text {k}", "en") for k in range(2000)])
+    pairs = docs.where("doc_id IS NULL OR text IS NULL OR doc_id % 40 = 7").select(
+        F.col("doc_id").alias("id"), row_mark(F.col("text")).alias("mark"))
+    own = {tuple(r) for r in pairs.collect()}
+    rows = lambda d: [tuple(r) for r in d.select("doc_id", row_mark(F.col("text"))).collect()]
+    for most, share in ((1 << 26, 0.2), (64, 1.0)):  # a full screen holds nothing back, and loses nothing
+        monkeypatch.setattr("trialloom.llm.common.SCREEN_MOST", most)
+        maybe, rest = parted(docs, pairs)
+        assert maybe.columns == docs.columns == rest.columns
+        inside, outside = rows(maybe), rows(rest)
+        assert own <= set(inside) and not own & set(outside) and len(inside) <= share * docs.count()
+        assert sorted(map(repr, inside + outside)) == sorted(map(repr, rows(docs)))
+    maybe, rest = parted(docs, pairs.where("false"))
+    assert maybe.count() == 0 and rest.count() == docs.count()

@@ -18,6 +18,8 @@ from trialloom.session import settle
 
 #: Text bytes handled by numpy at once; bounds the memory of a Python worker.
 CHUNK = 1 << 20
+#: Bits of a screen for each pair that it holds, and of any screen: 64 bits are a row that is broadcast.
+SCREEN, SCREEN_MOST = 16, 1 << 26
 
 
 _HELD: dict[tuple, object] = {}
@@ -164,16 +166,35 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame, key: str = "doc_id", text: s
         F.count("*").alias("_rows"), F.sum(F.col("kept").cast("long")).alias("_kept")
     ).where("_kept < _rows")
     counts = settle(counts, "dropped")
-    left = docs.alias("l").join(
+    maybe, rest = parted(docs, counts, key, text)
+    left = maybe.alias("l").join(
         counts.alias("r"),
         F.col(f"l.{key}").eqNullSafe(F.col("r.id")) & (row_mark(F.col(f"l.{text}")) == F.col("r.mark")), "left")
-    out = left.where(F.col("r._rows").isNull()).select("l.*")
+    out = rest.unionByName(left.where(F.col("r._rows").isNull()).select("l.*"))
     if counts.where("_kept > 0").isEmpty():
         return out
     some = left.where(F.col("r._kept") > 0).select("l.*", F.col("r.mark").alias("_mark_of_row"))
     return out.unionByName(some.dropDuplicates([key, "_mark_of_row"]).drop("_mark_of_row"))
 
 
+def parted(docs: DataFrame, pairs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` that may have a pair (id, mark) of ``pairs``, and those that have none.
+
+    A join with ``pairs`` needs to move the texts of the first part only. A bit for a hash of each pair
+    tells the parts; a row without a pair is in the first one with a chance of at most one in ``SCREEN``,
+    more only if ``SCREEN_MOST`` bounds the bits.
+    """
+    bits = min(1 << max(6, (SCREEN * pairs.count() - 1).bit_length()), SCREEN_MOST)
+    slot = lambda id_, mark: F.xxhash64(id_, mark).bitwiseAND(F.lit(bits - 1))
+    word, place = F.shiftright("_slot", 6).alias("_word"), F.col("_slot").bitwiseAND(F.lit(63)).cast("int").alias("_place")
+    screen = settle(pairs.select(slot("id", "mark").alias("_slot")).select(word, place).groupBy("_word").agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_place"))).alias("_bits")), "screen")
+    seen = docs.withColumn("_slot", slot(F.col(key), row_mark(F.col(text)))).select("*", word, place).join(
+        F.broadcast(screen), "_word", "left").withColumn("_maybe", F.coalesce(F.getbit("_bits", "_place") == 1, F.lit(False)))
+    own = ["_slot", "_word", "_place", "_bits", "_maybe"]
+    return seen.where("_maybe").drop(*own), seen.where("NOT _maybe").drop(*own)
+
+
 def row_mark(text: Column) -> Column:
     """Digest by which a row's text is found again."""
     return F.xxhash64(F.coalesce(text, F.lit("")), F.length(F.coalesce(text, F.lit(""))))

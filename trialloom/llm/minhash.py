@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialloom.llm.common import (batches_of, bounded_batches, keep_rows, mix, release, row_mark, text_bytes, text_of,
-                                  windows, words)
+from trialloom.llm.common import (batches_of, bounded_batches, keep_rows, mix, parted, release, row_mark, text_bytes,
+                                  text_of, windows, words)
 from trialloom.session import settle
 
 SIZE, BANDS, ROWS, SIMILAR = 5, 14, 4, 0.8
@@ -427,8 +427,8 @@ def links(contents: DataFrame, docs: DataFrame, weights: Weights, key: str, text
         "band", "value", "uid", "copies", F.explode(F.array(cell, cell + 1)).alias("cell")), "cells")
     meet = split.groupBy(*place).agg(F.count("*").alias("n")).where("n > 1").select(*place)
     open_ = settle(split.join(meet, place).select(*place, "uid", "copies"), "buckets")
-    wanted = open_.select("uid").distinct().join(contents.select("uid", "id", "mark"), "uid")
-    body = docs.select(F.col(key).alias("id"), row_mark(F.col(text)).alias("mark"), F.lower(text_of(text)).alias("text"))
+    wanted = settle(open_.select("uid").distinct().join(contents.select("uid", "id", "mark"), "uid"), "wanted")
+    body = parted(docs, wanted, key, text)[0].select(F.col(key).alias("id"), row_mark(F.col(text)).alias("mark"), F.lower(text_of(text)).alias("text"))
     texts = settle(wanted.alias("w").join(
         body.alias("b"), F.col("w.id").eqNullSafe(F.col("b.id")) & (F.col("w.mark") == F.col("b.mark"))
     ).select("w.uid", "b.text").dropDuplicates(["uid"]), "bodies")
