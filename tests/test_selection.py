@@ -246,3 +246,39 @@ def test_units_are_chained_across_batches():
             parts = (whole.iloc[at:at + size] for at in range(0, len(whole), size))
             got = pd.concat(tracking._each_unit(["unit"], make, 4)(parts))
             assert [tuple(r) for r in got.itertuples(index=False, name=None)] == want
+
+
+@pytest.mark.parametrize("options", [{"crowd": 4}, {"segment": 3}])
+def test_only_counted_tables_are_broadcast(spark, monkeypatch, options):
+    """Spark would broadcast by the bytes of files, which hold a few for what is hundreds in the driver."""
+    from trialloom import skew
+
+    frame, cands, start, rows = two_lanes(spark, 2, 9, 4.0)
+    crowded = [(0, 4, t, t, 1.0, len(rows) + j, 0, 1, len(rows) + j) for j, t in enumerate([44.0, 46.0, 47.0, 49.5])]
+    cands, rows = cands.unionByName(spark.createDataFrame(crowded, TIMED)), rows + crowded
+    plans, plain = [], tracking.settle
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    monkeypatch.setattr(tracking, "settle", lambda df, label: (plans.append(plan(df)), plain(df, label))[1])
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", -1)
+    rule = {"T": standard_rules(3.0, 2.0)["T"]}
+    got = tracking.track(frame, cands, start, 2.5, rule, **options)
+    plans.append(plan(got))
+    assert len(plans) > 5 and not [p for p in plans if "Broadcast" in p]
+    cycles = {u: [(10.0 if k < 8 else None, 1.0) for k in range(9)] for u in range(2)}
+    want = loop(cycles, [(*x[:6], x[7], x[8]) for x in rows], {0: 9.0, 1: 9.0}, 2.5, rule)
+    found = got.collect()
+    assert len(found) == len(want)
+    for r in found:
+        assert (r["candidates"], r["position"], r["picked_time"], r["source_code"], r["ref_before"], r["ref_after"]) == want[
+            r["unit"], r["cycle"], r["method"]], r
+
+
+def test_lists_count_as_bytes_of_a_lookup(spark, monkeypatch):
+    from trialloom import skew
+
+    rows = spark.range(40).select((F.col("id") % 5).alias("key"), "id")
+    table = spark.range(4).select(F.col("id").alias("key"), F.sequence(F.lit(1), F.lit(1000)).alias("list"))
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 10_000)  # four rows of two columns are 128 bytes
+    got = skew.lookup_join(rows, table, ["key"], "left")
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().sparkPlan().toString()
+    assert got.count() == 40 and got.filter("size(list) = 1000").count() == 32

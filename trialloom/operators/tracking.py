@@ -35,7 +35,7 @@ from trialloom.functions.rules import standard_rules
 from trialloom.operators.selection import range_join
 from trialloom.operators.sequence import running_time
 from trialloom.session import settle
-from trialloom.skew import BLOCK, HOT_ROWS, SALTS, block_of, lookup_join
+from trialloom.skew import BLOCK, HOT_ROWS, TASK_ROWS, block_of, lookup_join, shuffled, sized
 
 ENTRY, CYCLE, CANDIDATE = 0, 1, 2
 CANDIDATE_COLUMNS = ("cycle", "true_time", "time", "width", "rank_hi", "rank_lo", "source_code", "index")
@@ -214,7 +214,7 @@ class Placement:
 
     A block is one segment unless ``cuts`` (keys, _block, _starts, _apart) divide it:
     segments then begin at the cycles in ``_starts``; those in ``_apart`` stand alone
-    and are too crowded to be folded.
+    and are too crowded to be folded: their candidates are dealt over ``_salts`` tasks.
     """
 
     def __init__(self, keys: Sequence[str], segment: int, cuts: DataFrame | None = None):
@@ -224,12 +224,12 @@ class Placement:
         out = df.withColumn("_block", block_of("cycle", self.segment))
         step = F.col("cycle") - F.col("_block") * self.segment
         if self.cuts is None:
-            return out.withColumns({"_step": step, "_seg": F.col("_block"), "_crowded": F.lit(False)}).drop("_block")
+            return out.withColumns({"_step": step, "_seg": F.col("_block"), "_crowded": F.lit(False), "_salts": F.lit(0)}).drop("_block")
         out = lookup_join(out, self.cuts, [*self.keys, "_block"], "left")
         none = F.array().cast("array<bigint>")
         before = F.size(F.filter(F.coalesce("_starts", none), lambda c: c <= F.col("cycle")))
-        hit = F.array_contains(F.coalesce("_apart", none), F.col("cycle").cast("bigint"))
-        return out.withColumns({"_step": step, "_crowded": hit}).withColumn(
+        salts = F.coalesce(F.try_element_at("_apart", F.col("cycle").cast("bigint")), F.lit(0))
+        return out.withColumns({"_step": step, "_crowded": salts > 0, "_salts": salts}).withColumn(
             "_seg", F.col("_block") * (self.segment + 2) + before).drop("_block", "_starts", "_apart")
 
 
@@ -255,9 +255,10 @@ def weighted_cuts(candidates: DataFrame, keys: Sequence[str], segment: int, crow
     begins = F.col("_apart") | ~F.col("_piece").eqNullSafe(F.lag("_piece").over(order))
     starts = F.array_compact(F.array(F.when(begins, F.col("cycle")), F.when(F.col("_apart"), F.col("cycle") + 1)))
     cut = cut.withColumn("_at", starts)
+    alone = F.struct("cycle", F.ceil(F.col("_n") / TASK_ROWS).cast("int").alias("_salts"))
     return settle(cut.groupBy(*block).agg(  # bounded: at most two entries for each cycle of a block
         F.array_distinct(F.flatten(F.collect_list("_at"))).alias("_starts"),
-        F.collect_list(F.when(F.col("_apart"), F.col("cycle"))).alias("_apart")), "cuts"), total
+        F.map_from_entries(F.collect_list(F.when(F.col("_apart"), alone))).alias("_apart")), "cuts"), total
 
 
 def _windowed(cycles: DataFrame) -> DataFrame:
@@ -298,13 +299,13 @@ def _fold(cycles, candidates, entries, keys, rules, half, tasks=None):
     return stream.mapInPandas(_folder(keys, rules, half), schema)
 
 
-def _select_crowded(cycles, candidates, entries, on, rules, half):
+def _select_crowded(cycles, candidates, entries, on, fold_on, rules, half):
     """Picks of crowded cycles for known references: reduced where the candidates lie, never gathered."""
-    gates = cycles.join(entries, on)
-    spread = F.pmod(F.xxhash64("index", "source_code"), F.lit(SALTS)).cast("int")
-    copies = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
-    inside = candidates.withColumn("_salt", spread).join(
-        gates.select(*on, "refs", "ref_width", copies.alias("_salt")), [*on, "_salt"])
+    gates = settle(cycles.join(sized(entries), on), "gates")
+    copies = F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt")
+    load = 16 * (len(gates.columns) + len(rules)) * (gates.agg(F.sum("_salts")).first()[0] or 0)
+    inside = candidates.withColumn("_salt", F.pmod(F.xxhash64("index", "source_code"), F.col("_salts")).cast("int")).join(
+        sized(gates.select(*fold_on, "refs", "ref_width", copies), load), [*on, "_salt"])
     true, time, width = (F.col(c).cast("double") for c in ("true_time", "time", "width"))
     place = F.struct(F.col("source_code").cast("bigint").alias("source_code"), F.col("index").cast("bigint").alias("index"))
 
@@ -319,12 +320,14 @@ def _select_crowded(cycles, candidates, entries, on, rules, half):
         best.append(F.min(F.when(member(m), row)).alias(f"_b{m}"))
         count.append(F.count_if(member(m)).alias(f"_n{m}"))
     n = len(rules)
-    picks = inside.groupBy(*on, "_salt").agg(*best, *count).groupBy(*on).agg(
+    picks = inside.groupBy(*fold_on, "_salt").agg(*best, *count).groupBy(*fold_on).agg(
         *[F.min(f"_b{m}").alias(f"_b{m}") for m in range(n)], *[F.sum(f"_n{m}").alias(f"_n{m}") for m in range(n)])
-    chosen = picks.select(*on, *[F.col(f"_b{m}")["place"].alias(f"_p{m}") for m in range(n)], copies.alias("_salt"))
-    ahead = inside.join(chosen, [*on, "_salt"]).groupBy(*on).agg(*[
+    picks = settle(picks, "picks")
+    chosen = picks.join(sized(gates.select(*fold_on, "_salts")), fold_on).select(
+        *fold_on, *[F.col(f"_b{m}")["place"].alias(f"_p{m}") for m in range(n)], copies)
+    ahead = inside.join(sized(chosen, load), [*fold_on, "_salt"]).groupBy(*fold_on).agg(*[
         F.count_if(member(m) & (place < F.col(f"_p{m}"))).alias(f"_a{m}") for m in range(n)])
-    rows = gates.join(picks, on, "left").join(ahead, on, "left")
+    rows = gates.join(shuffled(picks), fold_on, "left").join(shuffled(ahead), fold_on, "left")
     items = []
     for m, name in enumerate(rules):
         ref, pick = F.col("refs")[m], F.col(f"_b{m}")
@@ -335,7 +338,7 @@ def _select_crowded(cycles, candidates, entries, on, rules, half):
             pick["time"].alias("picked_time"), F.coalesce(pick["place"]["source_code"], F.lit(0)).alias("source_code"),
             ref.alias("ref_before"), F.coalesce(base + F.col("dt"), ref).alias("ref_after"),
             ((ref - half >= F.col("win_left")) & (ref + half <= F.col("win_right"))).alias("window_ok")))
-    return rows.select(*on, F.col("cycle").cast("bigint").alias("cycle"), F.inline(F.array(*items))).select(*on, *TRACE)
+    return rows.select(*fold_on, F.col("cycle").cast("bigint").alias("cycle"), F.inline(F.array(*items))).select(*fold_on, *TRACE)
 
 
 #: Entries of one segment and rule that a round folds at most, the one that the chain needs first.
@@ -368,18 +371,16 @@ def track(cycles: DataFrame, candidates: DataFrame, start: DataFrame, half: floa
         return _fold(placed, rows, entries, on, rules, half).select(*keys, *TRACE)
 
     # several rounds read them: placed once
-    placed, rows = settle(placed, "cycles"), settle(rows.select(*on, "_step", "_crowded", *CANDIDATE_COLUMNS), "candidates")
+    placed, rows = settle(placed, "cycles"), settle(rows.select(*on, "_step", "_crowded", "_salts", *CANDIDATE_COLUMNS), "candidates")
 
     def run(entries: DataFrame) -> DataFrame:
         """Fold segments from their entries; an entry that is not a number asks for nothing."""
-        mine, theirs = (df.join(entries.select(*fold_on), on) for df in (placed, rows))
-        if cut is None:
-            out = _fold(mine, theirs, entries, fold_on, rules, half)
-        else:
-            apart = mine.filter("_crowded").select(*fold_on)
-            out = _fold(mine.filter("NOT _crowded"), theirs.filter("NOT _crowded"),
-                        entries.join(apart, fold_on, "left_anti"), fold_on, rules, half, tasks).unionByName(
-                _select_crowded(mine.filter("_crowded"), theirs.filter("_crowded"), entries, fold_on, rules, half))
+        named = sized(entries.select(*fold_on))
+        mine, theirs = (df.filter("NOT _crowded").join(named, on) for df in (placed, rows))
+        out = _fold(mine, theirs, entries, fold_on, rules, half, tasks)
+        if cut is not None:
+            out = out.unionByName(_select_crowded(
+                placed.filter("_crowded"), rows.filter("_crowded"), entries, on, fold_on, rules, half))
         return settle(out.filter(~F.isnan("ref_before")), "trace")
 
     def pairs_of(trace: DataFrame, n: int) -> DataFrame:
@@ -388,7 +389,8 @@ def track(cycles: DataFrame, candidates: DataFrame, start: DataFrame, half: floa
 
     # The first entries come from the nominal time line, those of the first segments are right.
     segments = running_time(placed, keys, "dt", name="_nominal").groupBy(*on).agg(F.min_by("_nominal", "cycle").alias("_nominal"))
-    nominal = settle(segments.join(start, keys).select(*on, (F.col("ref") + F.col("_nominal")).cast("double").alias("_nominal")), "nominal")
+    nominal = settle(segments.join(shuffled(start), keys).select(*on, (F.col("ref") + F.col("_nominal")).cast("double").alias("_nominal")), "nominal")
+    known = sized(nominal)
     entries = nominal.select(*on, F.lit(0).alias("_guess"), F.transform(names, lambda _: F.col("_nominal")).alias("refs"))
     rounds, pairs = [], None
     while True:
@@ -396,7 +398,7 @@ def track(cycles: DataFrame, candidates: DataFrame, start: DataFrame, half: floa
         new = pairs_of(rounds[-1], len(rounds) - 1)
         pairs = settle(pairs.unionByName(new) if pairs else new, "pairs")
         # a row for each segment, rule and folded entry; many units to a task, one after the other
-        per_unit = pairs.join(nominal, on).select(*keys, *PAIR).repartition(_tasks(pairs), *keys).sortWithinPartitions(*keys)
+        per_unit = pairs.join(known, on).select(*keys, *PAIR).repartition(_tasks(pairs), *keys).sortWithinPartitions(*keys)
         kind = T.StructType([pairs.schema[c] for c in (*on, "method", "entry", "_round", "_guess")])
         asked = settle(per_unit.mapInPandas(_each_unit(keys, _asker(len(rounds))), kind), "asks")
         if asked.isEmpty():
@@ -408,7 +410,7 @@ def track(cycles: DataFrame, candidates: DataFrame, start: DataFrame, half: floa
         return rounds[0].select(*keys, *TRACE)
     right = settle(per_unit.mapInPandas(_each_unit(keys, _chained), kind), "chain").select(*fold_on, "method", "_round")
     return reduce(DataFrame.unionByName, [
-        part.join(right.filter(F.col("_round") == n).drop("_round"), [*fold_on, "method"], "left_semi").select(*keys, *TRACE)
+        part.join(sized(right.filter(F.col("_round") == n).drop("_round")), [*fold_on, "method"], "left_semi").select(*keys, *TRACE)
         for n, part in enumerate(rounds)])
 
 

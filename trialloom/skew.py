@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trialloom.session import settle
 
@@ -18,8 +19,7 @@ BLOCK = 4096
 HOT_ROWS = 1_000_000
 #: Rows of a task that orders them: AQE joins partitions by their compressed bytes, a few of which become many in memory.
 TASK_ROWS = 200_000
-SALTS = 64
-#: A table is broadcast only below so many bytes, by its row count and the width of its columns.
+#: A table is broadcast only below so many bytes, by ``table_bytes``.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -131,12 +131,40 @@ def key_load(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> tup
     return total, {x["item"]: x["count"] for x in sorted(found or [])}
 
 
+def table_bytes(table: DataFrame) -> int:
+    """Bytes of a written table in memory, counted: 16 for each column of a row and each value of a list or map, one for each character."""
+    lists = [F.size(f.name) for f in table.schema if isinstance(f.dataType, (T.ArrayType, T.MapType))]
+    texts = [F.length(f.name) for f in table.schema if isinstance(f.dataType, T.StringType)]
+    if not lists and not texts:
+        return 16 * len(table.columns) * table.count()
+    total = lambda sizes: sum((F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)) for c in sizes), F.lit(0))
+    return table.agg(F.sum(16 * (len(table.columns) + total(lists)) + total(texts)).cast("bigint")).first()[0] or 0
+
+
+def shuffled(table: DataFrame) -> DataFrame:
+    """The side of a join that is shuffled in any case.
+
+    Spark broadcasts by the bytes of the files that a side is read from. Written numbers take a few
+    bytes a row there, a hundred and more in the driver, and what is exploded from them is not counted.
+    """
+    return table.hint("merge")
+
+
+def sized(table: DataFrame, size: int | None = None) -> DataFrame:
+    """A written table as the side of a join: broadcast if it is small by its counted bytes (or ``size``), else shuffled.
+
+    A quarter of BROADCAST_BYTES, as a loop has several of them at a time.
+    """
+    size = table_bytes(table) if size is None else size
+    return F.broadcast(table) if size <= BROADCAST_BYTES // 4 else shuffled(table)
+
+
 def salted_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], spread: Sequence[str],
-                *, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Inner join in which heavy keys of ``rows`` are spread over tasks of at most about ``hot_rows`` of their rows."""
+                *, hot_rows: int = HOT_ROWS, how: str = "inner") -> DataFrame:
+    """Join in which heavy keys of ``rows`` are spread over tasks of at most about ``hot_rows`` of their rows."""
     hot = hot_hashes(rows, keys, hot_rows)
     if not hot:
-        return rows.join(lookup, list(keys), "inner")
+        return rows.join(lookup, list(keys), how)
     salts = max(2, -(-max(hot.values()) // hot_rows))
     lookup = lookup.withColumns({k: F.col(k).cast(rows.schema[k].dataType) for k in keys})  # hashes depend on the type
     heavy = F.xxhash64(*keys).isin(list(hot))
@@ -145,24 +173,21 @@ def salted_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], spread:
     right = lookup.withColumn(
         "_salt", F.explode(F.when(heavy, F.sequence(F.lit(0), F.lit(salts - 1)))
                            .otherwise(F.array(F.lit(0)))))
-    return left.join(right, [*keys, "_salt"], "inner").drop("_salt")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def lookup_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner",
-                *, limit: int | None = None, salts: int = SALTS) -> DataFrame:
+                *, limit: int | None = None) -> DataFrame:
     """Join a large side with a table of one row per (few, hence heavy) keys.
 
-    The table is written once and broadcast only if its counted rows, at 16 bytes a
-    column, stay below BROADCAST_BYTES (or ``limit`` rows); otherwise both sides are
-    spread over salts of the key.
+    The table is written once and broadcast only if ``table_bytes`` stays below
+    BROADCAST_BYTES (or it has at most ``limit`` rows); otherwise both sides are
+    shuffled and heavy keys are spread over salts.
     """
     if how not in ("inner", "left"):
         raise ValueError("lookup_join supports inner and left")
     table = settle(table, "lookup")
-    limit = BROADCAST_BYTES // (16 * len(table.columns)) if limit is None else limit
-    if table.count() <= limit:
+    small = table_bytes(table) <= BROADCAST_BYTES if limit is None else table.count() <= limit
+    if small:
         return rows.join(F.broadcast(table), list(keys), how)
-    others = [c for c in rows.columns if c not in keys]
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int"))
-    right = table.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return salted_join(rows, shuffled(table), keys, [c for c in rows.columns if c not in keys], how=how)
