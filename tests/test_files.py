@@ -353,3 +353,28 @@ def test_small_chunks_are_written_by_many_tasks_and_large_ones_are_split(spark,
     assert spark.conf.get(increment.LISTING) == "10000"
     assert spark.createDataFrame([(1, 2), (1, 3)], "cond int, chunk int").where(increment.among(["1/3", "2/2"])).count() == 1
     assert spark.range(3).where(increment.among([])).isEmpty()
+
+
+def test_the_driver_knows_the_files_of_one_span_only(spark, tmp_path, monkeypatch):
+    """Four chunks in two spans: seven files, of which a span has four at most."""
+    from trialloom.plans import increment
+
+    units, compute, artifacts = two_tables(spark)
+    root, listed, plain = str(tmp_path / "run"), [], increment.chunk_files
+
+    def files(*args):
+        out = plain(*args)
+        listed.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(increment, "chunk_files", files)
+    monkeypatch.setattr(increment, "SPAN_CHUNKS", 2, raising=False)
+    assert set(outcomes(run_chunks(units, compute, root, 3, artifacts)).values()) == {"computed"}
+    assert spark.read.parquet(f"{root}/main").count() == 12 and spark.read.parquet(f"{root}/extra").count() == 6
+    os.rename(in_chunk(root, "manifest", 0)[0], str(tmp_path / "lost"))
+    os.rename(in_chunk(root, "extra", 3)[0], str(tmp_path / "gone.parquet"))
+    assert outcomes(run_chunks(units, compute, root, 3, artifacts)) == {
+        (0, 0): "recomputed-invalid:manifest_unreadable", (0, 1): "skipped-valid", (0, 2): "skipped-valid",
+        (0, 3): "recomputed-invalid:unexpected_or_missing_file"}
+    assert sorted(map(tuple, spark.read.parquet(f"{root}/main").select("unit", "value").collect())) == [(u, 3 * (u - 1)) for u in range(1, 13)]
+    assert max(listed) == 4
